@@ -81,3 +81,392 @@ def search_sql(lines_cte: str, queries, top_k: int, title_weight: float,
            {S.highlight(S.snippet('body', 'dparts'), 'dparts')} AS snippet_highlight,
            CAST(rank AS BIGINT) AS rank{overall_col}
     FROM top"""
+
+
+# ---------------------------------------------------------------------------
+# Everything else
+# ---------------------------------------------------------------------------
+def _with(*ctes: str) -> str:
+    return "WITH " + ",\n".join(c.strip() for c in ctes if c.strip())
+
+
+def _title_queries_cte() -> str:
+    return """
+    titles AS (SELECT DISTINCT episode, episode_title FROM lines),
+    q AS (
+      SELECT CAST(episode * 3 + form AS BIGINT) AS query_id, query FROM (
+        SELECT episode, 0 AS form, episode_title AS query FROM titles
+        UNION ALL SELECT episode, 1, replace(episode_title, ' ', ' & ') FROM titles
+        UNION ALL SELECT episode, 2, replace(episode_title, ' ', '/') FROM titles))"""
+
+
+def _matched_sql(lines_cte: str, q_cte: str) -> str:
+    raw = "lower(d.body || ' ' || d.episode_title)"
+    return f"""{_with(lines_cte, _docs_cte(), q_cte,
+        f"qp AS (SELECT query_id, {S.query_type('query')} AS qtype, {S.query_parts('query')} AS parts FROM q)")}
+    SELECT qp.query_id, d.show_key, d.episode
+    FROM qp, docs d
+    WHERE CASE WHEN qp.qtype = 'and' THEN {S.all_in(raw, 'qp.parts')} ELSE {S.any_in(raw, 'qp.parts')} END"""
+
+
+def _posts_texts(flavour: str) -> str:
+    fn = S.normalize_baseline if flavour == "baseline" else S.normalize_classifier
+    return f"texts AS (SELECT row_id, {fn('posts', True)} AS text FROM posts)"
+
+
+def _long_labels() -> str:
+    sel = []
+    for i, (dim, pos, neg) in enumerate([("EI", "E", "I"), ("SN", "S", "N"), ("TF", "T", "F"), ("JP", "J", "P")]):
+        ch = f"substr(upper(type), {i + 1}, 1)"
+        sel.append(f"SELECT row_id, '{dim}' AS dim, CASE WHEN {ch} = '{pos}' THEN 1 WHEN {ch} = '{neg}' THEN 0 END AS label FROM posts")
+    return "lab AS (SELECT * FROM (" + " UNION ALL ".join(sel) + ") WHERE label IS NOT NULL)"
+
+
+def _tfidf_ctes(fit_rows: str = "SELECT row_id FROM posts") -> str:
+    return f"""
+    fit_rows AS ({fit_rows}),
+    vtoks AS (SELECT row_id, unnest({S.vectorizer_tokens('text')}) AS term FROM texts),
+    counts AS (SELECT row_id, term, count(*) AS cnt FROM vtoks GROUP BY row_id, term),
+    vstats AS (SELECT term, sum(cnt) AS cf, count(*) AS df FROM counts WHERE row_id IN (SELECT row_id FROM fit_rows) GROUP BY term),
+    vocab AS (SELECT term, ln((1.0 + (SELECT count(*) FROM fit_rows)) / (1.0 + df)) + 1.0 AS idf
+              FROM vstats ORDER BY cf DESC, term LIMIT 1500),
+    xw AS (SELECT c.row_id, c.term, c.cnt * v.idf AS x0 FROM counts c JOIN vocab v ON v.term = c.term),
+    xf AS (SELECT row_id, term, x0 / sqrt(sum(x0 * x0) OVER (PARTITION BY row_id)) AS x FROM xw)"""
+
+
+def _nb_fit_ctes(train_lab: str, model: str = "", alpha: float = 1.0) -> str:
+    """NB tables from ``train_lab`` (row_id, dim, label[, model_fold])."""
+    mk = f"{model}, " if model else ""
+    mj = f" AND a.{model} = b.{model}" if model else ""
+    part = f"PARTITION BY {model}, dim" if model else "PARTITION BY dim"
+    return f"""
+    tl AS ({train_lab}),
+    cls AS (SELECT {mk}dim, label, count(*) AS n_c FROM tl GROUP BY ALL),
+    prior AS (SELECT {mk}dim, label, ln(n_c / sum(n_c) OVER ({part})) AS prior FROM cls),
+    sums AS (SELECT {('tl.' + model + ', ') if model else ''}tl.dim, tl.label, xf.term, sum(xf.x) AS fs
+             FROM xf JOIN tl ON tl.row_id = xf.row_id GROUP BY ALL),
+    grid AS (SELECT c.*, v.term FROM cls c, vocab v),
+    filled AS (SELECT a.{mk.replace(', ', '') + ', a.' if model else ''}dim, a.label, a.term, coalesce(b.fs, 0.0) AS fs
+               FROM grid a LEFT JOIN sums b ON a.dim = b.dim AND a.label = b.label AND a.term = b.term{mj}),
+    tot AS (SELECT {mk}dim, label, sum(fs) AS tot FROM filled GROUP BY ALL),
+    logp AS (SELECT a.{mk.replace(', ', '') + ', a.' if model else ''}dim, a.label, a.term,
+                    ln(a.fs + {alpha}) - ln(b.tot + {alpha} * (SELECT count(*) FROM vocab)) AS logp
+             FROM filled a JOIN tot b ON a.dim = b.dim AND a.label = b.label{mj})"""
+
+
+def _nb_pred_ctes(rows: str, feats: str = "xf") -> str:
+    """p1 / pred per (id, dim) for ``rows`` (id) against tables logp / prior."""
+    return f"""
+    srows AS ({rows}),
+    dotp AS (SELECT f.id, lp.dim, lp.label, sum(f.x * lp.logp) AS dot
+             FROM {feats} f JOIN logp lp ON lp.term = f.term WHERE f.id IN (SELECT id FROM srows) GROUP BY ALL),
+    jll AS (SELECT r.id, p.dim, p.label, p.prior + coalesce(d.dot, 0.0) AS jll
+            FROM srows r CROSS JOIN prior p LEFT JOIN dotp d ON d.id = r.id AND d.dim = p.dim AND d.label = p.label),
+    pj AS (SELECT id, dim, max(jll) FILTER (WHERE label = 0) AS j0, max(jll) FILTER (WHERE label = 1) AS j1
+           FROM jll GROUP BY id, dim),
+    pred AS (SELECT id, dim,
+                    CASE WHEN j0 IS NULL THEN 1.0 WHEN j1 IS NULL THEN 0.0 ELSE 1.0 / (1.0 + exp(j0 - j1)) END AS p1,
+                    CASE WHEN j0 IS NULL THEN 1 WHEN j1 IS NULL THEN 0 WHEN j1 > j0 THEN 1 ELSE 0 END AS pred
+             FROM pj)"""
+
+
+def _wide(pred: str, id_col: str = "id") -> str:
+    cols = ", ".join(f"max(p1) FILTER (WHERE dim = '{d}') AS p_{d}" for d in ["EI", "SN", "TF", "JP"])
+    letters = " || ".join(
+        f"(CASE WHEN max(p1) FILTER (WHERE dim = '{d}') >= 0.5 THEN '{p}' ELSE '{n}' END)"
+        for d, p, n in [("EI", "E", "I"), ("SN", "S", "N"), ("TF", "T", "F"), ("JP", "J", "P")])
+    return f"SELECT {id_col}, {cols}, {letters} AS mbti FROM {pred} GROUP BY {id_col}"
+
+
+def _split_cte() -> str:
+    return """
+    spl AS (
+      SELECT row_id, type, row_number() OVER (PARTITION BY type ORDER BY md5('42:' || CAST(row_id AS VARCHAR)), row_id) - 1 AS r,
+             count(*) OVER (PARTITION BY type) AS n FROM posts),
+    split AS (
+      SELECT row_id, type, CASE WHEN r < floor(n * 0.2 + 0.5) THEN 'test'
+                                WHEN r < floor(n * 0.2 + 0.5) + floor((n - floor(n * 0.2 + 0.5)) * 0.125 + 0.5) THEN 'val'
+                                ELSE 'train' END AS split
+      FROM spl)"""
+
+
+def _model_ctes() -> list[str]:
+    """The trait model: classifier-flavour TF-IDF and NB fitted on train rows."""
+    return [S.posts_cte(), _split_cte(), _posts_texts("classifier"), _long_labels(),
+            _tfidf_ctes("SELECT row_id FROM split WHERE split = 'train'"),
+            _nb_fit_ctes("SELECT lab.* FROM lab JOIN split USING (row_id) WHERE split = 'train'")]
+
+
+def _char_texts_ctes() -> str:
+    clean = S.normalize_classifier("dialogue")
+    return f"""
+    cl AS (SELECT show_key, lower(character) AS character_key, line_no, {clean} AS clean
+           FROM lines WHERE character IS NOT NULL),
+    cn AS (SELECT show_key, character_key, count(*) AS n_lines FROM cl GROUP BY ALL),
+    cj AS (SELECT show_key, character_key, string_agg(clean, ' ' ORDER BY line_no) AS allt
+           FROM cl WHERE clean <> '' GROUP BY ALL),
+    ctext AS (SELECT cn.show_key, cn.character_key, cn.n_lines,
+                     coalesce({S.first_words(S.strip('cj.allt'), 500)}, '') AS text
+              FROM cn LEFT JOIN cj ON cj.show_key = cn.show_key AND cj.character_key = cn.character_key)"""
+
+
+def _score_texts_ctes(prefix: str, texts: str) -> str:
+    """TF-IDF of (id, text) with the model vocabulary, then NB p1 per axis."""
+    return f"""
+    {prefix}t AS ({texts}),
+    {prefix}tok AS (SELECT id, unnest({S.vectorizer_tokens('text')}) AS term FROM {prefix}t),
+    {prefix}cnt AS (SELECT id, term, count(*) AS cnt FROM {prefix}tok GROUP BY ALL),
+    {prefix}xw AS (SELECT c.id, c.term, c.cnt * v.idf AS x0 FROM {prefix}cnt c JOIN vocab v ON v.term = c.term),
+    {prefix}xf AS (SELECT id, term, x0 / sqrt(sum(x0 * x0) OVER (PARTITION BY id)) AS x FROM {prefix}xw),
+    {_nb_pred_ctes(f"SELECT id FROM {prefix}t", f"{prefix}xf").strip().replace('srows', prefix + 'rows').replace('dotp', prefix + 'dot').replace('jll', prefix + 'jll').replace('pj', prefix + 'pj').replace('pred AS', prefix + 'pred AS')}"""
+
+
+def _char_types_ctes() -> list[str]:
+    texts = "SELECT show_key || chr(1) || character_key AS id, text FROM ctext WHERE text <> ''"
+    return [*_model_ctes(), _char_texts_ctes(), _score_texts_ctes("c", texts),
+            f"cw AS ({_wide('cpred')})",
+            f"""ctypes AS (SELECT t.show_key, t.character_key, t.n_lines,
+                   round(w.p_EI, 6) AS p_EI, round(w.p_SN, 6) AS p_SN, round(w.p_TF, 6) AS p_TF,
+                   round(w.p_JP, 6) AS p_JP, w.mbti
+               FROM ctext t JOIN cw w ON w.id = t.show_key || chr(1) || t.character_key WHERE t.text <> '')"""]
+
+
+def _style_ctes() -> list[str]:
+    return [S.line_vectors_cte(), """
+    elig AS (SELECT character, CAST(count(*) AS BIGINT) AS n_lines FROM line_vecs
+             WHERE character IS NOT NULL AND dialogue IS NOT NULL AND length(character) >= 3 AND length(dialogue) > 5
+             GROUP BY character HAVING count(*) >= 45),
+    corpus AS (SELECT v.* FROM line_vecs v WHERE v.dialogue IS NOT NULL AND length(v.dialogue) > 5
+               AND v.character IN (SELECT character FROM elig)),
+    comps AS (SELECT character, pos, avg(CAST(val AS DOUBLE)) AS m
+              FROM (SELECT character, unnest(embedding) AS val, generate_subscripts(embedding, 1) AS pos FROM corpus)
+              GROUP BY character, pos),
+    req AS (SELECT character, list(m ORDER BY pos) AS rv FROM comps GROUP BY character),
+    pairs AS (
+      SELECT c.character AS request_id, c.character, c.line_id, c.dialogue,
+             round(list_dot_product(list_transform(c.embedding, lambda z: CAST(z AS DOUBLE)), r.rv)
+                   / (sqrt(list_dot_product(list_transform(c.embedding, lambda z: CAST(z AS DOUBLE)),
+                                            list_transform(c.embedding, lambda z: CAST(z AS DOUBLE))))
+                      * sqrt(list_dot_product(r.rv, r.rv))), 6) AS cosine
+      FROM corpus c JOIN req r ON r.character = c.character),
+    near AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY cosine DESC, line_id) AS example_rank
+             FROM pairs QUALIFY example_rank <= 5)"""]
+
+
+def all_sql() -> dict[str, str]:
+    from ..functions.wordlists import DEFAULT_TITLE_WEIGHT as TW
+    from ..functions.wordlists import DEFAULT_TOP_K as K
+    from . import catalog as CT
+
+    dl, dc = S.dialogue_lines_cte(), S.document_lines_cte()
+    out: dict[str, str] = {}
+
+    out["show_registry"] = f"""{_with(dl)}
+    SELECT show_key, coalesce(CASE show_key {' '.join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, v in __import__('scriptlens.functions.wordlists', fromlist=['x']).SHOW_NAMES.items())} END, show_key) AS show_name,
+           CAST(count(DISTINCT (season, episode, episode_title)) AS BIGINT) AS n_episodes,
+           CAST(count(*) AS BIGINT) AS n_lines, CAST(count(DISTINCT character) AS BIGINT) AS n_characters
+    FROM lines GROUP BY show_key"""
+
+    from ..functions.wordlists import SHOW_ALIASES, SHOW_NAMES
+    alias_case = " ".join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, v in SHOW_ALIASES.items())
+    name_case = " ".join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, v in SHOW_NAMES.items())
+    out["alias_resolution"] = f"""{_with(dl, "typed AS (SELECT DISTINCT '  ' || upper(show_key) || ' ' AS typed FROM lines)")}
+    SELECT typed, CASE lower({S.strip('typed')}) {alias_case} END AS resolved_key,
+           coalesce(CASE coalesce(CASE lower({S.strip('typed')}) {alias_case} END, lower(trim(typed))) {name_case} END,
+                    coalesce(CASE lower({S.strip('typed')}) {alias_case} END, lower(trim(typed)))) AS show_name
+    FROM typed"""
+
+    out["episode_documents"] = f"""{_with(dl, _docs_cte())},
+    n AS (SELECT show_key, season, episode, episode_title, CAST(count(*) AS BIGINT) AS n_lines FROM lines
+          WHERE season IS NOT NULL AND episode IS NOT NULL AND episode_title IS NOT NULL GROUP BY ALL)
+    SELECT d.show_key, d.season, d.episode, d.episode_title, d.body AS dialogue, n.n_lines, d.body AS dialogue_raw
+    FROM docs d JOIN n USING (show_key, season, episode, episode_title)"""
+
+    out["union_sources"] = f"""{_with(dl)}
+    SELECT show_key, season, episode, episode_title,
+           CAST(row_number() OVER (PARTITION BY show_key ORDER BY line_no) - 1 AS BIGINT) AS line_no,
+           character, dialogue FROM lines"""
+
+    out["index_roundtrip"] = f"""{_with(dc, _docs_cte(), bm25_ctes(TW))},
+    sep AS (SELECT {DOC_KEYS}, unnest({S.search_tokens('body')}) AS term, 1 AS b, 0 AS t FROM docs
+            UNION ALL SELECT {DOC_KEYS}, unnest({S.search_tokens('episode_title')}), 0, 1 FROM docs),
+    post AS (SELECT {DOC_KEYS}, term, sum(b) AS tfb, sum(t) AS tft FROM sep GROUP BY ALL)
+    SELECT show_key, CAST(count(*) AS BIGINT) AS n_postings, CAST(sum(tfb) AS BIGINT) AS sum_tf_body,
+           CAST(sum(tft) AS BIGINT) AS sum_tf_title, CAST(count(DISTINCT term) AS BIGINT) AS n_terms
+    FROM post GROUP BY show_key"""
+
+    out["line_context"] = f"""{_with(dl)}
+    SELECT a.show_key, a.season, a.episode, a.episode_title, a.line_no, a.character, a.dialogue,
+           p.character AS prev_character, p.dialogue AS prev_dialogue,
+           n.character AS next_character, n.dialogue AS next_dialogue
+    FROM lines a
+    LEFT JOIN lines p ON p.show_key = a.show_key AND p.season = a.season AND p.episode = a.episode
+                     AND p.episode_title = a.episode_title AND p.line_no = a.line_no - 1
+    LEFT JOIN lines n ON n.show_key = a.show_key AND n.season = a.season AND n.episode = a.episode
+                     AND n.episode_title = a.episode_title AND n.line_no = a.line_no + 1"""
+
+    counts = "SELECT show_key, character, CAST(count(*) AS BIGINT) AS n_lines FROM lines WHERE character IS NOT NULL GROUP BY ALL"
+    out["character_line_counts"] = f"{_with(dl)} {counts}"
+    out["top_characters"] = f"""{_with(dl, f"c AS ({counts})")}
+    SELECT show_key, character, n_lines, row_number() OVER (PARTITION BY show_key ORDER BY n_lines DESC, character) AS count_rank
+    FROM c QUALIFY count_rank <= 2"""
+    out["first_characters"] = f"""{_with(dl)}
+    SELECT show_key, character, min(line_no) AS first_line_no,
+           row_number() OVER (PARTITION BY show_key ORDER BY min(line_no), character) AS appearance_rank
+    FROM lines WHERE character IS NOT NULL GROUP BY show_key, character QUALIFY appearance_rank <= 2"""
+    out["eligible_characters"] = f"{_with(*_style_ctes())} SELECT character, n_lines FROM elig"
+    out["character_documents"] = f"{_with(dl, _char_texts_ctes())} SELECT * FROM ctext"
+
+    out["normalize_search"] = f"SELECT doc_id, {S.normalize_search('text')} AS text FROM documents"
+    out["tokenize_search"] = f"SELECT doc_id, {S.search_tokens('text')} AS tokens FROM documents"
+    out["normalize_classifier"] = f"{_with(S.posts_cte())} SELECT row_id, {S.normalize_classifier('posts', True)} AS text FROM posts"
+    out["normalize_baseline"] = f"{_with(S.posts_cte())} SELECT row_id, {S.normalize_baseline('posts', True)} AS text FROM posts"
+
+    out["query_parse"] = f"""{_with(dl, _title_queries_cte())}
+    SELECT query_id, query, {S.query_type('query')} AS qtype, {S.query_parts('query')} AS parts,
+           {S.display_parts('query')} AS display_parts FROM q"""
+    out["match_phrase"] = _matched_sql(dc, S.values_queries(["Ertion"]))
+    out["match_and"] = _matched_sql(dc, S.values_queries(["erth&ouen"]))
+    out["match_or"] = _matched_sql(dc, S.values_queries(["thth/ouen"]))
+    out["match_batch"] = _matched_sql(dc + ",\n" + dl.replace("lines AS (", "dlines AS (").replace("first_turn", "ft2"),
+                                      _title_queries_cte().replace("FROM lines", "FROM dlines"))
+
+    sep = f"""sep AS (SELECT {DOC_KEYS}, unnest({S.search_tokens('body')}) AS term, 1 AS b, 0 AS t FROM docs
+            UNION ALL SELECT {DOC_KEYS}, unnest({S.search_tokens('episode_title')}), 0, 1 FROM docs),
+    post AS (SELECT {DOC_KEYS}, term, CAST(sum(b) AS BIGINT) AS tf_body, CAST(sum(t) AS BIGINT) AS tf_title FROM sep GROUP BY ALL)"""
+    out["term_stats"] = f"""{_with(dc, _docs_cte(), sep)}
+    SELECT show_key, term, CAST(count(*) FILTER (WHERE tf_body > 0) AS BIGINT) AS df_body, CAST(count(*) AS BIGINT) AS df_any
+    FROM post GROUP BY show_key, term"""
+    out["doc_lengths"] = f"""{_with(dc, _docs_cte())}
+    SELECT show_key, episode, CAST(len({S.search_tokens('body')}) AS BIGINT) AS len_body,
+           CAST(len({S.search_tokens('episode_title')}) AS BIGINT) AS len_title FROM docs"""
+    out["postings_top"] = f"""{_with(dc, _docs_cte(), sep)}
+    SELECT show_key, episode, term, tf_body,
+           row_number() OVER (PARTITION BY show_key, episode ORDER BY tf_body DESC, term) AS term_rank
+    FROM post QUALIFY term_rank <= 3"""
+
+    out["bm25_scores"] = f"""{_with(dc, _docs_cte(), bm25_ctes(TW), S.values_queries(CT.DOC_QUERIES))},
+    qt AS (SELECT query_id, unnest({S.query_tokens('query')}) AS term FROM q)
+    SELECT qt.query_id, tf.show_key, tf.episode,
+           round(sum(idf.idf * (tf.tf * {BM25_K1 + 1}) / (tf.tf + {BM25_K1} * ({1 - BM25_B} + {BM25_B} * tf.dl / n.avgdl))), 6) AS bm25
+    FROM qt JOIN tf ON tf.term = qt.term JOIN idf ON idf.show_key = tf.show_key AND idf.term = tf.term
+         JOIN ncorp n ON n.show_key = tf.show_key
+    GROUP BY qt.query_id, tf.show_key, tf.season, tf.episode, tf.episode_title"""
+
+    out["search_episodes"] = search_sql(dc, CT.DOC_QUERIES, K, TW)
+    out["search_all_shows"] = search_sql(dl, CT.DIALOGUE_QUERIES, K, TW, overall=True)
+    out["search_title_weight0"] = search_sql(dl, CT.DIALOGUE_QUERIES, 3, 0)
+    bq = search_sql(dl, ["x"], 3, TW)
+    bq = bq.replace(S.values_queries(["x"]), _title_queries_cte().strip().rstrip(","))
+    out["search_batch"] = bq
+
+    parts = S.display_parts(S.lit(CT.SNIPPET_QUERY))
+    out["snippets"] = f"""{_with(dl, _docs_cte())}
+    SELECT show_key, season, episode, episode_title, {S.snippet('body', parts)} AS snippet,
+           {S.highlight(S.snippet('body', parts), parts)} AS highlighted FROM docs"""
+
+    enc = ", ".join(
+        f"CAST(CASE WHEN substr(upper(type), {i + 1}, 1) = '{p}' THEN 1 WHEN substr(upper(type), {i + 1}, 1) = '{n}' THEN 0 END AS INTEGER) AS {d}"
+        for i, (d, p, n) in enumerate([("EI", "E", "I"), ("SN", "S", "N"), ("TF", "T", "F"), ("JP", "J", "P")]))
+    out["label_encode"] = f"{_with(S.posts_cte())} SELECT row_id, type, {enc} FROM posts"
+    out["stratified_split"] = f"{_with(S.posts_cte(), _split_cte())} SELECT row_id, type, split FROM split"
+    folds = f"""
+    first AS (SELECT dim, label, min(row_id) AS f, count(*) AS n FROM lab GROUP BY ALL),
+    starts AS (SELECT dim, label, n, sum(n) OVER (PARTITION BY dim ORDER BY f) - n AS s FROM first),
+    rk AS (SELECT lab.*, row_number() OVER (PARTITION BY dim, label ORDER BY row_id) - 1 AS r FROM lab),
+    fa AS (SELECT rk.*, {', '.join(f"greatest(0, floor((st.s + st.n - {i} + 2) / 3)) - greatest(0, floor((st.s - {i} + 2) / 3)) AS a{i}" for i in range(3))}
+           FROM rk JOIN starts st USING (dim, label)),
+    folds AS (SELECT row_id, dim, label, CAST(CASE WHEN r < a0 THEN 0 WHEN r < a0 + a1 THEN 1 ELSE 2 END AS INTEGER) AS fold FROM fa)"""
+    out["stratified_folds"] = f"{_with(S.posts_cte(), _long_labels(), folds)} SELECT * FROM folds"
+
+    base = [S.posts_cte(), _posts_texts("baseline"), _long_labels(), _tfidf_ctes()]
+    out["tfidf_vocab"] = f"{_with(*base)} SELECT term, round(idf, 6) AS idf FROM vocab"
+    out["tfidf_weights"] = f"{_with(*base)} SELECT row_id, term, round(x, 6) AS x FROM xf"
+    out["nb_model"] = f"""{_with(*base, _nb_fit_ctes('SELECT * FROM lab'))}
+    SELECT l.dim, l.label, l.term, round(l.logp, 6) AS logp, round(p.prior, 6) AS prior
+    FROM logp l JOIN prior p ON p.dim = l.dim AND p.label = l.label"""
+    cv_train = "SELECT f.row_id, f.dim, f.label, m.mf AS model_fold FROM folds f, (VALUES (0), (1), (2)) m(mf) WHERE f.fold <> m.mf"
+    out["nb_cv_accuracy"] = f"""{_with(*base, folds, _nb_fit_ctes(cv_train, 'model_fold'))},
+    dotp AS (SELECT f.row_id, f.dim, lp.label, sum(x.x * lp.logp) AS dot
+             FROM folds f JOIN xf x ON x.row_id = f.row_id
+                  JOIN logp lp ON lp.model_fold = f.fold AND lp.dim = f.dim AND lp.term = x.term GROUP BY ALL),
+    jll AS (SELECT f.row_id, f.dim, f.fold, f.label AS y, p.label, p.prior + coalesce(d.dot, 0.0) AS jll
+            FROM folds f JOIN prior p ON p.model_fold = f.fold AND p.dim = f.dim
+            LEFT JOIN dotp d ON d.row_id = f.row_id AND d.dim = f.dim AND d.label = p.label),
+    pj AS (SELECT row_id, dim, fold, any_value(y) AS y, max(jll) FILTER (WHERE label = 0) AS j0,
+                  max(jll) FILTER (WHERE label = 1) AS j1 FROM jll GROUP BY row_id, dim, fold),
+    acc AS (SELECT dim, fold, avg(CASE WHEN (CASE WHEN j0 IS NULL THEN 1 WHEN j1 IS NULL THEN 0 WHEN j1 > j0 THEN 1 ELSE 0 END) = y
+                                      THEN 1.0 ELSE 0.0 END) AS acc FROM pj GROUP BY dim, fold)
+    SELECT dim, round(avg(acc), 6) AS accuracy_mean, round(stddev_pop(acc), 6) AS accuracy_std,
+           CAST(count(*) AS BIGINT) AS n_folds FROM acc GROUP BY dim"""
+
+    xf_id = "xfid AS (SELECT row_id AS id, term, x FROM xf)"
+    out["eval_metrics"] = f"""{_with(*_model_ctes(), xf_id, _nb_pred_ctes('SELECT row_id AS id FROM posts', 'xfid'))}
+    SELECT s.split, p.dim, CAST(count(*) AS BIGINT) AS n_rows,
+           round(avg(CASE WHEN (CASE WHEN p.p1 > 0.5 THEN 1 ELSE 0 END) = l.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+           round(avg(-(l.label * ln(least(greatest(p.p1, 1e-12), 1 - 1e-12))
+                       + (1 - l.label) * ln(1 - least(greatest(p.p1, 1e-12), 1 - 1e-12)))), 6) AS bce_loss
+    FROM pred p JOIN lab l ON l.row_id = p.id AND l.dim = p.dim JOIN split s ON s.row_id = p.id
+    GROUP BY s.split, p.dim"""
+
+    out["character_types"] = f"{_with(dl, *_char_types_ctes())} SELECT * FROM ctypes"
+    out["show_personalities"] = f"""{_with(dl, *_char_types_ctes(), f"cnt AS ({counts})")}
+    SELECT c.show_key, c.character, c.n_lines,
+           row_number() OVER (PARTITION BY c.show_key ORDER BY c.n_lines DESC, c.character) AS count_rank, t.mbti
+    FROM cnt c JOIN ctypes t ON t.show_key = c.show_key AND t.character_key = lower(c.character)
+    QUALIFY count_rank <= 2"""
+    qtexts = f"""SELECT l.show_key || ':' || CAST(l.line_no AS VARCHAR) AS id,
+                 {S.first_words(S.normalize_classifier('l.dialogue'), 500)} AS text
+                 FROM lines l JOIN ctypes t ON t.show_key = l.show_key AND t.character_key = lower(l.character)"""
+    match = " + ".join(
+        f"(CASE WHEN substr(t.mbti, {i + 1}, 1) = '{p}' THEN w.p_{d} ELSE 1.0 - w.p_{d} END)"
+        for i, (d, p) in enumerate([("EI", "E"), ("SN", "S"), ("TF", "T"), ("JP", "J")]))
+    out["quote_scores"] = f"""{_with(dl, *_char_types_ctes(), _score_texts_ctes("l", qtexts), f"lw AS ({_wide('lpred')})")}
+    SELECT l.show_key, lower(l.character) AS character_key,
+           row_number() OVER (PARTITION BY l.show_key, lower(l.character) ORDER BY round(({match}) / 4.0, 6) DESC, l.line_no) AS quote_rank,
+           l.line_no, l.season, l.episode, l.episode_title, l.dialogue AS dialogue_raw, round(({match}) / 4.0, 6) AS score
+    FROM lines l JOIN ctypes t ON t.show_key = l.show_key AND t.character_key = lower(l.character)
+         JOIN lw w ON w.id = l.show_key || ':' || CAST(l.line_no AS VARCHAR)
+    QUALIFY quote_rank <= {K}"""
+
+    mq = S.lit(CT.MOMENT_QUERY)
+    mparts = S.display_parts(mq)
+    out["character_moments"] = f"""{_with(dl, *_char_types_ctes())},
+    hits AS (SELECT l.show_key, lower(l.character) AS character_key, l.season, l.episode, l.episode_title, l.line_no,
+                    coalesce(l.dialogue, '') AS full_dialogue
+             FROM lines l JOIN ctypes t ON t.show_key = l.show_key AND t.character_key = lower(l.character)
+             WHERE contains(lower(coalesce(l.dialogue, '')), lower({mq}))),
+    mtot AS (SELECT show_key, character_key, CAST(count(*) AS BIGINT) AS total_matches FROM hits GROUP BY ALL)
+    SELECT h.show_key, h.character_key,
+           row_number() OVER (PARTITION BY h.show_key, h.character_key ORDER BY h.line_no) AS moment_rank,
+           h.line_no, h.season, h.episode, h.episode_title,
+           {S.highlight(S.snippet('h.full_dialogue', mparts), mparts)} AS snippet, h.full_dialogue, t.total_matches
+    FROM hits h JOIN mtot t ON t.show_key = h.show_key AND t.character_key = h.character_key
+    QUALIFY moment_rank <= {K}"""
+
+    res = search_sql(dl, CT.DIALOGUE_QUERIES, K, TW)
+    res_body = res.strip()[len("WITH"):]
+    res_body = res_body[: res_body.rindex("SELECT query_id, query, show_key")]
+    out["search_with_characters"] = f"""WITH {res_body.rstrip().rstrip(',')},
+    {_char_types_ctes_inline()},
+    fc AS (SELECT show_key, character, row_number() OVER (PARTITION BY show_key ORDER BY min(line_no), character) AS appearance_rank
+           FROM lines WHERE character IS NOT NULL GROUP BY show_key, character QUALIFY appearance_rank <= 2),
+    shows AS (SELECT DISTINCT query_id, show_key FROM top)
+    SELECT s.query_id, s.show_key, f.character, f.appearance_rank, t.mbti
+    FROM shows s JOIN fc f ON f.show_key = s.show_key
+         JOIN ctypes t ON t.show_key = f.show_key AND t.character_key = lower(f.character)"""
+
+    out["cosine_topk"] = f"{_with(*_style_ctes())} SELECT request_id, character, example_rank, line_id, cosine FROM near"
+    sent = CT.STYLE_SENTENCE.replace("'", "''")
+    out["style_prompts"] = f"""{_with(*_style_ctes())}
+    SELECT request_id, character, CAST(count(*) AS BIGINT) AS n_examples,
+           chr(10) || 'Rewrite the following sentence in the style of **' || character || '**.' || chr(10) || chr(10)
+           || 'Examples:' || chr(10)
+           || string_agg(CAST(example_rank AS VARCHAR) || '. ' || dialogue, chr(10) ORDER BY example_rank)
+           || chr(10) || chr(10) || 'Sentence: "{sent}"' || chr(10) || 'Output:' || chr(10) AS prompt
+    FROM near GROUP BY request_id, character"""
+    return out
+
+
+def _char_types_ctes_inline() -> str:
+    return ",\n".join(c.strip() for c in _char_types_ctes())

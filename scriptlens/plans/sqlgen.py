@@ -70,12 +70,19 @@ def _repeated_letters(t: str) -> str:
     return t
 
 
-def _remove_words(t: str, body: str) -> str:
-    """Replace whole words matching ``body`` by a blank (two passes share delimiters)."""
-    pat = lit(f"(^|{NOT_WORD}){body}({NOT_WORD}|$)")
-    for _ in range(2):
-        t = f"regexp_replace({t}, {pat}, '\\1 \\2', 'g')"
-    return t
+def _blank_words(t: str, long_words: bool, type_words: bool) -> str:
+    """Replace whole words (maximal word-character runs) by a blank: runs of
+    30-1000 characters and/or the type words. Equivalent to the bounded
+    ``\\b...\\b`` patterns without look-around."""
+    r = v()
+    conds = []
+    if long_words:
+        conds.append(f"(regexp_full_match({r}, {lit(WORD + '+')}) AND length({r}) BETWEEN 30 AND 1000)")
+    if type_words:
+        conds.append(f"list_contains({str_list(TYPE_WORDS)}, {r})")
+    runs = f"regexp_extract_all({t}, {lit(WORD + '+|' + NOT_WORD + '+')})"
+    return (f"array_to_string(list_transform({runs}, lambda {r}: "
+            f"CASE WHEN {' OR '.join(conds)} THEN ' ' ELSE {r} END), '')")
 
 
 def _drop_tokens(t: str, words) -> str:
@@ -115,9 +122,7 @@ def normalize_classifier(x: str, remove_type_words: bool = False) -> str:
     t = f"coalesce(CAST({x} AS VARCHAR), '')"
     t = f"regexp_replace(replace({t}, '|', ' '), {URL}, '', 'g')"
     t = f"lower({t})"
-    t = _remove_words(t, WORD + "{30,1000}")
-    if remove_type_words:
-        t = _remove_words(t, "(?:" + "|".join(TYPE_WORDS) + ")")
+    t = _blank_words(t, True, remove_type_words)
     return _drop_tokens(t, lower_distinct(CLASSIFIER_NAMES))
 
 
@@ -130,9 +135,7 @@ def normalize_baseline(x: str, remove_type_words: bool = False) -> str:
     t = f"lower({t})"
     t = f"regexp_replace({t}, {lit('[^a-z' + WS_CHARS + ']')}, ' ', 'g')"
     t = _repeated_letters(t)
-    t = _remove_words(t, WORD + "{30,1000}")
-    if remove_type_words:
-        t = _remove_words(t, "(?:" + "|".join(TYPE_WORDS) + ")")
+    t = _blank_words(t, True, remove_type_words)
     return _drop_tokens(t, lower_distinct(STOP_WORDS + CLASSIFIER_NAMES))
 
 
