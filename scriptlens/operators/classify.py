@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import vectorizer_tokens
 from ..functions.wordlists import CV_FOLDS, DIMENSIONS, NB_ALPHA, TFIDF_MAX_FEATURES
-from ..session import checked_broadcast
+from ..session import bounded_broadcast, checked_broadcast
 
 DIM_NAMES = [d for d, _, _ in DIMENSIONS]
 RANK_BUCKETS = 4096
@@ -52,7 +52,8 @@ def long_labels(df: DataFrame, id_col: str = "row_id", type_col: str = "type") -
 # Exact ranks inside large groups
 # ---------------------------------------------------------------------------
 def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list, bucket: Column,
-                 rank_col: str = "rank0", size_col: str = "group_size") -> DataFrame:
+                 rank_col: str = "rank0", size_col: str = "group_size",
+                 n_buckets: int = RANK_BUCKETS, n_groups_bound: int | None = None) -> DataFrame:
     """0-based rank of each row inside its group by ``order_cols``.
 
     ``bucket`` must be non-decreasing in the order (a prefix of a hash, a range
@@ -69,7 +70,10 @@ def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list, bucket:
         (F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
         F.sum("_n").over(Window.partitionBy(*group_cols)).alias(size_col),
     )
-    offsets_side, _ = checked_broadcast(offsets)
+    if n_groups_bound is not None:
+        offsets_side, _ = bounded_broadcast(offsets, n_groups_bound * n_buckets)
+    else:
+        offsets_side, _ = checked_broadcast(offsets)
     inner = Window.partitionBy(*group_cols, "_bucket").orderBy(*order_cols)
     return (
         d.join(offsets_side, [*group_cols, "_bucket"])
@@ -129,7 +133,7 @@ def stratified_folds(labels: DataFrame, id_col: str = "row_id", folds: int = CV_
     ranked = ordered_rank(
         labels, ["dim", "label"], [id_col],
         ((F.col(id_col) - F.lit(lo)) / F.lit(width)).cast("bigint"),
-        "rank0", "class_size",
+        "rank0", "class_size", RANK_BUCKETS + 1, 2 * len(DIM_NAMES),
     )
     # class order by first appearance, per axis (2 rows per axis: bounded)
     first = labels.groupBy("dim", "label").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
@@ -138,7 +142,7 @@ def stratified_folds(labels: DataFrame, id_col: str = "row_id", folds: int = CV_
         "dim", "label",
         (F.sum("_n").over(wd.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"),
     )
-    starts_b, _ = checked_broadcast(starts)
+    starts_b, _ = bounded_broadcast(starts, 2 * len(DIM_NAMES))
     r = ranked.join(starts_b, ["dim", "label"])
     s = F.col("_start")
     e = s + F.col("class_size")
@@ -186,10 +190,11 @@ def fit_tfidf(counts: DataFrame, n_docs: Column | int, max_features: int = TFIDF
     )
 
 
-def tfidf_weights(counts: DataFrame, vocab: DataFrame, id_col: str) -> DataFrame:
+def tfidf_weights(counts: DataFrame, vocab: DataFrame, id_col: str,
+                  max_features: int = TFIDF_MAX_FEATURES) -> DataFrame:
     """(id, term, x): count x idf, L2-normalised per text. The per-text window
     holds at most ``max_features`` rows (vocabulary bound)."""
-    vocab_b, _ = checked_broadcast(vocab.select("term", "idf"))
+    vocab_b, _ = bounded_broadcast(vocab.select("term", "idf"), max_features)
     raw = counts.join(vocab_b, "term").select(id_col, "term", (F.col("cnt") * F.col("idf")).alias("_x"))
     norm = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", (F.col("_x") / norm).alias("x"))
@@ -241,28 +246,39 @@ def fit_nb(features: DataFrame, labels: DataFrame, vocab: DataFrame, id_col: str
         .groupBy(*keys, "term")
         .agg(F.sum("x").alias("fs"))
     )
-    v_size = vocab.count()
-    present_b, _ = checked_broadcast(counts.select(*keys))
+    n_classes = len(DIM_NAMES) * 2 * _n_models(model_values)
+    present_b, _ = bounded_broadcast(counts.select(*keys), n_classes)
     # every present class x every vocabulary term: bounded by classes x V
-    grid = _with_classes(vocab.select("term"), ["term"], model_values).join(present_b, keys)
+    # V: an unpartitioned window over at most max_features rows (no extra job)
+    sized = vocab.select("term", F.count(F.lit(1)).over(Window.partitionBy()).alias("v_size"))
+    grid = _with_classes(sized, ["term", "v_size"], model_values).join(present_b, keys)
     filled = grid.join(sums, [*keys, "term"], "left").withColumn("fs", F.coalesce("fs", F.lit(0.0)))
     totals = filled.groupBy(*keys).agg(F.sum("fs").alias("tot"))
     logp = filled.join(totals, keys).select(
         *keys, "term",
-        (F.log(F.col("fs") + F.lit(alpha)) - F.log(F.col("tot") + F.lit(alpha * v_size))).alias("logp"),
+        (F.log(F.col("fs") + F.lit(alpha)) - F.log(F.col("tot") + F.lit(alpha) * F.col("v_size"))).alias("logp"),
     )
     return logp, priors
 
 
+def _n_models(model_values: dict[str, list[int]] | None) -> int:
+    n = 1
+    for values in (model_values or {}).values():
+        n *= len(values)
+    return n
+
+
 def nb_joint(features: DataFrame, rows: DataFrame, logp: DataFrame, priors: DataFrame,
-             id_col: str = "row_id", model_values: dict[str, list[int]] | None = None) -> DataFrame:
+             id_col: str = "row_id", model_values: dict[str, list[int]] | None = None,
+             max_features: int = TFIDF_MAX_FEATURES) -> DataFrame:
     """Joint log likelihood per (row, model, dim, label) for the classes in ``priors``.
 
     ``rows``: (id, *model keys) — which model scores which row.
     """
     mc = list((model_values or {}).keys())
-    logp_b, _ = checked_broadcast(logp)
-    priors_b, _ = checked_broadcast(priors)
+    n_classes = len(DIM_NAMES) * 2 * _n_models(model_values)
+    logp_b, _ = bounded_broadcast(logp, n_classes * max_features)
+    priors_b, _ = bounded_broadcast(priors, n_classes)
     dot = (
         features.join(rows, id_col)
         .join(logp_b, [*mc, "term"])

@@ -35,6 +35,7 @@ class TraitModel:
     vocab: DataFrame    # term, idf
     logp: DataFrame     # dim, label, term, logp
     priors: DataFrame   # dim, label, prior
+    split: DataFrame | None = None  # row_id, type, split (training rows used)
 
 
 def train_trait_model(posts: DataFrame, split: DataFrame | None = None) -> tuple[TraitModel, DataFrame]:
@@ -48,7 +49,7 @@ def train_trait_model(posts: DataFrame, split: DataFrame | None = None) -> tuple
     x = C.tfidf_weights(counts, vocab, "row_id")
     labels = C.long_labels(posts)
     logp, priors = C.fit_nb(x, labels.join(train_ids, "row_id"), vocab)
-    return TraitModel(vocab, logp, priors), split
+    return TraitModel(vocab, logp, priors, split), split
 
 
 def save_model(spark: SparkSession, model: TraitModel, path: str | None = None) -> str:
@@ -57,13 +58,19 @@ def save_model(spark: SparkSession, model: TraitModel, path: str | None = None)
     model.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
     model.logp.write.mode("overwrite").parquet(f"{path}/logp")
     model.priors.write.mode("overwrite").parquet(f"{path}/priors")
+    if model.split is not None:
+        model.split.write.mode("overwrite").parquet(f"{path}/split")
     return path
 
 
 def load_model(spark: SparkSession, path: str) -> TraitModel:
     """S10 source."""
     r = spark.read
-    return TraitModel(r.parquet(f"{path}/vocab"), r.parquet(f"{path}/logp"), r.parquet(f"{path}/priors"))
+    try:
+        split = r.parquet(f"{path}/split")
+    except Exception:  # noqa: BLE001 - a model saved without its split
+        split = None
+    return TraitModel(r.parquet(f"{path}/vocab"), r.parquet(f"{path}/logp"), r.parquet(f"{path}/priors"), split)
 
 
 def score_texts(model: TraitModel, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:

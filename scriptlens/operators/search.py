@@ -24,6 +24,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.query import display_parts, query_parts, query_type, title_hits
 from ..functions.snippet import LINE_BREAKS, SENTENCE_END, highlight
@@ -36,7 +37,7 @@ from ..functions.wordlists import (
     DEFAULT_TITLE_WEIGHT,
     DEFAULT_TOP_K,
 )
-from ..session import MAX_BROADCAST_ROWS, checked_broadcast
+from ..session import MAX_BROADCAST_ROWS, bounded_broadcast, checked_broadcast
 from .index import DOC_KEYS, CorpusIndex
 
 RESULT_COLUMNS = ["season", "episode", "episode_title", "relevance_score", "snippet_highlight"]
@@ -93,7 +94,74 @@ def contains_join(left: DataFrame, text_col: str, parts: DataFrame, part_col: st
     return out
 
 
-def matched_documents(lines: DataFrame, prepared: DataFrame) -> DataFrame:
+# Above this many distinct parts, texts are scanned once for all parts with an
+# Aho-Corasick automaton instead of one ``contains`` per (text, part) pair.
+AC_MIN_PARTS = 16
+# Distinct parts per automaton (each chunk is one more pass over the texts).
+AC_MAX_PARTS = 200_000
+
+
+def _ac_scan(text: DataFrame, key_cols: list[str], parts: list[str]) -> DataFrame:
+    """(key_cols..., pid) for every text holding ``parts[pid]`` (lower-case texts).
+
+    One pass per text with a multi-pattern automaton built in each task from
+    the (bounded) part list; Arrow batches in and out.
+    """
+    schema = text.select(*key_cols).schema.add("pid", IntegerType(), False)
+
+    def scan(batches):
+        import ahocorasick
+        import pandas as pd
+
+        auto = ahocorasick.Automaton()
+        for i, p in enumerate(parts):
+            auto.add_word(p, i)
+        auto.make_automaton()
+        for pdf in batches:
+            rows, pids = [], []
+            for i, t in enumerate(pdf["_text"].tolist()):
+                if t:
+                    for pid in {v for _, v in auto.iter(t)}:
+                        rows.append(i)
+                        pids.append(pid)
+            out = pdf.iloc[rows][key_cols].reset_index(drop=True)
+            out["pid"] = pd.Series(pids, dtype="int32")
+            yield out
+
+    return text.mapInPandas(scan, schema)
+
+
+def part_hits(text: DataFrame, key_cols: list[str], qp: DataFrame, n_parts_bound: int) -> DataFrame:
+    """(key_cols..., query_id, qtype, n_parts, part_idx) for every text holding a part.
+
+    ``qp`` holds one row per (query, part); its size is bounded by the query
+    table. Few parts: a broadcast nested-loop join on ``contains``. Many
+    parts: distinct non-empty parts get ids, texts are scanned with an
+    automaton per chunk of ids, and hits join back to (query, part) on the id
+    (an equi-join). The empty part (an empty phrase, an AND without parts)
+    matches every text and keeps the ``contains`` path.
+    """
+    if n_parts_bound <= AC_MIN_PARTS:
+        return contains_join(text, "_text", qp, "part")
+    distinct = sorted(r[0] for r in qp.select("part").where(F.col("part") != "").distinct().collect())
+    spark = qp.sparkSession
+    ids = spark.createDataFrame(list(enumerate(distinct)), "pid int, part string")
+    qp_ids, _ = bounded_broadcast(qp.join(F.broadcast(ids), "part"), n_parts_bound)
+    out = None
+    for start in range(0, len(distinct), AC_MAX_PARTS):
+        chunk = distinct[start:start + AC_MAX_PARTS]
+        hits = _ac_scan(text, key_cols, chunk).withColumn("pid", F.col("pid") + F.lit(start))
+        piece = hits.join(qp_ids, "pid").drop("pid", "part")
+        out = piece if out is None else out.unionByName(piece)
+    empty = qp.where(F.col("part") == "")
+    empty_hits = contains_join(text, "_text", empty, "part").drop("_text", "part")
+    cols = [*key_cols, "query_id", "qtype", "n_parts", "part_idx"]
+    if out is None:
+        return empty_hits.select(*cols)
+    return out.select(*cols).unionByName(empty_hits.select(*cols))
+
+
+def matched_documents(lines: DataFrame, prepared: DataFrame, n_queries: int | None = None) -> DataFrame:
     """(query_id, document keys) of documents matching each query."""
     # An AND without parts matches everything: the empty string is in every text.
     match_parts = F.when((F.col("qtype") == "and") & (F.size("parts") == 0), F.array(F.lit(""))) \
@@ -102,8 +170,9 @@ def matched_documents(lines: DataFrame, prepared: DataFrame) -> DataFrame:
         "query_id", "qtype", F.size(match_parts).alias("n_parts"),
         F.posexplode(match_parts).alias("part_idx", "part"),
     )
+    n_parts = qp.count()
     text = lines.select(*DOC_KEYS, _searchable_text(lines).alias("_text"))
-    hits = contains_join(text, "_text", qp, "part")
+    hits = part_hits(text, DOC_KEYS, qp, n_parts)
     per_doc = hits.groupBy("query_id", "qtype", "n_parts", *DOC_KEYS).agg(
         F.countDistinct("part_idx").alias("n_hit")
     )
@@ -196,7 +265,7 @@ def search_order() -> list:
 
 
 def document_snippets(lines: DataFrame, docs: DataFrame,
-                      max_len: int = DEFAULT_SNIPPET_CHARS) -> DataFrame:
+                      max_len: int = DEFAULT_SNIPPET_CHARS, docs_bound: int | None = None) -> DataFrame:
     """T28 over documents stored as lines, for a bounded set of documents.
 
     ``docs``: (query_id, document keys, dparts). Physical lines of a row are
@@ -206,7 +275,10 @@ def document_snippets(lines: DataFrame, docs: DataFrame,
     sentence, else the first line. Two grouped passes, no window over a
     document, so a document with many lines does not land in one task.
     """
-    docs_b, _ = checked_broadcast(docs)
+    if docs_bound is None:
+        docs_b, _ = checked_broadcast(docs)
+    else:
+        docs_b, _ = bounded_broadcast(docs, docs_bound)
     rows = lines.join(docs_b, DOC_KEYS).select(
         "query_id", *DOC_KEYS, "line_no", "dialogue", "dparts",
         F.filter(F.transform(F.split(F.coalesce("dialogue", F.lit("")), LINE_BREAKS), py_strip),
@@ -270,14 +342,18 @@ def search(spark: SparkSession, index: CorpusIndex, queries, top_k_n: int = DEFA
     Result: query_id, query, show_key, season, episode, episode_title,
     relevance_score, snippet_highlight, rank (1-based within the group).
     """
-    prepared = prepare_queries(query_table(spark, queries))
+    qtable = query_table(spark, queries)
+    n_queries = qtable.count()
+    n_shows = index.show_stats.count()
+    prepared = prepare_queries(qtable)
     ranked = ranked_matches(index, prepared, title_weight)
     groups = ["query_id", "show_key"] if per_show else ["query_id"]
     top = top_k(ranked, groups, search_order(), top_k_n)
-    dparts = prepared.select("query_id", "query", "dparts")
-    dparts_b, _ = checked_broadcast(dparts)
+    dparts_b, _ = bounded_broadcast(prepared.select("query_id", "query", "dparts"), n_queries)
     with_parts = top.join(dparts_b, "query_id")
-    snippets = document_snippets(index.lines, with_parts.select("query_id", *DOC_KEYS, "dparts"), max_len)
+    # top-k rows: at most k per (query, show)
+    bound = top_k_n * n_queries * (n_shows if per_show else 1)
+    snippets = document_snippets(index.lines, with_parts.select("query_id", *DOC_KEYS, "dparts"), max_len, bound)
     return with_parts.join(snippets, ["query_id", *DOC_KEYS], "left").select(
         "query_id",
         "query",

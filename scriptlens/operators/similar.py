@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import STYLE_EXAMPLES
-from ..session import checked_broadcast
 from .search import top_k
 
 
@@ -55,7 +54,9 @@ def nearest_lines(vectors: DataFrame, requests: DataFrame, k: int = STYLE_EXAMPL
     """For each request (request_id, character, request_vec) the ``k`` lines
     of that character with the highest cosine (ties by line_id)."""
     req = requests.select("request_id", "character", "request_vec", norm("request_vec").alias("rnorm"))
-    req_side, _ = checked_broadcast(req)
+    # one request row per character here; AQE broadcasts it at run time when
+    # it is below the broadcast threshold, else a shuffle join on character
+    req_side = req
     lines = vectors.select("character", "line_id", "dialogue", "embedding", norm("embedding").alias("lnorm"))
     pairs = lines.join(req_side, "character").select(
         "request_id", "character", "line_id", "dialogue",

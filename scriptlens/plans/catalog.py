@@ -299,7 +299,8 @@ def q_nb_cv_accuracy(spark, sf_dir):
 
 def q_eval_metrics(spark, sf_dir):
     posts = adapters.posts(spark, sf_dir)
-    model, split = P.train_trait_model(posts)
+    model = trait_model(spark, sf_dir)
+    split = model.split
     texts = posts.select("row_id", normalize_classifier("posts", True).alias("text"))
     counts = C.term_counts(texts, "row_id", "text")
     x = C.tfidf_weights(counts, model.vocab, "row_id")

@@ -56,6 +56,20 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scriptlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def bounded_broadcast(df: DataFrame, bound_rows: int, max_rows: int = MAX_BROADCAST_ROWS):
+    """Broadcast ``df`` when a bound known by construction allows it.
+
+    ``bound_rows`` is a proven upper bound on the rows of ``df`` (a capped
+    vocabulary times a fixed number of classes, ``k`` times the number of
+    queries...). No job is run to decide. Returns ``(frame, broadcast_used)``.
+    """
+    from pyspark.sql import functions as F
+
+    if bound_rows <= max_rows:
+        return F.broadcast(df), True
+    return df, False
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS):
     """Broadcast ``df`` only if it has at most ``max_rows`` rows.
 
