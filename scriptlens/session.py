@@ -56,6 +56,17 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scriptlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer partitions than the
+    cluster's parallelism (e.g. a file with one row group), so CPU-heavy text
+    expressions use every core. A scan that is already wide is left alone, so
+    at scale this adds no shuffle."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def bounded_broadcast(df: DataFrame, bound_rows: int, max_rows: int = MAX_BROADCAST_ROWS):
     """Broadcast ``df`` when a bound known by construction allows it.
 

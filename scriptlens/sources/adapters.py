@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.snippet import physical_lines
 from ..functions.text import first_words
+from ..session import spread
 
 LINE_COLUMNS = ["show_key", "season", "episode", "episode_title", "line_no", "character", "dialogue"]
 # One conversation turn index must stay below this stride for line_no order.
@@ -25,8 +26,12 @@ TITLE_CHARS = 40
 DOC_TITLE_WORDS = 3
 
 
+TEXT_TABLES = {"documents", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def dialogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
