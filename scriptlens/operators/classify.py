@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import vectorizer_tokens
 from ..functions.wordlists import CV_FOLDS, DIMENSIONS, NB_ALPHA, TFIDF_MAX_FEATURES
-from ..session import bounded_broadcast, checked_broadcast
+from ..session import bounded_broadcast, checked_broadcast, materialize
 
 DIM_NAMES = [d for d, _, _ in DIMENSIONS]
 RANK_BUCKETS = 4096
@@ -337,6 +337,9 @@ def cv_accuracy(features: DataFrame, folds: DataFrame, vocab: DataFrame, id_col:
     fold models it trains (every fold but its own); models are keyed by
     (fold, dim).
     """
+    # features and folds feed both the fit and the scoring: compute them once
+    features = materialize(features)
+    folds = materialize(folds)
     train = folds.select(
         id_col, "dim", "label",
         F.explode(F.filter(F.array(*[F.lit(i) for i in range(k)]), lambda f: f != F.col("fold"))).alias("model_fold"),

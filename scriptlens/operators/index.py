@@ -47,6 +47,13 @@ class CorpusIndex:
     term_stats: DataFrame
     show_stats: DataFrame
     lines: DataFrame
+    n_shows: int | None = None
+
+    def shows(self) -> int:
+        """Number of shows (one small job the first time, then remembered)."""
+        if self.n_shows is None:
+            self.n_shows = self.show_stats.count()
+        return self.n_shows
 
 
 def _idf_raw(n, df):

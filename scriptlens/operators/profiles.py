@@ -24,7 +24,7 @@ from ..functions.wordlists import (
     DIMENSIONS,
     MAX_INPUT_TOKENS,
 )
-from ..session import new_table_path
+from ..session import materialize, new_table_path
 from . import classify as C
 from .documents import character_key, character_texts, first_characters, top_characters
 from .search import top_k
@@ -110,7 +110,7 @@ def quote_scores(lines: DataFrame, model: TraitModel, types: DataFrame | None =
         "line_no", F.col("dialogue").alias("dialogue_raw"),
         first_words(normalize_classifier("dialogue"), max_words).alias("text"),
     ).withColumn("lid", F.concat_ws(":", F.col("show_key"), F.col("line_no").cast("string")))
-    ln = ln.join(types.select("show_key", "character_key", "mbti"), ["show_key", "character_key"])
+    ln = materialize(ln.join(types.select("show_key", "character_key", "mbti"), ["show_key", "character_key"]))
     probs = score_texts(model, ln.select("lid", "text"), "lid", "text")
     match = None
     for i, (dim, pos, _neg) in enumerate(DIMENSIONS):
@@ -166,3 +166,36 @@ def characters_in_results(lines: DataFrame, model: TraitModel, results: DataFram
     return shows.join(typed, "show_key").select(
         "query_id", "show_key", "character", F.col("appearance_rank").cast("bigint"), "mbti"
     )
+
+
+def for_character(df: DataFrame, show_key: str, name: str) -> DataFrame:
+    """P8 + P9: rows of one show and one character name, case-insensitive
+    (no trimming), on any table with ``show_key`` and ``character_key``."""
+    return df.where((F.col("show_key") == show_key) & (F.col("character_key") == name.lower()))
+
+
+def character_lookup(requests: DataFrame, types: DataFrame) -> DataFrame:
+    """P16 + P17: (request_id, show_key, character) requests joined to the
+    predicted types; ``success`` and an ``error`` text for unknown names."""
+    req = requests.withColumn("character_key", character_key())
+    out = req.join(types, ["show_key", "character_key"], "left")
+    ok = F.col("mbti").isNotNull()
+    return out.select(
+        "request_id", "show_key", "character", ok.alias("success"),
+        F.when(~ok, F.concat(F.lit("No dialogue found for "), F.col("character"), F.lit(" in "),
+                             F.col("show_key"))).alias("error"),
+        "mbti", *[f"p_{d}" for d, _, _ in DIMENSIONS], "n_lines",
+    )
+
+
+def probability_map(types: DataFrame) -> DataFrame:
+    """T36 + L8: per-axis probabilities as MAP<axis, MAP<letter, p>> and the
+    letters of each axis ordered by probability (ties keep label 1 first)."""
+    entries = []
+    order = []
+    for dim, pos, neg in DIMENSIONS:
+        p1 = F.col(f"p_{dim}")
+        entries += [F.lit(dim), F.create_map(F.lit(neg), F.lit(1.0) - p1, F.lit(pos), p1)]
+        order.append(F.when(p1 >= 0.5, F.lit(pos + neg)).otherwise(F.lit(neg + pos)))
+    return types.withColumn("probabilities", F.create_map(*entries)) \
+        .withColumn("letters_by_probability", F.array(*order))

@@ -21,6 +21,7 @@ Plan shape for a query table ``Q`` (query_id, query):
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,7 +38,7 @@ from ..functions.wordlists import (
     DEFAULT_TITLE_WEIGHT,
     DEFAULT_TOP_K,
 )
-from ..session import MAX_BROADCAST_ROWS, bounded_broadcast, checked_broadcast
+from ..session import MAX_BROADCAST_ROWS, bounded_broadcast, checked_broadcast, materialize
 from .index import DOC_KEYS, CorpusIndex
 
 RESULT_COLUMNS = ["season", "episode", "episode_title", "relevance_score", "snippet_highlight"]
@@ -55,6 +56,12 @@ def query_table(spark: SparkSession, queries) -> DataFrame:
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
+    """Parsed queries, computed once (checkpointed): several consumers read
+    them and the expressions are large to compile."""
+    return materialize(_prepare(queries))
+
+
+def _prepare(queries: DataFrame) -> DataFrame:
     return queries.select(
         "query_id",
         "query",
@@ -65,6 +72,39 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     )
 
 
+@dataclass
+class QueryBounds:
+    """Upper bounds on the query-side tables (they decide broadcasts)."""
+    queries: int
+    parts: int
+    tokens: int
+
+
+def query_bounds(prepared: DataFrame, literal: list[str] | None = None) -> QueryBounds:
+    """From the strings themselves for literal queries (parts <= separators + 1,
+    tokens <= characters + 1), else one aggregate job over the query table."""
+    if literal is not None:
+        return QueryBounds(
+            len(literal),
+            sum(max(q.count("&"), q.count("/")) + 1 for q in literal),
+            sum(len(q) + 1 for q in literal),
+        )
+    r = prepared.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.size("parts") + 1).alias("p"),
+        F.sum(F.size("qtokens")).alias("t"),
+    ).first()
+    return QueryBounds(int(r["n"] or 0), int(r["p"] or 0), int(r["t"] or 0))
+
+
+def _literal(queries) -> list[str] | None:
+    if isinstance(queries, str):
+        return [queries]
+    if isinstance(queries, (list, tuple)):
+        return list(queries)
+    return None
+
+
 def _searchable_text(lines: DataFrame) -> Column:
     """Lower-cased line text; the last line of a document carries `` title``."""
     tail = F.when(F.col("is_last"), F.concat(F.lit(" "), F.coalesce(F.col("episode_title"), F.lit(""))))
@@ -72,7 +112,7 @@ def _searchable_text(lines: DataFrame) -> Column:
 
 
 def contains_join(left: DataFrame, text_col: str, parts: DataFrame, part_col: str,
-                  max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+                  max_rows: int = MAX_BROADCAST_ROWS, bound: int | None = None) -> DataFrame:
     """``left ⋈ parts ON contains(left.text, parts.part)`` with a bounded broadcast.
 
     No equi-key exists for substring containment, so each side of bounded size
@@ -81,7 +121,10 @@ def contains_join(left: DataFrame, text_col: str, parts: DataFrame, part_col: st
     all its columns, and the chunk joins are unioned.
     """
     cond = F.contains(F.col(text_col), F.col(part_col))
-    side, ok = checked_broadcast(parts, max_rows)
+    if bound is not None:
+        side, ok = bounded_broadcast(parts, bound, max_rows)
+    else:
+        side, ok = checked_broadcast(parts, max_rows)
     if ok:
         return left.join(side, cond)
     n = parts.count()
@@ -142,7 +185,7 @@ def part_hits(text: DataFrame, key_cols: list[str], qp: DataFrame, n_parts_bound
     matches every text and keeps the ``contains`` path.
     """
     if n_parts_bound <= AC_MIN_PARTS:
-        return contains_join(text, "_text", qp, "part")
+        return contains_join(text, "_text", qp, "part", bound=n_parts_bound)
     distinct = sorted(r[0] for r in qp.select("part").where(F.col("part") != "").distinct().collect())
     spark = qp.sparkSession
     ids = spark.createDataFrame(list(enumerate(distinct)), "pid int, part string")
@@ -154,14 +197,14 @@ def part_hits(text: DataFrame, key_cols: list[str], qp: DataFrame, n_parts_bound
         piece = hits.join(qp_ids, "pid").drop("pid", "part")
         out = piece if out is None else out.unionByName(piece)
     empty = qp.where(F.col("part") == "")
-    empty_hits = contains_join(text, "_text", empty, "part").drop("_text", "part")
+    empty_hits = contains_join(text, "_text", empty, "part", bound=n_parts_bound).drop("_text", "part")
     cols = [*key_cols, "query_id", "qtype", "n_parts", "part_idx"]
     if out is None:
         return empty_hits.select(*cols)
     return out.select(*cols).unionByName(empty_hits.select(*cols))
 
 
-def matched_documents(lines: DataFrame, prepared: DataFrame, n_queries: int | None = None) -> DataFrame:
+def matched_documents(lines: DataFrame, prepared: DataFrame, bounds: QueryBounds | None = None) -> DataFrame:
     """(query_id, document keys) of documents matching each query."""
     # An AND without parts matches everything: the empty string is in every text.
     match_parts = F.when((F.col("qtype") == "and") & (F.size("parts") == 0), F.array(F.lit(""))) \
@@ -170,12 +213,16 @@ def matched_documents(lines: DataFrame, prepared: DataFrame, n_queries: int | No
         "query_id", "qtype", F.size(match_parts).alias("n_parts"),
         F.posexplode(match_parts).alias("part_idx", "part"),
     )
-    n_parts = qp.count()
+    n_parts = bounds.parts if bounds is not None else qp.count()
     text = lines.select(*DOC_KEYS, _searchable_text(lines).alias("_text"))
     hits = part_hits(text, DOC_KEYS, qp, n_parts)
-    per_doc = hits.groupBy("query_id", "qtype", "n_parts", *DOC_KEYS).agg(
-        F.countDistinct("part_idx").alias("n_hit")
-    )
+    keys = ["query_id", "qtype", "n_parts", *DOC_KEYS]
+    if n_parts <= 63:
+        # every query has at most 63 parts: one partial-aggregated OR of bits
+        mask = F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), part_idx)"))
+        per_doc = hits.groupBy(*keys).agg(F.bit_count(mask).cast("int").alias("n_hit"))
+    else:
+        per_doc = hits.groupBy(*keys).agg(F.countDistinct("part_idx").alias("n_hit"))
     ok = F.when(F.col("qtype") == "and", F.col("n_hit") == F.col("n_parts")).otherwise(F.col("n_hit") >= 1)
     return per_doc.where(ok).select("query_id", *DOC_KEYS)
 
@@ -190,7 +237,8 @@ def query_terms(prepared: DataFrame) -> DataFrame:
 
 
 def bm25_scores(index: CorpusIndex, prepared: DataFrame, title_weight: float = DEFAULT_TITLE_WEIGHT,
-                k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON) -> DataFrame:
+                k1: float = BM25_K1, b: float = BM25_B, epsilon: float = BM25_EPSILON,
+                bounds: QueryBounds | None = None) -> DataFrame:
     """Okapi BM25 of every document holding a query term.
 
     Returns (query_id, document keys, bm25). Documents without any query term
@@ -198,7 +246,10 @@ def bm25_scores(index: CorpusIndex, prepared: DataFrame, title_weight: float = D
     """
     w = max(int(title_weight), 0)
     qterms = query_terms(prepared)
-    qterms_b, _ = checked_broadcast(qterms)
+    bounds = bounds or query_bounds(prepared)
+    n_shows = index.shows()
+    # query terms: at most ``tokens`` rows; their statistics at most one per show
+    qterms_b, _ = bounded_broadcast(qterms, bounds.tokens)
     tf = F.col("tf_body") + F.lit(w) * F.col("tf_title")
     dl = F.col("len_body") + F.lit(w) * F.col("len_title")
     hits = (
@@ -206,7 +257,7 @@ def bm25_scores(index: CorpusIndex, prepared: DataFrame, title_weight: float = D
         .select("query_id", *DOC_KEYS, "term", "qtf", tf.alias("tf"), dl.alias("dl"))
         .where(F.col("tf") > 0)
     )
-    terms_b, _ = checked_broadcast(qterms.select("term").distinct())
+    terms_b, _ = bounded_broadcast(qterms.select("term").distinct(), bounds.tokens)
     df_col = F.col("df_any") if w > 0 else F.col("df_body")
     mean_col = F.col("mean_idf_any") if w > 0 else F.col("mean_idf_body")
     n = F.col("n_docs")
@@ -223,7 +274,7 @@ def bm25_scores(index: CorpusIndex, prepared: DataFrame, title_weight: float = D
             ((F.col("sum_len_body") + F.lit(w) * F.col("sum_len_title")) / n).alias("avgdl"),
         )
     )
-    stats_b, _ = checked_broadcast(stats)
+    stats_b, _ = bounded_broadcast(stats, bounds.tokens * n_shows)
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * (F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm))
     return (
@@ -234,11 +285,12 @@ def bm25_scores(index: CorpusIndex, prepared: DataFrame, title_weight: float = D
 
 
 def ranked_matches(index: CorpusIndex, prepared: DataFrame,
-                   title_weight: float = DEFAULT_TITLE_WEIGHT) -> DataFrame:
+                   title_weight: float = DEFAULT_TITLE_WEIGHT, bounds: QueryBounds | None = None) -> DataFrame:
     """Every matched document with its BM25, title boost and relevance (M2 before top-k)."""
-    matched = matched_documents(index.lines, prepared)
-    scores = bm25_scores(index, prepared, title_weight)
-    dparts_b, _ = checked_broadcast(prepared.select("query_id", "dparts"))
+    bounds = bounds or query_bounds(prepared)
+    matched = matched_documents(index.lines, prepared, bounds)
+    scores = bm25_scores(index, prepared, title_weight, bounds=bounds)
+    dparts_b, _ = bounded_broadcast(prepared.select("query_id", "dparts"), bounds.queries)
     boost = title_hits("episode_title", "dparts") * F.lit(2.0 * float(title_weight))
     return (
         matched.join(scores, ["query_id", *DOC_KEYS], "left")
@@ -284,6 +336,8 @@ def document_snippets(lines: DataFrame, docs: DataFrame,
         F.filter(F.transform(F.split(F.coalesce("dialogue", F.lit("")), LINE_BREAKS), py_strip),
                  lambda s: s != "").alias("pl"),
     )
+    # lines of the selected documents only; both passes below read them
+    rows = materialize(rows)
     low_hit = lambda s: F.exists("dparts", lambda p: F.contains(F.lower(s), p))
     sentences = F.filter(F.transform(F.split(F.coalesce("dialogue", F.lit("")), SENTENCE_END), py_strip),
                          lambda s: s != "")
@@ -334,21 +388,34 @@ def document_snippets(lines: DataFrame, docs: DataFrame,
     return first.join(around, doc_cols, "left").select(*doc_cols, snippet.alias("snippet"))
 
 
+def for_shows(index: CorpusIndex, show_keys) -> CorpusIndex:
+    """The index restricted to some shows. ``show_key`` is the partition
+    column of the written line table, so the scans prune whole folders."""
+    keys = [show_keys] if isinstance(show_keys, str) else list(show_keys)
+    cond = F.col("show_key").isin(keys)
+    return CorpusIndex(index.postings.where(cond), index.doc_len.where(cond), index.term_stats.where(cond),
+                       index.show_stats.where(cond), index.lines.where(cond), len(keys))
+
+
 def search(spark: SparkSession, index: CorpusIndex, queries, top_k_n: int = DEFAULT_TOP_K,
            title_weight: float = DEFAULT_TITLE_WEIGHT, per_show: bool = True,
-           max_len: int = DEFAULT_SNIPPET_CHARS) -> DataFrame:
+           max_len: int = DEFAULT_SNIPPET_CHARS, show_keys=None) -> DataFrame:
     """M2 (per show, every show in one job) over a query table.
 
     Result: query_id, query, show_key, season, episode, episode_title,
     relevance_score, snippet_highlight, rank (1-based within the group).
     """
+    if show_keys is not None:
+        index = for_shows(index, show_keys)
     qtable = query_table(spark, queries)
-    n_queries = qtable.count()
-    n_shows = index.show_stats.count()
     prepared = prepare_queries(qtable)
-    ranked = ranked_matches(index, prepared, title_weight)
+    bounds = query_bounds(prepared, _literal(queries))
+    n_queries = bounds.queries
+    n_shows = index.shows()
+    ranked = ranked_matches(index, prepared, title_weight, bounds)
     groups = ["query_id", "show_key"] if per_show else ["query_id"]
-    top = top_k(ranked, groups, search_order(), top_k_n)
+    # at most k rows per (query, show); computed once, read by every consumer
+    top = materialize(top_k(ranked, groups, search_order(), top_k_n))
     dparts_b, _ = bounded_broadcast(prepared.select("query_id", "query", "dparts"), n_queries)
     with_parts = top.join(dparts_b, "query_id")
     # top-k rows: at most k per (query, show)

@@ -33,6 +33,15 @@ def cosine(a, b, norm_a=None, norm_b=None) -> Column:
     return dot(a, b) / (na * nb)
 
 
+def materialize_vectors(spark, vectors: DataFrame, path: str | None = None) -> DataFrame:
+    """Line vectors with their norms, written once partitioned by character."""
+    from ..session import new_table_path
+
+    path = path or new_table_path(spark, "line-vectors")
+    vectors.withColumn("norm", norm("embedding")).write.mode("overwrite").partitionBy("character").parquet(path)
+    return spark.read.parquet(path)
+
+
 def centroid_requests(vectors: DataFrame, dim_hint: int | None = None) -> DataFrame:
     """One request per character: the mean of its line vectors.
 

@@ -27,11 +27,14 @@ from ..operators.search import (
     document_snippets,
     matched_documents,
     prepare_queries,
+    query_bounds,
     query_table,
     search,
     search_all_shows,
     top_k,
 )
+from ..session import materialize, new_table_path
+from ..streaming.ingest import ingest_line_files, read_line_table
 from ..sources import adapters
 from ..sources.dialogue import ingest_csv_sources, write_csv_sources
 
@@ -102,6 +105,17 @@ def q_union_sources(spark, sf_dir):
     return lines
 
 
+def q_streamed_lines(spark, sf_dir):
+    """The dialogue lines written as files and ingested by the file stream
+    twice (the second run finds nothing new)."""
+    src = new_table_path(spark, "line-files")
+    dialogue(spark, sf_dir).write.parquet(src)
+    table, ckpt = new_table_path(spark, "line-table"), new_table_path(spark, "line-ingest")
+    ingest_line_files(spark, src, table, ckpt)
+    ingest_line_files(spark, src, table, ckpt)
+    return read_line_table(spark, table).select(*adapters.LINE_COLUMNS)
+
+
 def q_index_roundtrip(spark, sf_dir):
     idx = corpus_index(spark, sf_dir, "documents")
     return idx.postings.groupBy("show_key").agg(
@@ -178,7 +192,8 @@ def q_query_parse(spark, sf_dir):
 
 def _match(spark, sf_dir, query):
     prepared = prepare_queries(query_table(spark, [query]))
-    return matched_documents(documents(spark, sf_dir), prepared).select("query_id", "show_key", "episode")
+    bounds = query_bounds(prepared, [query])
+    return matched_documents(documents(spark, sf_dir), prepared, bounds).select("query_id", "show_key", "episode")
 
 
 def q_match_phrase(spark, sf_dir):
@@ -218,7 +233,8 @@ def q_postings_top(spark, sf_dir):
 def q_bm25_scores(spark, sf_dir):
     idx = corpus_index(spark, sf_dir, "documents")
     prepared = prepare_queries(query_table(spark, DOC_QUERIES))
-    return bm25_scores(idx, prepared, DEFAULT_TITLE_WEIGHT).select(
+    bounds = query_bounds(prepared, DOC_QUERIES)
+    return bm25_scores(idx, prepared, DEFAULT_TITLE_WEIGHT, bounds=bounds).select(
         "query_id", "show_key", "episode", F.round("bm25", 6).alias("bm25"))
 
 
@@ -325,7 +341,7 @@ def q_quote_scores(spark, sf_dir):
 
 def q_character_moments(spark, sf_dir):
     lines = dialogue(spark, sf_dir)
-    types = P.character_types(lines, trait_model(spark, sf_dir))
+    types = materialize(P.character_types(lines, trait_model(spark, sf_dir)))
     return P.character_moments(lines, MOMENT_QUERY, DEFAULT_TOP_K, types)
 
 
@@ -359,6 +375,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "alias_resolution": q_alias_resolution,
     "episode_documents": q_episode_documents,
     "union_sources": q_union_sources,
+    "streamed_lines": q_streamed_lines,
     "index_roundtrip": q_index_roundtrip,
     "line_context": q_line_context,
     "character_line_counts": q_character_line_counts,

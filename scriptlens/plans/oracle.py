@@ -287,6 +287,9 @@ def all_sql() -> dict[str, str]:
            CAST(row_number() OVER (PARTITION BY show_key ORDER BY line_no) - 1 AS BIGINT) AS line_no,
            character, dialogue FROM lines"""
 
+    out["streamed_lines"] = f"""{_with(dl)}
+    SELECT show_key, season, episode, episode_title, line_no, character, dialogue FROM lines"""
+
     out["index_roundtrip"] = f"""{_with(dc, _docs_cte(), bm25_ctes(TW))},
     sep AS (SELECT {DOC_KEYS}, unnest({S.search_tokens('body')}) AS term, 1 AS b, 0 AS t FROM docs
             UNION ALL SELECT {DOC_KEYS}, unnest({S.search_tokens('episode_title')}), 0, 1 FROM docs),

@@ -56,6 +56,14 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scriptlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in
+    the shared checkpoint folder (survives executor loss; never a local
+    checkpoint). Used where one intermediate feeds several consumers."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition when a scan yields fewer partitions than the
     cluster's parallelism (e.g. a file with one row group), so CPU-heavy text
