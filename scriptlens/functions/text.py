@@ -60,10 +60,11 @@ def truncate_chars(c, n: int) -> Column:
 def normalize_search(c) -> Column:
     t = F.coalesce(_col(c).cast("string"), F.lit(""))
     t = F.regexp_replace(t, URL_PATTERN, "")                 # T1
-    t = F.translate(t, "|", " ")                             # T2
     t = F.lower(t)                                           # T3
-    t = F.regexp_replace(t, "[^a-z" + WS_CHARS + "]", " ")   # T4 + T5
-    t = F.trim(F.regexp_replace(t, WS + "+", " "))           # T6
+    # T2 + T4 + T5 + T6 in one pass: "|", punctuation and every other
+    # character outside a-z become blanks and whitespace runs collapse, so each
+    # maximal run of characters outside a-z ends up as one blank.
+    t = F.trim(F.regexp_replace(t, "[^a-z]+", " "))
     t = F.regexp_replace(t, REPEATED_LETTERS, "$1$1")        # T7
     t = F.regexp_replace(t, LONG_WORD_SEARCH, " ")           # T8
     return t
@@ -133,13 +134,15 @@ def normalize_baseline(c, remove_type_words: bool = False) -> Column:
     t = F.regexp_replace(F.concat(t, F.lit(" ")), r"\?", " EOSTokenQuest ")
     t = F.regexp_replace(F.concat(t, F.lit(" ")), "!", " EOSTokenExs ")
     t = F.lower(t)
-    t = F.regexp_replace(t, "[^a-z" + WS_CHARS + "]", " ")
+    # punctuation and non-letters to blanks; from here on only a-z and blanks
+    # remain, so word boundaries are plain ASCII ones and tokens split on " "
+    t = F.regexp_replace(t, "[^a-z]+", " ")
     t = F.regexp_replace(t, REPEATED_LETTERS, "$1$1")
-    t = F.regexp_replace(t, word_bounded("", "{30,1000}"), " ")
+    t = F.regexp_replace(t, r"\b[a-z]{30,1000}\b", " ")
     if remove_type_words:
-        t = F.regexp_replace(t, word_bounded("|".join(TYPE_WORDS)), " ")
+        t = F.regexp_replace(t, r"\b(?:" + "|".join(TYPE_WORDS) + r")\b", " ")
     words = lower_distinct(STOP_WORDS + CLASSIFIER_NAMES)                 # T24 + T25
-    return _drop_tokens(t, words)
+    return F.array_join(F.filter(F.split(t, " "), lambda w: (w != "") & ~w.isin(words)), " ")
 
 
 # ---------------------------------------------------------------------------

@@ -73,7 +73,8 @@ def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list, bucket:
     if n_groups_bound is not None:
         offsets_side, _ = bounded_broadcast(offsets, n_groups_bound * n_buckets)
     else:
-        offsets_side, _ = checked_broadcast(offsets)
+        # groups x buckets rows: written once, then counted cheaply
+        offsets_side, _ = checked_broadcast(materialize(offsets))
     inner = Window.partitionBy(*group_cols, "_bucket").orderBy(*order_cols)
     return (
         d.join(offsets_side, [*group_cols, "_bucket"])

@@ -40,9 +40,10 @@ class TraitModel:
 
 def train_trait_model(posts: DataFrame, split: DataFrame | None = None) -> tuple[TraitModel, DataFrame]:
     """M7 (re-aimed): NB heads on the training rows. Returns (model, split)."""
-    split = split if split is not None else C.stratified_split(posts)
+    split = materialize(split if split is not None else C.stratified_split(posts))
     texts = posts.select("row_id", normalize_classifier("posts", True).alias("text"))
-    counts = C.term_counts(texts, "row_id", "text")
+    # token counts feed the vocabulary and the weights: normalise once
+    counts = materialize(C.term_counts(texts, "row_id", "text"))
     train_ids = split.where(F.col("split") == "train").select("row_id")
     n_train = train_ids.count()
     vocab = C.fit_tfidf(counts.join(train_ids, "row_id"), n_train)

@@ -78,23 +78,23 @@ class QueryBounds:
     queries: int
     parts: int
     tokens: int
+    max_parts: int = 1 << 30
 
 
 def query_bounds(prepared: DataFrame, literal: list[str] | None = None) -> QueryBounds:
     """From the strings themselves for literal queries (parts <= separators + 1,
     tokens <= characters + 1), else one aggregate job over the query table."""
     if literal is not None:
-        return QueryBounds(
-            len(literal),
-            sum(max(q.count("&"), q.count("/")) + 1 for q in literal),
-            sum(len(q) + 1 for q in literal),
-        )
+        per_query = [max(q.count("&"), q.count("/")) + 1 for q in literal]
+        return QueryBounds(len(literal), sum(per_query), sum(len(q) + 1 for q in literal),
+                           max(per_query, default=0))
     r = prepared.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.size("parts") + 1).alias("p"),
         F.sum(F.size("qtokens")).alias("t"),
+        F.max(F.size("parts") + 1).alias("m"),
     ).first()
-    return QueryBounds(int(r["n"] or 0), int(r["p"] or 0), int(r["t"] or 0))
+    return QueryBounds(int(r["n"] or 0), int(r["p"] or 0), int(r["t"] or 0), int(r["m"] or 0))
 
 
 def _literal(queries) -> list[str] | None:
@@ -214,10 +214,11 @@ def matched_documents(lines: DataFrame, prepared: DataFrame, bounds: QueryBounds
         F.posexplode(match_parts).alias("part_idx", "part"),
     )
     n_parts = bounds.parts if bounds is not None else qp.count()
+    max_parts = bounds.max_parts if bounds is not None else n_parts
     text = lines.select(*DOC_KEYS, _searchable_text(lines).alias("_text"))
     hits = part_hits(text, DOC_KEYS, qp, n_parts)
     keys = ["query_id", "qtype", "n_parts", *DOC_KEYS]
-    if n_parts <= 63:
+    if max_parts <= 63:
         # every query has at most 63 parts: one partial-aggregated OR of bits
         mask = F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), part_idx)"))
         per_doc = hits.groupBy(*keys).agg(F.bit_count(mask).cast("int").alias("n_hit"))

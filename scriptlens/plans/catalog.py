@@ -210,7 +210,8 @@ def q_match_or(spark, sf_dir):
 
 def q_match_batch(spark, sf_dir):
     prepared = prepare_queries(_title_queries(spark, sf_dir))
-    return matched_documents(documents(spark, sf_dir), prepared).select("query_id", "show_key", "episode")
+    bounds = query_bounds(prepared)
+    return matched_documents(documents(spark, sf_dir), prepared, bounds).select("query_id", "show_key", "episode")
 
 
 # ---------------------------------------------------------------------------
@@ -285,7 +286,7 @@ def q_stratified_folds(spark, sf_dir):
 def _baseline_features(spark, sf_dir):
     posts = adapters.posts(spark, sf_dir)
     texts = posts.select("row_id", normalize_baseline("posts", True).alias("text"))
-    counts = C.term_counts(texts, "row_id", "text")
+    counts = materialize(C.term_counts(texts, "row_id", "text"))
     vocab = C.fit_tfidf(counts, posts.count())
     return posts, vocab, C.tfidf_weights(counts, vocab, "row_id")
 

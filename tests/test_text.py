@@ -52,7 +52,10 @@ def test_normalize_null_number_empty(spark):
 
 def test_normalize_repeats_and_long_words(one):
     assert one(normalize_search, "Sooooo goooood") == "soo good"
-    assert one(normalize_search, "x " + "a" * 10 + "b" * 25 + " y").split() == ["x", "y"]
+    # repeated letters are reduced before long words are dropped
+    assert one(normalize_search, "x " + "a" * 10 + "b" * 25 + " y").split() == ["x", "aabb", "y"]
+    assert one(normalize_search, "x " + "abcdefghij" * 3 + " y").split() == ["x", "y"]
+    assert one(normalize_search, "x " + "abcdefghi" * 3 + " y").split() == ["x", "abcdefghi" * 3, "y"]
 
 
 def test_tokens_drop_stop_words_and_names(one):
