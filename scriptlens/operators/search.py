@@ -137,6 +137,8 @@ def contains_join(left: DataFrame, text_col: str, parts: DataFrame, part_col: st
     return out
 
 
+# Query sets with at most this many tokens push their terms into the index scans.
+PUSHDOWN_MAX_TERMS = 1000
 # Above this many distinct parts, texts are scanned once for all parts with an
 # Aho-Corasick automaton instead of one ``contains`` per (text, part) pair.
 AC_MIN_PARTS = 16
@@ -249,12 +251,20 @@ def bm25_scores(index: CorpusIndex, prepared: DataFrame, title_weight: float = D
     qterms = query_terms(prepared)
     bounds = bounds or query_bounds(prepared)
     n_shows = index.shows()
+    postings, term_stats = index.postings, index.term_stats
+    if bounds.tokens <= PUSHDOWN_MAX_TERMS:
+        # few distinct terms: read them from the (checkpointed, tiny) query
+        # table and push ``term IN (...)`` into both scans; the term-sorted
+        # index files then skip every row group without a query term
+        terms = sorted({r[0] for r in qterms.select("term").distinct().collect()})
+        postings = postings.where(F.col("term").isin(terms))
+        term_stats = term_stats.where(F.col("term").isin(terms))
     # query terms: at most ``tokens`` rows; their statistics at most one per show
     qterms_b, _ = bounded_broadcast(qterms, bounds.tokens)
     tf = F.col("tf_body") + F.lit(w) * F.col("tf_title")
     dl = F.col("len_body") + F.lit(w) * F.col("len_title")
     hits = (
-        index.postings.join(qterms_b, "term")
+        postings.join(qterms_b, "term")
         .select("query_id", *DOC_KEYS, "term", "qtf", tf.alias("tf"), dl.alias("dl"))
         .where(F.col("tf") > 0)
     )
@@ -264,7 +274,7 @@ def bm25_scores(index: CorpusIndex, prepared: DataFrame, title_weight: float = D
     n = F.col("n_docs")
     idf_raw = F.log(n - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))
     stats = (
-        index.term_stats.join(terms_b, "term")
+        term_stats.join(terms_b, "term")
         .select("show_key", "term", df_col.alias("df"))
         .where(F.col("df") > 0)
         .join(index.show_stats, "show_key")

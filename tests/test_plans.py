@@ -36,3 +36,14 @@ def test_index_lookup_pushes_term_filter(spark):
         assert "In(term, [ertion,ouen])" in plan(df)
     finally:
         spark.conf.unset("spark.sql.maxMetadataStringLength")
+
+
+def test_bm25_pushes_query_terms_into_postings_scan(spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    try:
+        df = catalog.q_bm25_scores(spark, SF001)
+        p = plan(df)
+        assert "In(term, [" in p
+        assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
