@@ -12,11 +12,11 @@ columns and pushes filters into the scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.snippet import physical_lines
-from ..functions.text import first_words
+from ..functions.text import first_words, py_strip
+from ..functions.wordlists import WS
 from ..session import spread
 
 LINE_COLUMNS = ["show_key", "season", "episode", "episode_title", "line_no", "character", "dialogue"]
@@ -34,6 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+def first_line(c) -> Column:
+    """First non-blank line, stripped (same as the first of ``physical_lines``):
+    drop leading blanks and line breaks, keep up to the next line break."""
+    head = F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "^" + WS + "+", "")
+    return py_strip(F.regexp_extract(head, "^[^\\r\\n]*", 0))
+
+
 def dialogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     # Title of a conversation: first three words of its first turn. A grouped
@@ -60,8 +67,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("show_key"),
         F.lit(0).cast("int").alias("season"),
         F.col("doc_id").alias("episode"),
-        F.coalesce(F.substring(F.get(physical_lines("text"), 0), 1, TITLE_CHARS), F.lit(""))
-        .alias("episode_title"),
+        F.substring(first_line("text"), 1, TITLE_CHARS).alias("episode_title"),
         F.col("doc_id").alias("line_no"),
         F.col("source").alias("character"),
         F.col("text").alias("dialogue"),
