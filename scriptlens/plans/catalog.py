@@ -143,7 +143,7 @@ def q_first_characters(spark, sf_dir):
 
 
 def q_eligible_characters(spark, sf_dir):
-    return D.eligible_characters(adapters.line_vectors(spark, sf_dir), STYLE_MIN_LINES)
+    return D.eligible_characters(line_vectors(spark, sf_dir), STYLE_MIN_LINES)
 
 
 def q_character_documents(spark, sf_dir):
@@ -352,8 +352,16 @@ def q_search_with_characters(spark, sf_dir):
     return P.characters_in_results(dialogue(spark, sf_dir), trait_model(spark, sf_dir), results, 2)
 
 
+def line_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line vectors written once per session, partitioned by character."""
+    key = _key(spark, sf_dir, "vectors")
+    if key not in _CACHE:
+        _CACHE[key] = V.materialize_vectors(spark, adapters.line_vectors(spark, sf_dir)).drop("norm")
+    return _CACHE[key]
+
+
 def _style_inputs(spark, sf_dir):
-    vecs = adapters.line_vectors(spark, sf_dir)
+    vecs = line_vectors(spark, sf_dir)
     eligible = D.eligible_characters(vecs, STYLE_MIN_LINES).select("character")
     corpus = vecs.dropna(subset=["character", "dialogue"]).where(F.length("dialogue") > 5) \
         .join(eligible, "character", "left_semi")

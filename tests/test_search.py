@@ -103,3 +103,13 @@ def test_many_parts_use_automaton_path(spark, sample_episode_lines):
     assert n_or == 3
     q_and = "&".join(["coffee"] * 17)
     assert search(spark, idx, [q_and], 10).count() == 2
+
+
+def test_show_filter_prunes_to_one_show(spark, sample_episode_lines):
+    other = sample_episode_lines.selectExpr("'tbbt' as show_key", "season", "episode", "episode_title",
+                                            "line_no", "character", "dialogue")
+    idx = materialize_index(spark, sample_episode_lines.unionByName(other))
+    out = search(spark, idx, ["coffee"], show_keys="tbbt").collect()
+    assert {r.show_key for r in out} == {"tbbt"} and len(out) == 2
+    # statistics are per show, so the scores equal the single-show ones
+    assert sorted(r.relevance_score for r in out) == [pytest.approx(0.111748), pytest.approx(4.190182)]
