@@ -19,7 +19,6 @@ from .wordlists import (
     TYPE_WORDS,
     WORD,
     WS,
-    WS_CHARS,
     lower_distinct,
 )
 

@@ -11,8 +11,6 @@ bucket (``ordered_rank``), not from a window over the whole class.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,12 +160,6 @@ def stratified_folds(labels: DataFrame, id_col: str = "row_id", folds: int = CV_
 # ---------------------------------------------------------------------------
 # TF-IDF (M4)
 # ---------------------------------------------------------------------------
-@dataclass
-class Tfidf:
-    vocab: DataFrame      # term, idf   (<= max_features rows)
-    n_docs: int | None = None
-
-
 def term_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, cnt) for the vectoriser tokens of each text."""
     return (
