@@ -176,6 +176,14 @@ def _ac_scan(text: DataFrame, key_cols: list[str], parts: list[str]) -> DataFram
     return text.mapInPandas(scan, schema)
 
 
+def _have_automaton() -> bool:
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return False
+    return True
+
+
 def part_hits(text: DataFrame, key_cols: list[str], qp: DataFrame, n_parts_bound: int) -> DataFrame:
     """(key_cols..., query_id, qtype, n_parts, part_idx) for every text holding a part.
 
@@ -186,7 +194,7 @@ def part_hits(text: DataFrame, key_cols: list[str], qp: DataFrame, n_parts_bound
     (an equi-join). The empty part (an empty phrase, an AND without parts)
     matches every text and keeps the ``contains`` path.
     """
-    if n_parts_bound <= AC_MIN_PARTS:
+    if n_parts_bound <= AC_MIN_PARTS or not _have_automaton():
         return contains_join(text, "_text", qp, "part", bound=n_parts_bound)
     distinct = sorted(r[0] for r in qp.select("part").where(F.col("part") != "").distinct().collect())
     spark = qp.sparkSession

@@ -18,13 +18,21 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("SCRIPTLENS_SHUFFLE_PARTITIONS", "16"))
+    local = (master or "").startswith("local")
+    if shuffle_partitions or local:
+        # local runs: a few partitions per core; on a cluster the cluster's
+        # setting stays and AQE coalesces small partitions after each shuffle
+        parts = shuffle_partitions or int(os.environ.get("SCRIPTLENS_SHUFFLE_PARTITIONS", "16"))
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
+    else:
+        # cluster: coalesce post-shuffle partitions towards 128 MB each
+        builder = (builder.config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+                   .config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false"))
     builder = (
         builder.config("spark.ui.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SCRIPTLENS_DRIVER_MEMORY", "16g"))
