@@ -204,7 +204,9 @@ def part_hits(text: DataFrame, key_cols: list[str], qp: DataFrame, n_parts_bound
     for start in range(0, len(distinct), AC_MAX_PARTS):
         chunk = distinct[start:start + AC_MAX_PARTS]
         hits = _ac_scan(text, key_cols, chunk).withColumn("pid", F.col("pid") + F.lit(start))
-        piece = hits.join(qp_ids, "pid").drop("pid", "part")
+        # one row per (document, part) before fanning out to the queries that
+        # use the part (lines of one document often repeat a part)
+        piece = hits.distinct().join(qp_ids, "pid").drop("pid", "part")
         out = piece if out is None else out.unionByName(piece)
     empty = qp.where(F.col("part") == "")
     empty_hits = contains_join(text, "_text", empty, "part", bound=n_parts_bound).drop("_text", "part")
