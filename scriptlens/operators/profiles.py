@@ -92,7 +92,8 @@ def character_types(lines: DataFrame, model: TraitModel, max_words: int = MAX_IN
 
     Characters whose text is empty after normalisation get no prediction.
     """
-    texts = character_texts(lines, max_words).where(F.col("text") != "").withColumn("cid", _cid())
+    # one row per character, read by the scorer and by the output join
+    texts = materialize(character_texts(lines, max_words).where(F.col("text") != "").withColumn("cid", _cid()))
     scored = score_texts(model, texts.select("cid", "text"), "cid", "text")
     return texts.join(scored, "cid").select(
         "show_key", "character_key", "n_lines",
