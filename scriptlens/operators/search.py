@@ -3,19 +3,24 @@
 Plan shape for a query table ``Q`` (query_id, query):
 
 1. ``prepare_queries``: parse type / parts / display parts / ranking tokens as
-   column expressions (P7, T12, T14, T26).
-2. ``matched_documents``: lines ⋈ parts on ``contains`` (a theta join). The
-   parts side is broadcast only behind a row-count check; above it the parts
-   are split into bounded chunks, each a broadcast join (block nested loop).
-   Per (query, document) the distinct hit parts are counted with partial
-   aggregation, so a document with very many lines is spread over tasks.
-3. ``bm25_scores``: postings ⋈ broadcast(query terms), per-show statistics
-   ⋈ broadcast, grouped sum (M1). The index is independent of the title
-   weight.
+   column expressions (P7, T12, T14, T26); checkpointed once (tiny, read by
+   every later step). ``query_bounds`` gives the sizes that decide broadcasts
+   (from the strings themselves for literal queries).
+2. ``matched_documents``: lines ⋈ parts on ``contains``. Few parts: a
+   broadcast nested-loop join over the bounded parts. Many parts: one
+   Aho-Corasick pass per text (``mapInPandas``), hits de-duplicated per
+   (document, part) and joined back to the queries on a part id. Per (query,
+   document) the hit parts are counted with partial aggregation (a bitmask
+   ``bit_or`` when queries have at most 63 parts), so a document with very
+   many lines is spread over tasks.
+3. ``bm25_scores``: postings ⋈ broadcast(query terms) with ``term IN (...)``
+   pushed into the scans for small query sets, per-show statistics ⋈
+   broadcast, grouped sum (M1). The index is independent of the title weight.
 4. Title boost (A11, T32), top-k per query / per show with ``row_number``
-   (planned as ``WindowGroupLimit``: a partial top-k before the shuffle).
+   (planned as ``WindowGroupLimit``: a partial top-k before the shuffle);
+   the top-k rows are checkpointed (bounded by k x queries x shows).
 5. Snippets and highlights for the top-k documents only: their lines are
-   fetched with a broadcast join on the (bounded) top-k keys.
+   fetched with a broadcast join on the bounded top-k keys.
 """
 
 from __future__ import annotations
