@@ -46,8 +46,9 @@ def train_trait_model(posts: DataFrame, split: DataFrame | None = None) -> tuple
     counts = materialize(C.term_counts(texts, "row_id", "text"))
     train_ids = split.where(F.col("split") == "train").select("row_id")
     n_train = train_ids.count()
-    vocab = C.fit_tfidf(counts.join(train_ids, "row_id"), n_train)
-    x = C.tfidf_weights(counts, vocab, "row_id")
+    # vocabulary (<= 1500 rows) and weights feed the grid, the sums and the sink
+    vocab = materialize(C.fit_tfidf(counts.join(train_ids, "row_id"), n_train))
+    x = materialize(C.tfidf_weights(counts, vocab, "row_id"))
     labels = C.long_labels(posts)
     logp, priors = C.fit_nb(x, labels.join(train_ids, "row_id"), vocab)
     return TraitModel(vocab, logp, priors, split), split
