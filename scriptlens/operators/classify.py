@@ -340,10 +340,24 @@ def cv_accuracy(features: DataFrame, folds: DataFrame, vocab: DataFrame, id_col:
     mv = {"model_fold": list(range(k))}
     logp, priors = fit_nb(features, train, vocab, id_col, mv, alpha)
     # a test row is scored by the model of its own fold, on its own axis only
-    rows = folds.select(id_col, F.col("fold").alias("model_fold"), F.col("dim").alias("_dim"), "label")
-    jll = nb_joint(features, rows.select(id_col, "model_fold").distinct(), logp, priors, id_col, mv)
+    test = folds.select(id_col, "dim", F.col("label").alias("y"), F.col("fold").alias("model_fold"))
+    n_classes = len(DIM_NAMES) * 2 * k
+    logp_b, _ = bounded_broadcast(logp, n_classes * TFIDF_MAX_FEATURES)
+    priors_b, _ = bounded_broadcast(priors, n_classes)
+    dot = (
+        features.join(test, id_col)
+        .join(logp_b, ["model_fold", "dim", "term"])
+        .groupBy(id_col, "model_fold", "dim", "label")
+        .agg(F.sum(F.col("x") * F.col("logp")).alias("dot"))
+    )
+    jll = (
+        test.join(priors_b, ["model_fold", "dim"])          # the classes of that model
+        .join(dot, [id_col, "model_fold", "dim", "label"], "left")
+        .select(id_col, "model_fold", "dim", "y", "label",
+                (F.col("prior") + F.coalesce("dot", F.lit(0.0))).alias("jll"))
+    )
     pred = nb_predict(jll, id_col, ["model_fold"])
-    scored = pred.join(rows, [id_col, "model_fold"]).where(F.col("dim") == F.col("_dim"))
+    scored = pred.join(test, [id_col, "model_fold", "dim"]).withColumnRenamed("y", "label")
     per_fold = scored.groupBy("dim", "model_fold").agg(
         F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc")
     )
