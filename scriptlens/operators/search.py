@@ -201,13 +201,22 @@ def part_hits(text: DataFrame, key_cols: list[str], qp: DataFrame, n_parts_bound
     """
     if n_parts_bound <= AC_MIN_PARTS or not _have_automaton():
         return contains_join(text, "_text", qp, "part", bound=n_parts_bound)
-    distinct = sorted(r[0] for r in qp.select("part").where(F.col("part") != "").distinct().collect())
     spark = qp.sparkSession
-    ids = spark.createDataFrame(list(enumerate(distinct)), "pid int, part string")
-    qp_ids, _ = bounded_broadcast(qp.join(F.broadcast(ids), "part"), n_parts_bound)
+    # ids for the distinct non-empty parts: zipWithIndex numbers them without
+    # gathering them anywhere; only one chunk of parts at a time is brought to
+    # the driver to build the automaton shipped with the scan tasks
+    distinct_parts = qp.select("part").where(F.col("part") != "").distinct()
+    ids = spark.createDataFrame(
+        distinct_parts.rdd.zipWithIndex().map(lambda r: (int(r[1]), r[0][0])), "pid int, part string")
+    ids = materialize(ids)
+    n_distinct = ids.count()
+    qp_ids, _ = bounded_broadcast(qp.join(ids, "part"), n_parts_bound)
     out = None
-    for start in range(0, len(distinct), AC_MAX_PARTS):
-        chunk = distinct[start:start + AC_MAX_PARTS]
+    for start in range(0, n_distinct, AC_MAX_PARTS):
+        chunk_rows = ids.where((F.col("pid") >= start) & (F.col("pid") < start + AC_MAX_PARTS)).collect()
+        chunk = [None] * len(chunk_rows)
+        for r in chunk_rows:
+            chunk[r.pid - start] = r.part
         hits = _ac_scan(text, key_cols, chunk).withColumn("pid", F.col("pid") + F.lit(start))
         # one row per (document, part) before fanning out to the queries that
         # use the part (lines of one document often repeat a part)
