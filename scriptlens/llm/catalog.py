@@ -8,20 +8,52 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptlens.llm import oracle, quality
+from scriptlens.llm import langid, oracle, quality, shuffle, toxicity
 from scriptlens.llm.common import read_table
 
 
+def fold(n: int, id_col: str = "doc_id") -> Column:
+    """crc32 of the id as text, modulo ``n``."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shuffle.external_shuffle(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "bucket")
+
+
+def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = langid.train(docs, fold(4) != 2)
+    out = langid.label_languages(docs, model, with_spans=False)
+    return out.select("doc_id", (F.coalesce(fold(4), F.lit(0)) == 2).alias("held_out"), "lang_pred",
+                      "score", "n_spans")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
                       "n_repeat_words", "base_failed", "kept")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), fold(5) != 0)
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (F.coalesce(fold(5), F.lit(1)) == 0).alias("held_out"),
+                      F.col("toxic_score").alias("score"),
+                      (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_external_shuffle": op3_external_shuffle,
+    "op4_language_spans": op4_language_spans,
     "op6_quality_rules": op6_quality_rules,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = oracle.sql()

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from scriptlens.session import new_table_path
 
@@ -34,3 +38,29 @@ def wide(df: DataFrame) -> DataFrame:
     inputs only: a scan of many files or row groups is left alone)."""
     target = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def add_columns(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], list]],
+                added: list[tuple[str, str, pa.DataType]], keep: list[str] | None = None,
+                step: int = 512) -> DataFrame:
+    """The kept columns of ``df`` (all by default) and columns computed from its
+    texts. ``make`` builds the per-task function: texts -> one list per added
+    column. Kept columns stay Arrow data, so null ids and large integers are
+    untouched; texts are decoded ``step`` rows at a time."""
+    names = [n for n, _, _ in added]
+    keep = [c for c in (df.columns if keep is None else keep) if c not in names]
+    picked = list(dict.fromkeys([*keep, text_col]))
+    schema = StructType([df.schema[c] for c in keep]
+                        + list(StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t, _ in added)).fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                new = work(part.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c) for c in keep] + [pa.array(v, t) for v, (_, _, t) in zip(new, added)],
+                    names=[*keep, *names])
+
+    return df.select(*[F.col(f"`{c}`") for c in picked]).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ WITH base AS (
 words AS (
   SELECT doc_id, t,
          regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
   FROM base),
 windows AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS times FROM (
@@ -31,7 +31,7 @@ counts AS (
   SELECT words.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
          length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper,
-         len(list_filter(w, x -> x IN ({stops}))) AS n_stop,
+         len(list_filter(w, lambda x: x IN ({stops}))) AS n_stop,
          len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM words LEFT JOIN repeated ON words.doc_id = repeated.doc_id),
