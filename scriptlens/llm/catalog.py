@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptlens.llm import langid, oracle, quality, shuffle, toxicity
+from scriptlens.llm import langid, oracle, packing, quality, shuffle, toxicity
 from scriptlens.llm.common import read_table
 
 
@@ -49,11 +49,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_external_shuffle": op3_external_shuffle,
     "op4_language_spans": op4_language_spans,
     "op6_quality_rules": op6_quality_rules,
     "op9_toxicity": op9_toxicity,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = oracle.sql()
