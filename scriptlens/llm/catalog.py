@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptlens.llm import langid, oracle, packing, quality, shuffle, toxicity
+from scriptlens.llm import decontam, langid, oracle, packing, pii, quality, shuffle, toxicity
 from scriptlens.llm.common import read_table
 
 
@@ -20,6 +20,23 @@ def fold(n: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def op1_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_*`` and ``base_sha256`` count and digest the base spans; ``spans``
+    has all, and ``n_added`` says how many the tagger adds."""
+    found = pii.find_spans(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("pii", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+          for kind in pii.KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"),
+        (F.size("pii") - F.size(base)).cast("long").alias("n_added"))
+
+
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shuffle.external_shuffle(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -34,6 +51,13 @@ def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "score", "n_spans")
 
 
+def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                      (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.quality_rules(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -54,8 +78,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_bilstm_crf": op1_pii_bilstm_crf,
     "op3_external_shuffle": op3_external_shuffle,
     "op4_language_spans": op4_language_spans,
+    "op5_positional_index": op5_positional_index,
     "op6_quality_rules": op6_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,

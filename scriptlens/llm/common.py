@@ -12,9 +12,10 @@ from pyspark.sql.types import StructType
 
 from scriptlens.session import new_table_path
 
-# word patterns of the contracts: white-space words and letter/digit words
+# word patterns of the contracts: white-space words, and letter/digit words of a
+# text whose A-Z are lower-cased after the match instead of before it
 WS_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+ALNUM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 

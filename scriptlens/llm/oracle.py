@@ -51,5 +51,35 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM ratios"""
 
 
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _decontamination() -> str:
+    def words(text: str) -> str:
+        return f"regexp_extract_all({FOLD.format(f"coalesce({text}, '')")}, '{WORD}')"
+
+    return f"""
+WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {words("text")} AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item, least(10, len(w)) AS size, array_to_string(list_slice(w, a, a + least(10, len(w)) - 1), ' ') AS g
+  FROM item, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS r(a) WHERE len(w) > 0),
+doc AS (SELECT doc_id, {words("text")} AS w FROM documents),
+grams AS (
+  SELECT doc_id, a, size, array_to_string(list_slice(w, a, a + size - 1), ' ') AS g
+  FROM doc, (SELECT DISTINCT size FROM wins) s, unnest(range(1, len(w) - size + 2)) AS r(a)),
+found AS (SELECT doc_id, a, grams.size AS size, item FROM grams JOIN wins ON grams.size = wins.size AND grams.g = wins.g),
+hit AS (
+  SELECT doc_id, count(DISTINCT a + k) AS n_hit
+  FROM (SELECT DISTINCT doc_id, a, size FROM found), unnest(range(0, size)) AS o(k) GROUP BY doc_id),
+listed AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit ON doc.doc_id = hit.doc_id LEFT JOIN listed ON doc.doc_id = listed.doc_id"""
+
+
 def sql() -> dict[str, str]:
-    return {"op6_quality_rules": _quality()}
+    return {"op5_positional_index": _decontamination(), "op6_quality_rules": _quality()}
