@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptlens.llm import decontam, langid, oracle, packing, pii, quality, shuffle, toxicity
+from scriptlens.llm import decontam, html, langid, ngram_join, oracle, packing, pii, quality, shuffle, toxicity
 from scriptlens.llm.common import read_table
 
 
@@ -37,6 +37,11 @@ def op1_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.size("pii") - F.size(base)).cast("long").alias("n_added"))
 
 
+def op2_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html.main_text(read_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shuffle.external_shuffle(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
@@ -64,6 +69,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_repeat_words", "base_failed", "kept")
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.similar_classes(read_table(spark, sf_dir, "documents"))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.train(docs, read_table(spark, sf_dir, "labels"), fold(5) != 0)
@@ -79,10 +89,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_bilstm_crf": op1_pii_bilstm_crf,
+    "op2_host_suffix_array": op2_host_suffix_array,
     "op3_external_shuffle": op3_external_shuffle,
     "op4_language_spans": op4_language_spans,
     "op5_positional_index": op5_positional_index,
     "op6_quality_rules": op6_quality_rules,
+    "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
