@@ -49,7 +49,7 @@ class ChunkEncoder:
 
     def store(self, chunks: list[str], lengths: np.ndarray, flat: np.ndarray) -> None:
         base = len(self.start)
-        self.rows.update((c, base + k) for k, c in enumerate(chunks))
+        self.rows.update(zip(chunks, range(base, base + len(chunks))))
         self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(lengths) - lengths])
         self.length = np.concatenate([self.length, lengths])
         self.pool = np.concatenate([self.pool, flat])
@@ -66,24 +66,31 @@ class ChunkEncoder:
         """Encode new chunks. A chunk of letters is one unit of the tokenizer,
         and so is a single mark behind it: units are encoded together and told
         apart by their word-end tokens; everything else goes one by one."""
+        rows = self.rows
         units: set[str] = set()
-        same: list[tuple[str, str]] = []
-        pairs: list[tuple[str, str, str]] = []
-        rest: list[str] = []
+        same, bodies = [], []           # chunk -> the unit it equals
+        pairs, parts = [], []           # chunk -> unit, mark
+        rest = []
         for c in chunks:
-            body = c.lower() if max(c) < "\u0130" else c   # one-to-one case mappings only
+            # one-to-one case mappings only
+            body = c.lower() if c.isascii() or max(c) < "\u0130" else c
             if body.isalpha():
-                same.append((c, body))
-            elif body[-1] in ".,!?;:" and body[:-1].isalpha():
-                body, mark = body[:-1], body[-1]
-                pairs.append((c, body, mark))
-                units.add(mark)
+                if body not in rows:
+                    units.add(body)
+                if body != c:
+                    same.append(c)
+                    bodies.append(body)
+            elif body[-1] in ".,!?;:" and (core := body[:-1]).isalpha():
+                if core not in rows:
+                    units.add(core)
+                pairs.append(c)
+                parts.append(core)
+                parts.append(body[-1])
             else:
                 rest.append(c)
-                continue
-            units.add(body)
-        todo = sorted(u for u in units if u not in self.rows)
-        if todo:
+        units.update(m for m in ".,!?;:" if m not in rows)
+        if units:
+            todo = list(units)
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(todo)], add_special_tokens=False)[0].ids,
                            dtype=np.uint32)
             stops = np.flatnonzero(self.word_end[ids]) + 1
@@ -92,13 +99,11 @@ class ChunkEncoder:
             else:   # a unit that the tokenizer splits: one by one
                 self.one_by_one(todo)
         if rest:
-            self.one_by_one(sorted(rest))
-        rows = self.rows
-        for c, body in same:
-            rows[c] = rows[body]
+            self.one_by_one(rest)
+        rows.update(zip(same, map(rows.__getitem__, bodies)))
         if pairs:
-            flat, stops = self.gather(np.array([rows[x] for _, body, mark in pairs for x in (body, mark)]))
-            self.store([c for c, _, _ in pairs], np.diff(stops[1::2], prepend=0), flat)
+            flat, stops = self.gather(np.fromiter(map(rows.__getitem__, parts), dtype=np.int64, count=len(parts)))
+            self.store(pairs, np.diff(stops[1::2], prepend=0), flat)
 
     def one_by_one(self, chunks: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
