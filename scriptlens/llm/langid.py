@@ -6,8 +6,8 @@ penalty labels the spans of a text. The document's language is the one whose
 spans hold most words; ``score`` is its share of the text's words, weighted by
 the words' posteriors.
 
-The word model is trained on a bounded, hash-chosen number of labelled
-documents per language (``TRAIN_DOCS``); prediction reads whole texts only.
+The word model is trained on a bounded, hash-chosen sample of about
+``TRAIN_DOCS`` labelled documents per language; prediction reads whole texts only.
 
 Defined results: null text and text without a letter give ``und`` with score 0;
 without any labelled document every text is ``und``; repeated rows get equal
@@ -24,14 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptlens.llm.common import add_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 UND = "und"
-TRAIN_DOCS = 800            # bound per language
+TRAIN_DOCS = 800            # of the sample, per language
 MIN_SCRIPT_SHARE = 0.02     # of a language's training words
 FLOOR = -6.0                # least log posterior of one word
 SWITCH = 8.0                # penalty of changing the language between two words
@@ -61,58 +61,72 @@ def script_of(word: str) -> str:
     return ""
 
 
-def grams(word: str) -> list[str]:
-    padded = f"<{word}>"
-    return [padded[i:i + 3] for i in range(len(padded) - 2)] + [f"={word}"]
+def trigram_keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams of the words, each set between marks, as integers (three code
+    points of 21 bits), and where each word's trigrams start."""
+    marked = "<" + "><".join(words) + ">"
+    code = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+    keys = (code[:-2] << 42) | (code[1:-1] << 21) | code[2:]
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(lengths + 2)
+    inside = np.ones(len(code), dtype=bool)     # a word of n letters has n trigrams
+    inside[ends - 1] = False
+    inside[ends - 2] = False
+    return keys[inside[:-2]], np.cumsum(lengths) - lengths
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text",
           lang_col: str = "lang", per_lang: int = TRAIN_DOCS) -> dict:
     """Trigram and word counts per language of the labelled sample; counts are
-    summed in Spark, only grams seen twice or more come to the driver."""
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(F.lit(3), F.col(id_col)), id_col)
-    chosen = (docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-              .select(id_col, lang_col).distinct()
-              .withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_lang)
-              .select(id_col, F.col(lang_col).alias("tag")))
-    sample = docs.select(id_col, F.col(text_col).alias("body")).join(chosen, id_col).select("body", "tag")
+    summed in Spark, only those of two or more come to the driver. The sample
+    takes the documents whose hash lies under their language's share, so it
+    neither joins nor sorts."""
+    labelled = docs.where(usable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
+    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
+    parts = 1 << 20
+    place = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(parts))
+    under = F.lit(False)
+    for lang, n in sorted(sizes.items()):
+        under = under | ((F.col(lang_col) == lang) & (place < int(parts * min(1.0, per_lang / n))))
+    sample = labelled.where(under).select(F.col(text_col).alias("body"), F.col(lang_col).alias("tag"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[str, Counter] = {}
         for pdf in batches:
             for body, tag in zip(pdf["body"], pdf["tag"]):
-                words = Counter(WORD.findall((body or "").lower()))
+                words = [w for w in WORD.findall((body or "").lower()) if script_of(w)]
                 c = seen.setdefault(tag, Counter())
-                for w, n in words.items():
-                    s = script_of(w)
-                    if s:
-                        c["#" + s] += n
-                        for g in grams(w):
-                            c[g] += n
+                if words:
+                    c.update("#" + script_of(w) for w in words)
+                    c.update("=" + w for w in words)
+                    c.update(trigram_keys(words)[0].tolist())
         for tag, c in seen.items():
-            yield pd.DataFrame({"tag": tag, "gram": list(c), "n": list(c.values())})
+            yield pd.DataFrame({"tag": tag, "gram": list(map(str, c)), "n": list(c.values())})
 
     counts = (sample.mapInPandas(count, "tag string, gram string, n long")
               .groupBy("tag", "gram").agg(F.sum("n").alias("n"))
-              .where((F.col("n") > 1) | F.col("gram").startswith("#")).collect())
-    langs = sorted({r["tag"] for r in counts})
+              .where((F.col("n") > 1) | F.col("gram").startswith("#")).toArrow())
+    langs = sorted(sizes)
     column = {tag: k for k, tag in enumerate(langs)}
     scripts: dict[str, np.ndarray] = {}
-    table: dict[str, int] = {}
+    rows: dict[str, int] = {}
     cells = []
-    for r in counts:
-        if r["gram"].startswith("#") and len(r["gram"]) > 3:
-            scripts.setdefault(r["gram"][1:], np.zeros(len(langs)))[column[r["tag"]]] = r["n"]
+    for tag, gram, n in zip(*(counts.column(c).to_pylist() for c in ("tag", "gram", "n"))):
+        if gram[0] == "#":
+            scripts.setdefault(gram[1:], np.zeros(len(langs)))[column[tag]] = n
         else:
-            cells.append((table.setdefault(r["gram"], len(table)), column[r["tag"]], r["n"]))
-    matrix = np.zeros((len(table) + 1, max(1, len(langs))))
+            cells.append((rows.setdefault(gram, len(rows)), column[tag], n))
+    matrix = np.zeros((len(rows) + 1, max(1, len(langs))))      # the last row is any unknown gram
     if cells:
         at = np.array(cells, dtype=np.int64)
         matrix[at[:, 0], at[:, 1]] = at[:, 2]
-    matrix = np.log((matrix + 0.5) / (matrix.sum(axis=0) + 0.5 * (len(table) + 1)))
+    matrix = np.log((matrix + 0.5) / (matrix.sum(axis=0) + 0.5 * len(matrix)))
+    keys = np.array(sorted(int(g) for g in rows if g[0] != "="), dtype=np.int64)
     total = sum(scripts.values()) if scripts else np.zeros(len(langs))
-    allowed = {s: v >= MIN_SCRIPT_SHARE * np.maximum(total, 1) for s, v in scripts.items()}
-    return {"langs": langs, "table": table, "matrix": matrix.astype(np.float32), "scripts": allowed}
+    return {
+        "langs": langs, "keys": keys, "key_rows": np.array([rows[str(k)] for k in keys], dtype=np.int64),
+        "words": {g[1:]: k for g, k in rows.items() if g[0] == "="}, "matrix": matrix.astype(np.float32),
+        "scripts": {s: v >= MIN_SCRIPT_SHARE * np.maximum(total, 1) for s, v in scripts.items()}}
 
 
 class WordScores:
@@ -126,56 +140,63 @@ class WordScores:
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1, self.n), dtype=np.float32)
 
-    def ids(self, words: list[str]) -> np.ndarray:
+    def ids(self, texts: list[list[str]]) -> list[np.ndarray]:
         rows = self.rows
-        new = [w for w in set(words) if w not in rows]
+        new = set().union(*texts).difference(rows)
         if new:
-            self.add(new)
-        return np.fromiter(map(rows.__getitem__, words), dtype=np.int32, count=len(words))
+            self.add(list(new))
+        return [np.fromiter(map(rows.__getitem__, words), dtype=np.int32, count=len(words)) for words in texts]
 
     def add(self, new: list[str]) -> None:
-        table, unknown = self.model["table"], len(self.model["table"])
-        flat: list[int] = []
-        starts, masks, kept = [], [], []
-        for w in new:
-            s = script_of(w)
-            if not s:
-                self.rows[w] = 0
-                continue
-            starts.append(len(flat))
-            kept.append(w)
-            flat += [table.get(g, unknown) for g in grams(w)]
-            mask = self.model["scripts"].get(s)
-            masks.append(mask if mask is not None and mask.any() else np.ones(self.n, dtype=bool))
+        scripts = list(map(script_of, new))
+        self.rows.update((w, 0) for w, s in zip(new, scripts) if not s)
+        kept = [w for w, s in zip(new, scripts) if s]
         if not kept:
             return
-        raw = np.add.reduceat(self.model["matrix"][flat], starts, axis=0)
-        raw = np.where(np.array(masks), raw, -1e9)
+        m = self.model
+        unknown = len(m["matrix"]) - 1
+        keys, starts = trigram_keys(kept)
+        rows = np.full(len(keys), unknown)
+        if len(m["keys"]):
+            at = np.minimum(np.searchsorted(m["keys"], keys), len(m["keys"]) - 1)
+            rows = np.where(m["keys"][at] == keys, m["key_rows"][at], unknown)
+        known = m["words"]
+        raw = (np.add.reduceat(m["matrix"][rows], starts, axis=0)
+               + m["matrix"][[known.get(w, unknown) for w in kept]])
+        names = sorted(set(scripts) - {""})
+        every = np.ones(self.n, dtype=bool)
+        masks = np.array([v if (v := m["scripts"].get(s)) is not None and v.any() else every for s in names])
+        number = {s: k for k, s in enumerate(names)}
+        raw = np.where(masks[[number[s] for s in scripts if s]], raw, -1e9)
         raw = raw - raw.max(axis=1, keepdims=True)
         post = np.maximum(raw - np.log(np.exp(raw).sum(axis=1, keepdims=True)), FLOOR)
         base = len(self.scores)
-        self.rows.update((w, base + k) for k, w in enumerate(kept))
+        self.rows.update(zip(kept, range(base, base + len(kept))))
         self.scores = np.concatenate([self.scores, post.astype(np.float32)])
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """Best label paths of a padded block ``(texts, words, languages)``."""
-    b, t, n = scores.shape
-    best = scores[:, 0].copy()
-    back = np.zeros((t, b, n), dtype=np.int16)
-    stay = np.arange(n, dtype=np.int16)
+    """Best label paths (words, texts) of a padded block ``(words, texts,
+    languages)`` whose texts come in order of their lengths."""
+    t, b, n = scores.shape
+    best = scores[0].copy()
+    back = np.zeros((t, b, n), dtype=np.int8 if n < 127 else np.int16)
+    stay = np.arange(n, dtype=back.dtype)
+    back[:] = stay
+    first = np.searchsorted(lengths, np.arange(t), side="right")    # texts that still run
     for k in range(1, t):
-        top = best.argmax(axis=1)
-        jump = best[np.arange(b), top] - switch
-        move = jump[:, None] > best
-        back[k] = np.where(move, top[:, None], stay)
-        best = np.where((k < lengths)[:, None], np.where(move, jump[:, None], best) + scores[:, k], best)
-        back[k][k >= lengths] = stay
-    path = np.zeros((b, t), dtype=np.int16)
-    state = best.argmax(axis=1).astype(np.int16)
+        f = first[k]
+        run = best[f:]
+        top = run.argmax(axis=1)
+        jump = (run.max(axis=1) - switch)[:, None]
+        np.copyto(back[k, f:], top[:, None], where=jump > run, casting="unsafe")
+        np.maximum(run, jump, out=run)
+        run += scores[k, f:]
+    path = np.zeros((t, b), dtype=np.int16)
+    state, rows = best.argmax(axis=1), np.arange(b)
     for k in range(t - 1, -1, -1):
-        path[:, k] = state
-        state = back[k][np.arange(b), state]
+        path[k] = state
+        state = back[k, rows, state]
     return path
 
 
@@ -185,7 +206,7 @@ def label_texts(texts: list[str], cache: WordScores, switch: float = SWITCH) ->
     n = cache.n
     if len(cache.rows) > CACHE_WORDS:
         cache.reset()
-    coded = [cache.ids(WORD.findall(t.lower())) for t in texts]
+    coded = cache.ids([WORD.findall(t.lower()) for t in texts])
     coded = [c[c > 0] if len(c) and not c.all() else c for c in coded]
     result: list[tuple] = [(UND, 0.0, [])] * len(texts)
     order = sorted((k for k, c in enumerate(coded) if len(c)), key=lambda k: len(coded[k]))
@@ -198,16 +219,16 @@ def label_texts(texts: list[str], cache: WordScores, switch: float = SWITCH) ->
         block = order[at:end]
         at = end
         lengths = np.array([len(coded[k]) for k in block])
-        ids = np.zeros((len(block), lengths[-1]), dtype=np.int32)
+        ids = np.zeros((lengths[-1], len(block)), dtype=np.int32)
         for row, k in enumerate(block):
-            ids[row, :lengths[row]] = coded[k]
+            ids[:lengths[row], row] = coded[k]
         scores = cache.scores[ids]
         path = viterbi(scores, lengths, switch)
         for row, k in enumerate(block):
-            labels = path[row, :lengths[row]]
+            labels = path[:lengths[row], row]
             votes = np.bincount(labels, minlength=n)
             top = int(votes.argmax())
-            sure = np.exp(scores[row, :lengths[row], top][labels == top]).sum()
+            sure = np.exp(scores[:lengths[row], row, top][labels == top]).sum()
             cuts = np.flatnonzero(np.diff(labels)) + 1
             edges = [0, *cuts.tolist(), len(labels)]
             result[k] = (langs[top], float(sure / len(labels)),
