@@ -18,15 +18,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptlens.llm.common import add_columns
+from scriptlens.llm.common import add_columns, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -88,62 +86,76 @@ def log_length(n_words: int) -> float:
     return float(np.log1p(n_words)) / 10.0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str,
-                  label_col: str, max_rows: int) -> list:
-    """(label, feature ids, length, identity terms of its sentences) of a
-    bounded sample: the ``max_rows`` usable labelled ids of smallest hash."""
+def sample_table(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str,
+                 label_col: str, max_rows: int) -> DataFrame:
+    """Label, feature ids, length and identity terms (one per sentence that
+    names them) of the ``max_rows`` usable labelled ids of smallest hash."""
     chosen = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & usable)
               .groupBy(id_col).agg(F.max(label_col).alias("label"))
               .orderBy(F.xxhash64(F.lit(1), F.col(id_col)), id_col).limit(max_rows))
     sample = (docs.select(id_col, F.col(text_col).alias("body"))
-              .join(F.broadcast(chosen), id_col).select("body", "label"))
+              .join(F.broadcast(chosen), id_col).select("body", "label"))     # bounded by max_rows
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         features = WordFeatures()
-        for pdf in batches:
-            out = []
-            for body, label in zip(pdf["body"], pdf["label"]):
+
+        def run(texts: list) -> list:
+            out: tuple[list, list, list] = ([], [], [])
+            for body in texts:
                 low = (body or "").lower()
                 words = WORD.findall(low)
-                terms = [t for s in SENTENCE.split(low) for t in set(WORD.findall(s)) if t in GROUP_OF] \
-                    if GROUP_OF.keys() & set(words) else []
-                out.append((int(label), sorted(features(set(words))), log_length(len(words)), terms))
-            yield pd.DataFrame(out, columns=["label", "ids", "length", "terms"])
+                named = not GROUP_OF.keys().isdisjoint(words)
+                out[0].append(sorted(features(set(words))))
+                out[1].append(log_length(len(words)))
+                out[2].append([t for s in SENTENCE.split(low) for t in sorted(set(WORD.findall(s)) & GROUP_OF.keys())]
+                              if named else [])
+            return list(out)
+
+        return run
+
+    return stored(add_columns(sample, "body", make, [
+        ("ids", "array<bigint>", pa.list_(pa.int64())), ("length", "double", pa.float64()),
+        ("terms", "array<string>", pa.list_(pa.string()))], ["label"]), "toxicity-sample")
 
-    return sample.mapInPandas(encode, "label int, ids array<long>, length double, terms array<string>").collect()
 
+def telling_features(table: DataFrame, n_pos: int, n_neg: int, max_features: int) -> list[int]:
+    """Features of the greatest z statistic between the classes' rates, counted
+    in Spark; identity terms always belong to them."""
+    p1, p0 = F.col("pos") / n_pos, (F.col("n") - F.col("pos")) / n_neg
+    rate = F.col("n") / (n_pos + n_neg)
+    z = F.abs(p1 - p0) / F.sqrt(rate * (1 - rate) * (1 / n_pos + 1 / n_neg) + 1e-9)
+    top = (table.select("label", F.explode("ids").alias("id")).groupBy("id")
+           .agg(F.count("*").alias("n"), F.sum("label").alias("pos")).where(F.col("n") >= MIN_DOCS)
+           .withColumn("z", z).where("z > 2").orderBy(F.desc("z"), "id").limit(max_features).toArrow())
+    return sorted(set(top.column("id").to_pylist()) | {i for t in GROUP_OF for i in feature_ids(t)})
 
-def fit(rows: list, max_features: int = MAX_FEATURES, l2: float = L2,
+
+def fit(table: DataFrame, max_features: int = MAX_FEATURES, l2: float = L2,
         counterfactual: float = COUNTERFACTUAL, epochs: int = EPOCHS) -> dict:
-    """Train on ``training_rows``; returns the model as a plain dictionary."""
-    y = np.array([r["label"] for r in rows], dtype=np.float64)
-    base = (y.sum() + 1.0) / (len(y) + 2.0)
-    if len(y) == 0 or y.min() == y.max():
+    """Train on a ``sample_table``; returns the model as a plain dictionary."""
+    sizes = {r["label"]: r["count"] for r in table.groupBy("label").count().collect()}
+    n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
+    base = (n_pos + 1.0) / (n_pos + n_neg + 2.0)
+    if not n_pos or not n_neg:
         return {"keep": {}, "w": np.zeros(0), "length": 0.0, "bias": float(np.log(base / (1 - base)))}
-    counts = np.array([len(r["ids"]) for r in rows])
-    flat = np.fromiter((i for r in rows for i in r["ids"]), dtype=np.int64, count=counts.sum())
-    doc = np.repeat(np.arange(len(rows)), counts)
-    ids, inverse = np.unique(flat, return_inverse=True)
-    pos = np.bincount(inverse, weights=y[doc], minlength=len(ids))
-    all_ = np.bincount(inverse, minlength=len(ids))
-    # most telling features by the z statistic of their class rates
-    p1, p0 = pos / y.sum(), (all_ - pos) / (len(y) - y.sum())
-    rate = all_ / len(y)
-    z = np.abs(p1 - p0) / np.sqrt(rate * (1 - rate) * (1 / y.sum() + 1 / (len(y) - y.sum())) + 1e-9)
-    z[all_ < MIN_DOCS] = 0
-    chosen = np.argsort(-z, kind="stable")[:max_features]
-    chosen = chosen[z[chosen] > 2.0]
-    identity = {i for t in GROUP_OF for i in feature_ids(t)}
-    kept = sorted({int(i) for i in ids[chosen]} | identity)
+    kept = telling_features(table, n_pos, n_neg, max_features)
     column = {i: k for k, i in enumerate(kept)}
-    where = np.array([column.get(int(i), -1) for i in ids], dtype=np.int64)[inverse]
-    rows_in, cols_in = doc[where >= 0], where[where >= 0]
-    length = np.array([r["length"] for r in rows])
+
+    def pick(texts: list) -> list:
+        return [[[column[i] for i in ids if i in column] for ids in texts]]
+
+    rows = add_columns(table, "ids", lambda: pick, [("cols", "array<int>", pa.list_(pa.int32()))],
+                       ["label", "length", "terms"]).toArrow()
+    y = rows.column("label").to_numpy().astype(np.float64)
+    length = rows.column("length").to_numpy()
+    cols = rows.column("cols").combine_chunks()
+    cols_in = cols.flatten().to_numpy()
+    rows_in = np.repeat(np.arange(len(y)), cols.value_lengths().to_numpy(zero_copy_only=False))
 
     # counterfactual swaps: difference vectors of the features, weighted by use
     uses: dict[tuple[str, str], int] = {}
-    for r in rows:
-        for t in r["terms"]:
+    for terms in rows.column("terms").to_pylist():
+        for t in terms:
             for other in GROUP_OF[t]:
                 if other != t:
                     uses[t, other] = uses.get((t, other), 0) + 1
@@ -191,4 +203,4 @@ def score(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id",
           text_col: str = "text", label_col: str = "toxic", max_rows: int = TRAIN_ROWS) -> dict:
-    return fit(training_rows(docs, labels, usable, id_col, text_col, label_col, max_rows))
+    return fit(sample_table(docs, labels, usable, id_col, text_col, label_col, max_rows))
