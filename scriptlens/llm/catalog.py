@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptlens.llm import decontam, html, langid, ngram_join, oracle, packing, pii, quality, shuffle, toxicity
+from scriptlens.llm import decontam, html, langid, ngram_join, oracle, packing, pii, quality, shuffle, toxicity, training_order
 from scriptlens.llm.common import read_table
 
 
@@ -69,6 +69,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "n_repeat_words", "base_failed", "kept")
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(read_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.similar_classes(read_table(spark, sf_dir, "documents"))
     return out.withColumnRenamed("id", "doc_id")
@@ -94,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_spans": op4_language_spans,
     "op5_positional_index": op5_positional_index,
     "op6_quality_rules": op6_quality_rules,
+    "op7_training_order": op7_training_order,
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
