@@ -30,7 +30,7 @@ further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +43,13 @@ from scriptlens.llm.components import components
 
 SHINGLE = 4
 PERCENT = 85
-HEAVY_TOKENS = 200_000      # bound of the frequency table (16 bytes a token)
+HEAVY_TOKENS = 800_000      # bound of the frequency table (16 bytes a token)
 BLOCK_SHINGLES = 2_000_000  # shingles counted together in a task
 SALT_ROWS = 20_000          # estimated list length from which a pivot list is dealt out
 LONG_LIST = 64              # lists up to here are joined, longer ones compared in blocks
 BLOCK_NODES = 512
 CACHE_WORDS = 400_000
+BROADCAST_IDS = 2_000_000   # ids (8 bytes each) up to which a list of documents is broadcast
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIXERS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93))
@@ -164,9 +165,16 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
 
 
 def frequent(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent tokens and their counts, at most ``HEAVY_TOKENS``."""
-    top = (table.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n"))
-           .where("n > 3").orderBy(F.desc("n"), "token").limit(HEAVY_TOKENS).toArrow())
+    """The most frequent tokens and their counts, at most ``HEAVY_TOKENS``: all
+    tokens from the least count on that keeps the bound."""
+    sums = stored(table.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
+    sizes = sums.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("tokens")).collect()
+    held, least = 0, 10_001
+    for r in sorted(sizes, key=lambda r: -r["n"]):
+        if held + r["tokens"] > HEAVY_TOKENS:
+            break
+        held, least = held + r["tokens"], r["n"]
+    top = sums.where(F.col("n") >= least).toArrow()
     return (top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy())
 
 
@@ -214,19 +222,28 @@ def bound_holds(p: str, percent: int) -> Column:
     return F.size(F.array_intersect(f"{p}_a", f"{p}_b")) + rest >= need_expr("size_a", "size_b", percent)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that pass the filters of all orders and the exact check."""
-    def side(s: str, columns: list[str]) -> DataFrame:
-        return sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+def side(sets: DataFrame, s: str, columns: list[str]) -> DataFrame:
+    return sets.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
 
-    filters = ["size", "p0", "p1", "p2"]
-    kept = (pairs.join(side("a", filters), "a").join(side("b", filters), "b")
-            .where(bound_holds("p0", percent) & bound_holds("p1", percent) & bound_holds("p2", percent))
-            .select("a", "b"))
-    kept = stored(kept, "candidates")
-    full = kept.join(side("a", ["size", "tokens"]), "a").join(side("b", ["size", "tokens"]), "b")
+
+def candidates(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose bound holds under the first order; no text is read."""
+    both = (pairs.join(side(firsts, "a", ["size", "p0"]), "a")
+            .join(side(firsts, "b", ["size", "p0"]), "b"))
+    return stored(both.where(bound_holds("p0", percent)).select("a", "b"), "candidates")
+
+
+def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Candidates that pass the other orders' bounds and the exact check; whole
+    sets are made of their documents only."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = sets_of(stored(ids, "candidate-ids"))
+    other = ["size", "p1", "p2"]
+    kept = (pairs.join(side(sets, "a", other), "a").join(side(sets, "b", other), "b")
+            .where(bound_holds("p1", percent) & bound_holds("p2", percent)).select("a", "b"))
+    full = kept.join(side(sets, "a", ["size", "tokens"]), "a").join(side(sets, "b", ["size", "tokens"]), "b")
     common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return full.where(common >= need_expr("size_a", "size_b", percent)).select("a", "b")
+    return stored(full.where(common >= need_expr("size_a", "size_b", percent)).select("a", "b"), "links")
 
 
 def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -305,15 +322,17 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         posted.withColumn("pivot", F.min("id").over(group)).withColumn("n_list", F.count("*").over(group))
         .where("n_list > 1 or dealt"), "postings")
 
-    # whole sets only of documents that share a prefix token
-    involved = shared.select("id").distinct()
-    sets = stored(prefixes(base.join(involved, "id", "left_semi"), heavy, size, percent, True)
-                  .dropDuplicates(["id"]), "candidate-sets")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        if ids.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        return stored(prefixes(base.join(ids, "id", "left_semi"), heavy, size, percent, True)
+                      .dropDuplicates(["id"]), "candidate-sets")
 
     # links to the pivot a class shares most with
     best = (shared.where("pivot <> id").groupBy("id", "pivot").agg(F.count("*").alias("n"))
             .groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot")))
-    star_links = stored(verified(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), sets, percent), "links")
+    stars = candidates(best.select(F.col("pivot").alias("a"), F.col("id").alias("b")), firsts, percent)
+    star_links = verified(stars, sets_of, percent)
     parts = components(star_links, "a", "b")
 
     # all remaining pairs: tokens whose list holds different parts
@@ -323,7 +342,8 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     rows = stored(rows.join(mixed_lists.select("token", "n_list"), "token"), "mixed")
     pairs = short_list_pairs(rows.where(F.col("n_list") <= LONG_LIST), percent).unionByName(
         long_list_pairs(rows.where(F.col("n_list") > LONG_LIST), firsts, percent)).distinct()
-    links = star_links.unionByName(verified(pairs, sets, percent))
+    rest = candidates(pairs, firsts, percent)
+    links = star_links.unionByName(verified(rest, sets_of, percent))
     labels = components(links, "a", "b")
 
     named = (members.join(classes, "sig", "left").join(labels, F.col("rep") == F.col("node"), "left"))
