@@ -40,7 +40,7 @@ from scriptlens.llm.tokens import ChunkEncoder, tokenizer_path
 CAPACITY = 4096
 # (rounded sizes of the programme, large means over capacity / that): each is
 # planned and the one with the fewest bins taken
-CHOICES = ((8, 4), (16, 4), (6, 3))
+CHOICES = ((8, 4), (16, 4), (6, 3), (8, 2))
 PRICING_ROUNDS = 600
 BROADCAST_RUNS = 200_000
 
