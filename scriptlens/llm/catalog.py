@@ -29,10 +29,13 @@ def op1_pii_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
+    def of_kind(spans: Column, kind: str) -> Column:
+        return F.filter(spans, lambda s: s["kind"] == kind)
+
     base = F.filter("pii", lambda s: s["base"])
     return found.select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+        *[F.size(of_kind(base, kind)).cast("long").alias(f"n_{kind}")
           for kind in pii.KINDS],
         F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"),
         (F.size("pii") - F.size(base)).cast("long").alias("n_added"))
