@@ -12,17 +12,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import first_words, normalize_classifier, py_strip
+from ..functions.text import first_words, normalize_classifier, py_strip, vectorizer_tokens
 from ..functions.wordlists import (
     DEFAULT_PERSONALITY_LIMIT,
-    MAX_INPUT_TOKENS,
     MIN_STYLE_LINES,
     SHOW_ALIASES,
     SHOW_NAMES,
 )
+from ..session import materialize
+from .classify import ordered_rank
 from .index import DOC_KEYS
 from .search import top_k
 
+# Line numbers of one run when lines get their position in their episode.
+CONTEXT_SPAN = 4096
+
 
 def _map_literal(d: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
@@ -89,17 +93,24 @@ def first_characters(lines: DataFrame, limit: int = DEFAULT_PERSONALITY_LIMIT) -
 def line_context(lines: DataFrame) -> DataFrame:
     """W2 over the line table: previous and next line of every line.
 
-    Line numbers are dense within an episode (ingest assigns them), so the
-    neighbours are equi-joins on ``line_no - 1`` / ``line_no + 1``: sort-merge
-    joins on unique keys, no window over a whole episode.
+    Line numbers may have gaps within an episode (other episodes in between,
+    lines left out), so every line first gets its dense position in its episode
+    (counts per run of ``CONTEXT_SPAN`` line numbers, then a row number inside a
+    run); the neighbours are equi-joins on position - 1 / + 1. No window spans a
+    whole episode; rows with null keys are one episode per combination.
     """
     keys = ["show_key", "season", "episode", "episode_title"]
-    base = lines.select(*keys, "line_no", "character", "dialogue")
-    prev = base.select(*keys, (F.col("line_no") + 1).alias("line_no"),
-                       F.col("character").alias("prev_character"), F.col("dialogue").alias("prev_dialogue"))
-    nxt = base.select(*keys, (F.col("line_no") - 1).alias("line_no"),
-                      F.col("character").alias("next_character"), F.col("dialogue").alias("next_dialogue"))
-    return base.join(prev, keys + ["line_no"], "left").join(nxt, keys + ["line_no"], "left")
+    base = lines.select(*keys, "line_no", "character", "dialogue",
+                        F.to_json(F.struct(*keys)).alias("_doc"))
+    placed = ordered_rank(base.select("_doc", "line_no"), ["_doc"], ["line_no"],
+                          F.floor(F.col("line_no") / F.lit(CONTEXT_SPAN)), "_at").select("_doc", "line_no", "_at")
+    numbered = materialize(base.join(placed, ["_doc", "line_no"]))
+    prev = numbered.select("_doc", (F.col("_at") + 1).alias("_at"),
+                           F.col("character").alias("prev_character"), F.col("dialogue").alias("prev_dialogue"))
+    nxt = numbered.select("_doc", (F.col("_at") - 1).alias("_at"),
+                          F.col("character").alias("next_character"), F.col("dialogue").alias("next_dialogue"))
+    joined = numbered.join(prev, ["_doc", "_at"], "left").join(nxt, ["_doc", "_at"], "left")
+    return joined.drop("_doc", "_at")
 
 
 def eligible_characters(lines: DataFrame, min_lines: int = MIN_STYLE_LINES) -> DataFrame:
@@ -118,29 +129,44 @@ def character_key(c="character") -> Column:
     return F.lower(F.col(c) if isinstance(c, str) else c)
 
 
-def character_texts(lines: DataFrame, max_words: int = MAX_INPUT_TOKENS) -> DataFrame:
+def character_lines(lines: DataFrame) -> DataFrame:
+    """(show_key, character_key, line_no, clean): every line of a named character,
+    normalised for the classifier."""
+    return lines.where(F.col("character").isNotNull()).select(
+        "show_key", character_key().alias("character_key"), "line_no",
+        normalize_classifier("dialogue").alias("clean"))
+
+
+def character_terms(lines: DataFrame) -> DataFrame:
+    """A2 as counts: how often each vectoriser term occurs in a character's whole
+    text. Lines are counted where they are (partial aggregation); no character's
+    text is ever put together."""
+    return (
+        character_lines(lines)
+        .select("show_key", "character_key", F.explode(vectorizer_tokens(F.col("clean"))).alias("term"))
+        .groupBy("show_key", "character_key", "term").agg(F.count(F.lit(1)).cast("bigint").alias("cnt"))
+    )
+
+
+def character_texts(lines: DataFrame, max_words: int | None = None) -> DataFrame:
     """A2 + M11: per (show, lower(character)) the classifier-normalised lines
-    joined by a blank, trimmed, cut to the first ``max_words`` words.
+    joined by a blank, trimmed; with ``max_words`` cut to that many words. The
+    output row *is* the character's whole text; scoring uses ``character_terms``.
 
-    Only the first ``max_words`` lines with any word can contribute, so a
-    per-group limit (partial top-k before the shuffle) bounds every group
-    before the ordered concatenation; ``n_lines`` counts all lines (A4).
+    With a limit only the first ``max_words`` lines with any word can
+    contribute, so a per-group limit (partial top-k before the shuffle) bounds
+    every group before the ordered concatenation; ``n_lines`` counts all lines (A4).
     """
-    norm = lines.where(F.col("character").isNotNull()).select(
-        "show_key", character_key().alias("character_key"), "line_no",
-        normalize_classifier("dialogue").alias("clean"),
-    )
+    norm = character_lines(lines)
     counts = norm.groupBy("show_key", "character_key").agg(F.count(F.lit(1)).cast("bigint").alias("n_lines"))
     worded = norm.where(F.col("clean") != "")
-    head = top_k(worded, ["show_key", "character_key"], ["line_no"], max_words, "_r")
+    head = worded if max_words is None else top_k(
+        worded, ["show_key", "character_key"], ["line_no"], max_words, "_r")
     joined = head.groupBy("show_key", "character_key").agg(
         F.expr("listagg(clean, ' ') WITHIN GROUP (ORDER BY line_no)").alias("_all")
     )
     return counts.join(joined, ["show_key", "character_key"], "left").select(
         "show_key", "character_key", "n_lines",
-        F.coalesce(first_words(py_strip(F.col("_all")), max_words), F.lit("")).alias("text"),
+        F.coalesce(py_strip(F.col("_all")) if max_words is None
+                   else first_words(py_strip(F.col("_all")), max_words), F.lit("")).alias("text"),
     )
-
-
-def first_title_words(c, n: int = 3) -> Column:
-    return first_words(c, n)

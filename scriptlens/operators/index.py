@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,32 +129,33 @@ def build_index(lines: DataFrame) -> CorpusIndex:
 
 
 def _write_sorted(df: DataFrame, path: str) -> None:
-    """Hash-partition on (show_key, term) so each term of a show lives in one
-    file, sorted by term inside it: a lookup of a few terms reads few row
-    groups (min/max statistics) without a sampling pass for range bounds."""
-    (df.repartition("show_key", "term").sortWithinPartitions("show_key", "term")
+    """Range-partition on (show_key, term, document) and sort by it: a lookup of
+    a few terms reads few files and row groups (min/max statistics), and the
+    postings of a frequent term of a large show are split over several files."""
+    keys = ["show_key", "term", *[c for c in DOC_KEYS if c != "show_key" and c in df.columns]]
+    (df.repartitionByRange(*keys).sortWithinPartitions(*keys)
      .write.mode("overwrite").parquet(path))
 
 
 def materialize_index(spark: SparkSession, lines: DataFrame, path: str | None = None) -> CorpusIndex:
     """Build the index once and write it as Parquet under the shared folder.
 
-    ``postings`` and ``term_stats`` are hash-partitioned on (show_key, term)
-    and sorted by term within each file, so a search reading a few terms
-    skips most row groups through min/max statistics. The line table is written partitioned by ``show_key``
-    (partition pruning for show filters). Tokens are persisted during the
-    build only (recomputed from lineage if an executor is lost).
+    ``postings`` and ``term_stats`` are range-partitioned on (show_key, term,
+    document) and sorted, so a search reading a few terms skips most files and
+    row groups through min/max statistics and no frequent term is one task. The
+    line table is written partitioned by ``show_key`` (partition pruning for
+    show filters). Term frequencies are written once and read by every later
+    step; nothing stays on executor disks.
     """
     path = path or new_table_path(spark, "index")
     searchable_lines(lines).write.mode("overwrite").partitionBy("show_key").parquet(f"{path}/lines")
     lines = spark.read.parquet(f"{path}/lines")
-    tok = _tokens(lines).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        _doc_len(tok).write.mode("overwrite").parquet(f"{path}/doc_len")
-        doc_len = spark.read.parquet(f"{path}/doc_len")
-        _write_sorted(_term_freq(tok).join(doc_len, DOC_KEYS), f"{path}/postings")
-    finally:
-        tok.unpersist()
+    tok = _tokens(lines)
+    _doc_len(tok).write.mode("overwrite").parquet(f"{path}/doc_len")
+    doc_len = spark.read.parquet(f"{path}/doc_len")
+    _term_freq(tok).write.mode("overwrite").parquet(f"{path}/term_freq")
+    tf = spark.read.parquet(f"{path}/term_freq")
+    _write_sorted(tf.join(doc_len, DOC_KEYS), f"{path}/postings")
     postings = spark.read.parquet(f"{path}/postings")
     _write_sorted(_term_stats(postings), f"{path}/term_stats")
     term_stats = spark.read.parquet(f"{path}/term_stats")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +23,17 @@ from ..functions.wordlists import (
     DEFAULT_PERSONALITY_LIMIT,
     DEFAULT_TOP_K,
     DIMENSIONS,
-    MAX_INPUT_TOKENS,
 )
 from ..session import materialize, new_table_path
 from . import classify as C
-from .documents import character_key, character_texts, first_characters, top_characters
+from .documents import (
+    character_key,
+    character_lines,
+    character_terms,
+    character_texts,
+    first_characters,
+    top_characters,
+)
 from .search import top_k
 
 
@@ -70,32 +77,45 @@ def load_model(spark: SparkSession, path: str) -> TraitModel:
     r = spark.read
     try:
         split = r.parquet(f"{path}/split")
-    except Exception:  # noqa: BLE001 - a model saved without its split
+    except AnalysisException:   # a model saved without its split
         split = None
     return TraitModel(r.parquet(f"{path}/vocab"), r.parquet(f"{path}/logp"), r.parquet(f"{path}/priors"), split)
 
 
 def score_texts(model: TraitModel, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """M9: (id, p_EI, p_SN, p_TF, p_JP, mbti) for every text."""
-    counts = C.term_counts(texts, id_col, text_col)
+    return score_counts(model, C.term_counts(texts, id_col, text_col), texts.select(id_col), id_col)
+
+
+def score_counts(model: TraitModel, counts: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """M9 from (id, term, cnt): the same columns for every row of ``rows``."""
     x = C.tfidf_weights(counts, model.vocab, id_col)
-    jll = C.nb_joint(x, texts.select(id_col), model.logp, model.priors, id_col)
-    pred = C.nb_predict(jll, id_col)
-    return C.wide_probs(pred, [id_col])
+    jll = C.nb_joint(x, rows, model.logp, model.priors, id_col)
+    return C.wide_probs(C.nb_predict(jll, id_col), [id_col])
 
 
 def _cid():
     return F.concat_ws("\u0001", F.col("show_key"), F.col("character_key"))
 
 
-def character_types(lines: DataFrame, model: TraitModel, max_words: int = MAX_INPUT_TOKENS) -> DataFrame:
+def character_types(lines: DataFrame, model: TraitModel, max_words: int | None = None) -> DataFrame:
     """M10 / M13 for every (show, character): type, per-axis P(label 1), line count.
 
-    Characters whose text is empty after normalisation get no prediction.
+    A character is scored from the term counts of its whole text; ``max_words``
+    cuts the text first (M11). Characters without a word after normalisation get
+    no prediction.
     """
-    # one row per character, read by the scorer and by the output join
-    texts = materialize(character_texts(lines, max_words).where(F.col("text") != "").withColumn("cid", _cid()))
-    scored = score_texts(model, texts.select("cid", "text"), "cid", "text")
+    if max_words is None:
+        # one row per character, read by the scorer and by the output join
+        texts = materialize(
+            character_lines(lines).groupBy("show_key", "character_key")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("n_lines"), F.max(F.col("clean") != "").alias("worded"))
+            .where("worded").drop("worded").withColumn("cid", _cid()))
+        counts = character_terms(lines).select(_cid().alias("cid"), "term", "cnt")
+        scored = score_counts(model, counts, texts.select("cid"), "cid")
+    else:
+        texts = materialize(character_texts(lines, max_words).where(F.col("text") != "").withColumn("cid", _cid()))
+        scored = score_texts(model, texts.select("cid", "text"), "cid", "text")
     return texts.join(scored, "cid").select(
         "show_key", "character_key", "n_lines",
         *[F.round(f"p_{d}", 6).alias(f"p_{d}") for d, _, _ in DIMENSIONS], "mbti",
@@ -103,26 +123,30 @@ def character_types(lines: DataFrame, model: TraitModel, max_words: int = MAX_IN
 
 
 def quote_scores(lines: DataFrame, model: TraitModel, types: DataFrame | None = None,
-                 k: int = DEFAULT_TOP_K, max_words: int = MAX_INPUT_TOKENS) -> DataFrame:
+                 k: int = DEFAULT_TOP_K, max_words: int | None = None) -> DataFrame:
     """M12 + A13 + W7: every line of a predicted character scored by the mean
     over axes of P(the character's letter); the top ``k`` per character
-    (ties by file order)."""
+    (ties by file order). Lines are scored on their id; the text joins the
+    ``k`` winners only."""
     types = types if types is not None else character_types(lines, model, max_words)
-    ln = lines.where(F.col("character").isNotNull()).select(
-        "show_key", character_key().alias("character_key"), "season", "episode", "episode_title",
-        "line_no", F.col("dialogue").alias("dialogue_raw"),
-        first_words(normalize_classifier("dialogue"), max_words).alias("text"),
+    text = normalize_classifier("dialogue")
+    keyed = lines.where(F.col("character").isNotNull()).select(
+        "show_key", character_key().alias("character_key"), "line_no",
+        (text if max_words is None else first_words(text, max_words)).alias("text"),
     ).withColumn("lid", F.concat_ws(":", F.col("show_key"), F.col("line_no").cast("string")))
-    ln = materialize(ln.join(types.select("show_key", "character_key", "mbti"), ["show_key", "character_key"]))
+    ln = keyed.join(types.select("show_key", "character_key", "mbti"), ["show_key", "character_key"])
     probs = score_texts(model, ln.select("lid", "text"), "lid", "text")
+    ln = ln.drop("text")
     match = None
     for i, (dim, pos, _neg) in enumerate(DIMENSIONS):
         p = F.col(f"p_{dim}")
         term = F.when(F.substring("mbti", i + 1, 1) == pos, p).otherwise(F.lit(1.0) - p)
         match = term if match is None else match + term
     scored = ln.join(probs.drop("mbti"), "lid").withColumn("score", F.round(match / F.lit(4.0), 6))
-    best = top_k(scored, ["show_key", "character_key"], [F.col("score").desc(), "line_no"], k, "quote_rank")
-    return best.select("show_key", "character_key", F.col("quote_rank").cast("bigint"), "line_no", "season",
+    best = materialize(top_k(scored, ["show_key", "character_key"], [F.col("score").desc(), "line_no"], k, "quote_rank"))
+    raw = lines.select("show_key", "line_no", "season", "episode", "episode_title",
+                       F.col("dialogue").alias("dialogue_raw"))
+    return best.join(raw, ["show_key", "line_no"]).select("show_key", "character_key", F.col("quote_rank").cast("bigint"), "line_no", "season",
                        "episode", "episode_title", "dialogue_raw", "score")
 
 

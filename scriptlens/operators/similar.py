@@ -42,7 +42,7 @@ def materialize_vectors(spark, vectors: DataFrame, path: str | None = None) -> D
     return spark.read.parquet(path)
 
 
-def centroid_requests(vectors: DataFrame, dim_hint: int | None = None) -> DataFrame:
+def centroid_requests(vectors: DataFrame) -> DataFrame:
     """One request per character: the mean of its line vectors.
 
     Component means are a grouped average over (character, position) with
@@ -66,7 +66,8 @@ def nearest_lines(vectors: DataFrame, requests: DataFrame, k: int = STYLE_EXAMPL
     # one request row per character here; AQE broadcasts it at run time when
     # it is below the broadcast threshold, else a shuffle join on character
     req_side = req
-    lines = vectors.select("character", "line_id", "dialogue", "embedding", norm("embedding").alias("lnorm"))
+    stored = F.col("norm") if "norm" in vectors.columns else norm("embedding")
+    lines = vectors.select("character", "line_id", "dialogue", "embedding", stored.alias("lnorm"))
     pairs = lines.join(req_side, "character").select(
         "request_id", "character", "line_id", "dialogue",
         F.round(cosine("embedding", "request_vec", F.col("lnorm"), F.col("rnorm")), 6).alias("cosine"),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.query import display_parts, parse_query
 from ..functions.snippet import highlight
 from ..functions.text import normalize_baseline, normalize_classifier, normalize_search, search_tokens
-from ..functions.wordlists import DEFAULT_TITLE_WEIGHT, DEFAULT_TOP_K
+from ..functions.wordlists import DEFAULT_TITLE_WEIGHT, DEFAULT_TOP_K, SHOW_ALIASES
 from ..operators import classify as C
 from ..operators import documents as D
 from ..operators import profiles as P
@@ -88,8 +88,13 @@ def q_show_registry(spark, sf_dir):
 def q_alias_resolution(spark, sf_dir):
     # typed names derived from the data: padded, upper-cased show keys and
     # the display names of the registry, resolved back to keys
-    keys = dialogue(spark, sf_dir).select("show_key").distinct()
-    typed = keys.select(F.concat(F.lit("  "), F.upper("show_key"), F.lit(" ")).alias("typed"))
+    # every known spelling is dealt to a conversation by its number; the data's
+    # own keys are names that no alias knows
+    spelled = F.element_at(F.array(*[F.lit(a) for a in SHOW_ALIASES]),
+                           (F.col("episode") % len(SHOW_ALIASES) + 1).cast("int"))
+    name = F.explode(F.array(spelled, F.col("show_key")))
+    typed = dialogue(spark, sf_dir).select(name.alias("name")).distinct().select(
+        F.concat(F.lit("  "), F.upper("name"), F.lit(" ")).alias("typed"))
     res = D.resolve_alias("typed")
     return typed.select("typed", res.alias("resolved_key"),
                         D.display_name(F.coalesce(res, F.lower(F.trim("typed")))).alias("show_name"))
@@ -127,7 +132,8 @@ def q_index_roundtrip(spark, sf_dir):
 
 
 def q_line_context(spark, sf_dir):
-    return D.line_context(dialogue(spark, sf_dir))
+    # numbered with gaps: neighbours are the next lines, not the next numbers
+    return D.line_context(dialogue(spark, sf_dir).withColumn("line_no", F.col("line_no") * 3))
 
 
 def q_character_line_counts(spark, sf_dir):
@@ -150,6 +156,10 @@ def q_character_documents(spark, sf_dir):
     return D.character_texts(dialogue(spark, sf_dir))
 
 
+def q_character_terms(spark, sf_dir):
+    return D.character_terms(dialogue(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------
 # Text (T1-T25) and queries
 # ---------------------------------------------------------------------------
@@ -356,7 +366,7 @@ def line_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line vectors written once per session, partitioned by character."""
     key = _key(spark, sf_dir, "vectors")
     if key not in _CACHE:
-        _CACHE[key] = V.materialize_vectors(spark, adapters.line_vectors(spark, sf_dir)).drop("norm")
+        _CACHE[key] = V.materialize_vectors(spark, adapters.line_vectors(spark, sf_dir))
     return _CACHE[key]
 
 
@@ -392,6 +402,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "first_characters": q_first_characters,
     "eligible_characters": q_eligible_characters,
     "character_documents": q_character_documents,
+    "character_terms": q_character_terms,
     "normalize_search": q_normalize_search,
     "tokenize_search": q_tokenize_search,
     "normalize_classifier": q_normalize_classifier,

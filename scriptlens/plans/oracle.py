@@ -206,7 +206,7 @@ def _char_texts_ctes() -> str:
     cj AS (SELECT show_key, character_key, string_agg(clean, ' ' ORDER BY line_no) AS allt
            FROM cl WHERE clean <> '' GROUP BY ALL),
     ctext AS (SELECT cn.show_key, cn.character_key, cn.n_lines,
-                     coalesce({S.first_words(S.strip('cj.allt'), 500)}, '') AS text
+                     coalesce({S.strip('cj.allt')}, '') AS text
               FROM cn LEFT JOIN cj ON cj.show_key = cn.show_key AND cj.character_key = cn.character_key)"""
 
 
@@ -270,7 +270,7 @@ def all_sql() -> dict[str, str]:
     from ..functions.wordlists import SHOW_ALIASES, SHOW_NAMES
     alias_case = " ".join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, v in SHOW_ALIASES.items())
     name_case = " ".join(f"WHEN {S.lit(k)} THEN {S.lit(v)}" for k, v in SHOW_NAMES.items())
-    out["alias_resolution"] = f"""{_with(dl, "typed AS (SELECT DISTINCT '  ' || upper(show_key) || ' ' AS typed FROM lines)")}
+    out["alias_resolution"] = f"""{_with(dl, f"typed AS (SELECT DISTINCT '  ' || upper(unnest([list_extract([{', '.join(S.lit(a) for a in SHOW_ALIASES)}], episode % {len(SHOW_ALIASES)} + 1), show_key])) || ' ' AS typed FROM lines)")}
     SELECT typed, CASE lower({S.strip('typed')}) {alias_case} END AS resolved_key,
            coalesce(CASE coalesce(CASE lower({S.strip('typed')}) {alias_case} END, lower(trim(typed))) {name_case} END,
                     coalesce(CASE lower({S.strip('typed')}) {alias_case} END, lower(trim(typed)))) AS show_name
@@ -299,14 +299,10 @@ def all_sql() -> dict[str, str]:
     FROM post GROUP BY show_key"""
 
     out["line_context"] = f"""{_with(dl)}
-    SELECT a.show_key, a.season, a.episode, a.episode_title, a.line_no, a.character, a.dialogue,
-           p.character AS prev_character, p.dialogue AS prev_dialogue,
-           n.character AS next_character, n.dialogue AS next_dialogue
-    FROM lines a
-    LEFT JOIN lines p ON p.show_key = a.show_key AND p.season = a.season AND p.episode = a.episode
-                     AND p.episode_title = a.episode_title AND p.line_no = a.line_no - 1
-    LEFT JOIN lines n ON n.show_key = a.show_key AND n.season = a.season AND n.episode = a.episode
-                     AND n.episode_title = a.episode_title AND n.line_no = a.line_no + 1"""
+    SELECT show_key, season, episode, episode_title, line_no * 3 AS line_no, character, dialogue,
+           lag(character) OVER doc AS prev_character, lag(dialogue) OVER doc AS prev_dialogue,
+           lead(character) OVER doc AS next_character, lead(dialogue) OVER doc AS next_dialogue
+    FROM lines WINDOW doc AS (PARTITION BY show_key, season, episode, episode_title ORDER BY line_no)"""
 
     counts = "SELECT show_key, character, CAST(count(*) AS BIGINT) AS n_lines FROM lines WHERE character IS NOT NULL GROUP BY ALL"
     out["character_line_counts"] = f"{_with(dl)} {counts}"
@@ -320,6 +316,11 @@ def all_sql() -> dict[str, str]:
     out["eligible_characters"] = f"{_with(*_style_ctes())} SELECT character, n_lines FROM elig"
     out["character_documents"] = f"{_with(dl, _char_texts_ctes())} SELECT * FROM ctext"
 
+    out["character_terms"] = f"""{_with(dl)}
+    SELECT show_key, character_key, term, CAST(count(*) AS BIGINT) AS cnt
+    FROM (SELECT show_key, lower(character) AS character_key, unnest({S.vectorizer_tokens(S.normalize_classifier('dialogue'))}) AS term
+          FROM lines WHERE character IS NOT NULL) GROUP BY ALL"""
+
     out["normalize_search"] = f"SELECT doc_id, {S.normalize_search('text')} AS text FROM documents"
     out["tokenize_search"] = f"SELECT doc_id, {S.search_tokens('text')} AS tokens FROM documents"
     out["normalize_classifier"] = f"{_with(S.posts_cte())} SELECT row_id, {S.normalize_classifier('posts', True)} AS text FROM posts"
@@ -419,7 +420,7 @@ def all_sql() -> dict[str, str]:
     FROM cnt c JOIN ctypes t ON t.show_key = c.show_key AND t.character_key = lower(c.character)
     QUALIFY count_rank <= 2"""
     qtexts = f"""SELECT l.show_key || ':' || CAST(l.line_no AS VARCHAR) AS id,
-                 {S.first_words(S.normalize_classifier('l.dialogue'), 500)} AS text
+                 {S.normalize_classifier('l.dialogue')} AS text
                  FROM lines l JOIN ctypes t ON t.show_key = l.show_key AND t.character_key = lower(l.character)"""
     match = " + ".join(
         f"(CASE WHEN substr(t.mbti, {i + 1}, 1) = '{p}' THEN w.p_{d} ELSE 1.0 - w.p_{d} END)"

@@ -269,8 +269,8 @@ def line_vectors_cte() -> str:
     return """
     line_vecs AS (
       SELECT 'speaker_' || CAST(e.label AS VARCHAR) AS character, CAST(e.vec_id AS BIGINT) AS line_id,
-             d.text AS dialogue, e.embedding
-      FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id)"""
+             coalesce(d.text, 'line ' || CAST(e.vec_id AS VARCHAR)) AS dialogue, e.embedding
+      FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id)"""
 
 
 def values_queries(queries) -> str:

@@ -53,6 +53,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not current:
         current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         local = tempfile.mkdtemp(prefix="scriptlens-ckpt-")
         sc.setCheckpointDir(local)
         current = sc.getCheckpointDir() or local

@@ -4,7 +4,7 @@
   conversation, five shows, file order = (conv_id, turn)).
 * ``document_lines``: ``documents`` as one-line episodes, one show per language.
 * ``posts``: ``documents`` joined with ``labels``; a four-letter type per row.
-* ``line_vectors``: ``embeddings`` joined with ``documents`` for the line text.
+* ``line_vectors``: ``embeddings`` with the text of their document, if there is one.
 
 All are plain DataFrame plans over the Parquet scans, so Catalyst prunes
 columns and pushes filters into the scans.
@@ -92,9 +92,10 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = table(spark, sf_dir, "embeddings")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    return emb.join(docs, "vec_id").select(
+    # every vector is a line; one without a document is named by its number
+    return emb.join(docs, "vec_id", "left").select(
         F.concat(F.lit("speaker_"), F.col("label").cast("string")).alias("character"),
         F.col("vec_id").alias("line_id"),
-        F.col("text").alias("dialogue"),
+        F.coalesce("text", F.concat(F.lit("line "), F.col("vec_id").cast("string"))).alias("dialogue"),
         "embedding",
     )
