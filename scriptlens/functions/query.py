@@ -49,24 +49,6 @@ def parse_query(q) -> Column:
     return F.struct(query_type(q).alias("type"), query_parts(q).alias("terms"))
 
 
-def contains_any(text_lower, parts) -> Column:
-    """Some part is a substring (an empty list matches nothing)."""
-    return F.exists(_col(parts), lambda p: F.contains(_col(text_lower), p))
-
-
-def contains_all(text_lower, parts) -> Column:
-    """P5: every part is a substring (an empty list matches everything)."""
-    return F.forall(_col(parts), lambda p: F.contains(_col(text_lower), p))
-
-
-def matches(text_lower, qtype, parts) -> Column:
-    """P4-P6 dispatched on the parsed query type."""
-    return (
-        F.when(_col(qtype) == "and", contains_all(text_lower, parts))
-        .otherwise(contains_any(text_lower, parts))
-    )
-
-
 def title_hits(title, parts) -> Column:
     """Number of display parts found in the lower-cased title (repeats count)."""
     t = F.lower(F.coalesce(_col(title), F.lit("")))

@@ -195,12 +195,6 @@ def characters_in_results(lines: DataFrame, model: TraitModel, results: DataFram
     )
 
 
-def for_character(df: DataFrame, show_key: str, name: str) -> DataFrame:
-    """P8 + P9: rows of one show and one character name, case-insensitive
-    (no trimming), on any table with ``show_key`` and ``character_key``."""
-    return df.where((F.col("show_key") == show_key) & (F.col("character_key") == name.lower()))
-
-
 def character_lookup(requests: DataFrame, types: DataFrame) -> DataFrame:
     """P16 + P17: (request_id, show_key, character) requests joined to the
     predicted types; ``success`` and an ``error`` text for unknown names."""

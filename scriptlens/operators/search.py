@@ -6,13 +6,12 @@ Plan shape for a query table ``Q`` (query_id, query):
    column expressions (P7, T12, T14, T26); checkpointed once (tiny, read by
    every later step). ``query_bounds`` gives the sizes that decide broadcasts
    (from the strings themselves for literal queries).
-2. ``matched_documents``: lines ⋈ parts on ``contains``. Few parts: a
-   broadcast nested-loop join over the bounded parts. Many parts: one
-   Aho-Corasick pass per text (``mapInPandas``), hits de-duplicated per
-   (document, part) and joined back to the queries on a part id. Per (query,
-   document) the hit parts are counted with partial aggregation (a bitmask
-   ``bit_or`` when queries have at most 63 parts), so a document with very
-   many lines is spread over tasks.
+2. ``matched_documents``: parts of a few literal queries (and parts under three
+   characters) are literal filters on the scan. Parts of a query batch are
+   anchored by one of their trigrams: a text's trigrams are cut to the anchors
+   before anything moves, joined to the parts and verified with ``contains``.
+   Per (query, document) the distinct hit parts are counted with partial
+   aggregation, so a document with very many lines is spread over tasks.
 3. ``bm25_scores``: postings ⋈ broadcast(query terms) with ``term IN (...)``
    pushed into the scans for small query sets, per-show statistics ⋈
    broadcast, grouped sum (M1). The index is independent of the title weight.
@@ -25,12 +24,12 @@ Plan shape for a query table ``Q`` (query_id, query):
 
 from __future__ import annotations
 
-import math
+import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..functions.query import display_parts, query_parts, query_type, title_hits
 from ..functions.snippet import LINE_BREAKS, SENTENCE_END, highlight
@@ -43,7 +42,7 @@ from ..functions.wordlists import (
     DEFAULT_TITLE_WEIGHT,
     DEFAULT_TOP_K,
 )
-from ..session import MAX_BROADCAST_ROWS, bounded_broadcast, checked_broadcast, materialize
+from ..session import bounded_broadcast, checked_broadcast, materialize
 from .index import DOC_KEYS, CorpusIndex
 
 RESULT_COLUMNS = ["season", "episode", "episode_title", "relevance_score", "snippet_highlight"]
@@ -83,7 +82,6 @@ class QueryBounds:
     queries: int
     parts: int
     tokens: int
-    max_parts: int = 1 << 30
 
 
 def query_bounds(prepared: DataFrame, literal: list[str] | None = None) -> QueryBounds:
@@ -91,15 +89,13 @@ def query_bounds(prepared: DataFrame, literal: list[str] | None = None) -> Query
     tokens <= characters + 1), else one aggregate job over the query table."""
     if literal is not None:
         per_query = [max(q.count("&"), q.count("/")) + 1 for q in literal]
-        return QueryBounds(len(literal), sum(per_query), sum(len(q) + 1 for q in literal),
-                           max(per_query, default=0))
+        return QueryBounds(len(literal), sum(per_query), sum(len(q) + 1 for q in literal))
     r = prepared.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.size("parts") + 1).alias("p"),
         F.sum(F.size("qtokens")).alias("t"),
-        F.max(F.size("parts") + 1).alias("m"),
     ).first()
-    return QueryBounds(int(r["n"] or 0), int(r["p"] or 0), int(r["t"] or 0), int(r["m"] or 0))
+    return QueryBounds(int(r["n"] or 0), int(r["p"] or 0), int(r["t"] or 0))
 
 
 def _literal(queries) -> list[str] | None:
@@ -116,140 +112,94 @@ def _searchable_text(lines: DataFrame) -> Column:
     return F.lower(F.concat(F.coalesce(F.col("dialogue"), F.lit("")), F.coalesce(tail, F.lit(""))))
 
 
-def contains_join(left: DataFrame, text_col: str, parts: DataFrame, part_col: str,
-                  max_rows: int = MAX_BROADCAST_ROWS, bound: int | None = None) -> DataFrame:
-    """``left ⋈ parts ON contains(left.text, parts.part)`` with a bounded broadcast.
-
-    No equi-key exists for substring containment, so each side of bounded size
-    is broadcast (nested loop over a small side). When ``parts`` exceeds the
-    bound it is cut into chunks of about ``max_rows // 2`` rows by a hash of
-    all its columns, and the chunk joins are unioned.
-    """
-    cond = F.contains(F.col(text_col), F.col(part_col))
-    if bound is not None:
-        side, ok = bounded_broadcast(parts, bound, max_rows)
-    else:
-        side, ok = checked_broadcast(parts, max_rows)
-    if ok:
-        return left.join(side, cond)
-    n = parts.count()
-    chunks = max(2, math.ceil(2 * n / max_rows))
-    tagged = parts.withColumn("_chunk", F.pmod(F.xxhash64(*parts.columns), F.lit(chunks)))
-    out = None
-    for i in range(chunks):
-        piece = left.join(F.broadcast(tagged.where(F.col("_chunk") == i).drop("_chunk")), cond)
-        out = piece if out is None else out.unionByName(piece)
-    return out
-
-
 # Query sets with at most this many tokens push their terms into the index scans.
 PUSHDOWN_MAX_TERMS = 1000
-# Above this many distinct parts, texts are scanned once for all parts with an
-# Aho-Corasick automaton instead of one ``contains`` per (text, part) pair.
-AC_MIN_PARTS = 16
-# Distinct parts per automaton (each chunk is one more pass over the texts).
-AC_MAX_PARTS = 200_000
-
-
-def _ac_scan(text: DataFrame, key_cols: list[str], parts: list[str]) -> DataFrame:
-    """(key_cols..., pid) for every text holding ``parts[pid]`` (lower-case texts).
-
-    One pass per text with a multi-pattern automaton built in each task from
-    the (bounded) part list; Arrow batches in and out.
-    """
-    schema = text.select(*key_cols).schema.add("pid", IntegerType(), False)
-
-    def scan(batches):
-        import ahocorasick
-        import pandas as pd
-
-        auto = ahocorasick.Automaton()
-        for i, p in enumerate(parts):
-            auto.add_word(p, i)
-        auto.make_automaton()
-        for pdf in batches:
-            rows, pids = [], []
-            for i, t in enumerate(pdf["_text"].tolist()):
-                if t:
-                    for pid in {v for _, v in auto.iter(t)}:
-                        rows.append(i)
-                        pids.append(pid)
-            out = pdf.iloc[rows][key_cols].reset_index(drop=True)
-            out["pid"] = pd.Series(pids, dtype="int32")
-            yield out
-
-    return text.mapInPandas(scan, schema)
-
-
-def _have_automaton() -> bool:
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return False
-    return True
-
-
-def part_hits(text: DataFrame, key_cols: list[str], qp: DataFrame, n_parts_bound: int) -> DataFrame:
+# Parts of a handful of literal queries: tested as literals on the scan.
+FEW_PARTS = 16
+# Shortest part that has an anchor trigram; shorter ones are tested as literals.
+ANCHOR_CHARS = 3
+# Distinct parts matched by one pass over the texts: a literal array of their
+# anchors and a broadcast table of the parts.
+PARTS_PER_PASS = 5_000
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct overlapping three-character pieces of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
+
+
+def match_parts(prepared: DataFrame) -> DataFrame:
+    """One row per (query, part). An AND without parts matches everything: its
+    part is the empty string, which is in every text."""
+    parts = F.when((F.col("qtype") == "and") & (F.size("parts") == 0), F.array(F.lit(""))).otherwise(F.col("parts"))
+    return prepared.select("query_id", "qtype", F.size(parts).alias("n_parts"),
+                           F.posexplode(parts).alias("part_idx", "part"))
+
+
+def literal_hits(text: DataFrame, key_cols: list[str], rows: list) -> DataFrame:
+    """Hits of a few parts known on the driver: literal filters on the scan, no
+    join and no exchange."""
+    found = F.array(*[
+        F.when(F.contains(F.col("_text"), F.lit(r["part"])), F.struct(
+            F.lit(r["query_id"]).cast("bigint").alias("query_id"), F.lit(r["qtype"]).alias("qtype"),
+            F.lit(r["n_parts"]).alias("n_parts"), F.lit(r["part_idx"]).alias("part_idx"))) for r in rows])
+    return (text.select(*key_cols, F.explode(F.filter(found, lambda h: h.isNotNull())).alias("h"))
+            .select(*key_cols, "h.query_id", "h.qtype", "h.n_parts", "h.part_idx"))
+
+
+def anchored_hits(text: DataFrame, key_cols: list[str], rows: list) -> DataFrame:
+    """Hits of many parts: each is anchored by one of its trigrams. A text's
+    distinct trigrams are cut to the anchors where they are made, so only texts
+    that hold an anchor go on to the equi-join, and ``contains`` decides."""
+    spark = text.sparkSession
+    anchored = []
+    for r in rows:
+        pieces = {r["part"][i:i + 3] for i in range(len(r["part"]) - 2)}
+        # one anchor per part, the same for every query that has the part
+        anchored.append((r["query_id"], r["qtype"], r["n_parts"], r["part_idx"], r["part"],
+                         min(pieces, key=lambda x: (hash_text(x), x))))
+    parts = spark.createDataFrame(
+        anchored, "query_id bigint, qtype string, n_parts int, part_idx int, part string, anchor string")
+    anchors = F.array(*[F.lit(a) for a in sorted({x[5] for x in anchored})])
+    held = text.select(*key_cols, "_text", F.explode(F.array_intersect(trigrams(F.col("_text")), anchors)).alias("anchor"))
+    return (held.join(F.broadcast(parts), "anchor").where(F.contains("_text", F.col("part")))
+            .select(*key_cols, "query_id", "qtype", "n_parts", "part_idx"))
+
+
+def hash_text(s: str) -> int:
+    return zlib.crc32(s.encode("utf-8", "surrogatepass"))
+
+
+def part_hits(text: DataFrame, key_cols: list[str], qp: DataFrame) -> DataFrame:
     """(key_cols..., query_id, qtype, n_parts, part_idx) for every text holding a part.
 
-    ``qp`` holds one row per (query, part); its size is bounded by the query
-    table. Few parts: a broadcast nested-loop join on ``contains``. Many
-    parts: distinct non-empty parts get ids, texts are scanned with an
-    automaton per chunk of ids, and hits join back to (query, part) on the id
-    (an equi-join). The empty part (an empty phrase, an AND without parts)
-    matches every text and keeps the ``contains`` path.
+    ``qp`` has one row per (query, part); query tables are batches of stated
+    size. They are read in passes of ``PARTS_PER_PASS`` parts, each of them one
+    scan of the texts.
     """
-    if n_parts_bound <= AC_MIN_PARTS or not _have_automaton():
-        return contains_join(text, "_text", qp, "part", bound=n_parts_bound)
-    spark = qp.sparkSession
-    # ids for the distinct non-empty parts: zipWithIndex numbers them without
-    # gathering them anywhere; only one chunk of parts at a time is brought to
-    # the driver to build the automaton shipped with the scan tasks
-    distinct_parts = qp.select("part").where(F.col("part") != "").distinct()
-    ids = spark.createDataFrame(
-        distinct_parts.rdd.zipWithIndex().map(lambda r: (int(r[1]), r[0][0])), "pid int, part string")
-    ids = materialize(ids)
-    n_distinct = ids.count()
-    qp_ids, _ = bounded_broadcast(qp.join(ids, "part"), n_parts_bound)
-    out = None
-    for start in range(0, n_distinct, AC_MAX_PARTS):
-        chunk_rows = ids.where((F.col("pid") >= start) & (F.col("pid") < start + AC_MAX_PARTS)).collect()
-        chunk = [None] * len(chunk_rows)
-        for r in chunk_rows:
-            chunk[r.pid - start] = r.part
-        hits = _ac_scan(text, key_cols, chunk).withColumn("pid", F.col("pid") + F.lit(start))
-        # one row per (document, part) before fanning out to the queries that
-        # use the part (lines of one document often repeat a part)
-        piece = hits.distinct().join(qp_ids, "pid").drop("pid", "part")
-        out = piece if out is None else out.unionByName(piece)
-    empty = qp.where(F.col("part") == "")
-    empty_hits = contains_join(text, "_text", empty, "part", bound=n_parts_bound).drop("_text", "part")
-    cols = [*key_cols, "query_id", "qtype", "n_parts", "part_idx"]
-    if out is None:
-        return empty_hits.select(*cols)
-    return out.select(*cols).unionByName(empty_hits.select(*cols))
-
-
-def matched_documents(lines: DataFrame, prepared: DataFrame, bounds: QueryBounds | None = None) -> DataFrame:
+    rows = qp.orderBy("part", "query_id", "part_idx").collect()
+    hits = []
+    few = len(rows) <= FEW_PARTS
+    short = [r for r in rows if few or len(r["part"]) < ANCHOR_CHARS]
+    long = [r for r in rows if not few and len(r["part"]) >= ANCHOR_CHARS]
+    for lo in range(0, len(short), 64):
+        hits.append(literal_hits(text, key_cols, short[lo:lo + 64]))
+    for lo in range(0, len(long), PARTS_PER_PASS):
+        hits.append(anchored_hits(text, key_cols, long[lo:lo + PARTS_PER_PASS]))
+    if not hits:
+        return text.where("false").select(*key_cols, *[F.lit(None).cast(t).alias(c) for c, t in (
+            ("query_id", "bigint"), ("qtype", "string"), ("n_parts", "int"), ("part_idx", "int"))])
+    return reduce(DataFrame.unionByName, hits)
+
+
+def matched_documents(lines: DataFrame, prepared: DataFrame) -> DataFrame:
     """(query_id, document keys) of documents matching each query."""
-    # An AND without parts matches everything: the empty string is in every text.
-    match_parts = F.when((F.col("qtype") == "and") & (F.size("parts") == 0), F.array(F.lit(""))) \
-        .otherwise(F.col("parts"))
-    qp = prepared.select(
-        "query_id", "qtype", F.size(match_parts).alias("n_parts"),
-        F.posexplode(match_parts).alias("part_idx", "part"),
-    )
-    n_parts = bounds.parts if bounds is not None else qp.count()
-    max_parts = bounds.max_parts if bounds is not None else n_parts
     text = lines.select(*DOC_KEYS, _searchable_text(lines).alias("_text"))
-    hits = part_hits(text, DOC_KEYS, qp, n_parts)
+    hits = part_hits(text, DOC_KEYS, match_parts(prepared))
     keys = ["query_id", "qtype", "n_parts", *DOC_KEYS]
-    if max_parts <= 63:
-        # every query has at most 63 parts: one partial-aggregated OR of bits
-        mask = F.bit_or(F.expr("shiftleft(CAST(1 AS BIGINT), part_idx)"))
-        per_doc = hits.groupBy(*keys).agg(F.bit_count(mask).cast("int").alias("n_hit"))
-    else:
-        per_doc = hits.groupBy(*keys).agg(F.countDistinct("part_idx").alias("n_hit"))
+    # distinct parts per (query, document): partial aggregation, a document with
+    # very many lines is spread over tasks
+    per_doc = hits.select(*keys, "part_idx").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hit"))
     ok = F.when(F.col("qtype") == "and", F.col("n_hit") == F.col("n_parts")).otherwise(F.col("n_hit") >= 1)
     return per_doc.where(ok).select("query_id", *DOC_KEYS)
 
@@ -323,7 +273,7 @@ def ranked_matches(index: CorpusIndex, prepared: DataFrame,
                    title_weight: float = DEFAULT_TITLE_WEIGHT, bounds: QueryBounds | None = None) -> DataFrame:
     """Every matched document with its BM25, title boost and relevance (M2 before top-k)."""
     bounds = bounds or query_bounds(prepared)
-    matched = matched_documents(index.lines, prepared, bounds)
+    matched = matched_documents(index.lines, prepared)
     scores = bm25_scores(index, prepared, title_weight, bounds=bounds)
     dparts_b, _ = bounded_broadcast(prepared.select("query_id", "dparts"), bounds.queries)
     boost = title_hits("episode_title", "dparts") * F.lit(2.0 * float(title_weight))
@@ -427,6 +377,9 @@ def for_shows(index: CorpusIndex, show_keys) -> CorpusIndex:
     """The index restricted to some shows. ``show_key`` is the partition
     column of the written line table, so the scans prune whole folders."""
     keys = [show_keys] if isinstance(show_keys, str) else list(show_keys)
+    known = {r["show_key"] for r in index.show_stats.where(F.col("show_key").isin(keys)).select("show_key").collect()}
+    if unknown := sorted(set(keys) - known):
+        raise ValueError(f"unknown show: {', '.join(unknown)}")
     cond = F.col("show_key").isin(keys)
     return CorpusIndex(index.postings.where(cond), index.doc_len.where(cond), index.term_stats.where(cond),
                        index.show_stats.where(cond), index.lines.where(cond), len(keys))

@@ -44,6 +44,8 @@ DOC_QUERIES = ["ertion", "erth&ouen", "thth/ouen", "the", "Ertion tien"]
 DIALOGUE_QUERIES = ["ouen", "thth/ouen", "erth&ouen", "the"]
 SNIPPET_QUERY = "ouen/thth"
 MOMENT_QUERY = "ouen"
+MARKED_HEAD = "See https://example.org/a?b=1 INTJ enfp Sheldon "
+MARKED_TAIL = " Leonard www.example.com/x istj. Sheldon said http://t.co/z"
 STYLE_SENTENCE = "This is illogical."
 STYLE_MIN_LINES = 45
 
@@ -167,6 +169,16 @@ def q_normalize_search(spark, sf_dir):
     return adapters.table(spark, sf_dir, "documents").select("doc_id", normalize_search("text").alias("text"))
 
 
+def q_normalize_marked(spark, sf_dir):
+    """Every document's own text with a URL, type words
+    and names put in, through the three normalisers."""
+    marked = F.concat(F.lit(MARKED_HEAD), F.coalesce("text", F.lit("")), F.lit(MARKED_TAIL))
+    docs = adapters.table(spark, sf_dir, "documents").select("doc_id", marked.alias("text"))
+    return docs.select("doc_id", normalize_search("text").alias("search"), search_tokens("text").alias("tokens"),
+                       normalize_classifier("text", True).alias("classifier"),
+                       normalize_baseline("text", True).alias("baseline"))
+
+
 def q_tokenize_search(spark, sf_dir):
     return adapters.table(spark, sf_dir, "documents").select("doc_id", search_tokens("text").alias("tokens"))
 
@@ -193,6 +205,12 @@ def _title_queries(spark, sf_dir) -> DataFrame:
     ).select((F.col("episode") * 3 + F.col("q.form")).alias("query_id"), F.col("q.query").alias("query"))
 
 
+def _batch_queries(spark, sf_dir) -> DataFrame:
+    """The query batch of the batch searches: the titles of every conversation
+    whose id is divisible by 100 (the stated query set), against all documents."""
+    return _title_queries(spark, sf_dir).where(F.col("query_id") % 300 < 3)
+
+
 def q_query_parse(spark, sf_dir):
     q = _title_queries(spark, sf_dir)
     p = parse_query("query")
@@ -202,8 +220,7 @@ def q_query_parse(spark, sf_dir):
 
 def _match(spark, sf_dir, query):
     prepared = prepare_queries(query_table(spark, [query]))
-    bounds = query_bounds(prepared, [query])
-    return matched_documents(documents(spark, sf_dir), prepared, bounds).select("query_id", "show_key", "episode")
+    return matched_documents(documents(spark, sf_dir), prepared).select("query_id", "show_key", "episode")
 
 
 def q_match_phrase(spark, sf_dir):
@@ -219,9 +236,8 @@ def q_match_or(spark, sf_dir):
 
 
 def q_match_batch(spark, sf_dir):
-    prepared = prepare_queries(_title_queries(spark, sf_dir))
-    bounds = query_bounds(prepared)
-    return matched_documents(documents(spark, sf_dir), prepared, bounds).select("query_id", "show_key", "episode")
+    prepared = prepare_queries(_batch_queries(spark, sf_dir))
+    return matched_documents(documents(spark, sf_dir), prepared).select("query_id", "show_key", "episode")
 
 
 # ---------------------------------------------------------------------------
@@ -264,9 +280,15 @@ def q_search_title_weight0(spark, sf_dir):
     return search(spark, idx, DIALOGUE_QUERIES, 3, 0)
 
 
+def q_search_one_show(spark, sf_dir):
+    """One show only; the scans prune to its folder."""
+    idx = corpus_index(spark, sf_dir, "dialogue")
+    return search(spark, idx, DIALOGUE_QUERIES, 3, DEFAULT_TITLE_WEIGHT, show_keys="show1")
+
+
 def q_search_batch(spark, sf_dir):
     idx = corpus_index(spark, sf_dir, "dialogue")
-    return search(spark, idx, _title_queries(spark, sf_dir), 3, DEFAULT_TITLE_WEIGHT)
+    return search(spark, idx, _batch_queries(spark, sf_dir), 3, DEFAULT_TITLE_WEIGHT)
 
 
 def q_snippets(spark, sf_dir):
@@ -342,6 +364,26 @@ def q_character_types(spark, sf_dir):
     return P.character_types(dialogue(spark, sf_dir), trait_model(spark, sf_dir))
 
 
+def q_character_lookup(spark, sf_dir):
+    """Every character of every show asked for by its upper-cased
+    name, and a name that no show has."""
+    lines = dialogue(spark, sf_dir)
+    types = P.character_types(lines, trait_model(spark, sf_dir))
+    names = lines.where(F.col("character").isNotNull()).select("show_key", F.upper("character").alias("character"))
+    asked = names.unionByName(names.select("show_key", F.lit("Nobody").alias("character"))).distinct()
+    asked = asked.withColumn("request_id", F.concat_ws("/", "show_key", "character"))
+    return P.character_lookup(asked, types).select("request_id", "success", "error", "mbti", "n_lines")
+
+
+def q_probability_map(spark, sf_dir):
+    """Each axis's letters with their probabilities, likeliest first."""
+    types = P.probability_map(P.character_types(dialogue(spark, sf_dir), trait_model(spark, sf_dir)))
+    return types.select("show_key", "character_key", F.explode("probabilities").alias("axis", "letters"),
+                        F.array_join("letters_by_probability", ",").alias("order")).select(
+        "show_key", "character_key", "axis", F.explode("letters").alias("letter", "p"), "order").withColumn(
+        "p", F.round("p", 6))
+
+
 def q_show_personalities(spark, sf_dir):
     return P.show_personalities(dialogue(spark, sf_dir), trait_model(spark, sf_dir), 2)
 
@@ -405,6 +447,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "character_terms": q_character_terms,
     "normalize_search": q_normalize_search,
     "tokenize_search": q_tokenize_search,
+    "normalize_marked": q_normalize_marked,
     "normalize_classifier": q_normalize_classifier,
     "normalize_baseline": q_normalize_baseline,
     "query_parse": q_query_parse,
@@ -419,6 +462,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_episodes": q_search_episodes,
     "search_all_shows": q_search_all_shows,
     "search_title_weight0": q_search_title_weight0,
+    "search_one_show": q_search_one_show,
     "search_batch": q_search_batch,
     "snippets": q_snippets,
     "label_encode": q_label_encode,
@@ -430,6 +474,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nb_cv_accuracy": q_nb_cv_accuracy,
     "eval_metrics": q_eval_metrics,
     "character_types": q_character_types,
+    "character_lookup": q_character_lookup,
+    "probability_map": q_probability_map,
     "show_personalities": q_show_personalities,
     "quote_scores": q_quote_scores,
     "character_moments": q_character_moments,

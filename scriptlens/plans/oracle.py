@@ -100,6 +100,12 @@ def _title_queries_cte() -> str:
         UNION ALL SELECT episode, 2, replace(episode_title, ' ', '/') FROM titles))"""
 
 
+def _batch_queries_cte() -> str:
+    """Title queries of the conversations whose id is divisible by 100."""
+    cte = _title_queries_cte().strip().rstrip(",")
+    return cte.replace("q AS (", "q AS (SELECT * FROM (", 1) + " WHERE query_id % 300 < 3)"
+
+
 def _matched_sql(lines_cte: str, q_cte: str) -> str:
     raw = "lower(d.body || ' ' || d.episode_title)"
     return f"""{_with(lines_cte, _docs_cte(), q_cte,
@@ -323,6 +329,9 @@ def all_sql() -> dict[str, str]:
 
     out["normalize_search"] = f"SELECT doc_id, {S.normalize_search('text')} AS text FROM documents"
     out["tokenize_search"] = f"SELECT doc_id, {S.search_tokens('text')} AS tokens FROM documents"
+    mk = f"({S.lit(CT.MARKED_HEAD)} || coalesce(text, '') || {S.lit(CT.MARKED_TAIL)})"
+    out["normalize_marked"] = f"""SELECT doc_id, {S.normalize_search(mk)} AS search, {S.search_tokens(mk)} AS tokens,
+           {S.normalize_classifier(mk, True)} AS classifier, {S.normalize_baseline(mk, True)} AS baseline FROM documents"""
     out["normalize_classifier"] = f"{_with(S.posts_cte())} SELECT row_id, {S.normalize_classifier('posts', True)} AS text FROM posts"
     out["normalize_baseline"] = f"{_with(S.posts_cte())} SELECT row_id, {S.normalize_baseline('posts', True)} AS text FROM posts"
 
@@ -333,7 +342,7 @@ def all_sql() -> dict[str, str]:
     out["match_and"] = _matched_sql(dc, S.values_queries(["erth&ouen"]))
     out["match_or"] = _matched_sql(dc, S.values_queries(["thth/ouen"]))
     out["match_batch"] = _matched_sql(dc + ",\n" + dl.replace("lines AS (", "dlines AS (").replace("first_turn", "ft2"),
-                                      _title_queries_cte().replace("FROM lines", "FROM dlines"))
+                                      _batch_queries_cte().replace("FROM lines", "FROM dlines"))
 
     sep = f"""sep AS (SELECT {DOC_KEYS}, unnest({S.search_tokens('body')}) AS term, 1 AS b, 0 AS t FROM docs
             UNION ALL SELECT {DOC_KEYS}, unnest({S.search_tokens('episode_title')}), 0, 1 FROM docs),
@@ -359,9 +368,10 @@ def all_sql() -> dict[str, str]:
 
     out["search_episodes"] = search_sql(dc, CT.DOC_QUERIES, K, TW)
     out["search_all_shows"] = search_sql(dl, CT.DIALOGUE_QUERIES, K, TW, overall=True)
+    out["search_one_show"] = f"SELECT * FROM ({search_sql(dl, CT.DIALOGUE_QUERIES, 3, TW)}) WHERE show_key = 'show1'"
     out["search_title_weight0"] = search_sql(dl, CT.DIALOGUE_QUERIES, 3, 0)
     bq = search_sql(dl, ["x"], 3, TW)
-    bq = bq.replace(S.values_queries(["x"]), _title_queries_cte().strip().rstrip(","))
+    bq = bq.replace(S.values_queries(["x"]), _batch_queries_cte().strip().rstrip(","))
     out["search_batch"] = bq
 
     parts = S.display_parts(S.lit(CT.SNIPPET_QUERY))
@@ -414,6 +424,22 @@ def all_sql() -> dict[str, str]:
     GROUP BY s.split, p.dim"""
 
     out["character_types"] = f"{_with(dl, *_char_types_ctes())} SELECT * FROM ctypes"
+    out["character_lookup"] = f"""{_with(dl, *_char_types_ctes())},
+    asked AS (SELECT DISTINCT show_key, unnest([upper(character), 'Nobody']) AS character FROM lines WHERE character IS NOT NULL)
+    SELECT a.show_key || '/' || a.character AS request_id, t.mbti IS NOT NULL AS success,
+           CASE WHEN t.mbti IS NULL THEN 'No dialogue found for ' || a.character || ' in ' || a.show_key END AS error,
+           t.mbti, t.n_lines
+    FROM asked a LEFT JOIN ctypes t ON t.show_key = a.show_key AND t.character_key = lower(a.character)"""
+    axes = " UNION ALL ".join(
+        f"SELECT show_key, character_key, '{d}' AS axis, '{n}' AS letter, 1.0 - p_{d} AS p FROM ctypes UNION ALL "
+        f"SELECT show_key, character_key, '{d}', '{p}', p_{d} FROM ctypes"
+        for d, p, n in [("EI", "E", "I"), ("SN", "S", "N"), ("TF", "T", "F"), ("JP", "J", "P")])
+    order = " || ',' || ".join(
+        f"CASE WHEN p_{d} >= 0.5 THEN '{p}{n}' ELSE '{n}{p}' END"
+        for d, p, n in [("EI", "E", "I"), ("SN", "S", "N"), ("TF", "T", "F"), ("JP", "J", "P")])
+    out["probability_map"] = f"""{_with(dl, *_char_types_ctes())}
+    SELECT x.show_key, x.character_key, x.axis, x.letter, round(x.p, 6) AS p, {order} AS "order"
+    FROM ({axes}) x JOIN ctypes t ON t.show_key = x.show_key AND t.character_key = x.character_key"""
     out["show_personalities"] = f"""{_with(dl, *_char_types_ctes(), f"cnt AS ({counts})")}
     SELECT c.show_key, c.character, c.n_lines,
            row_number() OVER (PARTITION BY c.show_key ORDER BY c.n_lines DESC, c.character) AS count_rank, t.mbti

@@ -9,6 +9,7 @@ and unions everything into one line table partitioned by ``show_key``.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +36,9 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 def read_show_csv(spark: SparkSession, path: str, show_key: str) -> DataFrame:
     """S1 + S2: one show's CSV with a fixed schema; ``ValueError`` on missing columns.
 
-    ``multiLine`` reads a file as one split, so ``monotonically_increasing_id``
-    numbers its lines in file order.
+    Lines are numbered by (file name, place in the file): ``multiLine`` reads a
+    file as one split, so ``monotonically_increasing_id`` rises within a file, and
+    one row per file gives the number its lines start from.
     """
     header = csv_header(spark, path)
     missing = sorted(set(REQUIRED_COLUMNS) - set(header))
@@ -44,11 +46,18 @@ def read_show_csv(spark: SparkSession, path: str, show_key: str) -> DataFrame:
         raise ValueError(f"{show_key}: missing columns {missing}")
     schema = T.StructType([LINE_SCHEMA[c] if c in LINE_SCHEMA.names else T.StructField(c, T.StringType())
                            for c in header])
-    df = spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
-    return df.select(
+    df = spark.read.schema(schema).options(**CSV_OPTIONS).csv(path).select(
+        *REQUIRED_COLUMNS, F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    files = df.groupBy("_file").agg(F.min("_at").alias("low"), F.count(F.lit(1)).alias("n")).orderBy("_file").collect()
+    shifts, before = {}, 0
+    for f in files:
+        shifts[f["_file"]] = before - f["low"]
+        before += f["n"]
+    starts = spark.createDataFrame(list(shifts.items()), "_file string, _shift bigint")
+    return df.join(starts, "_file").select(
         F.lit(show_key).alias("show_key"),
         "season", "episode", "episode_title",
-        F.monotonically_increasing_id().alias("line_no"),
+        (F.col("_at") + F.col("_shift")).alias("line_no"),
         "character", "dialogue",
     )
 
@@ -65,11 +74,11 @@ def ingest_csv_sources(spark: SparkSession, sources: dict[str, str] | str,
     for key, path in sorted(sources.items()):
         try:
             frames.append(read_show_csv(spark, path, key))
-        except Exception as e:  # noqa: BLE001 - a bad source is reported, not fatal (S11)
-            skipped.append((key, str(e).splitlines()[0][:200]))
+        except (ValueError, AnalysisException) as e:    # a bad source is reported, not fatal (S11)
+            skipped.append((key, str(e).splitlines()[0]))
     skipped_df = spark.createDataFrame(skipped, "source string, reason string")
     if not frames:
-        raise ValueError("No dialogue data loaded: every source was skipped.")
+        raise ValueError("every dialogue source was skipped: " + "; ".join(f"{k} ({r})" for k, r in skipped))
     lines = frames[0]
     for f in frames[1:]:
         lines = lines.unionByName(f, allowMissingColumns=True)

@@ -101,3 +101,44 @@ def test_csv_ingest_keeps_quoted_line_breaks(spark):
     want = sorted(r.dialogue for r in lines.collect())
     assert sorted(r.dialogue for r in got.collect()) == want
     assert got.where(F.col("dialogue").contains("\n")).count() > 0
+
+
+def test_words_past_the_500th_count(spark):
+    from scriptlens.operators.profiles import character_types
+    model = catalog.trait_model(spark, SF001)
+    # terms of the vocabulary that pull one axis to either side
+    pull = (model.logp.where("dim = 'EI'").groupBy("term").pivot("label", [0, 1]).agg(F.max("logp"))
+            .select("term", (F.col("1") - F.col("0")).alias("d")).orderBy("d").collect())
+    low, high = pull[0].term, pull[-1].term
+    rows = [("s", 1, 1, "t", k, "Ann", " ".join([low if k < 60 else high] * 10)) for k in range(600)]
+    lines = spark.createDataFrame(rows, "show_key string, season int, episode bigint, episode_title string, "
+                                        "line_no bigint, character string, dialogue string")
+    whole = character_types(lines, model).first()
+    cut = character_types(lines, model, max_words=500).first()
+    assert whole.n_lines == cut.n_lines == 600
+    assert whole.p_EI > cut.p_EI
+
+
+def test_line_context_over_gaps_and_null_keys(spark):
+    from scriptlens.operators.documents import line_context
+    rows = [("s", 1, 1, "a", 0, "x", "l0"), ("s", 1, 2, "b", 1, "y", "m0"), ("s", 1, 1, "a", 20_000, "z", "l1"),
+            ("s", 1, 1, "a", 20_001, "x", "l2"), ("s", None, 1, "a", 5, "q", "n0"), ("s", None, 1, "a", 9, "q", "n1")]
+    lines = spark.createDataFrame(rows, "show_key string, season int, episode bigint, episode_title string, "
+                                        "line_no bigint, character string, dialogue string")
+    got = {r.dialogue: (r.prev_dialogue, r.next_dialogue) for r in line_context(lines).collect()}
+    assert got == {"l0": (None, "l1"), "l1": ("l0", "l2"), "l2": ("l1", None), "m0": (None, None),
+                   "n0": (None, "n1"), "n1": ("n0", None)}
+
+
+def test_lines_of_two_files_are_numbered_by_file_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("season,episode,episode_title,character,dialogue\n1,1,t,c,first\n")
+    (tmp_path / "b.csv").write_text("season,episode,episode_title,character,dialogue\n"
+                                    + "".join(f'1,1,t,c,"b{k}\nmore"\n' for k in range(300)))
+    rows = read_show_csv(spark, str(tmp_path), "s").orderBy("line_no").collect()
+    assert [r.line_no for r in rows] == list(range(301))
+    assert [r.dialogue for r in rows][:3] == ["first", "b0\nmore", "b1\nmore"]
+
+
+def test_all_vectors_are_lines(spark):
+    assert adapters.line_vectors(spark, SF001).count() == spark.read.parquet(f"{SF001}/embeddings.parquet").count()
+    assert catalog.q_cosine_topk(spark, SF001).count() > 0

@@ -92,12 +92,12 @@ def test_search_all_shows_overall_rank(spark, sample_episode_lines):
     assert {r.show_key for r in out} == {"friends", "tbbt"}
 
 
-def test_many_parts_use_automaton_path(spark, sample_episode_lines):
-    from scriptlens.operators.search import AC_MIN_PARTS
+def test_many_parts_use_anchor_path(spark, sample_episode_lines):
+    from scriptlens.operators.search import FEW_PARTS
     idx = build_index(sample_episode_lines)
     words = ["coffee", "wedding", "perk", "zzz", "everyone", "talk", "shop", "more", "welcome",
              "beautiful", "loved", "central", "let", "us", "about", "was", "it", "this"]
-    assert len(words) > AC_MIN_PARTS
+    assert len(words) > FEW_PARTS
     q = "/".join(words)
     n_or = search(spark, idx, [q], 10).count()
     assert n_or == 3
@@ -113,3 +113,24 @@ def test_show_filter_prunes_to_one_show(spark, sample_episode_lines):
     assert {r.show_key for r in out} == {"tbbt"} and len(out) == 2
     # statistics are per show, so the scores equal the single-show ones
     assert sorted(r.relevance_score for r in out) == [pytest.approx(0.111748), pytest.approx(4.190182)]
+
+
+def test_unknown_show_is_an_error(spark, sample_episode_lines):
+    idx = build_index(sample_episode_lines)
+    with pytest.raises(ValueError, match="nope"):
+        search(spark, idx, ["coffee"], show_keys="nope")
+
+
+def test_parts_of_all_lengths_match_like_plain_containment(spark):
+    from scriptlens.operators.search import matched_documents, prepare_queries, query_table
+    texts = ["abc def", "ABCD", "x\U0001F600yz", "", None, "aab baa", "ab", "line one\nline two", "é ü abc"]
+    rows = [("s", 1, i, "t", i, "c", t, True) for i, t in enumerate(texts)]
+    lines = spark.createDataFrame(rows, "show_key string, season int, episode bigint, episode_title string, "
+                                        "line_no bigint, character string, dialogue string, is_last boolean")
+    parts = ["abc", "a", "b ", "x\U0001F600y", "\U0001F600yz", "one\nline", "ü abc", "def t", "zzz", "ab", "aab b",
+             "bcd", "e one", "é ü", "baa", "abcd", "c d", "yz"]
+    got = {(r.query_id, r.episode) for r in matched_documents(
+        lines, prepare_queries(query_table(spark, parts))).collect()}
+    want = {(q, i) for q, p in enumerate(parts) for i, t in enumerate(texts)
+            if p.strip().lower() in ((t or "") + " t").lower()}
+    assert got == want
