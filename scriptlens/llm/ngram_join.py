@@ -217,9 +217,11 @@ def need_expr(a: str, b: str, percent: int) -> Column:
 
 
 def bound_holds(p: str, percent: int) -> Column:
-    """Shared prefix tokens plus the larger rest reach the needed overlap."""
+    """The sizes fit and the shared prefix tokens plus the larger rest reach the
+    needed overlap."""
+    fits = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
     rest = F.greatest(F.col("size_a") - F.size(f"{p}_a"), F.col("size_b") - F.size(f"{p}_b"))
-    return F.size(F.array_intersect(f"{p}_a", f"{p}_b")) + rest >= need_expr("size_a", "size_b", percent)
+    return fits & (F.size(F.array_intersect(f"{p}_a", f"{p}_b")) + rest >= need_expr("size_a", "size_b", percent))
 
 
 def side(sets: DataFrame, s: str, columns: list[str]) -> DataFrame:
