@@ -84,6 +84,18 @@ def search_tokens(c) -> Column:
     return tokens_of_normalized(normalize_search(c))
 
 
+def lemma_tokens(df, id_col: str, tokens_col: str, lexicon):
+    """T10 with a lexicon: (id, tokens) with every token replaced by its lemma in
+    ``lexicon`` (term, lemma), if it has one; the order stays. The lexicon joins
+    on the term, so Spark broadcasts it only while it is small."""
+    exploded = df.select(id_col, F.posexplode_outer(tokens_col).alias("_at", "term"))
+    found = exploded.join(lexicon.select("term", "lemma"), "term", "left").select(
+        id_col, "_at", F.coalesce("lemma", "term").alias("token"))
+    grouped = found.groupBy(id_col).agg(F.sort_array(F.collect_list(
+        F.when(F.col("token").isNotNull(), F.struct("_at", "token")))).alias("_t"))
+    return grouped.select(id_col, F.transform("_t", lambda t: t["token"]).alias("tokens"))
+
+
 def query_tokens(q) -> Column:
     """Query terms for ranking, with the T14 fallback to raw lower-case words."""
     toks = search_tokens(q)

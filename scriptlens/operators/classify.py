@@ -98,9 +98,13 @@ def stratified_split(df: DataFrame, id_col: str = "row_id", strat_col: str = "ty
     validation, the rest train (half rounded up).
     """
     h = hash_key(seed, id_col)
+    # hash prefixes of as many digits as keep a bucket at about RANK_BUCKETS rows
+    digits, n_rows = 3, df.count()
+    while 16 ** digits * RANK_BUCKETS < n_rows:
+        digits += 1
     ranked = ordered_rank(
         df.withColumn("_h", h), [strat_col], ["_h", id_col],
-        F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"),
+        F.conv(F.substring("_h", 1, digits), 16, 10).cast("bigint"),
     )
     n = F.col("group_size")
     n_test = _round_half_up(n * F.lit(test_frac))
@@ -115,8 +119,7 @@ def _below(x: Column, i: int) -> Column:
     return F.greatest(F.lit(0), F.floor((x - F.lit(i) + F.lit(CV_FOLDS - 1)) / F.lit(CV_FOLDS))).cast("bigint")
 
 
-def stratified_folds(labels: DataFrame, id_col: str = "row_id", folds: int = CV_FOLDS,
-                     id_range: tuple[int, int] | None = None) -> DataFrame:
+def stratified_folds(labels: DataFrame, id_col: str = "row_id", folds: int = CV_FOLDS) -> DataFrame:
     """Unshuffled stratified k-fold ids per axis (rows in data order = ``id_col``).
 
     Classes are numbered by first appearance; the sorted encoded labels are
@@ -124,16 +127,12 @@ def stratified_folds(labels: DataFrame, id_col: str = "row_id", folds: int = CV_
     gets; rows of a class then fill folds 0, 1, ... in contiguous blocks.
     """
     assert folds == CV_FOLDS
-    if id_range is None:
-        row = labels.agg(F.min(id_col), F.max(id_col)).first()
-        id_range = (int(row[0] or 0), int(row[1] or 0))
-    lo, hi = id_range
-    width = max(1, (hi - lo + RANK_BUCKETS) // RANK_BUCKETS)
-    ranked = ordered_rank(
-        labels, ["dim", "label"], [id_col],
-        ((F.col(id_col) - F.lit(lo)) / F.lit(width)).cast("bigint"),
-        "rank0", "class_size", RANK_BUCKETS + 1, 2 * len(DIM_NAMES),
-    )
+    # buckets are the ranges of a range partitioning, so they follow the ids
+    # wherever those cluster; written once, since both the counts and the rows
+    # must see the same ranges
+    ranged = materialize(labels.repartitionByRange("dim", "label", id_col)
+                         .withColumn("_range", F.spark_partition_id()))
+    ranked = ordered_rank(ranged, ["dim", "label"], [id_col], F.col("_range"), "rank0", "class_size").drop("_range")
     # class order by first appearance, per axis (2 rows per axis: bounded)
     first = labels.groupBy("dim", "label").agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_n"))
     wd = Window.partitionBy("dim").orderBy("_first")

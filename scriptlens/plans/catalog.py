@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.query import display_parts, parse_query
 from ..functions.snippet import highlight
-from ..functions.text import normalize_baseline, normalize_classifier, normalize_search, search_tokens
+from ..functions.text import lemma_tokens, normalize_baseline, normalize_classifier, normalize_search, search_tokens
 from ..functions.wordlists import DEFAULT_TITLE_WEIGHT, DEFAULT_TOP_K, SHOW_ALIASES
 from ..operators import classify as C
 from ..operators import documents as D
@@ -87,6 +87,13 @@ def q_show_registry(spark, sf_dir):
     return D.show_registry(dialogue(spark, sf_dir))
 
 
+def q_show_extremes(spark, sf_dir):
+    """How many shows there are and the one with most lines."""
+    shows = D.show_registry(dialogue(spark, sf_dir))
+    return shows.agg(F.count(F.lit(1)).cast("bigint").alias("n_shows"),
+                     F.min_by("show_key", F.struct(-F.col("n_lines"), "show_key")).alias("largest_show"))
+
+
 def q_alias_resolution(spark, sf_dir):
     # typed names derived from the data: padded, upper-cased show keys and
     # the display names of the registry, resolved back to keys
@@ -169,6 +176,15 @@ def q_normalize_search(spark, sf_dir):
     return adapters.table(spark, sf_dir, "documents").select("doc_id", normalize_search("text").alias("text"))
 
 
+def q_tokenize_lemmas(spark, sf_dir):
+    """Search tokens through a lexicon made from the corpus: the words in
+    -ing that have a stem of three letters or more."""
+    tokens = adapters.table(spark, sf_dir, "documents").select("doc_id", search_tokens("text").alias("tokens"))
+    terms = tokens.select(F.explode("tokens").alias("term")).distinct()
+    lexicon = terms.where(F.col("term").rlike("^.{3,}ing$")).withColumn("lemma", F.regexp_replace("term", "ing$", ""))
+    return lemma_tokens(tokens, "doc_id", "tokens", lexicon)
+
+
 def q_normalize_marked(spark, sf_dir):
     """Every document's own text with a URL, type words
     and names put in, through the three normalisers."""
@@ -433,6 +449,7 @@ def q_style_prompts(spark, sf_dir):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "show_registry": q_show_registry,
+    "show_extremes": q_show_extremes,
     "alias_resolution": q_alias_resolution,
     "episode_documents": q_episode_documents,
     "union_sources": q_union_sources,
@@ -448,6 +465,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "normalize_search": q_normalize_search,
     "tokenize_search": q_tokenize_search,
     "normalize_marked": q_normalize_marked,
+    "tokenize_lemmas": q_tokenize_lemmas,
     "normalize_classifier": q_normalize_classifier,
     "normalize_baseline": q_normalize_baseline,
     "query_parse": q_query_parse,

@@ -329,6 +329,11 @@ def all_sql() -> dict[str, str]:
 
     out["normalize_search"] = f"SELECT doc_id, {S.normalize_search('text')} AS text FROM documents"
     out["tokenize_search"] = f"SELECT doc_id, {S.search_tokens('text')} AS tokens FROM documents"
+    out["tokenize_lemmas"] = f"""SELECT doc_id, list_transform({S.search_tokens('text')},
+           lambda t: CASE WHEN regexp_matches(t, '^.{{3,}}ing$') THEN substr(t, 1, length(t) - 3) ELSE t END) AS tokens
+    FROM documents"""
+    out["show_extremes"] = f"""{_with(dl, "n AS (SELECT show_key, count(*) AS n FROM lines GROUP BY show_key)")}
+    SELECT CAST(count(*) AS BIGINT) AS n_shows, (SELECT show_key FROM n ORDER BY n.n DESC, show_key LIMIT 1) AS largest_show FROM n"""
     mk = f"({S.lit(CT.MARKED_HEAD)} || coalesce(text, '') || {S.lit(CT.MARKED_TAIL)})"
     out["normalize_marked"] = f"""SELECT doc_id, {S.normalize_search(mk)} AS search, {S.search_tokens(mk)} AS tokens,
            {S.normalize_classifier(mk, True)} AS classifier, {S.normalize_baseline(mk, True)} AS baseline FROM documents"""
