@@ -57,27 +57,38 @@ HINTS = set("""ad ads advert advertisement advertising banner sponsor sponsored
 consent notice newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs
 footer masthead comment comments disqus related share sharing social popup modal widget pagination login
 signup toolbar""".split())
+# an article under these is no main text; under the other hints (layout wrappers
+# such as "has-sidebar") it is
+SECONDARY = {"comment", "comments", "disqus", "related", "promo", "sponsored", "advert", "advertisement"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
 
 
 def zone_of(name: str, attributes: str, outer: str) -> str:
+    """Zone of an element; ``wrapper`` is furniture by a naming habit only."""
     if outer == "chrome" or name in CHROME:
         return "chrome"
+    found = outer
     if name in MAIN:
-        return "main"
-    if name == "header":
-        return outer if outer == "main" else "chrome"
+        found = "main"
+    elif name == "header" and outer != "main":
+        return "chrome"
     if attributes:
-        if name not in ("html", "body"):
-            for m in ATTRIBUTE.finditer(attributes):
-                key, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
-                if key == "role" and value == "main":
-                    return "main"
-                if (key == "role" and value in ROLES) or HINTS & set(re.split(r"[^a-z0-9]+", value)):
-                    return "chrome"
         if HIDDEN.search(attributes):
             return "chrome"
-    return outer
+        for m in ATTRIBUTE.finditer(attributes) if name not in ("html", "body") else ():
+            key, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
+            if key == "role":
+                if value == "main":
+                    return "main"
+                if value in ROLES:
+                    return "chrome"
+                continue
+            habits = HINTS & set(re.split(r"[^a-z0-9]+", value))
+            if habits & SECONDARY:
+                return "chrome"
+            if habits and name not in MAIN:
+                found = "wrapper"
+    return found
 
 
 def blocks_of(page: str | None) -> list[tuple[str, str]]:
@@ -92,7 +103,8 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            blocks.append((stack[-1][1], text))
+            zone = stack[-1][1]
+            blocks.append(("chrome" if zone == "wrapper" else zone, text))
         parts.clear()
 
     def add(raw: str) -> None:
@@ -111,6 +123,8 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
             continue
         if name in BLOCKS:
             flush()
+            if not m.group(2) and stack[-1][0] == "p":      # a paragraph ends where a block begins
+                stack.pop()
         hinted = name == "span" or name == "button"
         if name not in CONTAINERS and not hinted:
             continue
@@ -127,8 +141,6 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         elif not m.group(4).endswith("/"):
             if name == "body":
                 del stack[1:]
-            if name == "p" and stack[-1][0] == "p":     # a paragraph ends where the next begins
-                stack.pop()
             stack.append((name, zone_of(name, m.group(4), stack[-1][1])))
     if at < len(page):
         add(page[at:])
