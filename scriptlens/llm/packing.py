@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from scriptlens.llm.common import add_columns, stored
 from scriptlens.llm.numbering import numbered
-from scriptlens.llm.tokens import ChunkEncoder, tokenizer_path
+from scriptlens.llm.tokens import shared_encoder, tokenizer_path
 
 CAPACITY = 4096
 # (rounded sizes of the programme, large means over capacity / that): each is
@@ -56,7 +56,7 @@ def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
         fields.append(("ids", pa.binary()))
 
     def make():
-        encoder = ChunkEncoder(path)
+        encoder = shared_encoder(path)
 
         def run(texts: list) -> list:
             ids, ends = encoder.encode(texts)

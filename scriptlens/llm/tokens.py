@@ -2,20 +2,21 @@
 
 The tokenizer drops white space and never merges across it, so a text's ids are
 the ids of its space-separated chunks in order; every distinct chunk is encoded
-once per task (the cache is emptied at ``CACHE_CHUNKS``, long chunks are not
-kept).
+once (the cache lives as long as the Python worker; it is emptied at
+``CACHE_CHUNKS``, long chunks are not kept).
 """
 
 from __future__ import annotations
 
 import os
+from functools import cache
 from itertools import chain
 
 import numpy as np
 
 EOS = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 700_000
 LONG_CHUNK = 64
 
 
@@ -25,6 +26,12 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+@cache
+def shared_encoder(path: str) -> ChunkEncoder:
+    """One encoder per Python worker, so tasks that share a worker share its cache."""
+    return ChunkEncoder(path)
+
+
 class ChunkEncoder:
     """``encode(texts)`` -> (ids of all texts, end offset of each text); every
     text's ids end with ``eos``."""

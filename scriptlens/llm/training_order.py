@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptlens.llm.common import stored
-from scriptlens.llm.tokens import ChunkEncoder, tokenizer_path
+from scriptlens.llm.tokens import shared_encoder, tokenizer_path
 from scriptlens.session import new_table_path
 
 STRIDE = 2048
@@ -93,7 +93,7 @@ def sequences(docs: DataFrame, path: str | None = None, stride: int = STRIDE, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, press = ChunkEncoder(path), zstandard.ZstdCompressor(level=1)
+        encoder, press = shared_encoder(path), zstandard.ZstdCompressor(level=1)
         rest = np.zeros(0, np.uint16)
         open_docs: list = []        # documents with ids in ``rest``: (id, ids before)
         kind = None
