@@ -130,6 +130,8 @@ def sequences(docs: DataFrame, path: str | None = None, stride: int = STRIDE, id
                 part = batch.slice(lo, 512)
                 flat, ends = encoder.encode(part.column(1).to_pylist())
                 starts = np.concatenate([[0], ends[:-1]]) + len(rest)
+                if len(flat) and flat.max() > 0xFFFF:
+                    raise ValueError("the records hold 16-bit ids; this tokenizer has larger ones")
                 marks = open_docs + [(int(a), i, 0) for a, i in zip(starts, part.column(0).to_pylist())]
                 found, rest, open_docs = rows(np.concatenate([rest, flat.astype(np.uint16)]), marks, False)
                 if found:
