@@ -93,7 +93,7 @@ def sequences(docs: DataFrame, path: str | None = None, stride: int = STRIDE, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        encoder, press = shared_encoder(path), zstandard.ZstdCompressor(level=1)
+        encoder, press = shared_encoder(path), zstandard.ZstdCompressor(level=3)
         rest = np.zeros(0, np.uint16)
         open_docs: list = []        # documents with ids in ``rest``: (id, ids before)
         kind = None
@@ -152,17 +152,20 @@ def numbered_slots(table: DataFrame, n: int, key: int = KEY) -> DataFrame:
     for f in sorted(sizes):         # one entry per written file
         starts.append((f, before))
         before += sizes[f]
-    offsets = table.sparkSession.createDataFrame(starts, "file string, file_start bigint")
-    joined = placed.join(offsets, "file").withColumn("number", F.col("file_start") + F.col("row"))
+    # one short row per written file, held by the tasks: no shuffle of sequences
+    shared = table.sparkSession.sparkContext.broadcast(dict(starts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number = batch.column("number").to_numpy()
-            yield batch.append_column("slot", pa.array(slot_of(number, n, key)))
-
-    kept = [*table.columns, "number"]
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.select(*kept).schema.fields)
-    return joined.select(*kept).mapInArrow(run, fields + ", slot bigint")
+            start = np.array([shared.value[f] for f in batch.column("file").to_pylist()], dtype=np.int64)
+            number = start + batch.column("row").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in table_columns], pa.array(number), pa.array(slot_of(number, n, key))],
+                names=[*table_columns, "number", "slot"])
+
+    table_columns = table.columns
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields)
+    return placed.mapInArrow(run, fields + ", number bigint, slot bigint")
 
 
 def materialise(docs: DataFrame, path: str | None = None, stride: int = STRIDE, shard_rows: int = SHARD_ROWS,
