@@ -1,17 +1,22 @@
 """Op 2, main text of web pages with host suffix arrays.
 
-Markup sorts a page's blocks into three zones: ``main`` (inside an article or
-main element), ``chrome`` (menus, headers, footers, sidebars, notices, adverts,
-forms, comments, head, hidden parts) and ``open`` (anything else). The tokens of
-chrome and open blocks are a page's stream. Streams of a host are concatenated
-and a suffix array (prefix doubling, ``MIN_RUN`` tokens deep) finds runs repeated
-on distinct pages; pages of equal content count as one. Streams are range
-partitioned by (host, page), so a huge host is cut into several arrays; runs
-found in different arrays meet in one small aggregate per (host, run), which
-makes the result the same as that of one array for the whole host.
-
-A page's text is its main blocks. Without any, it is the open blocks that
-repeated runs don't cover: covered boilerplate goes, unique runs stay.
+Markup sorts a page's blocks into four zones: ``main`` (inside an article or
+main element), ``chrome`` (elements and roles that are furniture by definition:
+menus, headers, footers, sidebars, forms, head, hidden parts; elements whose
+class or id is the word for an advert), ``hinted`` (furniture by a naming habit
+only) and ``open`` (anything else). The tokens of all blocks are a page's stream.
+Streams of a host are concatenated and a suffix array (prefix doubling,
+``MIN_RUN`` tokens deep) finds runs repeated on distinct pages; pages of equal
+content count as one. Streams are range partitioned by (host, page), so a huge
+host is cut into several arrays; runs found in different arrays meet in one small
+aggregate per (host, run), which makes the result the same as that of one array
+for the whole host. A host without an open or hinted block has nothing to decide
+and needs no stream.
+
+A page's text is its main blocks and, on every page, the open and hinted blocks
+that repeated runs don't cover: covered boilerplate goes, unique runs stay. A
+hinted section of fewer than ``MIN_RUN`` tokens holds no run that could show it
+unique; its name decides.
 
 Defined results: null html is an empty page (empty text); repeated rows get
 equal results; a page whose markup is cut off is read to its end; an empty table
@@ -57,18 +62,22 @@ HINTS = set("""ad ads advert advertisement advertising banner sponsor sponsored
 consent notice newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs
 footer masthead comment comments disqus related share sharing social popup modal widget pagination login
 signup toolbar""".split())
-# an article under these is no main text; under the other hints (layout wrappers
-# such as "has-sidebar") it is
+# an article under these is no main landmark; under the other hints (layout
+# wrappers such as "has-sidebar") it is
 SECONDARY = {"comment", "comments", "disqus", "related", "promo", "sponsored", "advert", "advertisement"}
+# names of adverts, as a whole word of class or id: an advert is no main text even if unique
+ADVERTS = {"ad", "ads", "advert", "advertisement", "advertising"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
 
 
 def zone_of(name: str, attributes: str, outer: str) -> str:
-    """Zone of an element; ``wrapper`` is furniture by a naming habit only."""
+    """Zone of an element; ``hinted`` and ``secondary`` are furniture by a naming
+    habit only, and an article in ``secondary`` is no landmark; ``advert`` is
+    furniture around anything but a landmark."""
     if outer == "chrome" or name in CHROME:
         return "chrome"
     found = outer
-    if name in MAIN:
+    if name in MAIN and outer != "secondary":
         found = "main"
     elif name == "header" and outer != "main":
         return "chrome"
@@ -84,27 +93,30 @@ def zone_of(name: str, attributes: str, outer: str) -> str:
                     return "chrome"
                 continue
             habits = HINTS & set(re.split(r"[^a-z0-9]+", value))
-            if habits & SECONDARY:
-                return "chrome"
-            if habits and name not in MAIN:
-                found = "wrapper"
+            if habits and set(value.split()) & ADVERTS and name not in MAIN:
+                found = "advert"
+            elif habits & SECONDARY:
+                found = "secondary"
+            elif habits and name not in MAIN and found not in ("advert", "secondary"):
+                found = "hinted"
     return found
 
 
-def blocks_of(page: str | None) -> list[tuple[str, str]]:
-    """(zone, text) of the page's blocks in order; empty blocks are left out."""
+def blocks_of(page: str | None) -> list[tuple[str, str, int]]:
+    """(zone, text, section) of the page's blocks in order; empty blocks are left
+    out. A section is the outermost hinted element around a block."""
     if not page:
         return []
-    blocks: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = [("", "open")]
+    blocks: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, int]] = [("", "open", 0)]
     parts: list[str] = []
-    at = 0
+    at = sections = 0
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            zone = stack[-1][1]
-            blocks.append(("chrome" if zone == "wrapper" else zone, text))
+            _, zone, section = stack[-1]
+            blocks.append(({"advert": "chrome", "secondary": "hinted"}.get(zone, zone), text, section))
         parts.clear()
 
     def add(raw: str) -> None:
@@ -141,13 +153,27 @@ def blocks_of(page: str | None) -> list[tuple[str, str]]:
         elif not m.group(4).endswith("/"):
             if name == "body":
                 del stack[1:]
-            stack.append((name, zone_of(name, m.group(4), stack[-1][1])))
+            zone, section = zone_of(name, m.group(4), stack[-1][1]), stack[-1][2]
+            if zone not in ("hinted", "secondary"):
+                section = 0
+            elif not section:
+                section = sections = sections + 1
+            stack.append((name, zone, section))
     if at < len(page):
         add(page[at:])
     flush()
     return blocks
 
 
+def decidable(blocks: list[tuple[str, str, int]]) -> list[bool]:
+    """Whether repeated runs decide each block: open ones, and hinted ones whose
+    section has tokens for a run."""
+    tokens: dict[int, int] = {}
+    for _, text, section in blocks:
+        tokens[section] = tokens.get(section, 0) + text.count(" ") + 1
+    return [zone == "open" or zone == "hinted" and tokens[section] >= MIN_RUN for zone, _, section in blocks]
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
@@ -164,9 +190,18 @@ def hashed(tokens: list[str], cache: dict[str, int]) -> list[int]:
     return out
 
 
+def open_hosts(pages: DataFrame) -> DataFrame:
+    """(page_host): hosts with a block that repeated runs decide."""
+    def make():
+        return lambda texts: [[any(decidable(blocks_of(page))) for page in texts]]
+
+    marked = add_columns(pages, "page_html", make, [("page_open", "boolean", pa.bool_())], ["page_host"], step=128)
+    return marked.where("page_open").select("page_host").distinct()
+
+
 def streams(pages: DataFrame) -> DataFrame:
-    """host, page key, content signature, tokens of the chrome and open blocks
-    with block numbers, and whether the page's text hangs on its open blocks."""
+    """host, page key, content signature, tokens of all blocks with block numbers
+    (negative where runs don't decide), and whether there is a block to decide."""
     def make():
         cache: dict[str, int] = {}
 
@@ -174,17 +209,18 @@ def streams(pages: DataFrame) -> DataFrame:
             out: tuple[list, ...] = ([], [], [], [])
             for page in texts:
                 blocks = blocks_of(page)
-                bare = not any(z == "main" for z, _ in blocks)
+                decide = decidable(blocks)
                 tokens: list[int] = []
                 owner: list[int] = []
-                for k, (zone, text) in enumerate(blocks):
-                    if zone != "main":
-                        new = hashed(text.split(" "), cache)
-                        tokens += new
-                        owner += [k if bare and zone == "open" else -1 - k] * len(new)
-                content = "\n".join(t for z, t in blocks if z == ("open" if bare else "main"))
+                for k, (_, text, _) in enumerate(blocks):
+                    new = hashed(text.split(" "), cache)
+                    tokens += new
+                    owner += [k if decide[k] else -1 - k] * len(new)
+                # hinted parts (rotating notices) make copies distinct only if there is nothing else
+                content = ("\n".join(t for z, t, _ in blocks if z in ("main", "open"))
+                           or "\n".join(t for z, t, _ in blocks if z == "hinted"))
                 for column, value in zip(out, (xxhash.xxh64_intdigest(content) - (1 << 63), tokens, owner,
-                                               bare and any(z == "open" for z, _ in blocks))):
+                                               any(decide))):
                     column.append(value)
             return list(out)
 
@@ -225,8 +261,9 @@ def suffix_ranks(host: np.ndarray, tokens: np.ndarray, page: np.ndarray, depth:
     return rank
 
 
-def repeated_runs(table: DataFrame, depth: int = MIN_RUN) -> DataFrame:
-    """(page_host, run): token runs found on pages of different content."""
+def repeated_runs(table: DataFrame, depth: int = MIN_RUN, wanted: DataFrame | None = None) -> DataFrame:
+    """(page_host, run): token runs found on pages of different content, of the
+    ``wanted`` ones if given."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         held = 0
@@ -266,33 +303,50 @@ def repeated_runs(table: DataFrame, depth: int = MIN_RUN) -> DataFrame:
 
     cut = table.select("page_host", "page_key", "page_sig", "tokens").repartitionByRange("page_host", "page_key")
     found = cut.mapInArrow(run, "page_host string, run bigint, low bigint, high bigint")
+    if wanted is not None:
+        found = found.join(wanted, ["page_host", "run"], "left_semi")
     return (found.groupBy("page_host", "run").agg(F.min("low").alias("low"), F.max("high").alias("high"))
             .where(F.col("low") < F.col("high")).select("page_host", "run"))
 
 
-def covered_blocks(table: DataFrame, repeats: DataFrame, depth: int = MIN_RUN) -> DataFrame:
-    """page_key -> numbers of the open blocks that repeated runs cover."""
+def places(table: DataFrame, depth: int = MIN_RUN) -> DataFrame:
+    """page_key, page_host, run, at, owner: runs that touch a block to decide, with
+    their place and the block numbers of their tokens."""
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, host, tokens, owner in zip(*(batch.column(c).to_pylist() for c in
-                                                  ("page_key", "page_host", "tokens", "owner"))):
-                hashes = run_hashes(np.array(tokens, dtype=np.int64), depth)
-                rows += [{"page_key": key, "page_host": host, "run": int(h), "at": k, "owner": owner[k:k + depth]}
-                         for k, h in enumerate(hashes)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([
-                    ("page_key", pa.int64()), ("page_host", pa.string()), ("run", pa.int64()),
-                    ("at", pa.int32()), ("owner", pa.list_(pa.int32()))]))
-
-    bare = table.where("page_open")
-    places = bare.select("page_key", "page_host", "tokens", "owner").mapInArrow(
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                found: list[tuple] = []
+                for row in range(part.num_rows):
+                    tokens = part.column("tokens")[row].values.to_numpy()
+                    if len(tokens) < depth:
+                        continue
+                    owner = np.lib.stride_tricks.sliding_window_view(
+                        part.column("owner")[row].values.to_numpy(), depth)
+                    at = np.flatnonzero((owner >= 0).any(axis=1))
+                    found.append((np.full(len(at), row), run_hashes(tokens, depth)[at], at, owner[at]))
+                if not found:
+                    continue
+                rows, hashes, at, owner = (np.concatenate(c) for c in zip(*found))
+                pick = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_key").take(pick), part.column("page_host").take(pick), pa.array(hashes),
+                     pa.array(at.astype(np.int32)),
+                     pa.ListArray.from_arrays(np.arange(0, owner.size + 1, depth, dtype=np.int32),
+                                              pa.array(owner.reshape(-1).astype(np.int32)))],
+                    names=["page_key", "page_host", "run", "at", "owner"])
+
+    return table.where("page_open").select("page_key", "page_host", "tokens", "owner").mapInArrow(
         runs, "page_key bigint, page_host string, run bigint, at int, owner array<int>")
-    hit = (places.join(repeats, ["page_host", "run"])
+
+
+def covered_blocks(table: DataFrame, repeats: DataFrame, depth: int = MIN_RUN) -> DataFrame:
+    """page_key -> numbers of the open and hinted blocks that repeated runs cover."""
+    hit = (places(table, depth).join(repeats, ["page_host", "run"])
            .select("page_key", F.posexplode("owner").alias("k", "block"), "at")
            .where("block >= 0").select("page_key", "block", (F.col("at") + F.col("k")).alias("at")).distinct()
            .groupBy("page_key", "block").agg(F.count("*").alias("n_hit")))
-    sizes = (bare.select("page_key", F.explode("owner").alias("block")).where("block >= 0")
+    sizes = (table.where("page_open").select("page_key", F.explode("owner").alias("block")).where("block >= 0")
              .groupBy("page_key", "block").agg(F.count("*").alias("n")))
     return (sizes.join(hit, ["page_key", "block"]).where(F.col("n_hit") >= COVERED * F.col("n"))
             .groupBy("page_key").agg(F.collect_set("block").alias("page_covered")))
@@ -300,11 +354,9 @@ def covered_blocks(table: DataFrame, repeats: DataFrame, depth: int = MIN_RUN) -
 
 def page_text(page: str | None, covered: list[int] | None) -> str:
     blocks = blocks_of(page)
-    kept = [t for z, t in blocks if z == "main"]
-    if not kept:
-        gone = set(covered or ())
-        kept = [t for k, (z, t) in enumerate(blocks) if z == "open" and k not in gone]
-    return "\n".join(kept)
+    gone = set(covered or ())
+    return "\n".join(t for k, ((z, t, _), d) in enumerate(zip(blocks, decidable(blocks)))
+                     if z == "main" or d and k not in gone)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -312,8 +364,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     keyed = pages.select(
         F.col(id_col), F.col(url_col), F.col(html_col).alias("page_html"), host_of(F.col(url_col)).alias("page_host"),
         F.xxhash64(id_col, url_col, html_col).alias("page_key"))
-    table = stored(streams(keyed), "streams")
-    repeats = stored(repeated_runs(table), "runs")
+    hosts = stored(open_hosts(keyed), "hosts")
+    table = stored(streams(keyed.join(hosts, "page_host", "left_semi")), "streams")
+    wanted = places(table).select("page_host", "run").distinct()
+    repeats = stored(repeated_runs(table, wanted=wanted), "runs")
     # equal rows share a key; one verdict per key
     gone = stored(covered_blocks(table.dropDuplicates(["page_key"]), repeats), "covered")
     joined = keyed.join(gone, "page_key", "left").select(

@@ -161,6 +161,31 @@ def test_pages(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_runs_decide_open_and_hinted_blocks_beside_a_landmark(spark):
+    def words(name, n=12):
+        return " ".join(f"{name}{j}" for j in range(n))
+
+    def page(i):
+        return (f"<nav>{words('menu')}</nav><div class='ad'>{words(f'offer{i}_')}</div>"
+                f"<div><p>{words('same')}</p><p>{words(f'body{i}_')}</p></div>"
+                f"<article><h2>Teaser {i}</h2><p>{words('copy')}</p></article>"
+                f"<section class='related share'><p>{words(f'sec{i}_')}</p><p>{words('more')}</p></section>"
+                f"<div class='related'><article>{words(f'teaser{i + 1}_')}</article></div>"
+                f"<div class='cookie-notice'>ok {i}</div><article>{words(f'teaser{i}_')}</article>")
+
+    rows = [(i, "http://a.com/x", page(i)) for i in range(4)] + [(9, "http://b.com/", "<article>alone")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: "\n".join([words(f"body{i}_"), f"Teaser {i}", words("copy"), words(f"sec{i}_"),
+                          *([words("teaser4_")] if i == 3 else []), words(f"teaser{i}_")]) for i in range(4)}
+    assert {r.page_id: r.text for r in html.main_text(df).collect()} == want | {9: "alone"}
+    # all blocks are in the streams, and the cover step has rows on pages with an article
+    keyed = df.select("html", html.host_of(F.col("url")).alias("page_host"), F.col("page_id").alias("page_key"),
+                      F.col("html").alias("page_html"))
+    assert [r.page_host for r in html.open_hosts(keyed).collect()] == ["a.com"]
+    table = html.streams(keyed)
+    assert html.covered_blocks(table, html.repeated_runs(table)).count() == 4
+
+
 def test_repeated_runs_equal_brute_force_across_arrays(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = []
