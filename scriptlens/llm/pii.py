@@ -5,10 +5,13 @@ bidirectional LSTM with CRF transitions, trained in numpy from labelled spans,
 adds spans the patterns miss (phone numbers without a plus sign, addresses in
 brackets and the like). Every span kind holds a digit or an at sign, so the
 tagger reads the overlapping windows around those characters: a window without
-one can't yield a span. Each window is decoded by Viterbi; spans cut by a window
-border are left to the window that sees them whole, and a weighted interval
-schedule over the whole text keeps the best set that doesn't overlap. An added
-span must hold what its kind needs and never touches a base span.
+one can't yield a span. Windows that overlap form a run; their tag scores are
+averaged per character, weighted to the window's centre, and one Viterbi path is
+decoded over the whole run, so no window border cuts a span. A run whose path ends
+inside a span grows to that side until the span ends or the text does. The spans
+that a window sees whole are candidates too; a weighted interval schedule over the
+whole text keeps the best set that doesn't overlap. An added span must hold what
+its kind needs and never touches a base span.
 
 Labelled spans come from ``labelled_example``, a seeded generator of marked
 lines in many notations with look-alikes (dates, versions, order numbers, hex
@@ -22,6 +25,7 @@ equal results; an empty table gives no rows; further columns are kept by
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -342,24 +346,30 @@ def trained(examples: int = TRAIN_EXAMPLES, seed: int = SEED, epochs: int = 4, b
     return m
 
 
-def decode(m: dict, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Viterbi tags (batch, time) and each character's margin over outside."""
-    e = emissions(m, codes)
+def decode(m: dict, scores: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Viterbi tags of each (time, TAGS) sequence of tag scores, and each
+    character's margin over outside."""
     trans = m["trans"] + allowed()
-    t, b, _ = e.shape
+    lengths = np.array([len(s) for s in scores])
+    t, b = int(lengths.max()), len(scores)
+    e = np.zeros((t, b, TAGS), np.float32)
+    for row, s in enumerate(scores):
+        e[:len(s), row] = s
     best, back = e[0].copy(), np.zeros((t, b, TAGS), dtype=np.int8)
-    best[:, 2::2] -= 1e4                        # a window can't start inside a span
+    best[:, 2::2] -= 1e4                        # a path can't start inside a span
     for k in range(1, t):
         move = best[:, :, None] + trans
-        back[k] = move.argmax(axis=1)
-        best = move.max(axis=1) + e[k]
+        live = (k < lengths)[:, None]           # a path that has ended stands still
+        back[k] = np.where(live, move.argmax(axis=1), np.arange(TAGS))
+        best = np.where(live, move.max(axis=1) + e[k], best)
+        best -= best.max(axis=1, keepdims=True)
     tags = np.zeros((b, t), dtype=np.int64)
     state, rows = best.argmax(axis=1), np.arange(b)
     for k in range(t - 1, -1, -1):
         tags[:, k] = state
         state = back[k][rows, state]
-    margin = np.take_along_axis(e.transpose(1, 0, 2), tags[:, :, None], 2)[:, :, 0] - e[:, :, 0].T
-    return tags, margin
+    return [(tags[row, :n], np.take_along_axis(s, tags[row, :n, None], 1)[:, 0] - s[:, 0])
+            for row, (n, s) in enumerate(zip(lengths, scores))]
 
 
 # --- windows, reconciliation -------------------------------------------------------
@@ -392,29 +402,107 @@ def schedule(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, i
     return chosen[::-1]
 
 
-def tagged_spans(texts: list[str], m: dict, block: int = 4096) -> list[list[tuple[int, int, int, float]]]:
-    """Reconciled spans of the tagger for each text."""
-    at = [(k, a) for k, t in enumerate(texts) for a in windows_of(t)]
-    found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
+CENTRE = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+
+
+def runs_of(text: str) -> list[tuple[int, int]]:
+    """(first, last) window number of each run of overlapping windows."""
+    runs: list[tuple[int, int]] = []
+    for a in windows_of(text):
+        k = a // STRIDE
+        if runs and runs[-1][1] == k - 1:
+            runs[-1] = (runs[-1][0], k)
+        else:
+            runs.append((k, k))
+    return runs
+
+
+def spans_in(tag: np.ndarray, margin: np.ndarray, a: int) -> Iterator[tuple[int, int, int, float]]:
+    """(start, end, kind, score) of a path that starts at character ``a``."""
+    for i in np.flatnonzero(tag % 2 == 1):
+        j = i + 1
+        while j < len(tag) and tag[j] == tag[i] + 1:
+            j += 1
+        yield a + int(i), a + int(j), int(tag[i] - 1) // 2, round(float(margin[i:j].sum()), 4)
+
+
+def run_scores(m: dict, texts: list[str], runs: list[tuple[int, int, int]], block: int,
+               seen: list[set]) -> list[np.ndarray]:
+    """Tag scores (time, TAGS) of (text, first, last) runs: the mean of the
+    windows' scores, weighted to their centres. Spans that a window sees whole
+    are added to ``seen`` of their text."""
+    at = [(r, k, w * STRIDE) for r, (k, first, last) in enumerate(runs) for w in range(first, last + 1)]
+    sizes = [min((last - first) * STRIDE + WINDOW, len(texts[k]) - first * STRIDE) for k, first, last in runs]
+    total = [np.zeros((n, TAGS), np.float32) for n in sizes]
+    weight = [np.zeros((n, 1), np.float32) for n in sizes]
     for lo in range(0, len(at), block):
         part = at[lo:lo + block]
         codes = np.zeros((len(part), WINDOW), dtype=np.int64)
-        for row, (k, a) in enumerate(part):
+        for row, (_, k, a) in enumerate(part):
             c = char_codes(texts[k][a:a + WINDOW])
             codes[row, :len(c)] = c
-        tags, margin = decode(m, codes)
-        for row in np.flatnonzero(tags.any(axis=1)):
-            k, a = part[row]
-            size = min(WINDOW, len(texts[k]) - a)
-            tag = tags[row]
-            for i in np.flatnonzero((tag[:size] % 2 == 1)):
-                j = i + 1
-                while j < size and tag[j] == tag[i] + 1:
-                    j += 1
-                cut = (i == 0 and a > 0) or (j == WINDOW and a + j < len(texts[k]))
-                if not cut:
-                    found[k].append((a + int(i), a + j, int(tag[i] - 1) // 2, round(float(margin[row, i:j].sum()), 4)))
-    return [schedule(f) if f else f for f in found]
+        e = emissions(m, codes)
+        for row, (r, k, a) in enumerate(part):
+            lo_at = a - runs[r][1] * STRIDE
+            n = min(WINDOW, sizes[r] - lo_at)
+            total[r][lo_at:lo_at + n] += e[:n, row] * CENTRE[:n]
+            weight[r][lo_at:lo_at + n] += CENTRE[:n]
+        for (_, k, a), (tag, margin) in zip(part, decode(m, list(e.transpose(1, 0, 2)))):
+            if tag.any():
+                n = len(texts[k])
+                seen[k].update(s for s in spans_in(tag[:n - a], margin, a)
+                               if (s[0] > a or not a) and (s[1] < a + WINDOW or s[1] == n))
+    return [s / w for s, w in zip(total, weight)]
+
+
+def batches_of(runs: list[tuple[int, int, int]], block: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Runs of like length together, about ``block`` windows at a time; a longer
+    run is alone."""
+    part: list[tuple[int, int, int]] = []
+    for run in sorted(runs, key=lambda r: (r[2] - r[1], r)):
+        if part and (len(part) + 1) * (run[2] - run[1] + 1) > block:
+            yield part
+            part = []
+        part.append(run)
+    if part:
+        yield part
+
+
+def tagged_spans(texts: list[str], m: dict, block: int = 4096) -> list[list[tuple[int, int, int, float]]]:
+    """Reconciled spans of the tagger for each text."""
+    found: list[dict[tuple[int, int], list]] = [{} for _ in texts]
+    seen: list[set] = [set() for _ in texts]
+    todo = [(k, first, last) for k, t in enumerate(texts) for first, last in runs_of(t)]
+    for k, first, last in todo:
+        found[k][first, last] = []
+    reach = 1                                   # windows that a run grows by
+    while todo:
+        grown: dict[int, list[tuple[int, int]]] = {}
+        for part in batches_of(todo, block):
+            for (k, first, last), (tag, margin) in zip(part, decode(m, run_scores(m, texts, part, block, seen))):
+                if not tag.any():
+                    continue
+                a, end = first * STRIDE, (len(texts[k]) - 1) // STRIDE
+                more = (max(0, first - reach) if tag[0] else first,
+                        min(end, last + reach) if tag[-1] and a + len(tag) < len(texts[k]) else last)
+                if more != (first, last):
+                    grown.setdefault(k, []).append(more)
+                    continue
+                found[k][first, last] = list(spans_in(tag, margin, a))
+        todo = []
+        for k, wider in grown.items():
+            # grown runs take in the runs that they reach
+            merged: list[tuple[int, int]] = []
+            for first, last in sorted([*found[k], *wider]):
+                if merged and first <= merged[-1][1] + 1:
+                    merged[-1] = (merged[-1][0], max(last, merged[-1][1]))
+                else:
+                    merged.append((first, last))
+            todo += [(k, *r) for r in merged if r not in found[k]]
+            found[k] = {r: found[k].get(r, []) for r in merged}
+        reach *= 2
+    spans = [[*whole, *(s for part in f.values() for s in part)] for whole, f in zip(seen, found)]
+    return [schedule(s) if s else s for s in spans]
 
 
 def added_spans(text: str, tagged: list[tuple[int, int, int, float]],

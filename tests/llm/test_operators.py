@@ -129,6 +129,44 @@ def test_pii_tagger_held_out():
     assert hit / (hit + wrong) > 0.65 and hit / (hit + missed) > 0.65
 
 
+@pytest.mark.parametrize("size", [20, 40, 50, 63, 64, 200, 1000])
+def test_pii_spans_are_found_at_every_alignment(size, monkeypatch):
+    # a tagger that is sure of "<" and the capitals and at sign after it
+    def sure(m, codes):
+        e = np.zeros((codes.shape[1], codes.shape[0], pii.TAGS), np.float32)
+        first, inner = codes.T == pii.char_codes("<")[0], np.isin(codes.T, pii.char_codes("A@"))
+        e[..., 1], e[..., 2] = np.where(first, 9, -9), np.where(inner, 9, -9)
+        return e
+
+    monkeypatch.setattr(pii, "emissions", sure)
+    model = {"trans": np.zeros((pii.TAGS, pii.TAGS), np.float32)}
+    half = "A" * (size // 2)
+    span = "<" + half + "@" + half
+    for at in range(pii.STRIDE):
+        for after in ("", "z" * 300):
+            text = "x" * (320 + at) + span + after
+            got = [x[:3] for x in pii.tagged_spans([text, "no mark", text[:-3] + " 1"], model, 8)[0]]
+            assert got == [(320 + at, 320 + at + len(span), 0)]
+
+
+def test_pii_long_notations_do_not_hang_on_their_offset():
+    model = pii.trained()
+    address = "first.last (@) department.university.example.com"
+    hits = 0
+    for at in range(pii.STRIDE):
+        text = "word " * 20 + "x" * at + " " + address + " and some more words to the end of the line"
+        start = text.index(address)
+        hits += any(a <= start and start + len(address) <= z for a, z, _, _ in pii.tagged_spans([text], model)[0])
+    assert hits == pii.STRIDE
+    rng = np.random.default_rng(78)
+    hit = wrong = missed = 0
+    for _ in range(300):
+        text, labels = pii.labelled_example(rng)
+        got = {(a, z, k) for a, z, k, _ in pii.tagged_spans([text], model)[0]}
+        hit, wrong, missed = hit + len(got & set(labels)), wrong + len(got - set(labels)), missed + len(set(labels) - got)
+    assert hit / (hit + wrong) > 0.65 and hit / (hit + missed) > 0.65
+
+
 def test_pii_spans_never_overlap_and_cross_windows():
     text = "x" * 60 + " call (030) 555-1234 now " + "y" * 50
     model = pii.trained()
