@@ -96,15 +96,16 @@ def line_context(lines: DataFrame) -> DataFrame:
     Line numbers may have gaps within an episode (other episodes in between,
     lines left out), so every line first gets its dense position in its episode
     (counts per run of ``CONTEXT_SPAN`` line numbers, then a row number inside a
-    run); the neighbours are equi-joins on position - 1 / + 1. No window spans a
-    whole episode; rows with null keys are one episode per combination.
+    run; lines of one number follow each other by character and text); the
+    neighbours are equi-joins on position - 1 / + 1. No window spans a whole
+    episode; rows with null keys are one episode per combination.
     """
     keys = ["show_key", "season", "episode", "episode_title"]
     base = lines.select(*keys, "line_no", "character", "dialogue",
                         F.to_json(F.struct(*keys)).alias("_doc"))
-    placed = ordered_rank(base.select("_doc", "line_no"), ["_doc"], ["line_no"],
-                          F.floor(F.col("line_no") / F.lit(CONTEXT_SPAN)), "_at").select("_doc", "line_no", "_at")
-    numbered = materialize(base.join(placed, ["_doc", "line_no"]))
+    numbered = materialize(
+        ordered_rank(base, ["_doc"], ["line_no", "character", "dialogue"],
+                     F.floor(F.col("line_no") / F.lit(CONTEXT_SPAN)), "_at").select(*base.columns, "_at"))
     prev = numbered.select("_doc", (F.col("_at") + 1).alias("_at"),
                            F.col("character").alias("prev_character"), F.col("dialogue").alias("prev_dialogue"))
     nxt = numbered.select("_doc", (F.col("_at") - 1).alias("_at"),

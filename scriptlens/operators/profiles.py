@@ -25,6 +25,7 @@ from ..functions.wordlists import (
     DIMENSIONS,
 )
 from ..session import materialize, new_table_path
+from ..sources.adapters import LINE_COLUMNS
 from . import classify as C
 from .documents import (
     character_key,
@@ -126,16 +127,17 @@ def quote_scores(lines: DataFrame, model: TraitModel, types: DataFrame | None =
                  k: int = DEFAULT_TOP_K, max_words: int | None = None) -> DataFrame:
     """M12 + A13 + W7: every line of a predicted character scored by the mean
     over axes of P(the character's letter); the top ``k`` per character
-    (ties by file order). Lines are scored on their id; the text joins the
-    ``k`` winners only."""
+    (ties by file order). Lines are scored on an id made of their whole row, since
+    line numbers may meet: rows share an id only if they are equal, and equal rows
+    are scored once and ranked one by one. The text joins the ``k`` winners only."""
     types = types if types is not None else character_types(lines, model, max_words)
     text = normalize_classifier("dialogue")
+    lid = F.md5(F.to_json(F.struct(*LINE_COLUMNS)))
     keyed = lines.where(F.col("character").isNotNull()).select(
-        "show_key", character_key().alias("character_key"), "line_no",
-        (text if max_words is None else first_words(text, max_words)).alias("text"),
-    ).withColumn("lid", F.concat_ws(":", F.col("show_key"), F.col("line_no").cast("string")))
+        "show_key", character_key().alias("character_key"), "line_no", "season", "episode", "episode_title",
+        (text if max_words is None else first_words(text, max_words)).alias("text"), lid.alias("lid"))
     ln = keyed.join(types.select("show_key", "character_key", "mbti"), ["show_key", "character_key"])
-    probs = score_texts(model, ln.select("lid", "text"), "lid", "text")
+    probs = score_texts(model, ln.select("lid", "text").dropDuplicates(["lid"]), "lid", "text")
     ln = ln.drop("text")
     match = None
     for i, (dim, pos, _neg) in enumerate(DIMENSIONS):
@@ -143,10 +145,14 @@ def quote_scores(lines: DataFrame, model: TraitModel, types: DataFrame | None =
         term = F.when(F.substring("mbti", i + 1, 1) == pos, p).otherwise(F.lit(1.0) - p)
         match = term if match is None else match + term
     scored = ln.join(probs.drop("mbti"), "lid").withColumn("score", F.round(match / F.lit(4.0), 6))
-    best = materialize(top_k(scored, ["show_key", "character_key"], [F.col("score").desc(), "line_no"], k, "quote_rank"))
-    raw = lines.select("show_key", "line_no", "season", "episode", "episode_title",
-                       F.col("dialogue").alias("dialogue_raw"))
-    return best.join(raw, ["show_key", "line_no"]).select("show_key", "character_key", F.col("quote_rank").cast("bigint"), "line_no", "season",
+    best = materialize(top_k(scored, ["show_key", "character_key"],
+                             [F.col("score").desc(), "line_no", "season", "episode", "episode_title", "lid"],
+                             k, "quote_rank"))
+    raw = lines.select("show_key", "line_no", F.col("dialogue").alias("dialogue_raw"), lid.alias("lid"))
+    # the numbers cut the scan's rows to the winners' before ids are compared
+    raw = raw.join(best.select("show_key", "line_no").distinct(), ["show_key", "line_no"], "left_semi") \
+        .select("lid", "dialogue_raw").dropDuplicates(["lid"])
+    return best.join(raw, "lid").select("show_key", "character_key", F.col("quote_rank").cast("bigint"), "line_no", "season",
                        "episode", "episode_title", "dialogue_raw", "score")
 
 

@@ -20,7 +20,9 @@ from ..functions.wordlists import WS
 from ..session import spread
 
 LINE_COLUMNS = ["show_key", "season", "episode", "episode_title", "line_no", "character", "dialogue"]
-# One conversation turn index must stay below this stride for line_no order.
+# A show's conversations are five ids apart: the line numbers of one with more than
+# five strides of turns meet the next one's. Line numbers order lines, they don't
+# identify them.
 TURN_STRIDE = 1_000_000
 TITLE_CHARS = 40
 DOC_TITLE_WORDS = 3

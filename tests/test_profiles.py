@@ -130,6 +130,36 @@ def test_line_context_over_gaps_and_null_keys(spark):
                    "n0": (None, "n1"), "n1": ("n0", None)}
 
 
+LINES = ("show_key string, season int, episode bigint, episode_title string, line_no bigint, character string, "
+         "dialogue string")
+
+
+def test_quotes_of_lines_that_share_a_number(spark):
+    from scriptlens.operators.profiles import character_types, quote_scores
+    model = catalog.trait_model(spark, SF001)
+    terms = [r.term for r in model.vocab.orderBy("term").limit(40).collect()]
+    texts = [" ".join(terms[k:k + 3]) for k in range(0, 36, 3)]
+    # two episodes with the same numbers, and the last row three times
+    rows = [("s", 0, k // 6, "t", k % 6, "Ann", text) for k, text in enumerate(texts)]
+    rows += [rows[-1]] * 2
+    apart = [(*r[:4], 10 * k, *r[5:]) for k, r in enumerate(rows)]
+    met, alone = spark.createDataFrame(rows, LINES), spark.createDataFrame(apart, LINES)
+    types = character_types(met, model)
+    got = quote_scores(met, model, types, k=100).collect()
+    want = quote_scores(alone, model, types, k=100).collect()
+    place = lambda rs: sorted((r.episode, r.dialogue_raw, r.score) for r in rs)
+    assert place(got) == place(want) and len(got) == len(rows)
+    assert sorted(r.quote_rank for r in got) == list(range(1, len(rows) + 1))
+
+
+def test_line_context_of_repeated_rows(spark):
+    from scriptlens.operators.documents import line_context
+    rows = [("s", 1, 1, "a", n, "x", d) for n, d in [(0, "l0"), (1, "l1"), (1, "l1"), (1, "m1"), (2, "l2")]]
+    got = line_context(spark.createDataFrame(rows, LINES)).collect()
+    assert sorted((r.prev_dialogue or "", r.dialogue, r.next_dialogue or "") for r in got) == [
+        ("", "l0", "l1"), ("l0", "l1", "l1"), ("l1", "l1", "m1"), ("l1", "m1", "l2"), ("m1", "l2", "")]
+
+
 def test_lines_of_two_files_are_numbered_by_file_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text("season,episode,episode_title,character,dialogue\n1,1,t,c,first\n")
     (tmp_path / "b.csv").write_text("season,episode,episode_title,character,dialogue\n"
