@@ -6,13 +6,15 @@ whole table and derives the contract's columns from the operator's output.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptlens.llm import decontam, html, langid, ngram_join, oracle, packing, pii, quality, shuffle, toxicity, training_order
+from scriptlens.llm import (alignment, decontam, hamming_index, html, langid, ngram_join, oracle, packing, periodic_runs,
+                            pii, quality, shuffle, toxicity, training_order)
 from scriptlens.llm.common import read_table
 
 
@@ -95,6 +97,44 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def planted_repeats(doc_id: int | None, words: list[str]) -> list[str]:
+    """The contract's change of a tenth of the documents: from word a on, the
+    words go on with period p. Documents without an id stay as they are."""
+    if doc_id is None:
+        return words
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    cycle = words[a:a + p]
+    return words[:a] + (cycle * (-(-(n - a) // p)))[:n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(read_table(spark, sf_dir, "documents"), keep=["doc_id"], change=planted_repeats)
+    # all runs of a row: lengths and periods are below 2^31, so products are exact
+    best = F.aggregate("runs", F.element_at("runs", 1), lambda top, r: F.when(
+        r["length"] * top["period"] > top["length"] * r["period"], r).otherwise(top))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]),
+                                                                F.lit("\n"))), "")
+    return found.withColumn("best", F.when(F.size("runs") > 0, best)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.alignment_counts(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_index.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_bilstm_crf": op1_pii_bilstm_crf,
     "op2_host_suffix_array": op2_host_suffix_array,
@@ -106,6 +146,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_hamming_neighbours": op13_hamming_neighbours,
     "pipeline": corpus_pipeline.run,
 }
 
