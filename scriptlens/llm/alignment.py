@@ -22,6 +22,7 @@ further columns are ignored unless kept.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -68,6 +69,10 @@ class Side:
 
 
 class ByteSide(Side):
+    """A byte-level BPE file. If its ids follow the order of its merges and its split
+    pattern is the standard one, the merges are run by the faster library of rank
+    files, on the file's own vocabulary; else by the file's library."""
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -81,11 +86,31 @@ class ByteSide(Side):
                          else token.encode("utf-8"))
         super().__init__(tokens)
         self.closed = np.array([t + "|" for t in self.last], dtype=object)
+        self.ranked = ranked_encoding(json.loads(self.tokenizer.to_str()), tokens)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked is not None:
+            return [self.ranked.encode_ordinary(" " + t) for t in texts]
         return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
+def ranked_encoding(settings: dict, tokens: list[bytes]):
+    """The same encoding as ranks, or None if the file isn't one of ranks."""
+    import public_tokenizers
+    import tiktoken
+
+    model, split = settings["model"], settings["pre_tokenizer"] or {}
+    special = {t["id"] for t in settings["added_tokens"]}
+    merged = [model["vocab"]["".join(pair)] for pair in model["merges"]]
+    plain = (model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex")
+             and not split.get("add_prefix_space") and settings["normalizer"] is None
+             and not model.get("dropout") and not model.get("ignore_merges") and not model.get("byte_fallback"))
+    if not plain or merged != list(range(256, 256 + len(merged))) or len(tokens) != 256 + len(merged) + len(special):
+        return None
+    ranks = {t: i for i, t in enumerate(tokens) if i not in special}
+    return tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class PieceSide(Side):
     def __init__(self, path: str):
         import sentencepiece
