@@ -163,6 +163,8 @@ BM25_EPSILON = 0.25
 TFIDF_MAX_FEATURES = 1500
 NB_ALPHA = 1.0
 CV_FOLDS = 3
+HEAD_EPOCHS = 10
+HEAD_PATIENCE = 3
 MAX_INPUT_TOKENS = 500
 MIN_STYLE_LINES = 120
 STYLE_EXAMPLES = 5

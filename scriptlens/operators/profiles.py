@@ -35,6 +35,7 @@ from .documents import (
     first_characters,
     top_characters,
 )
+from .heads import HeadModel, head_probs
 from .search import top_k
 
 
@@ -88,8 +89,11 @@ def score_texts(model: TraitModel, texts: DataFrame, id_col: str, text_col: str)
     return score_counts(model, C.term_counts(texts, id_col, text_col), texts.select(id_col), id_col)
 
 
-def score_counts(model: TraitModel, counts: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
-    """M9 from (id, term, cnt): the same columns for every row of ``rows``."""
+def score_counts(model: TraitModel | HeadModel, counts: DataFrame, rows: DataFrame, id_col: str) -> DataFrame:
+    """M9 from (id, term, cnt): the same columns for every row of ``rows``, by naive
+    Bayes or by the trained heads."""
+    if isinstance(model, HeadModel):
+        return head_probs(model, counts, rows, id_col)
     x = C.tfidf_weights(counts, model.vocab, id_col)
     jll = C.nb_joint(x, rows, model.logp, model.priors, id_col)
     return C.wide_probs(C.nb_predict(jll, id_col), [id_col])

@@ -106,7 +106,7 @@ def _literal(queries) -> list[str] | None:
     return None
 
 
-def _searchable_text(lines: DataFrame) -> Column:
+def searchable_text(lines: DataFrame) -> Column:
     """Lower-cased line text; the last line of a document carries `` title``."""
     tail = F.when(F.col("is_last"), F.concat(F.lit(" "), F.coalesce(F.col("episode_title"), F.lit(""))))
     return F.lower(F.concat(F.coalesce(F.col("dialogue"), F.lit("")), F.coalesce(tail, F.lit(""))))
@@ -118,8 +118,8 @@ PUSHDOWN_MAX_TERMS = 1000
 FEW_PARTS = 16
 # Shortest part that has an anchor trigram; shorter ones are tested as literals.
 ANCHOR_CHARS = 3
-# Distinct parts matched by one pass over the texts: a literal array of their
-# anchors and a broadcast table of the parts.
+# Parts up to which a batch becomes literals: an array of anchors and a broadcast
+# table of the parts. Beyond it the parts are joined as a table.
 PARTS_PER_PASS = 5_000
 
 
@@ -166,6 +166,24 @@ def anchored_hits(text: DataFrame, key_cols: list[str], rows: list) -> DataFrame
             .select(*key_cols, "query_id", "qtype", "n_parts", "part_idx"))
 
 
+def shuffled_hits(text: DataFrame, key_cols: list[str], qp: DataFrame) -> DataFrame:
+    """Hits of any number of parts without bringing them to the driver: the distinct
+    pieces of a text (its trigrams; for parts under three characters its characters
+    and pairs) join the parts' anchors, and ``contains`` decides."""
+    part = F.col("part")
+    anchor = F.when(F.length(part) < ANCHOR_CHARS, part).otherwise(
+        F.array_min(F.transform(trigrams(part), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"])
+    anchored = qp.withColumn("anchor", anchor)
+    sizes = {r[0] for r in anchored.select(F.least(F.length("part"), F.lit(ANCHOR_CHARS))).distinct().collect()}
+    kinds = [F.regexp_extract_all("_text", F.lit("(?s)(?=(.{%d}))" % n), F.lit(1)) for n in sorted(sizes - {0})]
+    pieces = F.array_distinct(F.concat(F.array(F.lit("")) if 0 in sizes else F.array().cast("array<string>"), *kinds))
+    held = text.select(*key_cols, "_text", F.explode(pieces).alias("anchor"))
+    anchors = anchored.select("anchor").distinct()
+    held = held.join(anchors, "anchor", "left_semi")        # broadcast by Spark while it is small
+    return held.join(anchored, "anchor").where(F.contains("_text", part)).select(
+        *key_cols, "query_id", "qtype", "n_parts", "part_idx")
+
+
 def hash_text(s: str) -> int:
     return zlib.crc32(s.encode("utf-8", "surrogatepass"))
 
@@ -173,19 +191,22 @@ def hash_text(s: str) -> int:
 def part_hits(text: DataFrame, key_cols: list[str], qp: DataFrame) -> DataFrame:
     """(key_cols..., query_id, qtype, n_parts, part_idx) for every text holding a part.
 
-    ``qp`` has one row per (query, part); query tables are batches of stated
-    size. They are read in passes of ``PARTS_PER_PASS`` parts, each of them one
-    scan of the texts.
+    ``qp`` has one row per (query, part). Up to ``PARTS_PER_PASS`` parts become
+    literals of one scan; more stay a table and are joined.
     """
-    rows = qp.orderBy("part", "query_id", "part_idx").collect()
+    qp = materialize(qp)
+    n_parts = qp.count()
+    if n_parts > PARTS_PER_PASS:
+        return shuffled_hits(text, key_cols, qp)
+    rows = qp.orderBy("part", "query_id", "part_idx").collect()     # at most PARTS_PER_PASS
     hits = []
     few = len(rows) <= FEW_PARTS
     short = [r for r in rows if few or len(r["part"]) < ANCHOR_CHARS]
     long = [r for r in rows if not few and len(r["part"]) >= ANCHOR_CHARS]
     for lo in range(0, len(short), 64):
         hits.append(literal_hits(text, key_cols, short[lo:lo + 64]))
-    for lo in range(0, len(long), PARTS_PER_PASS):
-        hits.append(anchored_hits(text, key_cols, long[lo:lo + PARTS_PER_PASS]))
+    if long:
+        hits.append(anchored_hits(text, key_cols, long))
     if not hits:
         return text.where("false").select(*key_cols, *[F.lit(None).cast(t).alias(c) for c, t in (
             ("query_id", "bigint"), ("qtype", "string"), ("n_parts", "int"), ("part_idx", "int"))])
@@ -194,7 +215,7 @@ def part_hits(text: DataFrame, key_cols: list[str], qp: DataFrame) -> DataFrame:
 
 def matched_documents(lines: DataFrame, prepared: DataFrame) -> DataFrame:
     """(query_id, document keys) of documents matching each query."""
-    text = lines.select(*DOC_KEYS, _searchable_text(lines).alias("_text"))
+    text = lines.select(*DOC_KEYS, searchable_text(lines).alias("_text"))
     hits = part_hits(text, DOC_KEYS, match_parts(prepared))
     keys = ["query_id", "qtype", "n_parts", *DOC_KEYS]
     # distinct parts per (query, document): partial aggregation, a document with
@@ -273,7 +294,11 @@ def ranked_matches(index: CorpusIndex, prepared: DataFrame,
                    title_weight: float = DEFAULT_TITLE_WEIGHT, bounds: QueryBounds | None = None) -> DataFrame:
     """Every matched document with its BM25, title boost and relevance (M2 before top-k)."""
     bounds = bounds or query_bounds(prepared)
-    matched = matched_documents(index.lines, prepared)
+    if index.grams is None:
+        matched = matched_documents(index.lines, prepared)
+    else:
+        from .trigrams import matched_by_trigrams
+        matched = matched_by_trigrams(index.grams, prepared)
     scores = bm25_scores(index, prepared, title_weight, bounds=bounds)
     dparts_b, _ = bounded_broadcast(prepared.select("query_id", "dparts"), bounds.queries)
     boost = title_hits("episode_title", "dparts") * F.lit(2.0 * float(title_weight))

@@ -9,6 +9,7 @@ them back.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +17,18 @@ from pyspark.sql import functions as F
 from ..functions.query import display_parts, parse_query
 from ..functions.snippet import highlight
 from ..functions.text import lemma_tokens, normalize_baseline, normalize_classifier, normalize_search, search_tokens
-from ..functions.wordlists import DEFAULT_TITLE_WEIGHT, DEFAULT_TOP_K, SHOW_ALIASES
+from ..functions.wordlists import DEFAULT_TITLE_WEIGHT, DEFAULT_TOP_K, MAX_INPUT_TOKENS, SHOW_ALIASES
 from ..operators import classify as C
 from ..operators import documents as D
+from ..operators import heads as H
 from ..operators import profiles as P
+from ..operators import embedding as E
+from ..operators import lemmas as L
 from ..operators import similar as V
-from ..operators.index import DOC_KEYS, CorpusIndex, materialize_index
+from ..operators import trigrams as G
+from ..operators import vector_index as I
+from ..operators.versions import open_index
+from ..operators.index import DOC_KEYS, CorpusIndex, materialize_index, searchable_lines
 from ..operators.search import (
     bm25_scores,
     document_snippets,
@@ -36,7 +43,7 @@ from ..operators.search import (
 from ..session import materialize, new_table_path
 from ..streaming.ingest import ingest_line_files, read_line_table
 from ..sources import adapters
-from ..sources.dialogue import ingest_csv_sources, write_csv_sources
+from ..sources.dialogue import ingest_csv_sources, ingest_with_quarantine, write_csv_sources
 
 # Literal queries of the registered searches: terms that occur in the
 # generated prose; "the" exercises the stop-word fallback.
@@ -52,26 +59,46 @@ STYLE_MIN_LINES = 45
 _CACHE: dict[tuple, object] = {}
 
 
-def _key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what)
+def _key(spark: SparkSession, sf_dir: str, what: str, *tables: str) -> tuple:
+    """Key of a table kept in the session; ``tables`` are those it is made of."""
+    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), what, adapters.table_version(spark, sf_dir, tables))
+
+
+CORPUS_TABLES = {"documents": "documents", "dialogue": "conversations"}
 
 
 def corpus_index(spark: SparkSession, sf_dir: str, corpus: str) -> CorpusIndex:
-    key = _key(spark, sf_dir, "index:" + corpus)
+    key = _key(spark, sf_dir, "index:" + corpus, CORPUS_TABLES[corpus])
     if key not in _CACHE:
         lines = (adapters.document_lines if corpus == "documents" else adapters.dialogue_lines)(spark, sf_dir)
         _CACHE[key] = materialize_index(spark, lines)
     return _CACHE[key]
 
 
+def trigram_index(spark: SparkSession, sf_dir: str, corpus: str) -> G.TrigramIndex:
+    key = _key(spark, sf_dir, "trigrams:" + corpus, CORPUS_TABLES[corpus])
+    if key not in _CACHE:
+        lines = (adapters.document_lines if corpus == "documents" else adapters.dialogue_lines)(spark, sf_dir)
+        _CACHE[key] = G.build_trigrams(spark, searchable_lines(lines))
+    return _CACHE[key]
+
+
 def trait_model(spark: SparkSession, sf_dir: str) -> P.TraitModel:
-    key = _key(spark, sf_dir, "model")
+    key = _key(spark, sf_dir, "model", "documents", "labels")
     if key not in _CACHE:
         model, _split = P.train_trait_model(adapters.posts(spark, sf_dir))
         _CACHE[key] = P.load_model(spark, P.save_model(spark, model))
     return _CACHE[key]
 
 
+def head_model(spark: SparkSession, sf_dir: str) -> H.HeadModel:
+    key = _key(spark, sf_dir, "heads", "documents", "labels")
+    if key not in _CACHE:
+        model = H.train_heads(adapters.posts(spark, sf_dir))
+        _CACHE[key] = H.load_heads(spark, H.save_heads(spark, model))
+    return _CACHE[key]
+
+
 def dialogue(spark, sf_dir) -> DataFrame:
     return adapters.dialogue_lines(spark, sf_dir)
 
@@ -119,6 +146,17 @@ def q_union_sources(spark, sf_dir):
     return lines
 
 
+def q_quarantined_lines(spark, sf_dir):
+    """CSV sources in which some rows are damaged (a season that is no
+    number) through the ingest that puts such rows aside; all rows, good and bad."""
+    damaged = F.col("episode") % 3 == 1
+    lines = dialogue(spark, sf_dir).withColumn(
+        "season", F.when(damaged, F.concat(F.lit("no "), F.col("season"))).otherwise(F.col("season").cast("string")))
+    good, bad, _ = ingest_with_quarantine(spark, write_csv_sources(spark, lines))
+    return good.select("show_key", "line_no", "season", "episode", "dialogue").withColumn("parsed", F.lit(True)).unionByName(
+        bad.select("show_key", "line_no").withColumn("parsed", F.lit(False)), allowMissingColumns=True)
+
+
 def q_streamed_lines(spark, sf_dir):
     """The dialogue lines written as files and ingested by the file stream
     twice (the second run finds nothing new)."""
@@ -185,6 +223,25 @@ def q_tokenize_lemmas(spark, sf_dir):
     return lemma_tokens(tokens, "doc_id", "tokens", lexicon)
 
 
+def _corpus_terms(spark, sf_dir) -> DataFrame:
+    """Distinct search tokens of all documents, written once for its readers."""
+    tokens = adapters.table(spark, sf_dir, "documents").select(F.explode(search_tokens("text")).alias("term"))
+    return materialize(tokens.distinct())
+
+
+def q_suffix_rules(spark, sf_dir):
+    """The suffix rules learned from the vocabulary."""
+    return L.suffix_rules(_corpus_terms(spark, sf_dir))
+
+
+def q_learned_lemmas(spark, sf_dir):
+    """Search tokens through the lexicon of the learned rules."""
+    terms = _corpus_terms(spark, sf_dir)
+    lexicon = L.learned_lexicon(terms, materialize(L.suffix_rules(terms)))
+    tokens = adapters.table(spark, sf_dir, "documents").select("doc_id", search_tokens("text").alias("tokens"))
+    return lemma_tokens(tokens, "doc_id", "tokens", lexicon)
+
+
 def q_normalize_marked(spark, sf_dir):
     """Every document's own text with a URL, type words
     and names put in, through the three normalisers."""
@@ -256,6 +313,19 @@ def q_match_batch(spark, sf_dir):
     return matched_documents(documents(spark, sf_dir), prepared).select("query_id", "show_key", "episode")
 
 
+def q_match_indexed(spark, sf_dir):
+    """P4-P6, J8 through the trigram postings: the rows of ``match_batch``."""
+    prepared = prepare_queries(_batch_queries(spark, sf_dir))
+    found = G.matched_by_trigrams(trigram_index(spark, sf_dir, "documents"), prepared)
+    return found.select("query_id", "show_key", "episode")
+
+
+def q_match_indexed_and(spark, sf_dir):
+    prepared = prepare_queries(query_table(spark, ["erth&ouen"]))
+    found = G.matched_by_trigrams(trigram_index(spark, sf_dir, "documents"), prepared)
+    return found.select("query_id", "show_key", "episode")
+
+
 # ---------------------------------------------------------------------------
 # Index and ranking
 # ---------------------------------------------------------------------------
@@ -307,6 +377,35 @@ def q_search_batch(spark, sf_dir):
     return search(spark, idx, _batch_queries(spark, sf_dir), 3, DEFAULT_TITLE_WEIGHT)
 
 
+def q_search_indexed(spark, sf_dir):
+    """M2 with the boolean match read from the trigram postings."""
+    idx = replace(corpus_index(spark, sf_dir, "dialogue"), grams=trigram_index(spark, sf_dir, "dialogue"))
+    return search(spark, idx, _batch_queries(spark, sf_dir), 3, DEFAULT_TITLE_WEIGHT)
+
+
+def updated_index(spark: SparkSession, sf_dir: str) -> tuple[CorpusIndex, dict]:
+    """An index first opened on an earlier state of the documents (some missing,
+    some with another text, one more), then brought up to date with all of them."""
+    now = documents(spark, sf_dir)
+    number = F.col("episode")
+    before = now.where(number % 7 != 3).withColumn(
+        "dialogue", F.when(number % 5 == 2, F.reverse("dialogue")).otherwise(F.col("dialogue")))
+    extra = now.where(number % 9 == 4).withColumn("episode", -number - 1)
+    path = new_table_path(spark, "versioned-index")
+    open_index(spark, path, before.unionByName(extra))
+    return open_index(spark, path, now)
+
+
+def q_versioned_term_stats(spark, sf_dir):
+    """Statistics of the index that was brought up to date by a segment."""
+    return updated_index(spark, sf_dir)[0].term_stats
+
+
+def q_versioned_search(spark, sf_dir):
+    """A search of the index that was brought up to date."""
+    return search(spark, updated_index(spark, sf_dir)[0], DOC_QUERIES, DEFAULT_TOP_K, DEFAULT_TITLE_WEIGHT)
+
+
 def q_snippets(spark, sf_dir):
     idx = corpus_index(spark, sf_dir, "dialogue")
     docs = idx.lines.select(*DOC_KEYS).distinct().select(
@@ -373,6 +472,37 @@ def q_eval_metrics(spark, sf_dir):
     return C.split_metrics(C.nb_predict(jll), C.long_labels(posts), split)
 
 
+def q_head_training(spark, sf_dir):
+    """M7: losses of every epoch and head, and the epoch whose weights are kept."""
+    return head_model(spark, sf_dir).history.select(
+        F.col("epoch").cast("bigint"), "dim", F.round("train_loss", 6).alias("train_loss"),
+        F.round("val_loss", 6).alias("val_loss"), "chosen")
+
+
+def q_head_weights(spark, sf_dir):
+    """The kept weights, read back; the bias has an empty term."""
+    w = head_model(spark, sf_dir).weights
+    return w.select(F.coalesce("term", F.lit("")).alias("term"),
+                    *[F.round(f"w_{d}", 6).alias(f"w_{d}") for d in C.DIM_NAMES])
+
+
+def q_head_metrics(spark, sf_dir):
+    """M8, A15, A16 of the trained heads on all three splits."""
+    posts = adapters.posts(spark, sf_dir)
+    model = head_model(spark, sf_dir)
+    return C.split_metrics(H.head_predictions(model, posts), C.long_labels(posts), model.split)
+
+
+def q_head_character_types(spark, sf_dir):
+    """M10 with the trained heads in place of naive Bayes."""
+    return P.character_types(dialogue(spark, sf_dir), head_model(spark, sf_dir))
+
+
+def q_limited_character_types(spark, sf_dir):
+    """Every character scored on the first words of its text only."""
+    return P.character_types(dialogue(spark, sf_dir), trait_model(spark, sf_dir), MAX_INPUT_TOKENS)
+
+
 # ---------------------------------------------------------------------------
 # Profiles (M10-M16) and style retrieval
 # ---------------------------------------------------------------------------
@@ -422,7 +552,7 @@ def q_search_with_characters(spark, sf_dir):
 
 def line_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line vectors written once per session, partitioned by character."""
-    key = _key(spark, sf_dir, "vectors")
+    key = _key(spark, sf_dir, "vectors", "documents", "embeddings")
     if key not in _CACHE:
         _CACHE[key] = V.materialize_vectors(spark, adapters.line_vectors(spark, sf_dir))
     return _CACHE[key]
@@ -447,12 +577,62 @@ def q_style_prompts(spark, sf_dir):
     return V.style_prompts(V.nearest_lines(corpus, requests), STYLE_SENTENCE)
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> I.VectorIndex:
+    key = _key(spark, sf_dir, "vector-index", "documents", "embeddings")
+    if key not in _CACHE:
+        corpus, _ = _style_inputs(spark, sf_dir)
+        _CACHE[key] = I.build_vector_index(spark, corpus.select("character", "line_id", "dialogue", "embedding"))
+    return _CACHE[key]
+
+
+def q_cosine_topk_index(spark, sf_dir):
+    """The exact search of the vector index, the rows of ``cosine_topk``."""
+    _, requests = _style_inputs(spark, sf_dir)
+    return I.exact_lines(vector_index(spark, sf_dir), requests).select(
+        "request_id", "character", F.col("example_rank").cast("bigint"), "line_id", "cosine")
+
+
+def text_embedding(spark: SparkSession, sf_dir: str) -> tuple[E.TextEmbedding, DataFrame, DataFrame]:
+    """The embedding learned from all lines, their packed rows and the lines."""
+    key = _key(spark, sf_dir, "text-embedding", "documents", "embeddings")
+    if key not in _CACHE:
+        lines = materialize(line_vectors(spark, sf_dir).select("character", "line_id", "dialogue"))
+        model, rows = E.fit_embedding(lines)
+        _CACHE[key] = (E.load_embedding(spark, E.save_embedding(spark, model)), rows, lines)
+    return _CACHE[key]
+
+
+def q_embedding_axes(spark, sf_dir):
+    """The singular values of the axes, in order."""
+    model, _, _ = text_embedding(spark, sf_dir)
+    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in enumerate(model.singular_values)],
+                                 "axis bigint, singular_value double")
+
+
+def q_style_prompts_text(spark, sf_dir):
+    """Prompts from text alone. Every eligible character is asked for the
+    sentence of the first line; lines and sentence are embedded here."""
+    model, rows, lines = text_embedding(spark, sf_dir)
+    corpus = lines.dropna(subset=["character", "dialogue"]).where(F.length("dialogue") > 5)
+    corpus = corpus.join(D.eligible_characters(lines, STYLE_MIN_LINES).select("character"), "character", "left_semi")
+    vectors = E.embed_lines(corpus, model, rows)
+    sentence = corpus.agg(F.min_by("dialogue", "line_id").alias("sentence"))
+    asked = E.embed_texts(sentence.select(F.lit(0).alias("line_id"), "sentence"), model, "line_id", "sentence").first()
+    if asked is None:           # no vocabulary word in the sentence
+        return V.style_prompts(V.nearest_lines(vectors.where("false"), V.centroid_requests(vectors.where("false"))), "")
+    requests = corpus.select("character").distinct().select(
+        F.col("character").alias("request_id"), "character", F.lit(list(asked["embedding"])).alias("request_vec"))
+    index = I.build_vector_index(spark, vectors)
+    return V.style_prompts(I.exact_lines(index, requests), sentence.first()["sentence"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "show_registry": q_show_registry,
     "show_extremes": q_show_extremes,
     "alias_resolution": q_alias_resolution,
     "episode_documents": q_episode_documents,
     "union_sources": q_union_sources,
+    "quarantined_lines": q_quarantined_lines,
     "streamed_lines": q_streamed_lines,
     "index_roundtrip": q_index_roundtrip,
     "line_context": q_line_context,
@@ -466,6 +646,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize_search": q_tokenize_search,
     "normalize_marked": q_normalize_marked,
     "tokenize_lemmas": q_tokenize_lemmas,
+    "suffix_rules": q_suffix_rules,
+    "learned_lemmas": q_learned_lemmas,
     "normalize_classifier": q_normalize_classifier,
     "normalize_baseline": q_normalize_baseline,
     "query_parse": q_query_parse,
@@ -473,6 +655,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_and": q_match_and,
     "match_or": q_match_or,
     "match_batch": q_match_batch,
+    "match_indexed": q_match_indexed,
+    "match_indexed_and": q_match_indexed_and,
     "term_stats": q_term_stats,
     "doc_lengths": q_doc_lengths,
     "postings_top": q_postings_top,
@@ -482,6 +666,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_title_weight0": q_search_title_weight0,
     "search_one_show": q_search_one_show,
     "search_batch": q_search_batch,
+    "search_indexed": q_search_indexed,
+    "versioned_term_stats": q_versioned_term_stats,
+    "versioned_search": q_versioned_search,
     "snippets": q_snippets,
     "label_encode": q_label_encode,
     "stratified_split": q_stratified_split,
@@ -491,6 +678,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nb_model": q_nb_model,
     "nb_cv_accuracy": q_nb_cv_accuracy,
     "eval_metrics": q_eval_metrics,
+    "head_training": q_head_training,
+    "head_weights": q_head_weights,
+    "head_metrics": q_head_metrics,
+    "head_character_types": q_head_character_types,
+    "limited_character_types": q_limited_character_types,
     "character_types": q_character_types,
     "character_lookup": q_character_lookup,
     "probability_map": q_probability_map,
@@ -500,6 +692,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_with_characters": q_search_with_characters,
     "cosine_topk": q_cosine_topk,
     "style_prompts": q_style_prompts,
+    "cosine_topk_index": q_cosine_topk_index,
+    "embedding_axes": q_embedding_axes,
+    "style_prompts_text": q_style_prompts_text,
 }
 
 

@@ -203,6 +203,51 @@ def _model_ctes() -> list[str]:
             _nb_fit_ctes("SELECT lab.* FROM lab JOIN split USING (row_id) WHERE split = 'train'")]
 
 
+def _head_ctes(rate: float, epochs: int, patience: int) -> list[str]:
+    """The logistic heads by unrolled gradient steps: weights w0 ... wE, losses per
+    epoch, the epochs run before patience ends, and the chosen one."""
+    ctes = [S.posts_cte(), _split_cte(), _posts_texts("classifier"), _long_labels(),
+            _tfidf_ctes("SELECT row_id FROM split WHERE split = 'train'"),
+            """feat AS MATERIALIZED (SELECT row_id, term, x FROM xf UNION ALL SELECT row_id, '' AS term, 1.0 AS x FROM posts),
+    hl AS MATERIALIZED (SELECT lab.row_id, dim, label, split FROM lab JOIN split USING (row_id)),
+    nt AS (SELECT dim, count(*) AS n FROM hl WHERE split = 'train' GROUP BY dim),
+    w0 AS (SELECT d.dim, t.term, CAST(0.0 AS DOUBLE) AS w FROM (SELECT DISTINCT dim FROM hl) d,
+           (SELECT term FROM vocab UNION ALL SELECT '') t)"""]
+    loss = []
+    for e in range(1, epochs + 1):
+        ctes.append(f"""z{e} AS MATERIALIZED (SELECT hl.row_id, hl.dim, hl.label, hl.split, sum(f.x * w.w) AS z
+           FROM hl JOIN feat f ON f.row_id = hl.row_id JOIN w{e - 1} w ON w.dim = hl.dim AND w.term = f.term GROUP BY ALL),
+    g{e} AS (SELECT z.dim, f.term, sum((1.0 / (1.0 + exp(-z.z)) - z.label) * f.x) AS g
+           FROM z{e} z JOIN feat f ON f.row_id = z.row_id WHERE z.split = 'train' GROUP BY ALL),
+    w{e} AS MATERIALIZED (SELECT w.dim, w.term, w.w - {rate} * coalesce(g.g, 0.0) / nt.n AS w
+           FROM w{e - 1} w JOIN nt ON nt.dim = w.dim LEFT JOIN g{e} g ON g.dim = w.dim AND g.term = w.term)""")
+        loss.append(f"""SELECT {e} AS epoch, hl.dim, hl.split, hl.row_id, hl.label, sum(f.x * w.w) AS z
+           FROM hl JOIN feat f ON f.row_id = hl.row_id JOIN w{e} w ON w.dim = hl.dim AND w.term = f.term
+           WHERE hl.split <> 'test' GROUP BY ALL""")
+    ctes.append(f"""el AS MATERIALIZED (
+      SELECT epoch, dim,
+             avg(greatest(z, 0) + ln(1.0 + exp(-abs(z))) - label * z) FILTER (WHERE split = 'train') AS train_loss,
+             avg(greatest(z, 0) + ln(1.0 + exp(-abs(z))) - label * z) FILTER (WHERE split = 'val') AS val_loss
+      FROM ({' UNION ALL '.join(loss)}) GROUP BY epoch, dim),
+    em AS (SELECT epoch, avg(val_loss) AS m FROM el GROUP BY epoch),
+    eb AS (SELECT epoch, m, coalesce(m < min(m) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM em),
+    ew AS (SELECT epoch, epoch - max(CASE WHEN better THEN epoch END) OVER (ORDER BY epoch) AS waited, better FROM eb),
+    ek AS (SELECT epoch, better FROM ew WHERE epoch <= coalesce((SELECT min(epoch) FROM ew WHERE waited >= {patience}), {epochs})),
+    chosen AS (SELECT max(epoch) AS epoch FROM ek WHERE better),
+    heads AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT {e} AS epoch, dim, term, w FROM w{e}" for e in range(1, epochs + 1))})
+              WHERE epoch = (SELECT epoch FROM chosen))""")
+    return ctes
+
+
+def _head_pred_ctes(rows: str, feats: str) -> str:
+    """p1 per (id, dim) of the kept heads; ``feats`` are (id, term, x)."""
+    return f"""
+    hdot AS (SELECT f.id, h.dim, sum(f.x * h.w) AS z FROM {feats} f JOIN heads h ON h.term = f.term GROUP BY ALL),
+    pred AS (SELECT r.id, b.dim, 1.0 / (1.0 + exp(-(coalesce(d.z, 0.0) + b.w))) AS p1
+             FROM ({rows}) r CROSS JOIN (SELECT dim, w FROM heads WHERE term = '') b
+             LEFT JOIN hdot d ON d.id = r.id AND d.dim = b.dim)"""
+
+
 def _char_texts_ctes() -> str:
     clean = S.normalize_classifier("dialogue")
     return f"""
@@ -293,6 +338,11 @@ def all_sql() -> dict[str, str]:
            CAST(row_number() OVER (PARTITION BY show_key ORDER BY line_no) - 1 AS BIGINT) AS line_no,
            character, dialogue FROM lines"""
 
+    out["quarantined_lines"] = f"""{_with(dl)},
+    n AS (SELECT show_key, CAST(row_number() OVER (PARTITION BY show_key ORDER BY line_no) - 1 AS BIGINT) AS line_no,
+                 season, episode, dialogue, episode % 3 <> 1 AS parsed FROM lines)
+    SELECT show_key, line_no, CASE WHEN parsed THEN season END AS season, CASE WHEN parsed THEN episode END AS episode,
+           CASE WHEN parsed THEN dialogue END AS dialogue, parsed FROM n"""
     out["streamed_lines"] = f"""{_with(dl)}
     SELECT show_key, season, episode, episode_title, line_no, character, dialogue FROM lines"""
 
@@ -332,6 +382,27 @@ def all_sql() -> dict[str, str]:
     out["tokenize_lemmas"] = f"""SELECT doc_id, list_transform({S.search_tokens('text')},
            lambda t: CASE WHEN regexp_matches(t, '^.{{3,}}ing$') THEN substr(t, 1, length(t) - 3) ELSE t END) AS tokens
     FROM documents"""
+    from ..operators import lemmas as L
+
+    cuts = f"""
+    terms AS (SELECT DISTINCT unnest({S.search_tokens('text')}) AS term FROM documents),
+    cuts AS (SELECT term, substr(term, 1, length(term) - n) AS stem, substr(term, length(term) - n + 1) AS suffix
+             FROM terms, unnest(range(1, least({L.MAX_SUFFIX}, length(term) - {L.MIN_STEM}) + 1)) AS u(n)),
+    led AS (SELECT c.term, c.suffix, e.ending, c.stem || e.ending AS lemma
+            FROM cuts c, (VALUES {', '.join(f"({S.lit(e)})" for e in L.ENDINGS)}) AS e(ending)
+            WHERE c.suffix <> e.ending AND c.stem || e.ending IN (SELECT term FROM terms)),
+    counts AS (SELECT suffix, ending, count(*) AS support FROM led WHERE length(suffix) > length(ending)
+               GROUP BY ALL HAVING count(*) >= {L.MIN_SUPPORT}),
+    rules AS (SELECT suffix, ending, CAST(support AS BIGINT) AS support FROM
+              (SELECT *, row_number() OVER (PARTITION BY suffix ORDER BY support DESC, ending) AS r FROM counts)
+              WHERE r = 1 ORDER BY support DESC, suffix LIMIT {L.MAX_RULES})"""
+    out["suffix_rules"] = f"{_with(cuts)} SELECT * FROM rules"
+    out["learned_lemmas"] = f"""{_with(cuts)},
+    lex AS (SELECT term, arg_max(lemma, length(suffix)) AS lemma FROM led JOIN rules USING (suffix, ending) GROUP BY term),
+    tok AS (SELECT doc_id, {S.search_tokens('text')} AS tokens FROM documents),
+    flat AS (SELECT doc_id, i, tokens[i] AS term FROM tok, unnest(range(1, len(tokens) + 1)) AS u(i)),
+    done AS (SELECT doc_id, list(coalesce(lex.lemma, flat.term) ORDER BY i) AS tokens FROM flat LEFT JOIN lex USING (term) GROUP BY doc_id)
+    SELECT tok.doc_id, coalesce(done.tokens, []) AS tokens FROM tok LEFT JOIN done USING (doc_id)"""
     out["show_extremes"] = f"""{_with(dl, "n AS (SELECT show_key, count(*) AS n FROM lines GROUP BY show_key)")}
     SELECT CAST(count(*) AS BIGINT) AS n_shows, (SELECT show_key FROM n ORDER BY n.n DESC, show_key LIMIT 1) AS largest_show FROM n"""
     mk = f"({S.lit(CT.MARKED_HEAD)} || coalesce(text, '') || {S.lit(CT.MARKED_TAIL)})"
@@ -349,12 +420,16 @@ def all_sql() -> dict[str, str]:
     out["match_batch"] = _matched_sql(dc + ",\n" + dl.replace("lines AS (", "dlines AS (").replace("first_turn", "ft2"),
                                       _batch_queries_cte().replace("FROM lines", "FROM dlines"))
 
+    out["match_indexed"] = out["match_batch"]
+    out["match_indexed_and"] = out["match_and"]
+
     sep = f"""sep AS (SELECT {DOC_KEYS}, unnest({S.search_tokens('body')}) AS term, 1 AS b, 0 AS t FROM docs
             UNION ALL SELECT {DOC_KEYS}, unnest({S.search_tokens('episode_title')}), 0, 1 FROM docs),
     post AS (SELECT {DOC_KEYS}, term, CAST(sum(b) AS BIGINT) AS tf_body, CAST(sum(t) AS BIGINT) AS tf_title FROM sep GROUP BY ALL)"""
     out["term_stats"] = f"""{_with(dc, _docs_cte(), sep)}
     SELECT show_key, term, CAST(count(*) FILTER (WHERE tf_body > 0) AS BIGINT) AS df_body, CAST(count(*) AS BIGINT) AS df_any
     FROM post GROUP BY show_key, term"""
+    out["versioned_term_stats"] = out["term_stats"]
     out["doc_lengths"] = f"""{_with(dc, _docs_cte())}
     SELECT show_key, episode, CAST(len({S.search_tokens('body')}) AS BIGINT) AS len_body,
            CAST(len({S.search_tokens('episode_title')}) AS BIGINT) AS len_title FROM docs"""
@@ -378,6 +453,8 @@ def all_sql() -> dict[str, str]:
     bq = search_sql(dl, ["x"], 3, TW)
     bq = bq.replace(S.values_queries(["x"]), _batch_queries_cte().strip().rstrip(","))
     out["search_batch"] = bq
+    out["search_indexed"] = bq
+    out["versioned_search"] = out["search_episodes"]
 
     parts = S.display_parts(S.lit(CT.SNIPPET_QUERY))
     out["snippets"] = f"""{_with(dl, _docs_cte())}
@@ -428,6 +505,39 @@ def all_sql() -> dict[str, str]:
     FROM pred p JOIN lab l ON l.row_id = p.id AND l.dim = p.dim JOIN split s ON s.row_id = p.id
     GROUP BY s.split, p.dim"""
 
+    from ..functions.wordlists import HEAD_EPOCHS, HEAD_PATIENCE, MAX_INPUT_TOKENS
+    from ..operators.heads import LEARNING_RATE
+
+    heads = _head_ctes(LEARNING_RATE, HEAD_EPOCHS, HEAD_PATIENCE)
+    out["head_training"] = f"""{_with(*heads)}
+    SELECT CAST(epoch AS BIGINT) AS epoch, dim, round(train_loss, 6) AS train_loss, round(val_loss, 6) AS val_loss,
+           epoch = (SELECT epoch FROM chosen) AS chosen FROM el WHERE epoch IN (SELECT epoch FROM ek)"""
+    wide_w = ", ".join(f"round(max(w) FILTER (WHERE dim = '{d}'), 6) AS w_{d}" for d in ["EI", "SN", "TF", "JP"])
+    out["head_weights"] = f"{_with(*heads)} SELECT term, {wide_w} FROM heads GROUP BY term"
+    out["head_metrics"] = f"""{_with(*heads, xf_id, _head_pred_ctes('SELECT row_id AS id FROM posts', 'xfid'))}
+    SELECT s.split, p.dim, CAST(count(*) AS BIGINT) AS n_rows,
+           round(avg(CASE WHEN (CASE WHEN p.p1 > 0.5 THEN 1 ELSE 0 END) = l.label THEN 1.0 ELSE 0.0 END), 6) AS accuracy,
+           round(avg(-(l.label * ln(least(greatest(p.p1, 1e-12), 1 - 1e-12))
+                       + (1 - l.label) * ln(1 - least(greatest(p.p1, 1e-12), 1 - 1e-12)))), 6) AS bce_loss
+    FROM pred p JOIN lab l ON l.row_id = p.id AND l.dim = p.dim JOIN split s ON s.row_id = p.id
+    GROUP BY s.split, p.dim"""
+    hchar = f"""
+    htok AS (SELECT id, unnest({S.vectorizer_tokens('text')}) AS term FROM
+             (SELECT show_key || chr(1) || character_key AS id, text FROM ctext WHERE text <> '')),
+    hcnt AS (SELECT id, term, count(*) AS cnt FROM htok GROUP BY ALL),
+    hx0 AS (SELECT c.id, c.term, c.cnt * v.idf AS x0 FROM hcnt c JOIN vocab v ON v.term = c.term),
+    hxf AS (SELECT id, term, x0 / sqrt(sum(x0 * x0) OVER (PARTITION BY id)) AS x FROM hx0)"""
+    hrows = "SELECT show_key || chr(1) || character_key AS id FROM ctext WHERE text <> ''"
+    out["head_character_types"] = f"""{_with(dl, *heads, _char_texts_ctes(), hchar, _head_pred_ctes(hrows, 'hxf'), f"cw AS ({_wide('pred')})")}
+    SELECT t.show_key, t.character_key, t.n_lines, round(w.p_EI, 6) AS p_EI, round(w.p_SN, 6) AS p_SN,
+           round(w.p_TF, 6) AS p_TF, round(w.p_JP, 6) AS p_JP, w.mbti
+    FROM ctext t JOIN cw w ON w.id = t.show_key || chr(1) || t.character_key WHERE t.text <> ''"""
+    cut = _char_types_ctes()
+    cut[len(_model_ctes())] = cut[len(_model_ctes())].replace("ctext AS (", "ctext0 AS (") + f""",
+    ctext AS (SELECT show_key, character_key, n_lines,
+                     {S.first_words('text', MAX_INPUT_TOKENS)} AS text FROM ctext0)"""
+    out["limited_character_types"] = f"{_with(dl, *cut)} SELECT * FROM ctypes"
+
     out["character_types"] = f"{_with(dl, *_char_types_ctes())} SELECT * FROM ctypes"
     out["character_lookup"] = f"""{_with(dl, *_char_types_ctes())},
     asked AS (SELECT DISTINCT show_key, unnest([upper(character), 'Nobody']) AS character FROM lines WHERE character IS NOT NULL)
@@ -492,6 +602,7 @@ def all_sql() -> dict[str, str]:
          JOIN ctypes t ON t.show_key = f.show_key AND t.character_key = lower(f.character)"""
 
     out["cosine_topk"] = f"{_with(*_style_ctes())} SELECT request_id, character, example_rank, line_id, cosine FROM near"
+    out["cosine_topk_index"] = out["cosine_topk"]
     sent = CT.STYLE_SENTENCE.replace("'", "''")
     out["style_prompts"] = f"""{_with(*_style_ctes())}
     SELECT request_id, character, CAST(count(*) AS BIGINT) AS n_examples,

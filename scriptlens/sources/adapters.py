@@ -36,6 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
+def table_version(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> int:
+    """A number that changes with the tables' files (names, sizes, write times), so
+    that nothing kept in a session answers for files that were replaced."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    seen = []
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        for f in fs.listStatus(path):       # the file itself, or the files of the folder
+            seen.append((name, f.getPath().getName(), f.getLen(), f.getModificationTime()))
+    return hash(tuple(sorted(seen)))
+
+
 def first_line(c) -> Column:
     """First non-blank line, stripped (same as the first of ``physical_lines``):
     drop leading blanks and line breaks, keep up to the next line break."""
