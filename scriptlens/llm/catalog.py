@@ -81,7 +81,7 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_join.similar_classes(read_table(spark, sf_dir, "documents"))
-    return out.withColumnRenamed("id", "doc_id")
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

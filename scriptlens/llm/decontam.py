@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from scriptlens.llm.common import ALNUM_WORD, ASCII_LOWER, stored
+from scriptlens.llm.common import ALNUM_WORD, ASCII_LOWER, stored, tidy
 
 WINDOW = 10
 BLOCK_TOKENS = 400_000
@@ -139,7 +139,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield from block.batches((task << 32) | made, id_type)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body")).mapInArrow(
-        run, index_schema(docs, id_col))
+        tidy(run), index_schema(docs, id_col))
     return stored(rows, "positions", ("kind",))
 
 
@@ -265,10 +265,14 @@ def search_index(index: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         rows = sized.distinct().orderBy("item", "body").collect()
         found = search_chunk(index, [(r["item"], r["body"]) for r in rows], window)
     else:
-        # each chunk against all blocks, merged per document
+        # each chunk against all blocks, written before the next one is fetched,
+        # merged per document
         chunk = F.pmod(F.xxhash64("item", "body"), F.lit(chunks))
-        parts = [sized.where(chunk == k).distinct().collect() for k in range(chunks)]
-        found = merged([search_chunk(index, [(r["item"], r["body"]) for r in p], window) for p in parts])
+        parts = []
+        for k in range(chunks):
+            rows = sized.where(chunk == k).distinct().collect()
+            parts.append(stored(search_chunk(index, [(r["item"], r["body"]) for r in rows], window), "benchmark-chunk"))
+        found = merged(parts)
     return found.drop("block", "doc_start")
 
 

@@ -1,26 +1,28 @@
 """Op 2, main text of web pages with host suffix arrays.
 
-Markup sorts a page's blocks into four zones: ``main`` (inside an article or
-main element), ``chrome`` (elements and roles that are furniture by definition:
-menus, headers, footers, sidebars, forms, head, hidden parts; elements whose
-class or id is the word for an advert), ``hinted`` (furniture by a naming habit
-only) and ``open`` (anything else). The tokens of all blocks are a page's stream.
-Streams of a host are concatenated and a suffix array (prefix doubling,
-``MIN_RUN`` tokens deep) finds runs repeated on distinct pages; pages of equal
-content count as one. Streams are range partitioned by (host, page), so a huge
-host is cut into several arrays; runs found in different arrays meet in one small
-aggregate per (host, run), which makes the result the same as that of one array
-for the whole host. A host without an open or hinted block has nothing to decide
-and needs no stream.
-
-A page's text is its main blocks and, on every page, the open and hinted blocks
-that repeated runs don't cover: covered boilerplate goes, unique runs stay. A
-hinted section of fewer than ``MIN_RUN`` tokens holds no run that could show it
-unique; its name decides.
+Markup sorts a page's blocks into three zones: ``main`` (inside an article or main
+element), ``chrome`` (menus, headers, footers, sidebars, notices, adverts, forms,
+reader comments, head and hidden parts, told by element, role or the words of class
+and id, whatever their length) and ``open`` (anything else). A layout wrapper named
+after furniture ("has-sidebar") around an article does not hide it.
+
+Repeated runs decide the open blocks, on pages with and without an article. The
+tokens of all blocks are a page's stream; streams of a host are concatenated and a
+suffix array (prefix doubling, ``MIN_RUN`` tokens deep) finds runs repeated on
+distinct pages; pages of equal content count as one. Streams are range partitioned
+by (host, page), so a huge host is cut into several arrays; runs found in different
+arrays meet in one aggregate per (host, run), which makes the result the same as
+that of one array for the whole host. A host without an open block has nothing to
+decide and needs no stream.
+
+A page's text is its main blocks and the open blocks that repeated runs don't
+cover: covered boilerplate goes, unique runs stay. Passages that several articles
+share are text of each of them and stay, and so do copied articles.
 
 Defined results: null html is an empty page (empty text); repeated rows get
-equal results; a page whose markup is cut off is read to its end; an empty table
-gives no rows; further columns are ignored.
+equal results; unique open blocks stay, unique furniture (a comment, a notice)
+goes; a page whose markup is cut off is read to its end; an empty table gives no
+rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,26 +60,25 @@ CONTAINERS = set("""article aside body details dialog div dl fieldset figure foo
 menu nav ol p section span table ul""".split())
 CHROME = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button"}
 MAIN = {"article", "main"}
-HINTS = set("""ad ads advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies
-consent notice newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs
-footer masthead comment comments disqus related share sharing social popup modal widget pagination login
-signup toolbar""".split())
-# an article under these is no main landmark; under the other hints (layout
-# wrappers such as "has-sidebar") it is
-SECONDARY = {"comment", "comments", "disqus", "related", "promo", "sponsored", "advert", "advertisement"}
-# names of adverts, as a whole word of class or id: an advert is no main text even if unique
-ADVERTS = {"ad", "ads", "advert", "advertisement", "advertising"}
+HINTS = set("""ad ads advert adverts advertisement advertisements advertising adsbygoogle banner banners sponsor
+sponsored promo promotion cookie cookies consent gdpr notice notices alert newsletter subscribe subscription sidebar
+sidenav menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments reply replies responses
+disqus related share sharing social popup modal widget pagination login signup toolbar""".split())
+# furniture only outside an article, which has a header of its own
+OUTER_HINTS = {"header", "topbar"}
+# an article under these is no main text; under the other hints (layout wrappers) it is
+SECONDARY = set("""comment comments reply replies responses disqus related promo sponsored advert adverts
+advertisement advertisements""".split())
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 def zone_of(name: str, attributes: str, outer: str) -> str:
-    """Zone of an element; ``hinted`` and ``secondary`` are furniture by a naming
-    habit only, and an article in ``secondary`` is no landmark; ``advert`` is
-    furniture around anything but a landmark."""
+    """Zone of an element; ``wrapper`` is furniture around anything but an article."""
     if outer == "chrome" or name in CHROME:
         return "chrome"
     found = outer
-    if name in MAIN and outer != "secondary":
+    if name in MAIN:
         found = "main"
     elif name == "header" and outer != "main":
         return "chrome"
@@ -85,38 +86,35 @@ def zone_of(name: str, attributes: str, outer: str) -> str:
         if HIDDEN.search(attributes):
             return "chrome"
         for m in ATTRIBUTE.finditer(attributes) if name not in ("html", "body") else ():
-            key, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").lower()
+            key, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
             if key == "role":
-                if value == "main":
+                if value.lower() == "main":
                     return "main"
-                if value in ROLES:
+                if value.lower() in ROLES:
                     return "chrome"
                 continue
-            habits = HINTS & set(re.split(r"[^a-z0-9]+", value))
-            if habits and set(value.split()) & ADVERTS and name not in MAIN:
-                found = "advert"
-            elif habits & SECONDARY:
-                found = "secondary"
-            elif habits and name not in MAIN and found not in ("advert", "secondary"):
-                found = "hinted"
+            words = set(re.split(r"[^a-z0-9]+", CAMEL.sub("-", value).lower()))
+            if words & SECONDARY or outer == "main" and words & HINTS:
+                return "chrome"
+            if words & (HINTS | OUTER_HINTS) and outer != "main" and name not in MAIN:
+                found = "wrapper"
     return found
 
 
-def blocks_of(page: str | None) -> list[tuple[str, str, int]]:
-    """(zone, text, section) of the page's blocks in order; empty blocks are left
-    out. A section is the outermost hinted element around a block."""
+def blocks_of(page: str | None) -> list[tuple[str, str]]:
+    """(zone, text) of the page's blocks in order; empty blocks are left out."""
     if not page:
         return []
-    blocks: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, int]] = [("", "open", 0)]
+    blocks: list[tuple[str, str]] = []
+    stack: list[tuple[str, str]] = [("", "open")]
     parts: list[str] = []
-    at = sections = 0
+    at = 0
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            _, zone, section = stack[-1]
-            blocks.append(({"advert": "chrome", "secondary": "hinted"}.get(zone, zone), text, section))
+            zone = stack[-1][1]
+            blocks.append(("chrome" if zone == "wrapper" else zone, text))
         parts.clear()
 
     def add(raw: str) -> None:
@@ -153,27 +151,13 @@ def blocks_of(page: str | None) -> list[tuple[str, str, int]]:
         elif not m.group(4).endswith("/"):
             if name == "body":
                 del stack[1:]
-            zone, section = zone_of(name, m.group(4), stack[-1][1]), stack[-1][2]
-            if zone not in ("hinted", "secondary"):
-                section = 0
-            elif not section:
-                section = sections = sections + 1
-            stack.append((name, zone, section))
+            stack.append((name, zone_of(name, m.group(4), stack[-1][1])))
     if at < len(page):
         add(page[at:])
     flush()
     return blocks
 
 
-def decidable(blocks: list[tuple[str, str, int]]) -> list[bool]:
-    """Whether repeated runs decide each block: open ones, and hinted ones whose
-    section has tokens for a run."""
-    tokens: dict[int, int] = {}
-    for _, text, section in blocks:
-        tokens[section] = tokens.get(section, 0) + text.count(" ") + 1
-    return [zone == "open" or zone == "hinted" and tokens[section] >= MIN_RUN for zone, _, section in blocks]
-
-
 def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)), F.lit(""))
 
@@ -193,15 +177,15 @@ def hashed(tokens: list[str], cache: dict[str, int]) -> list[int]:
 def open_hosts(pages: DataFrame) -> DataFrame:
     """(page_host): hosts with a block that repeated runs decide."""
     def make():
-        return lambda texts: [[any(decidable(blocks_of(page))) for page in texts]]
+        return lambda texts: [[any(z == "open" for z, _ in blocks_of(page)) for page in texts]]
 
     marked = add_columns(pages, "page_html", make, [("page_open", "boolean", pa.bool_())], ["page_host"], step=128)
     return marked.where("page_open").select("page_host").distinct()
 
 
 def streams(pages: DataFrame) -> DataFrame:
-    """host, page key, content signature, tokens of all blocks with block numbers
-    (negative where runs don't decide), and whether there is a block to decide."""
+    """host, page key, content signature, tokens of all blocks, whether each is of
+    an open block, and whether the page has one."""
     def make():
         cache: dict[str, int] = {}
 
@@ -209,18 +193,15 @@ def streams(pages: DataFrame) -> DataFrame:
             out: tuple[list, ...] = ([], [], [], [])
             for page in texts:
                 blocks = blocks_of(page)
-                decide = decidable(blocks)
                 tokens: list[int] = []
-                owner: list[int] = []
-                for k, (_, text, _) in enumerate(blocks):
+                is_open: list[bool] = []
+                for zone, text in blocks:
                     new = hashed(text.split(" "), cache)
                     tokens += new
-                    owner += [k if decide[k] else -1 - k] * len(new)
-                # hinted parts (rotating notices) make copies distinct only if there is nothing else
-                content = ("\n".join(t for z, t, _ in blocks if z in ("main", "open"))
-                           or "\n".join(t for z, t, _ in blocks if z == "hinted"))
-                for column, value in zip(out, (xxhash.xxh64_intdigest(content) - (1 << 63), tokens, owner,
-                                               any(decide))):
+                    is_open += [zone == "open"] * len(new)
+                content = "\n".join(t for z, t in blocks if z != "chrome")
+                for column, value in zip(out, (xxhash.xxh64_intdigest(content) - (1 << 63), tokens, is_open,
+                                               any(is_open))):
                     column.append(value)
             return list(out)
 
@@ -228,7 +209,7 @@ def streams(pages: DataFrame) -> DataFrame:
 
     return add_columns(pages, "page_html", make, [
         ("page_sig", "bigint", pa.int64()), ("tokens", "array<bigint>", pa.list_(pa.int64())),
-        ("owner", "array<int>", pa.list_(pa.int32())), ("page_open", "boolean", pa.bool_())],
+        ("is_open", "array<boolean>", pa.list_(pa.bool_())), ("page_open", "boolean", pa.bool_())],
         ["page_host", "page_key"], step=128)
 
 
@@ -310,8 +291,7 @@ def repeated_runs(table: DataFrame, depth: int = MIN_RUN, wanted: DataFrame | No
 
 
 def places(table: DataFrame, depth: int = MIN_RUN) -> DataFrame:
-    """page_key, page_host, run, at, owner: runs that touch a block to decide, with
-    their place and the block numbers of their tokens."""
+    """page_key, page_host, run, at: runs that touch an open block, and their place."""
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -321,42 +301,42 @@ def places(table: DataFrame, depth: int = MIN_RUN) -> DataFrame:
                     tokens = part.column("tokens")[row].values.to_numpy()
                     if len(tokens) < depth:
                         continue
-                    owner = np.lib.stride_tricks.sliding_window_view(
-                        part.column("owner")[row].values.to_numpy(), depth)
-                    at = np.flatnonzero((owner >= 0).any(axis=1))
-                    found.append((np.full(len(at), row), run_hashes(tokens, depth)[at], at, owner[at]))
+                    is_open = part.column("is_open")[row].values.to_numpy(zero_copy_only=False)
+                    before = np.concatenate([[0], np.cumsum(is_open)])
+                    at = np.flatnonzero(before[depth:] > before[:-depth])
+                    found.append((np.full(len(at), row), run_hashes(tokens, depth)[at], at))
                 if not found:
                     continue
-                rows, hashes, at, owner = (np.concatenate(c) for c in zip(*found))
+                rows, hashes, at = (np.concatenate(c) for c in zip(*found))
                 pick = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_key").take(pick), part.column("page_host").take(pick), pa.array(hashes),
-                     pa.array(at.astype(np.int32)),
-                     pa.ListArray.from_arrays(np.arange(0, owner.size + 1, depth, dtype=np.int32),
-                                              pa.array(owner.reshape(-1).astype(np.int32)))],
-                    names=["page_key", "page_host", "run", "at", "owner"])
+                     pa.array(at.astype(np.int32))], names=["page_key", "page_host", "run", "at"])
 
-    return table.where("page_open").select("page_key", "page_host", "tokens", "owner").mapInArrow(
-        runs, "page_key bigint, page_host string, run bigint, at int, owner array<int>")
+    return table.where("page_open").select("page_key", "page_host", "tokens", "is_open").mapInArrow(
+        runs, "page_key bigint, page_host string, run bigint, at int")
 
 
-def covered_blocks(table: DataFrame, repeats: DataFrame, depth: int = MIN_RUN) -> DataFrame:
-    """page_key -> numbers of the open and hinted blocks that repeated runs cover."""
-    hit = (places(table, depth).join(repeats, ["page_host", "run"])
-           .select("page_key", F.posexplode("owner").alias("k", "block"), "at")
-           .where("block >= 0").select("page_key", "block", (F.col("at") + F.col("k")).alias("at")).distinct()
-           .groupBy("page_key", "block").agg(F.count("*").alias("n_hit")))
-    sizes = (table.where("page_open").select("page_key", F.explode("owner").alias("block")).where("block >= 0")
-             .groupBy("page_key", "block").agg(F.count("*").alias("n")))
-    return (sizes.join(hit, ["page_key", "block"]).where(F.col("n_hit") >= COVERED * F.col("n"))
-            .groupBy("page_key").agg(F.collect_set("block").alias("page_covered")))
+def repeated_places(table: DataFrame, repeats: DataFrame, depth: int = MIN_RUN) -> DataFrame:
+    """page_key -> token places of the page's stream where a repeated run begins
+    that touches an open block."""
+    return (places(table, depth).join(repeats, ["page_host", "run"])
+            .groupBy("page_key").agg(F.collect_set("at").alias("page_runs")))
 
 
-def page_text(page: str | None, covered: list[int] | None) -> str:
+def page_text(page: str | None, runs: list[int] | None, depth: int = MIN_RUN) -> str:
+    """Main blocks and the open blocks that the repeated runs don't cover."""
     blocks = blocks_of(page)
-    gone = set(covered or ())
-    return "\n".join(t for k, ((z, t, _), d) in enumerate(zip(blocks, decidable(blocks)))
-                     if z == "main" or d and k not in gone)
+    if not runs:
+        return "\n".join(t for z, t in blocks if z != "chrome")
+    sizes = np.array([t.count(" ") + 1 for _, t in blocks])
+    ends = np.cumsum(sizes)
+    change = np.zeros(int(ends[-1]) + 1, dtype=np.int64)
+    np.add.at(change, np.array(runs), 1)
+    np.add.at(change, np.array(runs) + depth, -1)
+    hit = np.concatenate([[0], np.cumsum(np.cumsum(change) > 0)])
+    covered = hit[ends] - hit[ends - sizes] >= COVERED * sizes
+    return "\n".join(t for (z, t), c in zip(blocks, covered) if z == "main" or z == "open" and not c)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -369,11 +349,11 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     wanted = places(table).select("page_host", "run").distinct()
     repeats = stored(repeated_runs(table, wanted=wanted), "runs")
     # equal rows share a key; one verdict per key
-    gone = stored(covered_blocks(table.dropDuplicates(["page_key"]), repeats), "covered")
-    joined = keyed.join(gone, "page_key", "left").select(
-        id_col, url_col, F.struct("page_html", "page_covered").alias("page"))
+    found = stored(repeated_places(table.dropDuplicates(["page_key"]), repeats), "repeated")
+    joined = keyed.join(found, "page_key", "left").select(
+        id_col, url_col, F.struct("page_html", "page_runs").alias("page"))
 
     def make():
-        return lambda rows: [[page_text(r["page_html"], r["page_covered"]) for r in rows]]
+        return lambda rows: [[page_text(r["page_html"], r["page_runs"]) for r in rows]]
 
     return add_columns(joined, "page", make, [("text", "string", pa.string())], [id_col, url_col], step=128)

@@ -87,7 +87,7 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     place = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(parts))
     under = F.lit(False)
     for lang, n in sorted(sizes.items()):
-        under = under | ((F.col(lang_col) == lang) & (place < int(parts * min(1.0, per_lang / n))))
+        under = under | ((F.col(lang_col) == lang) & (place < max(1, int(parts * min(1.0, per_lang / n)))))
     sample = labelled.where(under).select(F.col(text_col).alias("body"), F.col(lang_col).alias("tag"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

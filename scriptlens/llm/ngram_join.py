@@ -22,10 +22,14 @@ rarest first, coarsely rarest first with another tie order, and a hash order.
 Every pair of similar classes is either joined to one part in step 2 or met in
 step 3, so components are exact.
 
+Classes are numbered; ids of any type only name them, so a text counts as its own
+document even if another text has the same id.
+
 Defined results: null or blank text has an empty set, which links with nothing
 (its component is its own id); rows without an id link with nothing and have a
-null component; repeated rows are one class; an empty table gives no rows;
-further columns are ignored.
+null component; repeated rows are one class; of an id with several texts each text
+is linked for itself; the least id is the least of the ids' type; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptlens.llm.common import stored
+from scriptlens.llm.common import stored, tidy
 from scriptlens.llm.components import components
 
 SHINGLE = 4
@@ -160,21 +164,41 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
         if weight:
             yield counted()
 
-    rows = docs.mapInArrow(run, f"kind int, id {id_type}, n_shingles bigint, sig binary, token bigint, n bigint")
+    rows = docs.mapInArrow(tidy(run), f"kind int, id {id_type}, n_shingles bigint, sig binary, token bigint, n bigint")
     return stored(rows, "sets", ("kind",))
 
 
 def frequent(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent tokens and their counts, at most ``HEAVY_TOKENS``: all
-    tokens from the least count on that keeps the bound."""
+    tokens from the least count on that keeps the bound. If even the tokens of the
+    top counts exceed it, a hash share of them is taken."""
     sums = stored(table.where("kind = 1").groupBy("token").agg(F.sum("n").alias("n")), "token-counts")
-    sizes = sums.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("tokens")).collect()
-    held, least = 0, 10_001
-    for r in sorted(sizes, key=lambda r: -r["n"]):
-        if held + r["tokens"] > HEAVY_TOKENS:
-            break
-        held, least = held + r["tokens"], r["n"]
-    top = sums.where(F.col("n") >= least).toArrow()
+    # counts of 10,000 or more in steps of about one percent
+    grade = F.when(F.col("n") < 10_000, F.col("n")).otherwise(
+        10_000 + F.floor(F.log(F.col("n") / 10_000) * 64)).cast("long")
+    graded = sums.withColumn("grade", grade)
+
+    def fitting(column: str, rows: DataFrame) -> int | None:
+        """Least value such that the rows from it on keep the bound."""
+        held, least = 0, None
+        sizes = rows.groupBy(column).agg(F.count("*").alias("tokens")).collect()    # a bounded number of values
+        for r in sorted(sizes, key=lambda r: -r[column]):
+            if held + r["tokens"] > HEAVY_TOKENS:
+                break
+            held, least = held + r["tokens"], r[column]
+        return least
+
+    least = fitting("grade", graded)
+    if least is None:
+        most = graded.agg(F.max("grade")).first()[0]
+        if most is None:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        graded = (graded.where(F.col("grade") == most)
+                  .withColumn("grade", F.pmod(F.xxhash64("token"), F.lit(65_536))))
+        least = fitting("grade", graded)
+        if least is None:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    top = graded.where(F.col("grade") >= least).select("token", "n").toArrow()
     return (top.column("token").to_numpy().view(np.uint64), top.column("n").to_numpy())
 
 
@@ -203,7 +227,7 @@ def prefixes(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], size: int, p
                 names = ["id", "size", "p0", "cuts", "p1", "p2", "tokens"][:len(columns)]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, f"id {id_type}, size int, p0 array<bigint>, cuts array<bigint>{extra}")
+    return docs.mapInArrow(tidy(run), f"id {id_type}, size int, p0 array<bigint>, cuts array<bigint>{extra}")
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -304,18 +328,26 @@ def long_list_pairs(rows: DataFrame, firsts: DataFrame, percent: int) -> DataFra
 
 def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_shingles, component_id`` for every row of ``docs``."""
-    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("body"))
+    """``id, text_hash, n_shingles, component_id, component_hash`` for every row of
+    ``docs``: the component's least id and the hash of that document's text."""
+    base = docs.select(F.struct(F.col(id_col).alias("id"), text_hash(text_col).alias("text_hash")).alias("id"),
+                       F.col(text_col).alias("body"))
     table = set_table(base, size)
     members = table.where("kind = 0").select("id", "n_shingles", "sig")
-    classes = stored(members.where("n_shingles > 0 and id is not null")
-                     .groupBy("sig").agg(F.min("id").alias("rep")), "classes")
+    # a class is a set; it is numbered, and its least (id, text) stands for it
+    classes = stored(stored(
+        members.where("n_shingles > 0 and id.id is not null").groupBy("sig").agg(F.min("id").alias("rep")), "class-reps")
+        .withColumn("class", F.monotonically_increasing_id()), "classes")
     heavy = frequent(table)
 
-    # prefixes of one document per class (a class's least id; ids may repeat)
-    reps = classes.select(F.col("rep").alias("id"))
-    firsts = stored(prefixes(base, heavy, size, percent, False).join(reps, "id", "left_semi")
-                    .dropDuplicates(["id"]), "prefixes")
+    # prefixes of one document per class; rows that agree in id and text are one
+    reps = classes.select(F.col("rep").alias("id"), "class")
+
+    def of_class(found: DataFrame, of: DataFrame) -> DataFrame:
+        return (found.join(of, "id").drop("id").withColumnRenamed("class", "id").dropDuplicates(["id"])
+                .select(*found.columns))
+
+    firsts = stored(of_class(prefixes(base, heavy, size, percent, False), reps), "prefixes")
     posted = firsts.select("id", "size", F.posexplode(F.arrays_zip("p0", "cuts")).alias("at", "z")).select(
         F.col("z.p0").alias("token"), F.pmod(F.xxhash64("id"), F.col("z.cuts")).cast("int").alias("salt"),
         (F.col("z.cuts") > 1).alias("dealt"), "id", "size", "at")
@@ -325,10 +357,11 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         .where("n_list > 1 or dealt"), "postings")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        return stored(prefixes(base.join(ids, "id", "left_semi"), heavy, size, percent, True)
-                      .dropDuplicates(["id"]), "candidate-sets")
+        wanted = stored(reps.join(ids.select(F.col("id").alias("class")), "class", "left_semi"), "candidate-reps")
+        if wanted.count() <= BROADCAST_IDS:
+            wanted = F.broadcast(wanted)
+        found = prefixes(base.join(wanted.select("id"), "id", "left_semi"), heavy, size, percent, True)
+        return stored(of_class(found, wanted), "candidate-sets")
 
     # links to the pivot a class shares most with
     best = (shared.where("pivot <> id").groupBy("id", "pivot").agg(F.count("*").alias("n"))
@@ -346,9 +379,18 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         long_list_pairs(rows.where(F.col("n_list") > LONG_LIST), firsts, percent)).distinct()
     rest = candidates(pairs, firsts, percent)
     links = star_links.unionByName(verified(rest, sets_of, percent))
-    labels = components(links, "a", "b")
+    labels = stored(components(links, "a", "b"), "components")
+
+    # a component is named by its least document
+    linked = classes.join(labels, F.col("class") == F.col("node"))
+    named = linked.join(linked.groupBy("label").agg(F.min("rep").alias("least")), "label").select("class", "least")
+    first_of = classes.join(named, "class", "left").select("sig", F.coalesce("least", "rep").alias("first"))
+    out = members.join(first_of, "sig", "left")
+    first = F.when(F.col("id.id").isNotNull(), F.coalesce("first", "id"))
+    return out.select("id.id", "id.text_hash", "n_shingles", first["id"].alias("component_id"),
+                      first["text_hash"].alias("component_hash"))
+
 
-    named = (members.join(classes, "sig", "left").join(labels, F.col("rep") == F.col("node"), "left"))
-    component = F.when(F.col("id").isNotNull(), F.when(F.col("n_shingles") > 0, F.coalesce("label", "rep"))
-                       .otherwise(F.col("id")))
-    return named.select("id", "n_shingles", component.alias("component_id"))
+def text_hash(text_col: str = "text") -> Column:
+    """Tells texts under one id apart; null and empty text differ."""
+    return F.xxhash64(F.col(text_col).isNull(), F.col(text_col))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from scriptlens.llm.common import add_columns, stored
 from scriptlens.llm.numbering import numbered
-from scriptlens.llm.tokens import shared_encoder, tokenizer_path
+from scriptlens.llm.tokens import ENCODER, shared_encoder, tokenizer_path
 
 CAPACITY = 4096
 # (rounded sizes of the programme, large means over capacity / that): each is
@@ -74,7 +74,7 @@ def pieces_of(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY
 
         return run
 
-    cut = add_columns(docs, text_col, make, [("cut_pieces", ddl, pa.list_(pa.struct(fields)))], [id_col])
+    cut = add_columns(docs, text_col, make, [("cut_pieces", ddl, pa.list_(pa.struct(fields)))], [id_col], keeps=ENCODER)
     return cut.select(id_col, F.inline("cut_pieces"))
 
 
@@ -247,8 +247,10 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     schema = "length long, run_rank long, run_n long, run_bin long, run_offset long"
     table = spark.createDataFrame(
         pd.DataFrame(runs, columns=["length", "run_rank", "run_n", "run_bin", "run_offset"], dtype="int64"), schema)
-    ranked = numbered(pieces, ["length"], F.xxhash64(id_col, "piece", "ids_crc32"),
-                      [id_col, "piece", "ids_crc32"], int(histogram.sum()), "length_rank")
+    # the written rows' own numbers tell repeated rows apart, so none of them meet
+    rows = pieces.withColumn("piece_row", F.monotonically_increasing_id())
+    ranked = numbered(rows, ["length"], F.xxhash64(id_col, "piece", "ids_crc32", "piece_row"),
+                      [id_col, "piece", "ids_crc32", "piece_row"], int(histogram.sum()), "length_rank")
     if len(runs) <= BROADCAST_RUNS:     # 40 bytes a run
         table = F.broadcast(table)
     inside = ((F.col("length_rank") >= F.col("run_rank"))

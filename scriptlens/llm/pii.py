@@ -10,8 +10,10 @@ averaged per character, weighted to the window's centre, and one Viterbi path is
 decoded over the whole run, so no window border cuts a span. A run whose path ends
 inside a span grows to that side until the span ends or the text does. The spans
 that a window sees whole are candidates too; a weighted interval schedule over the
-whole text keeps the best set that doesn't overlap. An added span must hold what
-its kind needs and never touches a base span.
+whole text keeps the best set that doesn't overlap. An added span must reach its
+kind's least margin (chosen on generated validation lines), hold what its kind needs
+and touch no base span. A long run is decoded in pieces of bounded memory that give
+the path of the whole.
 
 Labelled spans come from ``labelled_example``, a seeded generator of marked
 lines in many notations with look-alikes (dates, versions, order numbers, hex
@@ -40,6 +42,7 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 EMAIL_RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
+AT_CORE = re.compile(r"[^\s@]+\s?[(\[]?@[)\]]?\s?[^\s@]+")
 TRIGGER = re.compile(r"[0-9@]")
 
 WINDOW = 64
@@ -47,8 +50,10 @@ STRIDE = 32
 HIDDEN = 16
 EMBED = 12
 TAGS = 1 + 2 * len(KINDS)       # O, then begin and inside of each kind
-MIN_MARGIN = 2.0                # least mean score over "outside" of an added span's characters
-TRAIN_EXAMPLES = 3_000
+BLOCK = 1024                    # windows scored at a time
+PRECISION = 0.98                # of each kind's added spans on the validation lines
+TRAIN_EXAMPLES = 9_000
+VALIDATION_EXAMPLES = 1_000
 SEED = 11
 
 
@@ -128,7 +133,7 @@ def labelled_example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int
     def email() -> str:
         user = name() + rng.choice(["", ".", "_", "-", "+"]) + rng.choice([name(), number(2), ""])
         host = name() + rng.choice(["", "-" + name(), number(1)])
-        at = rng.choice(["@", "@", "@", " @ ", "(@)", "[@]"])
+        at = rng.choice(["@", "@", "@", " @ ", "(@)", "[@]", " (@) ", " [@] "])
         return (user.rstrip("._-+") or "x") + at + host + rng.choice([".com", ".org", ".net", ".example.com", ".de"])
 
     def ip() -> str:
@@ -159,8 +164,9 @@ def labelled_example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int
 
     text, labels = "", []
     makers = (email, ip, card, phone)
-    for _ in range(int(rng.integers(1, 4))):
-        text += " ".join(word() + rng.choice(["", "", "", ".", ","]) for _ in range(int(rng.integers(1, 5)))) + " "
+    bare = rng.random() < 0.2                   # a line that begins or ends with its span
+    for part in range(int(rng.integers(1, 4))):
+        text += "" if bare and not part else " ".join(word() + rng.choice(["", "", "", ".", ","]) for _ in range(int(rng.integers(1, 5)))) + " "
         if rng.random() < 0.62:
             kind = int(rng.integers(0, len(KINDS)))
             piece = makers[kind]()
@@ -168,7 +174,7 @@ def labelled_example(rng: np.random.Generator) -> tuple[str, list[tuple[int, int
         else:
             piece = lookalike()
         text += piece + rng.choice([" ", " ", ". ", ", ", "\n"])
-    return text + word(), labels
+    return (text[:labels[-1][1]] if bare and labels and labels[-1][1] >= len(text) - 2 else text + word()), labels
 
 
 # --- BiLSTM-CRF in numpy ----------------------------------------------------------
@@ -269,35 +275,30 @@ def emissions(m: dict, codes: np.ndarray) -> np.ndarray:
     return np.concatenate([lstm(m, "f", x), lstm(m, "b", x)], axis=2) @ m["out"] + m["out_b"]
 
 
-def log_sum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 def crf_gradient(e: np.ndarray, trans: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient of the negative log likelihood for emissions and transitions."""
+    """Gradient of the negative log likelihood for emissions and transitions, by
+    forward and backward sums of probabilities scaled to one at every step."""
     t, b, _ = e.shape
-    alpha, beta = np.zeros_like(e), np.zeros_like(e)
-    alpha[0] = e[0]
-    for k in range(1, t):
-        alpha[k] = log_sum(alpha[k - 1][:, :, None] + trans, 1) + e[k]
+    emit, move = np.exp(e - e.max(axis=2, keepdims=True)), np.exp(trans)
+    alpha, beta = np.empty_like(emit), np.ones_like(emit)
+    scale = np.empty((t, b, 1), emit.dtype)
+    for k in range(t):
+        now = emit[k] if not k else (alpha[k - 1] @ move) * emit[k]
+        scale[k] = now.sum(axis=1, keepdims=True)
+        alpha[k] = now / scale[k]
     for k in range(t - 2, -1, -1):
-        beta[k] = log_sum((beta[k + 1] + e[k + 1])[:, None, :] + trans, 2)
-    z = log_sum(alpha[-1], 1)
-    de = np.exp(alpha + beta - z[None, :, None])
-    dtrans = np.zeros_like(trans)
+        beta[k] = (beta[k + 1] * emit[k + 1]) @ move.T / scale[k + 1]
+    de = alpha * beta
     rows = np.arange(b)
-    for k in range(t):
-        de[k, rows, tags[:, k]] -= 1
-        if k:
-            pair = alpha[k - 1][:, :, None] + trans + (e[k] + beta[k])[:, None, :] - z[:, None, None]
-            dtrans += np.exp(pair).sum(axis=0)
-            np.add.at(dtrans, (tags[:, k - 1], tags[:, k]), -1)
+    de[np.arange(t)[:, None], rows[None, :], tags.T] -= 1
+    after = emit[1:] * beta[1:] / scale[1:]
+    dtrans = np.einsum("tbi,tbj->ij", alpha[:-1], after, optimize=True) * move
+    np.add.at(dtrans, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), -1)
     return de / b, dtrans / b
 
 
 @lru_cache(maxsize=1)
-def trained(examples: int = TRAIN_EXAMPLES, seed: int = SEED, epochs: int = 4, batch: int = 64) -> dict:
+def trained(examples: int = TRAIN_EXAMPLES, seed: int = SEED, epochs: int = 6, batch: int = 192) -> dict:
     """The tagger, trained from ``examples`` generated labelled lines."""
     rng = np.random.default_rng(seed)
     codes, tags = [], []
@@ -343,9 +344,30 @@ def trained(examples: int = TRAIN_EXAMPLES, seed: int = SEED, epochs: int = 4, b
                 second[k] = 0.99 * second[k] + 0.01 * g ** 2
                 m[k] = (m[k] - rate * first[k] / (1 - 0.9 ** step)
                         / (np.sqrt(second[k] / (1 - 0.99 ** step)) + 1e-6)).astype(np.float32)
+    m["least"] = least_margins(m, seed + 1)
     return m
 
 
+def least_margins(m: dict, seed: int, examples: int = VALIDATION_EXAMPLES, precision: float = PRECISION) -> np.ndarray:
+    """Per kind the least mean margin an added span needs: the lowest one at which
+    the added spans of generated validation lines have the given precision."""
+    rng = np.random.default_rng(seed)
+    lines = [labelled_example(rng) for _ in range(examples)]
+    found: list[list[tuple[float, bool]]] = [[] for _ in KINDS]
+    for (text, labels), tagged in zip(lines, tagged_spans([t for t, _ in lines], m)):
+        base = base_spans(text)
+        for span in tagged:
+            for a, kind, z in added_spans(text, [span], base, np.full(len(KINDS), -np.inf)):
+                found[kind].append((span[3] / (span[1] - span[0]), (a, z, kind) in labels))
+    least = np.zeros(len(KINDS))
+    for kind, cases in enumerate(found):
+        cases.sort(reverse=True)
+        right = np.cumsum([ok for _, ok in cases]) if cases else np.zeros(0)
+        good = np.flatnonzero(right >= precision * np.arange(1, len(cases) + 1))
+        least[kind] = cases[good[-1]][0] if len(good) else np.inf
+    return least
+
+
 def decode(m: dict, scores: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Viterbi tags of each (time, TAGS) sequence of tag scores, and each
     character's margin over outside."""
@@ -426,35 +448,97 @@ def spans_in(tag: np.ndarray, margin: np.ndarray, a: int) -> Iterator[tuple[int,
         yield a + int(i), a + int(j), int(tag[i] - 1) // 2, round(float(margin[i:j].sum()), 4)
 
 
+def window_scores(m: dict, texts: list[str], at: list[tuple[int, int]], seen: list[set]) -> np.ndarray:
+    """Tag scores (time, window, TAGS) of windows given as (text, start). Spans that
+    a window sees whole are added to ``seen`` of their text."""
+    codes = np.zeros((len(at), WINDOW), dtype=np.int64)
+    for row, (k, a) in enumerate(at):
+        c = char_codes(texts[k][a:a + WINDOW])
+        codes[row, :len(c)] = c
+    e = emissions(m, codes)
+    for (k, a), (tag, margin) in zip(at, decode(m, list(e.transpose(1, 0, 2)))):
+        if tag.any():
+            n = len(texts[k])
+            seen[k].update(s for s in spans_in(tag[:n - a], margin, a)
+                           if (s[0] > a or not a) and (s[1] < a + WINDOW or s[1] == n))
+    return e
+
+
 def run_scores(m: dict, texts: list[str], runs: list[tuple[int, int, int]], block: int,
                seen: list[set]) -> list[np.ndarray]:
     """Tag scores (time, TAGS) of (text, first, last) runs: the mean of the
-    windows' scores, weighted to their centres. Spans that a window sees whole
-    are added to ``seen`` of their text."""
+    windows' scores, weighted to their centres."""
     at = [(r, k, w * STRIDE) for r, (k, first, last) in enumerate(runs) for w in range(first, last + 1)]
     sizes = [min((last - first) * STRIDE + WINDOW, len(texts[k]) - first * STRIDE) for k, first, last in runs]
     total = [np.zeros((n, TAGS), np.float32) for n in sizes]
     weight = [np.zeros((n, 1), np.float32) for n in sizes]
     for lo in range(0, len(at), block):
         part = at[lo:lo + block]
-        codes = np.zeros((len(part), WINDOW), dtype=np.int64)
-        for row, (_, k, a) in enumerate(part):
-            c = char_codes(texts[k][a:a + WINDOW])
-            codes[row, :len(c)] = c
-        e = emissions(m, codes)
+        e = window_scores(m, texts, [(k, a) for _, k, a in part], seen)
         for row, (r, k, a) in enumerate(part):
             lo_at = a - runs[r][1] * STRIDE
             n = min(WINDOW, sizes[r] - lo_at)
             total[r][lo_at:lo_at + n] += e[:n, row] * CENTRE[:n]
             weight[r][lo_at:lo_at + n] += CENTRE[:n]
-        for (_, k, a), (tag, margin) in zip(part, decode(m, list(e.transpose(1, 0, 2)))):
-            if tag.any():
-                n = len(texts[k])
-                seen[k].update(s for s in spans_in(tag[:n - a], margin, a)
-                               if (s[0] > a or not a) and (s[1] < a + WINDOW or s[1] == n))
     return [s / w for s, w in zip(total, weight)]
 
 
+def long_path(m: dict, texts: list[str], run: tuple[int, int, int], block: int,
+              seen: list[set]) -> tuple[np.ndarray, np.ndarray]:
+    """Viterbi tags and margins of one long run, the same as those of the whole,
+    from pieces of ``block`` windows: scores are kept only as far back as the
+    survivor paths still differ, tags and margins take five bytes a character."""
+    k, first, last = run
+    trans = m["trans"] + allowed()
+    size = min((last - first) * STRIDE + WINDOW, len(texts[k]) - first * STRIDE)
+    tags, margins = np.zeros(size, dtype=np.int8), np.zeros(size, np.float32)
+    states = np.arange(TAGS)
+    best = None
+    scores = np.zeros((0, TAGS), np.float32)        # undecided characters, the last of them at the piece's end
+    back = np.zeros((0, TAGS), dtype=np.int8)
+    done = 0
+    overlap, overlap_weight = np.zeros((STRIDE, TAGS), np.float32), np.zeros((STRIDE, 1), np.float32)
+    for lo in range(first, last + 1, block):
+        hi = min(lo + block - 1, last)
+        e = window_scores(m, texts, [(k, w * STRIDE) for w in range(lo, hi + 1)], seen)
+        total = np.zeros(((hi - lo) * STRIDE + WINDOW, TAGS), np.float32)
+        weight = np.zeros((len(total), 1), np.float32)
+        total[:STRIDE] += overlap
+        weight[:STRIDE] += overlap_weight
+        for row in range(hi - lo + 1):
+            total[row * STRIDE:row * STRIDE + WINDOW] += e[:, row] * CENTRE
+            weight[row * STRIDE:row * STRIDE + WINDOW] += CENTRE
+        ready = size - (lo - first) * STRIDE if hi == last else (hi - lo + 1) * STRIDE
+        overlap, overlap_weight = total[ready:ready + STRIDE].copy(), weight[ready:ready + STRIDE].copy()
+        fresh = total[:ready] / weight[:ready]
+        links = np.zeros((ready, TAGS), dtype=np.int8)
+        for t in range(ready):
+            if best is None:
+                best = fresh[t].copy()
+                best[2::2] -= 1e4                   # a path can't start inside a span
+                links[t] = states
+                continue
+            move = best[:, None] + trans
+            links[t] = move.argmax(axis=0)
+            best = move.max(axis=0) + fresh[t]
+            best -= best.max()
+        scores, back = np.concatenate([scores, fresh]), np.concatenate([back, links])
+        # walk back from every state (at the end from the best one) until the paths meet
+        ends = np.array([best.argmax()]) if hi == last else states
+        at = len(scores) - 1
+        while at >= 0 and len(set(ends.tolist())) > 1:
+            ends = back[at][ends].astype(np.int64)
+            at -= 1
+        state = int(ends[0])
+        for t in range(at, -1, -1):
+            tags[done + t] = state
+            margins[done + t] = scores[t, state] - scores[t, 0]
+            state = int(back[t, state])
+        done += at + 1
+        scores, back = scores[at + 1:], back[at + 1:]
+    return tags.astype(np.int64), margins
+
+
 def batches_of(runs: list[tuple[int, int, int]], block: int) -> Iterator[list[tuple[int, int, int]]]:
     """Runs of like length together, about ``block`` windows at a time; a longer
     run is alone."""
@@ -468,7 +552,7 @@ def batches_of(runs: list[tuple[int, int, int]], block: int) -> Iterator[list[tu
         yield part
 
 
-def tagged_spans(texts: list[str], m: dict, block: int = 4096) -> list[list[tuple[int, int, int, float]]]:
+def tagged_spans(texts: list[str], m: dict, block: int = BLOCK) -> list[list[tuple[int, int, int, float]]]:
     """Reconciled spans of the tagger for each text."""
     found: list[dict[tuple[int, int], list]] = [{} for _ in texts]
     seen: list[set] = [set() for _ in texts]
@@ -479,7 +563,11 @@ def tagged_spans(texts: list[str], m: dict, block: int = 4096) -> list[list[tupl
     while todo:
         grown: dict[int, list[tuple[int, int]]] = {}
         for part in batches_of(todo, block):
-            for (k, first, last), (tag, margin) in zip(part, decode(m, run_scores(m, texts, part, block, seen))):
+            if part[0][2] - part[0][1] >= block:    # a long run is alone
+                paths = [long_path(m, texts, part[0], block, seen)]
+            else:
+                paths = decode(m, run_scores(m, texts, part, block, seen))
+            for (k, first, last), (tag, margin) in zip(part, paths):
                 if not tag.any():
                     continue
                 a, end = first * STRIDE, (len(texts[k]) - 1) // STRIDE
@@ -505,18 +593,22 @@ def tagged_spans(texts: list[str], m: dict, block: int = 4096) -> list[list[tupl
     return [schedule(s) if s else s for s in spans]
 
 
-def added_spans(text: str, tagged: list[tuple[int, int, int, float]],
-                base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The tagger's spans that hold what they need and touch no base span."""
+def added_spans(text: str, tagged: list[tuple[int, int, int, float]], base: list[tuple[int, int, int]],
+                least: np.ndarray) -> list[tuple[int, int, int]]:
+    """The tagger's spans that reach their kind's ``least`` margin, hold what they
+    need and touch no base span."""
     out = []
     for a, z, kind, score in tagged:
+        length = z - a
+        if kind == 0 and (core := AT_CORE.search(text, a, z)):      # words beside an address are none of it
+            a, z = core.span()
         while a < z and text[a].isspace():
             a += 1
         while z > a and (text[z - 1].isspace() or text[z - 1] in ".,;:"):
             z -= 1
         # numbers cut out of longer ones or of words are no finds
         inner = (a and text[a - 1].isalnum()) or (z < len(text) and text[z].isalnum())
-        if (not inner and score >= MIN_MARGIN * (z - a) and valid_added(kind, text[a:z])
+        if (not inner and score >= least[kind] * length and valid_added(kind, text[a:z])
                 and all(z <= b or a >= e for b, _, e in base)):
             out.append((a, kind, z))
     return out
@@ -538,7 +630,7 @@ def spans_of(texts: list[str | None], m: dict) -> list[list[dict]]:
     out = []
     for text, tagged in zip(texts, tagged_spans(texts, m)):
         base = base_spans(text)
-        more = added_spans(text, tagged, base) if tagged else []
+        more = added_spans(text, tagged, base, m["least"]) if tagged else []
         rows = sorted([(a, k, z, True) for a, k, z in base] + [(a, k, z, False) for a, k, z in more])
         out.append([{"kind": KINDS[k], "start": a, "end": z, "base": b} for a, k, z, b in rows])
     return out

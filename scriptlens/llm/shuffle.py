@@ -1,7 +1,8 @@
 """Op 3, sharding: two-pass external shuffle.
 
 Pass one scatters every record into one of many memory-sized buckets by a
-seeded hash, so bucket sizes are near equal whatever the sources or copies.
+seeded hash, so bucket sizes are near equal whatever the sources or copies. Buckets
+that a much repeated key makes too large are dealt by row number instead.
 Pass two loads one bucket per group, shuffles it with Fisher-Yates (seeded by
 the bucket number) and gives every record its place in the global order:
 bucket offset + place in the bucket. Shards are consecutive, equally long runs
@@ -33,7 +34,9 @@ SHARDS = 8
 BUCKET_BYTES = 16 << 20
 MIN_BUCKETS = 256       # enough tasks on small inputs
 SEED = 20_240_607
+HOT_BUCKET = 4          # times the bucket size from which a bucket's rows are dealt one by one
 START = "bucket_start"
+ROW = "shuffle_row"
 
 
 def bucket_of(id_col: Column, text_col: Column, buckets: int, seed: int) -> Column:
@@ -66,14 +69,28 @@ def external_shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 1
     total = docs.agg(F.sum(size).alias("b")).first()["b"] or 0
     buckets = max(MIN_BUCKETS, -(-total // bucket_bytes))
+    own = ("size", "text_crc32", "bucket", "shard", "slot", START, ROW)
     keyed = docs.select(
-        *[F.col(c) for c in docs.columns if c not in ("size", "text_crc32", "bucket", "shard", "slot", START)],
+        *[F.col(c) for c in docs.columns if c not in own],
         size.alias("size"),
         F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        bucket_of(F.col(id_col), F.col(text_col), buckets, seed).alias("bucket"))
+        bucket_of(F.col(id_col), F.col(text_col), buckets, seed).alias("bucket"),
+        F.monotonically_increasing_id().alias(ROW))
 
     # bucket offsets: one row per bucket, from a pass that shuffles only counts
-    counts = stored(keyed.groupBy("bucket").agg(F.count("*").alias("n")), "shuffle-counts")
+    def counted(rows: DataFrame) -> DataFrame:
+        return stored(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("b")), "shuffle-counts")
+
+    counts = counted(keyed)
+    # a key repeated so often that its bucket outgrows a task is dealt by row instead
+    hot = stored(counts.where((F.col("b") > HOT_BUCKET * bucket_bytes) & (F.col("n") > 1)).select("bucket"), "hot-buckets")
+    if not hot.isEmpty():       # a fourth of the buckets at most, 8 bytes each
+        by_row = F.pmod(F.xxhash64(F.lit(seed), id_col, "text_crc32", ROW), F.lit(buckets)).cast("long")
+        keyed = (keyed.join(F.broadcast(hot.withColumnRenamed("bucket", "hot_bucket")), F.col("bucket") == F.col("hot_bucket"), "left")
+                 .withColumn("bucket", F.when(F.col("hot_bucket").isNotNull(), by_row).otherwise(F.col("bucket")))
+                 .drop("hot_bucket"))
+        counts = counted(keyed)
+    keyed = keyed.drop(ROW)
     n_rows = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
     offsets = bucket_offsets(counts)
     quota, extra = divmod(n_rows, shards)

@@ -9,11 +9,12 @@ once (the cache lives as long as the Python worker; it is emptied at
 from __future__ import annotations
 
 import os
-from functools import cache
 from itertools import chain
 
 import numpy as np
 
+from scriptlens.llm.common import kept_in_worker
+
 EOS = 1
 TOKENIZER = "word_bpe_49k.json"
 CACHE_CHUNKS = 700_000
@@ -26,10 +27,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-@cache
+ENCODER = "chunk encoder"
+
+
 def shared_encoder(path: str) -> ChunkEncoder:
-    """One encoder per Python worker, so tasks that share a worker share its cache."""
-    return ChunkEncoder(path)
+    """One encoder per Python worker, so tasks that share a worker share its cache;
+    tasks of other operators drop it."""
+    encoder = kept_in_worker(ENCODER, lambda: ChunkEncoder(path))
+    if encoder.path != path:
+        kept_in_worker(None)
+        encoder = kept_in_worker(ENCODER, lambda: ChunkEncoder(path))
+    return encoder
 
 
 class ChunkEncoder:
@@ -40,6 +48,7 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         vocabulary = self.tokenizer.get_vocab()

@@ -117,16 +117,58 @@ def test_pii_spans_and_masking(docs, empty):
     assert pii.find_spans(empty).count() == 0
 
 
-def test_pii_tagger_held_out():
+@pytest.mark.parametrize("seed", [77, 101, 502])
+def test_pii_added_spans_held_out(seed):
+    """What the query and the mask return: most of the spans that the patterns
+    miss, hardly any other ones. Lines of other seeds than the training's."""
     model = pii.trained()
-    rng = np.random.default_rng(77)
-    hit = wrong = missed = 0
-    for _ in range(300):
-        text, labels = pii.labelled_example(rng)
-        got = {(a, z, k) for a, z, k, _ in pii.tagged_spans([text], model)[0]}
-        want = {x for x in labels if x[1] - x[0] <= pii.STRIDE}
-        hit, wrong, missed = hit + len(got & want), wrong + len(got - want), missed + len(want - got)
-    assert hit / (hit + wrong) > 0.65 and hit / (hit + missed) > 0.65
+    rng = np.random.default_rng(seed)
+    lines = [pii.labelled_example(rng) for _ in range(300)]
+    missed = hit = extra = 0
+    for (text, labels), spans in zip(lines, pii.spans_of([t for t, _ in lines], model)):
+        base = pii.base_spans(text)
+        added = {(s["start"], s["end"], pii.KINDS.index(s["kind"])) for s in spans if not s["base"]}
+        left = {x for x in labels if not any(x[0] < e and b < x[1] for b, _, e in base)}
+        missed, hit, extra = missed + len(left), hit + len(added & left), extra + len(added - set(labels))
+    assert missed > 100 and hit >= 0.8 * missed
+    assert hit >= 0.95 * (hit + extra)
+
+
+def test_pii_plain_notations_are_found_and_masked(spark):
+    texts = ["call (030) 555-1234 today", "the host 192[.]168[.]1[.]20 is up", "(030) 555-1234", "192[.]168[.]1[.]20",
+             "nothing here", "version 1.2.3 of 12.5.2020, page 17", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.mask_texts(df).collect()}
+    assert [out[k] for k in range(4)] == ["call [PHONE] today", "the host [IP] is up", "[PHONE]", "[IP]"]
+    assert [out[k] for k in (4, 5, 6)] == texts[4:]
+
+
+def test_pii_long_run_in_pieces_equals_the_whole():
+    model = pii.trained()
+    rng = np.random.default_rng(4)
+    text = " ".join(pii.labelled_example(rng)[0] for _ in range(60))
+    numbers = " ".join(str(int(x)) for x in rng.integers(0, 10 ** 9, 900))
+    for t in (text, numbers, numbers[:2000] + text + numbers[:999], "1" * 5000, "(030) 555-1234 " * 300):
+        whole = [s[:3] for s in pii.tagged_spans([t], model, 100_000)[0]]
+        for block in (1, 7, 64):
+            assert [s[:3] for s in pii.tagged_spans([t, "short 1"], model, block)[0]] == whole
+    run = pii.runs_of(numbers)[0]
+    seen = [set()]
+    tags, margins = pii.long_path(model, [numbers], (0, *run), 5, seen)
+    (want, want_margins), = pii.decode(model, pii.run_scores(model, [numbers], [(0, *run)], 10_000, [set()]))
+    assert (tags == want).all() and np.allclose(margins, want_margins, atol=1e-4)
+
+
+def test_pii_very_long_digit_text_needs_bounded_memory():
+    import tracemalloc
+
+    model = pii.trained()
+    text = " ".join(str(k * 7919 % 100_003) for k in range(18_000))
+    tracemalloc.start()
+    pii.spans_of([text], model)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(text) > 90_000 and peak < 60 << 20
 
 
 @pytest.mark.parametrize("size", [20, 40, 50, 63, 64, 200, 1000])
@@ -139,7 +181,7 @@ def test_pii_spans_are_found_at_every_alignment(size, monkeypatch):
         return e
 
     monkeypatch.setattr(pii, "emissions", sure)
-    model = {"trans": np.zeros((pii.TAGS, pii.TAGS), np.float32)}
+    model = {"trans": np.zeros((pii.TAGS, pii.TAGS), np.float32)}     # tagged_spans needs no more
     half = "A" * (size // 2)
     span = "<" + half + "@" + half
     for at in range(pii.STRIDE):
@@ -199,29 +241,92 @@ def test_pages(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
-def test_runs_decide_open_and_hinted_blocks_beside_a_landmark(spark):
-    def words(name, n=12):
-        return " ".join(f"{name}{j}" for j in range(n))
+def words(name, n=12):
+    return " ".join(f"{name}{j}" for j in range(n))
+
+
+FURNITURE = ["<section class='comments'><p>{}</p></section>", "<div id=commentList>{}</div>", "<ol class=replies><li>{}</ol>",
+             "<div class='cookie-notice'>{}</div>", "<div class='notice'><p>{}</p></div>", "<div class=sidebar><p>{}</p></div>",
+             "<aside>{}</aside>", "<div class='ad'>{}</div>", "<p class=\"advert\">{}</p>", "<div class='sponsored box'>{}</div>",
+             "<div class=newsletter>{}</div>", "<ul class='main-menu'><li>{}</li></ul>", "<form>{}</form>",
+             "<div role=alert>{}</div>", "<div class='related'><article>{}</article></div>", "<footer><p>{}</p></footer>"]
+
 
-    def page(i):
-        return (f"<nav>{words('menu')}</nav><div class='ad'>{words(f'offer{i}_')}</div>"
-                f"<div><p>{words('same')}</p><p>{words(f'body{i}_')}</p></div>"
-                f"<article><h2>Teaser {i}</h2><p>{words('copy')}</p></article>"
-                f"<section class='related share'><p>{words(f'sec{i}_')}</p><p>{words('more')}</p></section>"
-                f"<div class='related'><article>{words(f'teaser{i + 1}_')}</article></div>"
-                f"<div class='cookie-notice'>ok {i}</div><article>{words(f'teaser{i}_')}</article>")
+@pytest.mark.parametrize("n", [3, 7, 8, 50])
+def test_named_furniture_goes_at_any_length(spark, n):
+    """Unique and repeated, beside and inside an article, and without one."""
+    rows, want = [], {}
+    for k, frame in enumerate(FURNITURE):
+        for same in (True, False):
+            for i in range(2):
+                part = frame.format(words("same" if same else f"own{k}_{i}_", n))
+                for place, page in enumerate(("{part}<article><p>{body}</p></article>",
+                                              "<article><p>{body}</p>{part}<p>end{k}</p></article>",
+                                              "<div><p>{body}</p></div>{part}")):
+                    key = len(rows)
+                    body = words(f"body{key}_", 9)
+                    rows.append((key, f"http://h{k}.com/{key}", page.format(part=part, body=body, k=k)))
+                    want[key] = body + (f"\nend{k}" if place == 1 else "")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in html.main_text(df).collect()} == want
 
-    rows = [(i, "http://a.com/x", page(i)) for i in range(4)] + [(9, "http://b.com/", "<article>alone")]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = {i: "\n".join([words(f"body{i}_"), f"Teaser {i}", words("copy"), words(f"sec{i}_"),
-                          *([words("teaser4_")] if i == 3 else []), words(f"teaser{i}_")]) for i in range(4)}
-    assert {r.page_id: r.text for r in html.main_text(df).collect()} == want | {9: "alone"}
-    # all blocks are in the streams, and the cover step has rows on pages with an article
-    keyed = df.select("html", html.host_of(F.col("url")).alias("page_host"), F.col("page_id").alias("page_key"),
-                      F.col("html").alias("page_html"))
-    assert [r.page_host for r in html.open_hosts(keyed).collect()] == ["a.com"]
-    table = html.streams(keyed)
-    assert html.covered_blocks(table, html.repeated_runs(table)).count() == 4
+
+def test_wrappers_headers_and_nested_articles():
+    text = html.page_text
+    assert text("<div class='has-sidebar nav-page'><article>kept</article><p>gone</p></div>", None) == "kept"
+    assert text("<div class='page-header'>gone</div><article><header class='header'><h1>kept</h1></header>", None) == "kept"
+    assert text("<article>kept<div class='sidebar'><article>gone</article></div></article>", None) == "kept"
+    assert text("<div class='siteHeader'>gone</div><div class=story>kept</div>", None) == "kept"
+
+
+def slow_main_text(rows, depth=8):
+    """Runs and coverage by comparing all places of all pages of a host."""
+    parsed = {k: html.blocks_of(page) for k, _, page in rows}
+    seen = collections.defaultdict(set)
+    for k, host, _ in rows:
+        tokens = [t for _, text in parsed[k] for t in text.split(" ")]
+        content = "\n".join(t for z, t in parsed[k] if z != "chrome")
+        for i in range(len(tokens) - depth + 1):
+            seen[host, tuple(tokens[i:i + depth])].add(content)
+    out = {}
+    for k, host, _ in rows:
+        tokens = [t for _, text in parsed[k] for t in text.split(" ")]
+        owner = [b for b, (_, text) in enumerate(parsed[k]) for _ in text.split(" ")]
+        is_open = [z == "open" for z, _ in parsed[k]]
+        hit = set()
+        for i in range(len(tokens) - depth + 1):
+            if len(seen[host, tuple(tokens[i:i + depth])]) > 1 and any(is_open[b] for b in owner[i:i + depth]):
+                hit |= set(range(i, i + depth))
+        kept = []
+        for b, (zone, text) in enumerate(parsed[k]):
+            own = [i for i, o in enumerate(owner) if o == b]
+            if zone == "main" or zone == "open" and len(hit & set(own)) < 0.8 * len(own):
+                kept.append(text)
+        out[k] = "\n".join(kept)
+    return out
+
+
+def test_main_text_equals_brute_force(spark, monkeypatch):
+    """Open blocks decided by runs, beside articles and without, over several arrays."""
+    rng = np.random.default_rng(9)
+    parts = [words(f"shared{j}_", int(rng.integers(2, 15))) for j in range(12)]
+    rows = []
+    for k in range(60):
+        blocks = [f"<div>{parts[j]}</div>" if rng.random() < 0.5 else f"<p>{words(f'u{k}_{j}_', int(rng.integers(1, 14)))}</p>"
+                  for j in rng.integers(0, 12, 6)]
+        if k % 3 == 0:
+            blocks.insert(2, f"<article><p>{parts[k % 12]}</p><p>{words(f'art{k}_')}</p></article>")
+        if k % 4 == 0:
+            blocks.insert(1, f"<nav>{parts[3]}</nav>")
+        rows.append((k, f"h{k % 3}.com", "".join(blocks)))
+    rows += [(100, "h0.com", rows[0][2]), (101, "h1.com", "<p>" + words("long", 30_000) + f"</p><p>{parts[0]}</p>"),
+             (102, "h9.com", "<article>alone")]
+    df = spark.createDataFrame([(k, f"http://{h}/{k}", p, "t", 1, "r") for k, h, p in rows],
+                               "page_id long, url string, html string, tokens string, at int, run string").repartition(5)
+    monkeypatch.setattr(html, "ARRAY_TOKENS", 400)
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert got == slow_main_text(rows)
+    assert sum(p.count("shared") > got[k].count("shared") for k, _, p in rows) > 20     # the runs had work
 
 
 def test_repeated_runs_equal_brute_force_across_arrays(spark, monkeypatch):
@@ -344,21 +449,24 @@ def brute_components(rows):
         k = min(4, len(w))
         return frozenset(tuple(w[a:a + k]) for a in range(len(w) - k + 1)) if w else frozenset()
 
-    ids = sorted({i for i, _ in rows if i is not None})
-    parent = {i: i for i in ids}
+    # a document is an id with its text
+    nodes = sorted({(i, t) for i, t in rows if i is not None}, key=lambda n: (n[0], n[1] or ""))
+    parent = {n: n for n in nodes}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    sets = [(n, shingles(n[1])) for n in nodes]
     for k, (a, x) in enumerate(sets):
         for b, y in sets[:k]:
             if x and y and 100 * len(x & y) >= 85 * len(x | y):
                 p, q = find(a), find(b)
-                parent[max(p, q)] = min(p, q)
-    return bag((i, len(shingles(t)), find(i) if i is not None else None) for i, t in rows)
+                if p != q:
+                    low, high = sorted((p, q), key=lambda n: n[0])
+                    parent[high] = low
+    return bag((i, len(shingles(t)), find((i, t))[0] if i is not None else None) for i, t in rows)
 
 
 def test_ngram_components(docs, empty):
@@ -387,6 +495,43 @@ def test_ngram_components_of_copy_groups(spark, monkeypatch):
     assert bag((r.id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_texts_that_share_an_id_and_ids_of_text(spark, empty):
+    """Links of either text under one id; ids that are no numbers."""
+    rng = np.random.default_rng(12)
+    base = [f"b{i}" for i in range(200)]
+    other = [f"o{i}" for i in range(200)]
+
+    def near(words, k):
+        return " ".join([*words[:k], f"x{k}", *words[k + 1:]])
+
+    rows = [(50, near(base, 3)), (50, near(other, 9)), (20, near(base, 40)), (70, near(other, 20)), (10, "alone in the world today"),
+            (50, "alone in the world now"), (20, near(base, 40)), (30, None), (30, ""), (30, near(other, 58)), (None, near(base, 3))]
+    rows += [(100 + k // 2, near(base if k % 2 else other, int(rng.integers(60)))) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.similar_classes(df).collect()
+    assert bag((r.id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert len({r.component_id for r in got if r.id == 50}) == 3
+    named = [(None if i is None else f"id-{i:04d}", t) for i, t in rows]
+    got = ngram_join.similar_classes(spark.createDataFrame(named, "doc_id string, text string")).collect()
+    assert bag((r.id, r.n_shingles, r.component_id) for r in got) == brute_components(named)
+    # the component's document is one of its rows
+    held = {(r.id, r.text_hash) for r in got}
+    assert all(r.component_id is None or (r.component_id, r.component_hash) in held for r in got)
+
+
+def test_the_frequency_table_keeps_its_bound(spark, monkeypatch):
+    """Also when even the most frequent tokens are more than it holds."""
+    rows = [(1, 0, 20_000 if k < 50 else 5 + k % 3, k) for k in range(200)]
+    table = spark.createDataFrame([(kind, t, n) for kind, _, n, t in rows], "kind int, token long, n long")
+    for bound in (10, 49, 50, 60, 120, 500):
+        monkeypatch.setattr(ngram_join, "HEAVY_TOKENS", bound)
+        token, n = ngram_join.frequent(table)
+        assert len(token) == len(n) <= bound
+        assert bound < 50 or set(range(50)) <= set(token.view(np.int64).tolist())
+        assert bound >= 50 or (n == 20_000).all()
+    assert len(ngram_join.frequent(table.limit(0))[0]) == 0
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 150), (300, 300)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -426,6 +571,67 @@ def test_toxicity_learns_and_ignores_identity(spark, docs, empty):
     assert toxicity.score(empty, fair).count() == 0
 
 
+def test_toxicity_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    n, f, k = 12, 7, 5
+    rows_in, cols_in = np.repeat(np.arange(n), 3), rng.integers(0, f, 3 * n)
+    y, length = rng.integers(0, 2, n).astype(float), rng.random(n)
+    at, feature, sign = rng.integers(0, k, 14), rng.integers(0, f, 14), rng.choice([-1.0, 1.0], 14)
+    point = rng.standard_normal(f + 2)
+
+    def loss(x, what=0):
+        return toxicity.loss_gradient(x[:f], x[f], x[f + 1], y, length, rows_in, cols_in, (at, feature, sign, k), 0.3, 0.7)[what]
+
+    # by the plain formulas
+    w = point[:f]
+    s = np.array([w[cols_in[rows_in == r]].sum() for r in range(n)]) + point[f] * length + point[f + 1]
+    p = 1 / (1 + np.exp(-s))
+    change = [(sign[at == j] * w[feature[at == j]]).sum() for j in range(k)]
+    plain = -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 0.15 * ((w ** 2).sum() + point[f] ** 2) + 0.7 * np.mean(np.square(change))
+    assert loss(point) == pytest.approx(plain)
+    step = 1e-6
+    for j in range(f + 2):
+        move = np.eye(f + 2)[j] * step
+        assert (loss(point + move) - loss(point - move)) / (2 * step) == pytest.approx(loss(point, 1)[j], abs=1e-6)
+
+
+def test_toxicity_swaps_compare_whole_sentences(spark):
+    table = spark.createDataFrame([("Women praised women. A man, a plan!", 0), (None, 1), ("nobody", 0)], "body string, label int")
+    others = {"women": ("men",), "man": ("woman", "person")}
+    found = toxicity.swap_table(table, others, 100)
+    ids = lambda *words: set().union(*map(toxicity.feature_ids, words))
+    want = []
+    for words, term, other in ((["women", "praised"], "women", "men"), (["a", "man", "plan"], "man", "woman"),
+                               (["a", "man", "plan"], "man", "person")):
+        before, after = ids(*words), ids(*(set(words) - {term} | {other}))
+        want.append((sorted(before - after), sorted(after - before)))
+    assert sorted(found) == sorted(want)
+    assert len(toxicity.swap_table(table, others, 2)) == 2
+
+
+def test_toxicity_finds_groups_of_the_corpus_and_penalises_them(spark):
+    """Two neutral words with the same neighbours become a group; a biased sample
+    gives one of them weight, which the swaps take away."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(600):
+        toxic = i % 3 == 0
+        town = "velda" if i // 3 % 2 else "morna"
+        words = [f"{'abcdefgh'[j]}word" for j in rng.integers(0, 8, 6)]
+        rows.append((f"{' '.join(words)}. people from {town} sing songs. {'vile scum' if toxic else 'kind folk'} here", int(toxic)))
+    table = toxicity.sample_table(
+        spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string"),
+        spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int"),
+        F.lit(True), "doc_id", "text", "toxic", 1_000)
+    groups = toxicity.corpus_groups(table, 200, 400)
+    assert tuple(sorted(("velda", "morna"))) in {tuple(sorted(g)) for g in groups}
+    assert all("scum" not in g and "kind" not in g for g in groups)
+    model = toxicity.fit(table)
+    assert model["swaps"] >= 600
+    gap = abs(model["w"][model["keep"][toxicity.feature_ids("velda")[0]]] - model["w"][model["keep"][toxicity.feature_ids("morna")[0]]])
+    assert gap < 0.2
+
+
 # --- tokens, packing, training order -----------------------------------------------------------
 
 def reference_ids(text):
@@ -520,15 +726,12 @@ def test_training_order_round_trip(docs, empty, tmp_path):
     flat = np.concatenate([seqs[r.slot] for r in sorted(rows, key=lambda r: r.number)]).tolist()
     want = bag(tuple(reference_ids(t)) for _, t, _, _ in ROWS)
     assert len(flat) == sum(len(k) * n for k, n in want.items())
-    cut, held = [], []
-    for i in flat:
-        held.append(i)
-        if i == tokens.EOS:
-            cut.append(tuple(held))
-            held = []
-    assert bag(cut) == want or sum(map(len, cut)) == len(flat)
-    assert training_order.materialise(empty, out_dir=f"file://{tmp_path}/none").count() == 0
+    # whole documents, one after the other: the end id may also occur inside a text
+    def parsed(at, left):
+        if at == len(flat):
+            return not +left
+        return any(parsed(at + len(k), left - bag([k])) for k in left if tuple(flat[at:at + len(k)]) == k)
 
+    assert parsed(0, want)
+    assert training_order.materialise(empty, out_dir=f"file://{tmp_path}/none").count() == 0
 
-def test_items_digest_of_no_items():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

@@ -79,6 +79,18 @@ def test_stages_equal_brute_force(spark, inputs):
     assert max(ends.values()) <= 4096 and len(ends) <= -(-tokens // 4096) * 1.02 + 1
 
 
+def test_group_stage_tells_texts_under_one_id_apart(spark):
+    base, other = [f"b{i}" for i in range(50)], [f"o{i}" for i in range(50)]
+    docs = [(5, " ".join(base)), (5, " ".join(other)), (3, " ".join(base[:-1])), (9, " ".join(other)), (9, " ".join(other)),
+            (7, None), (7, None), (7, "own words of one document"), (None, " ".join(base)), (None, " ".join(base))]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in docs],
+                               "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.one_per_group(spark, df, SF001)
+    assert bag(rows(kept)) == bag([(3, docs[2][1]), (5, docs[1][1]), (7, None), (7, docs[7][1]), docs[8], docs[8]])
+    text_ids = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert corpus_pipeline.one_per_group(spark, text_ids, SF001).count() == 6
+
+
 def test_stages_of_an_empty_table(spark, inputs):
     docs = inputs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
