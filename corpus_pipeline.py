@@ -7,14 +7,15 @@ stage's documents. All but the last return the columns of ``documents``.
 * toxicity: documents predicted toxic go. The model learns from the labelled
   documents of the training folds that reached the stage.
 * ngram_join: of each group of linked documents the one with the least id stays;
-  documents without an id link with nothing and stay.
+  documents without an id link with nothing and stay; a document is an id with its
+  text, so a text never goes for another one that shares its id.
 * decontamination: documents that hold a benchmark window go.
 * pii: personal data is masked in the text; every document stays. ``n_chars``
   follows the masked text.
 * packing: the tokens of all documents in sequences of at most 4096.
 
 Defined results: null or empty text passes every filter; a row repeated with its
-id counts as a linked copy, so one stays; an empty table gives an empty result;
+id and text counts as a linked copy, so one stays; an empty table gives an empty result;
 further columns of ``documents`` are carried along.
 """
 
@@ -29,15 +30,15 @@ from scriptlens.llm import decontam, ngram_join, packing, pii, toxicity
 from scriptlens.llm.common import read_table, stored
 
 ROW_KEY = "pipeline_row_key"
-BROADCAST_KEYS = 2_000_000      # keys (8 bytes each) up to which a drop list is broadcast
+BROADCAST_KEYS = 2_000_000      # keys (8 or 16 bytes each) up to which a drop list is broadcast
 
 
-def without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
-    """``docs`` without the rows whose key is in the drop list."""
-    dropped = stored(dropped.select(key).distinct(), "dropped")
+def without(docs: DataFrame, dropped: DataFrame, *keys: str) -> DataFrame:
+    """``docs`` without the rows whose keys are in the drop list."""
+    dropped = stored(dropped.select(*keys).distinct(), "dropped")
     if dropped.count() <= BROADCAST_KEYS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, key, "left_anti")
+    return docs.join(dropped, list(keys), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +48,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document of least id (then text) stays; documents are told
+    apart by id and text, so another text under the same id is judged for itself."""
     classes = ngram_join.similar_classes(docs)
-    kept = without(docs, classes.where("component_id <> id").select(F.col("id").alias("doc_id")), "doc_id")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():      # rows that share an id are one group
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    gone = classes.where("component_id is not null and (id <> component_id or text_hash <> component_hash)")
+    keyed = docs.withColumn(ROW_KEY, ngram_join.text_hash())
+    kept = without(keyed, gone.select(F.col("id").alias("doc_id"), F.col("text_hash").alias(ROW_KEY)), "doc_id", ROW_KEY)
+    repeated = keyed.where("doc_id is not null").groupBy("doc_id", ROW_KEY).count().where("count > 1")
+    if not repeated.isEmpty():      # rows that agree in id and text are one document
+        kept = (kept.where("doc_id is not null").dropDuplicates(["doc_id", ROW_KEY])
+                .unionByName(kept.where("doc_id is null")))
     return kept.select(*docs.columns)
 
 
