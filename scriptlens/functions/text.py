@@ -15,6 +15,7 @@ from .wordlists import (
     CLASSIFIER_NAMES,
     NOT_WS,
     SEARCH_NAMES,
+    SENTENCE_MARKS,
     STOP_WORDS,
     TYPE_WORDS,
     WORD,
@@ -141,9 +142,8 @@ def normalize_classifier(c, remove_type_words: bool = False) -> Column:
 def normalize_baseline(c, remove_type_words: bool = False) -> Column:
     t = F.coalesce(_col(c).cast("string"), F.lit(""))
     t = F.regexp_replace(F.translate(t, "|", " "), URL_PATTERN, "")       # T16
-    t = F.regexp_replace(F.concat(t, F.lit(" ")), r"\.", " EOSTokenDot ")  # T22
-    t = F.regexp_replace(F.concat(t, F.lit(" ")), r"\?", " EOSTokenQuest ")
-    t = F.regexp_replace(F.concat(t, F.lit(" ")), "!", " EOSTokenExs ")
+    for mark, word in SENTENCE_MARKS:                                     # T22
+        t = F.replace(F.concat(t, F.lit(" ")), F.lit(mark), F.lit(f" {word} "))
     t = F.lower(t)
     # punctuation and non-letters to blanks; from here on only a-z and blanks
     # remain, so word boundaries are plain ASCII ones and tokens split on " "

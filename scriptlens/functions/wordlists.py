@@ -160,6 +160,8 @@ QUOTE_DISPLAY_CHARS = 200
 BM25_K1 = 1.5
 BM25_B = 0.75
 BM25_EPSILON = 0.25
+# fixed values: the words that stand for sentence marks in baseline text
+SENTENCE_MARKS = ((".", "EOSTokenDot"), ("?", "EOSTokenQuest"), ("!", "EOSTokenExs"))
 TFIDF_MAX_FEATURES = 1500
 NB_ALPHA = 1.0
 CV_FOLDS = 3

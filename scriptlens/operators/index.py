@@ -48,6 +48,7 @@ class CorpusIndex:
     lines: DataFrame
     n_shows: int | None = None
     grams: object | None = None     # a ``trigrams.TrigramIndex`` of the lines, if there is one
+    impacts: object | None = None   # a ``topk.ImpactIndex`` of the postings, if there is one
 
     def shows(self) -> int:
         """Number of shows (one small job the first time, then remembered)."""

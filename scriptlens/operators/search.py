@@ -264,15 +264,27 @@ def bm25_scores(index: CorpusIndex, prepared: DataFrame, title_weight: float = D
         .where(F.col("tf") > 0)
     )
     terms_b, _ = bounded_broadcast(qterms.select("term").distinct(), bounds.tokens)
+    stats = term_weights(term_stats.join(terms_b, "term"), index.show_stats, w, epsilon)
+    stats_b, _ = bounded_broadcast(stats, bounds.tokens * n_shows)
+    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
+    part = F.col("qtf") * F.col("idf") * (F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm))
+    return (
+        hits.join(stats_b, ["show_key", "term"])
+        .groupBy("query_id", *DOC_KEYS)
+        .agg(F.sum(part).alias("bm25"))
+    )
+
+
+def term_weights(term_stats: DataFrame, show_stats: DataFrame, w: int, epsilon: float = BM25_EPSILON) -> DataFrame:
+    """(show_key, term, idf, avgdl): floored idf and average length per show."""
     df_col = F.col("df_any") if w > 0 else F.col("df_body")
     mean_col = F.col("mean_idf_any") if w > 0 else F.col("mean_idf_body")
     n = F.col("n_docs")
     idf_raw = F.log(n - F.col("df") + F.lit(0.5)) - F.log(F.col("df") + F.lit(0.5))
-    stats = (
-        term_stats.join(terms_b, "term")
-        .select("show_key", "term", df_col.alias("df"))
+    return (
+        term_stats.select("show_key", "term", df_col.alias("df"))
         .where(F.col("df") > 0)
-        .join(index.show_stats, "show_key")
+        .join(show_stats, "show_key")
         .select(
             "show_key",
             "term",
@@ -280,25 +292,31 @@ def bm25_scores(index: CorpusIndex, prepared: DataFrame, title_weight: float = D
             ((F.col("sum_len_body") + F.lit(w) * F.col("sum_len_title")) / n).alias("avgdl"),
         )
     )
-    stats_b, _ = bounded_broadcast(stats, bounds.tokens * n_shows)
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * (F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm))
-    return (
-        hits.join(stats_b, ["show_key", "term"])
-        .groupBy("query_id", *DOC_KEYS)
-        .agg(F.sum(part).alias("bm25"))
-    )
+
+
+def query_term_stats(index: CorpusIndex, prepared: DataFrame, w: int, bounds: QueryBounds) -> DataFrame:
+    """(query_id, show_key, term, qtf, idf, avgdl) of the queries' terms."""
+    qterms = materialize(query_terms(prepared))
+    term_stats = index.term_stats
+    if bounds.tokens <= PUSHDOWN_MAX_TERMS:
+        term_stats = term_stats.where(F.col("term").isin(sorted({r["term"] for r in qterms.collect()})))
+    qterms_b, _ = bounded_broadcast(qterms, bounds.tokens)
+    return term_weights(term_stats, index.show_stats, w).join(qterms_b, "term")
+
+
+def matches_of(index: CorpusIndex, prepared: DataFrame) -> DataFrame:
+    """(query_id, document keys), through the trigram postings if there are any."""
+    if index.grams is None:
+        return matched_documents(index.lines, prepared)
+    from .trigrams import matched_by_trigrams
+    return matched_by_trigrams(index.grams, prepared)
 
 
 def ranked_matches(index: CorpusIndex, prepared: DataFrame,
                    title_weight: float = DEFAULT_TITLE_WEIGHT, bounds: QueryBounds | None = None) -> DataFrame:
     """Every matched document with its BM25, title boost and relevance (M2 before top-k)."""
     bounds = bounds or query_bounds(prepared)
-    if index.grams is None:
-        matched = matched_documents(index.lines, prepared)
-    else:
-        from .trigrams import matched_by_trigrams
-        matched = matched_by_trigrams(index.grams, prepared)
+    matched = matches_of(index, prepared)
     scores = bm25_scores(index, prepared, title_weight, bounds=bounds)
     dparts_b, _ = bounded_broadcast(prepared.select("query_id", "dparts"), bounds.queries)
     boost = title_hits("episode_title", "dparts") * F.lit(2.0 * float(title_weight))
@@ -425,8 +443,12 @@ def search(spark: SparkSession, index: CorpusIndex, queries, top_k_n: int = DEFA
     bounds = query_bounds(prepared, _literal(queries))
     n_queries = bounds.queries
     n_shows = index.shows()
-    ranked = ranked_matches(index, prepared, title_weight, bounds)
     groups = ["query_id", "show_key"] if per_show else ["query_id"]
+    if index.impacts is None:
+        ranked = ranked_matches(index, prepared, title_weight, bounds)
+    else:
+        from .topk import pruned_matches
+        ranked, _ = pruned_matches(index, index.impacts, prepared, top_k_n, title_weight, per_show, bounds)
     # at most k rows per (query, show); computed once, read by every consumer
     top = materialize(top_k(ranked, groups, search_order(), top_k_n))
     dparts_b, _ = bounded_broadcast(prepared.select("query_id", "query", "dparts"), n_queries)

@@ -82,6 +82,7 @@ def style_prompts(nearest: DataFrame, sentence: str) -> DataFrame:
         F.expr("listagg(_numbered, '\\n') WITHIN GROUP (ORDER BY example_rank)").alias("examples"),
         F.count(F.lit(1)).cast("bigint").alias("n_examples"),
     )
+    # fixed values: the wording of the prompt
     head = F.concat(F.lit("\nRewrite the following sentence in the style of **"), F.col("character"),
                     F.lit("**.\n\nExamples:\n"))
     tail = F.lit('\n\nSentence: "' + sentence + '"\nOutput:\n')

@@ -23,10 +23,13 @@ from ..operators import documents as D
 from ..operators import heads as H
 from ..operators import profiles as P
 from ..operators import embedding as E
+from ..operators import sketches as K
 from ..operators import lemmas as L
 from ..operators import similar as V
 from ..operators import trigrams as G
 from ..operators import vector_index as I
+from ..operators.frequent import frequent_vocabulary
+from ..operators.topk import build_impacts
 from ..operators.versions import open_index
 from ..operators.index import DOC_KEYS, CorpusIndex, materialize_index, searchable_lines
 from ..operators.search import (
@@ -121,6 +124,18 @@ def q_show_extremes(spark, sf_dir):
                      F.min_by("show_key", F.struct(-F.col("n_lines"), "show_key")).alias("largest_show"))
 
 
+def q_distinct_counts(spark, sf_dir):
+    """Distinct counts per show from stored sketches, with the exact ones."""
+    lines = dialogue(spark, sf_dir)
+    return K.checked_counts(spark, lines, K.write_sketches(spark, lines)).drop("estimate")
+
+
+def q_distinct_estimates(spark, sf_dir):
+    """The estimates over all shows, united from the sketches alone."""
+    path = K.write_sketches(spark, dialogue(spark, sf_dir))
+    return K.united_counts(spark.read.parquet(path), [])
+
+
 def q_alias_resolution(spark, sf_dir):
     # typed names derived from the data: padded, upper-cased show keys and
     # the display names of the registry, resolved back to keys
@@ -383,6 +398,15 @@ def q_search_indexed(spark, sf_dir):
     return search(spark, idx, _batch_queries(spark, sf_dir), 3, DEFAULT_TITLE_WEIGHT)
 
 
+def q_search_pruned(spark, sf_dir):
+    """M2, L1: the top-k search that skips postings blocks below the threshold."""
+    idx = corpus_index(spark, sf_dir, "documents")
+    key = _key(spark, sf_dir, "impacts:documents", "documents")
+    if key not in _CACHE:
+        _CACHE[key] = build_impacts(spark, idx)
+    return search(spark, replace(idx, impacts=_CACHE[key]), DOC_QUERIES, DEFAULT_TOP_K, DEFAULT_TITLE_WEIGHT)
+
+
 def updated_index(spark: SparkSession, sf_dir: str) -> tuple[CorpusIndex, dict]:
     """An index first opened on an earlier state of the documents (some missing,
     some with another text, one more), then brought up to date with all of them."""
@@ -443,6 +467,14 @@ def q_tfidf_vocab(spark, sf_dir):
     return vocab.select("term", F.round("idf", 6).alias("idf"))
 
 
+def q_tfidf_vocab_frequent(spark, sf_dir):
+    """The vocabulary through bounded summaries of frequent terms."""
+    posts = adapters.posts(spark, sf_dir)
+    texts = posts.select("row_id", normalize_baseline("posts", True).alias("text"))
+    counts = materialize(C.term_counts(texts, "row_id", "text"))
+    return frequent_vocabulary(counts, posts.count()).select("term", F.round("idf", 6).alias("idf"))
+
+
 def q_tfidf_weights(spark, sf_dir):
     _, _, x = _baseline_features(spark, sf_dir)
     return x.select("row_id", "term", F.round("x", 6).alias("x"))
@@ -629,6 +661,8 @@ def q_style_prompts_text(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "show_registry": q_show_registry,
     "show_extremes": q_show_extremes,
+    "distinct_counts": q_distinct_counts,
+    "distinct_estimates": q_distinct_estimates,
     "alias_resolution": q_alias_resolution,
     "episode_documents": q_episode_documents,
     "union_sources": q_union_sources,
@@ -667,6 +701,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_one_show": q_search_one_show,
     "search_batch": q_search_batch,
     "search_indexed": q_search_indexed,
+    "search_pruned": q_search_pruned,
     "versioned_term_stats": q_versioned_term_stats,
     "versioned_search": q_versioned_search,
     "snippets": q_snippets,
@@ -674,6 +709,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stratified_split": q_stratified_split,
     "stratified_folds": q_stratified_folds,
     "tfidf_vocab": q_tfidf_vocab,
+    "tfidf_vocab_frequent": q_tfidf_vocab_frequent,
     "tfidf_weights": q_tfidf_weights,
     "nb_model": q_nb_model,
     "nb_cv_accuracy": q_nb_cv_accuracy,

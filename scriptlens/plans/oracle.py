@@ -327,6 +327,12 @@ def all_sql() -> dict[str, str]:
                     coalesce(CASE lower({S.strip('typed')}) {alias_case} END, lower(trim(typed)))) AS show_name
     FROM typed"""
 
+    out["distinct_counts"] = f"""{_with(dl)},
+    things AS (SELECT show_key, 'characters' AS thing, character AS value FROM lines
+               UNION ALL SELECT show_key, 'episodes', concat_ws('/', season, episode, episode_title) FROM lines
+               UNION ALL SELECT show_key, 'words', unnest({S.search_tokens('dialogue')}) FROM lines)
+    SELECT show_key, thing, CAST(count(DISTINCT value) AS BIGINT) AS exact, true AS in_bound
+    FROM things WHERE value IS NOT NULL GROUP BY show_key, thing"""
     out["episode_documents"] = f"""{_with(dl, _docs_cte())},
     n AS (SELECT show_key, season, episode, episode_title, CAST(count(*) AS BIGINT) AS n_lines FROM lines
           WHERE season IS NOT NULL AND episode IS NOT NULL AND episode_title IS NOT NULL GROUP BY ALL)
@@ -455,6 +461,7 @@ def all_sql() -> dict[str, str]:
     out["search_batch"] = bq
     out["search_indexed"] = bq
     out["versioned_search"] = out["search_episodes"]
+    out["search_pruned"] = out["search_episodes"]
 
     parts = S.display_parts(S.lit(CT.SNIPPET_QUERY))
     out["snippets"] = f"""{_with(dl, _docs_cte())}
@@ -477,6 +484,7 @@ def all_sql() -> dict[str, str]:
 
     base = [S.posts_cte(), _posts_texts("baseline"), _long_labels(), _tfidf_ctes()]
     out["tfidf_vocab"] = f"{_with(*base)} SELECT term, round(idf, 6) AS idf FROM vocab"
+    out["tfidf_vocab_frequent"] = out["tfidf_vocab"]
     out["tfidf_weights"] = f"{_with(*base)} SELECT row_id, term, round(x, 6) AS x FROM xf"
     out["nb_model"] = f"""{_with(*base, _nb_fit_ctes('SELECT * FROM lab'))}
     SELECT l.dim, l.label, l.term, round(l.logp, 6) AS logp, round(p.prior, 6) AS prior
