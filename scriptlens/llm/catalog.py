@@ -57,9 +57,10 @@ def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = langid.train(docs, fold(4) != 2)
-    out = langid.label_languages(docs, model, with_spans=False)
+    out = langid.label_languages(docs, model)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["lang"], s["start"], s["end"])), ",")
     return out.select("doc_id", (F.coalesce(fold(4), F.lit(0)) == 2).alias("held_out"), "lang_pred",
-                      "score", "n_spans")
+                      "score", "n_spans", spans.alias("lang_spans"))
 
 
 def op5_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
