@@ -28,9 +28,9 @@ DOC_KEYS = ["show_key", "season", "episode", "episode_title"]
 
 
 def searchable_lines(lines: DataFrame) -> DataFrame:
-    """Lines of documents with non-null keys, with ``is_last`` marking the
+    """Lines of documents with non-null keys (the show too), with ``is_last`` marking the
     last line of each document (the one the title is appended to)."""
-    lines = lines.dropna(subset=["season", "episode", "episode_title"])
+    lines = lines.dropna(subset=DOC_KEYS)
     if "is_last" in lines.columns:
         return lines
     last = lines.groupBy(*DOC_KEYS).agg(F.max("line_no").alias("_last_line"))
