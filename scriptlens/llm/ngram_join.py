@@ -334,10 +334,12 @@ def similar_classes(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
                        F.col(text_col).alias("body"))
     table = set_table(base, size)
     members = table.where("kind = 0").select("id", "n_shingles", "sig")
-    # a class is a set; it is numbered, and its least (id, text) stands for it
+    # a class is a set; its least (id, text) stands for it. Classes are numbered in the
+    # order of these, so a list's pivot is its earliest document: later copies are edits of
+    # an earlier one rather than of each other
     classes = stored(stored(
         members.where("n_shingles > 0 and id.id is not null").groupBy("sig").agg(F.min("id").alias("rep")), "class-reps")
-        .withColumn("class", F.monotonically_increasing_id()), "classes")
+        .orderBy("rep").withColumn("class", F.monotonically_increasing_id()), "classes")
     heavy = frequent(table)
 
     # prefixes of one document per class; rows that agree in id and text are one
