@@ -2,8 +2,10 @@
 
 A text is encoded by a byte-level BPE file (A) and a piece model (B); both sides
 tile the bytes of a space and the text. ``pandas.merge_asof``, keyed by document,
-finds for each token start the other side's covering token, once in either
-direction; the union of both directions is the set of overlapping pairs (links).
+finds the linked tokens. Links of kind ``END`` are the pairs whose byte ranges end
+together: each token end meets the other side's equal one. Links of kind ``OVERLAP``
+are the pairs that share a byte: each token start meets the other side's covering
+token, once in either direction, and the union of both directions is the set.
 Byte ends that both sides share cut the tokens into groups.
 
 Links are counted per (A id, B id) over the corpus: each document's distinct pairs
@@ -43,6 +45,7 @@ A_FILE = "byte_bpe_50k.json"
 B_FILE = "piece_bpe_32k.model"
 BATCH_CHARS = 400_000
 HEAD_PAIRS = 500_000
+OVERLAP, END = "overlap", "end"     # kinds of links
 ROW_KEY = "alignment_row"
 
 
@@ -156,7 +159,29 @@ def flat_ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.repeat(np.arange(len(lists)), sizes)
 
 
-def align(texts: list[str | None], a_side: Side, b_side: Side) -> Aligned:
+def overlapping(a_text: np.ndarray, a_start: np.ndarray, b_text: np.ndarray,
+                b_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens that share a byte."""
+    left = pd.DataFrame({"text": a_text, "at": a_start, "a": np.arange(len(a_text))})
+    right = pd.DataFrame({"text": b_text, "at": b_start, "b": np.arange(len(b_text))})
+    by_a = pd.merge_asof(left, right, on="at", by="text")
+    by_b = pd.merge_asof(right, left, on="at", by="text")
+    cover = by_b["a"].to_numpy()
+    new = a_start[cover] != b_start     # equal starts are found from both sides
+    return (np.concatenate([by_a["a"].to_numpy(), cover[new]]),
+            np.concatenate([by_a["b"].to_numpy(), by_b["b"].to_numpy()[new]]))
+
+
+def ending_together(a_text: np.ndarray, a_end: np.ndarray, b_text: np.ndarray,
+                    b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the tokens whose byte ranges end together."""
+    left = pd.DataFrame({"text": a_text, "at": a_end, "a": np.arange(len(a_text))})
+    right = pd.DataFrame({"text": b_text, "at": b_end, "b": np.arange(len(b_text))})
+    met = pd.merge_asof(left, right, on="at", by="text", tolerance=0).dropna(subset="b")
+    return met["a"].to_numpy(), met["b"].to_numpy().astype(np.int64)
+
+
+def align(texts: list[str | None], a_side: Side, b_side: Side, links: str = OVERLAP) -> Aligned:
     """Align the tokens of the texts; texts without tokens contribute none."""
     rows = [k for k, t in enumerate(texts) if t]
     a_lists: list[list[int]] = [[] for _ in texts]
@@ -171,19 +196,15 @@ def align(texts: list[str | None], a_side: Side, b_side: Side) -> Aligned:
     b, b_text = flat_ids(b_lists)
     # both sides tile the same bytes, so places in the joined bytes are comparable
     a_end, b_end = np.cumsum(a_side.sizes[a]), np.cumsum(b_side.sizes[b])
-    a_start, b_start = a_end - a_side.sizes[a], b_end - b_side.sizes[b]
-    left = pd.DataFrame({"text": a_text, "at": a_start, "a": np.arange(len(a))})
-    right = pd.DataFrame({"text": b_text, "at": b_start, "b": np.arange(len(b))})
-    by_a = pd.merge_asof(left, right, on="at", by="text")
-    by_b = pd.merge_asof(right, left, on="at", by="text")
-    cover = by_b["a"].to_numpy()
-    new = a_start[cover] != b_start     # equal starts are found from both sides
+    if links == END:
+        link_a, link_b = ending_together(a_text, a_end, b_text, b_end)
+    else:
+        link_a, link_b = overlapping(a_text, a_end - a_side.sizes[a], b_text, b_end - b_side.sizes[b])
     a_cut = np.isin(a_end, b_end, assume_unique=True, kind="sort")
     b_cut = np.isin(b_end, a_end, assume_unique=True, kind="sort")
     return Aligned(
         a, b, a_text, b_text, np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut, a_cut, b_cut,
-        np.concatenate([by_a["a"].to_numpy(), cover[new]]),
-        np.concatenate([by_a["b"].to_numpy(), by_b["b"].to_numpy()[new]]))
+        link_a, link_b)
 
 
 def group_strings(found: Aligned, n_texts: int, a_side: Side, b_side: Side) -> list[str]:
@@ -221,7 +242,7 @@ def paths(a_path: str | None, b_path: str | None) -> tuple[str, str]:
 
 
 def aligned_tokens(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
-                   a_path: str | None = None, b_path: str | None = None) -> DataFrame:
+                   a_path: str | None = None, b_path: str | None = None, links: str = OVERLAP) -> DataFrame:
     """The kept columns with ``a_ids``, ``b_ids``, ``links`` (token numbers a, b
     in order) and ``groups`` (tokens of either side)."""
     a_path, b_path = paths(a_path, b_path)
@@ -233,7 +254,7 @@ def aligned_tokens(docs: DataFrame, text_col: str = "text", keep: list[str] | No
         def work(texts: list) -> list:
             out: list[list] = [[], [], [], []]
             for part in batches_of(texts):
-                found = align(part, a_side, b_side)
+                found = align(part, a_side, b_side, links)
                 order = np.lexsort((found.link_b, found.link_a))
                 link_a, link_b = found.link_a[order], found.link_b[order]
                 link_text = found.a_text[link_a]
@@ -245,12 +266,12 @@ def aligned_tokens(docs: DataFrame, text_col: str = "text", keep: list[str] | No
                 group_first = np.searchsorted(group_text, np.arange(len(part) + 1))
                 for k in range(len(part)):
                     a0, b0 = a_first[k], b_first[k]
-                    links = slice(link_first[k], link_first[k + 1])
+                    linked = slice(link_first[k], link_first[k + 1])
                     groups = slice(group_first[k], group_first[k + 1])
                     out[0].append(found.a[a0:a_first[k + 1]].tolist())
                     out[1].append(found.b[b0:b_first[k + 1]].tolist())
-                    out[2].append([{"a": x, "b": y} for x, y in zip((link_a[links] - a0).tolist(),
-                                                                    (link_b[links] - b0).tolist())])
+                    out[2].append([{"a": x, "b": y} for x, y in zip((link_a[linked] - a0).tolist(),
+                                                                    (link_b[linked] - b0).tolist())])
                     out[3].append([{"n_a": x, "n_b": y} for x, y in zip(a_sizes[groups].tolist(),
                                                                         b_sizes[groups].tolist())])
             return out
@@ -266,7 +287,8 @@ def aligned_tokens(docs: DataFrame, text_col: str = "text", keep: list[str] | No
 
 # --- counts over the corpus --------------------------------------------------
 
-def document_pairs(docs: DataFrame, text_col: str, keep: list[str], a_path: str, b_path: str) -> DataFrame:
+def document_pairs(docs: DataFrame, text_col: str, keep: list[str], a_path: str, b_path: str,
+                   links: str = OVERLAP) -> DataFrame:
     """Per document its token, group and link counts, the digest of its groups,
     and its distinct id pairs (``a * width + b``) with their numbers."""
     def make():
@@ -277,7 +299,7 @@ def document_pairs(docs: DataFrame, text_col: str, keep: list[str], a_path: str,
             out: list[list] = [[], [], [], [], [], [], []]
             for part in batches_of(texts):
                 n = len(part)
-                found = align(part, a_side, b_side)
+                found = align(part, a_side, b_side, links)
                 codes = found.a[found.link_a] * width + found.b[found.link_b]
                 link_text = found.a_text[found.link_a]
                 order = np.lexsort((codes, link_text))
@@ -356,9 +378,10 @@ def add_head_sums(found: DataFrame, head: pa.Table) -> DataFrame:
 
 def alignment_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None,
                      a_path: str | None = None, b_path: str | None = None,
-                     head_pairs: int = HEAD_PAIRS) -> DataFrame:
+                     head_pairs: int = HEAD_PAIRS, links: str = OVERLAP) -> DataFrame:
     """The kept columns (all by default) with n_a, n_b, n_groups, n_links,
-    groups_sha256, and n_best and count_sum from the corpus-wide pair counts."""
+    groups_sha256, and n_best and count_sum from the corpus-wide counts of the
+    pairs linked as ``links`` says."""
     a_path, b_path = paths(a_path, b_path)
     names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
@@ -367,7 +390,7 @@ def alignment_counts(docs: DataFrame, text_col: str = "text", keep: list[str] |
                           F.monotonically_increasing_id().alias(ROW_KEY))
     # written once, so the row numbers are the same for every reader
     found = stored(document_pairs(renamed, "aligned_text", [f"kept_{k}" for k in range(len(keep))] + [ROW_KEY],
-                                  a_path, b_path), "aligned")
+                                  a_path, b_path, links), "aligned")
     width = len(sides(a_path, b_path)[1].tokens)
     counts = stored(pair_counts(found, width), "pairs")
     head = counts.orderBy(F.desc("links"), "pair").limit(head_pairs)

@@ -128,7 +128,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = alignment.alignment_counts(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    out = alignment.alignment_counts(read_table(spark, sf_dir, "documents"), keep=["doc_id"], links=alignment.END)
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

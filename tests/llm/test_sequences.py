@@ -159,7 +159,7 @@ def pair():
     return alignment.sides(tokenizer_path(alignment.A_FILE), tokenizer_path(alignment.B_FILE))
 
 
-def slow_alignment(text, pair):
+def slow_alignment(text, pair, kind=alignment.OVERLAP):
     """Token ids, links and the group string by comparing all pairs."""
     if not text:
         return [], [], [], ""
@@ -177,7 +177,8 @@ def slow_alignment(text, pair):
         return out
 
     ra, rb = ranges(a, a_side), ranges(b, b_side)
-    links = [(i, j) for i, (s, e) in enumerate(ra) for j, (u, v) in enumerate(rb) if s < v and u < e]
+    links = [(i, j) for i, (s, e) in enumerate(ra) for j, (u, v) in enumerate(rb)
+             if (e == v if kind == alignment.END else s < v and u < e)]
     groups, lo = [], 0
     for cut in sorted({e for _, e in ra} & {e for _, e in rb}):
         groups.append(",".join(str(a[i]) for i, (_, e) in enumerate(ra) if lo < e <= cut) + "|"
@@ -189,8 +190,8 @@ def slow_alignment(text, pair):
 SHORT = [(i, t) for i, t in TEXTS if t is not LONG]
 
 
-def slow_op12(pair):
-    found = [(i, *slow_alignment(t, pair)) for i, t in SHORT]
+def slow_op12(pair, kind=alignment.OVERLAP):
+    found = [(i, *slow_alignment(t, pair, kind)) for i, t in SHORT]
     counts = collections.Counter((a[x], b[y]) for _, a, b, links, _ in found for x, y in links)
     top = collections.Counter()
     for (_, y), n in counts.items():
@@ -213,6 +214,24 @@ def test_op12_against_brute_force(spark, folder, pair, head):
     assert rows_of(alignment.alignment_counts(docs, keep=["doc_id"], **extra).select(*names)) == slow_op12(pair)
 
 
+@pytest.mark.parametrize("head", [None, 40])
+def test_op12_links_end_together(spark, folder, pair, head):
+    """The contract's links: token pairs whose byte ranges end together."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id is null or doc_id <> 5")
+    names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+    extra = {} if head is None else {"head_pairs": head}
+    out = alignment.alignment_counts(docs, keep=["doc_id"], links=alignment.END, **extra).select(*names)
+    assert rows_of(out) == slow_op12(pair, alignment.END) != slow_op12(pair)
+
+
+def test_op12_query_links_tokens_that_end_together(spark, tmp_path):
+    texts = [(1, "unbelievable tokenizations"), (2, "unbelievable"), (3, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.op12_token_alignment(spark, str(tmp_path)).collect()
+    assert len(rows) == 3 and all(r["n_links"] == r["n_groups"] for r in rows)
+    assert any(r["n_groups"] < max(r["n_a"], r["n_b"]) for r in rows)
+
+
 def test_op12_query_columns_long_text_and_empty_table(spark, folder, empty_folder, pair):
     out = catalog.op12_token_alignment(spark, folder)
     assert out.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -220,7 +239,7 @@ def test_op12_query_columns_long_text_and_empty_table(spark, folder, empty_folde
     assert out.count() == len(TEXTS)
     (a,), (b,) = (side.encode([LONG]) for side in pair)
     row = out.where("doc_id = 5").first()
-    assert (row["n_a"], row["n_b"]) == (len(a), len(b)) and row["n_links"] >= max(len(a), len(b))
+    assert (row["n_a"], row["n_b"]) == (len(a), len(b)) and row["n_links"] == row["n_groups"]
     assert catalog.op12_token_alignment(spark, empty_folder).collect() == []
 
 
