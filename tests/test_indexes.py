@@ -218,3 +218,30 @@ def test_quarantine_of_clean_sources_is_empty(spark, tmp_path):
     lines, bad, skipped = ingest_with_quarantine(spark, {"a": f"{tmp_path}/a.csv"})
     assert lines.count() == 1 and bad.count() == 0 and skipped.count() == 0
     assert {"show_key", "season", "dialogue"} <= set(lines.columns)
+
+
+def test_a_batch_makes_no_row_for_a_text_and_a_part(spark):
+    """Up to ``PARTS_PER_PASS`` parts: texts meet no table of parts, and a document is
+    shuffled once with the numbers of its parts."""
+    rows = corpus(11)
+    lines = searchable_lines(spark.createDataFrame(rows + rows[:40] + [
+        ("s", 1, 900, None, 1, "x", "coffee shop"), ("s", 1, None, "T", 2, "x", "perk")], LINES))
+    queries = spark.createDataFrame(
+        [(k, q) for k, q in enumerate(QUERIES)] + [(0, "coffee"), (0, "wedding"), (None, "perk & central"), (2, "ouen/the/of"),
+                                                   (30, "of&of&the"), (31, "coffee/wedding/perk")], "query_id bigint, query string")
+    prepared = S.prepare_queries(queries)
+    qp = S.match_parts(prepared)
+    text = lines.select(*DOC_KEYS, S.searchable_text(lines).alias("_text"))
+    # the plain way: every hit a row
+    hits = S.shuffled_hits(text, DOC_KEYS, qp)
+    names = ["query_id", "qtype", "n_parts", *DOC_KEYS]
+    found = hits.select(*names, "part_idx").distinct().groupBy(*names).count().collect()
+    want = sorted((tuple(r[c] for c in ["query_id", *DOC_KEYS]) for r in found
+                   if (r["count"] == r["n_parts"] if r["qtype"] == "and" else True)), key=str)
+    scan = S.matched_documents(lines, prepared)
+    assert sorted(map(tuple, scan.collect()), key=str) == want and len(want) > 100
+    assert sorted(map(tuple, G.matched_by_trigrams(G.build_trigrams(spark, lines, block_chars=200), prepared).collect()),
+                  key=str) == want
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    before = [line for line in plan.splitlines() if "explode" in line.lower()]
+    assert len([line for line in before if "_text" in line or "anchor" in line]) == 0
