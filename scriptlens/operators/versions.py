@@ -12,7 +12,8 @@ taking the hidden rows' sums away. ``MAX_SEGMENTS`` segments are written as one
 Layout under the index path (a version is readable only once its manifest is
 written, so a broken run leaves the one before):
 
-* ``v<N>/lines, doc_len, postings, digests`` the segment's rows (``schema``: the lines' columns)
+* ``v<N>/lines, doc_len, postings, digests`` the segment's rows (``schema``: the lines' columns),
+  with ``packed`` and ``summed`` of ``index.write_postings``
 * ``v<N>/gone``                              document keys whose older rows it hides
 * ``v<N>/term_stats, show_stats``            statistics of the whole version
 * ``v<N>/manifest``                          version, segments, title weight, number of episodes
@@ -27,16 +28,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import DEFAULT_TITLE_WEIGHT
-from ..session import materialize
+from ..session import checked_broadcast, materialize
+from .counted import unpacked
 from .index import (
+    COUNTED,
     DOC_KEYS,
     CorpusIndex,
-    _doc_len,
-    _term_freq,
     _term_stats,
-    _tokens,
     _write_sorted,
     searchable_lines,
+    single_parts,
+    write_postings,
 )
 
 MAX_SEGMENTS = 8
@@ -74,12 +76,8 @@ def write_version(spark: SparkSession, path: str, version: int, segments: list[i
     lines.limit(0).write.mode("overwrite").parquet(f"{at}/schema")      # a partitioned write of no rows has none
     lines.write.mode("overwrite").partitionBy("show_key").parquet(f"{at}/lines")
     lines = stored_lines(spark, at)
-    tok = _tokens(lines)
-    _doc_len(tok).write.mode("overwrite").parquet(f"{at}/doc_len")
+    write_postings(spark, lines, at)
     doc_len = spark.read.parquet(f"{at}/doc_len")
-    _term_freq(tok).write.mode("overwrite").parquet(f"{at}/term_freq")
-    tf = spark.read.parquet(f"{at}/term_freq")
-    _write_sorted(tf.join(doc_len, DOC_KEYS), f"{at}/postings")
     document_versions(lines).write.mode("overwrite").parquet(f"{at}/digests")
     if gone is not None:
         gone.write.mode("overwrite").parquet(f"{at}/gone")
@@ -88,10 +86,12 @@ def write_version(spark: SparkSession, path: str, version: int, segments: list[i
     sizes = doc_len.groupBy("show_key").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len_body").alias("sum_len_body"),
                                             F.sum("len_title").alias("sum_len_title"))
     if before is not None:
-        hidden = before.postings.join(gone, DOC_KEYS, "left_semi")
+        # a packed row per document meets ``gone``; only the hidden ones become postings
+        side, _ = checked_broadcast(spark.read.parquet(f"{at}/gone"))
+        hidden = hidden_postings(before, side)
         stats = merged(["show_key", "term"], ["df_body", "df_any"], [before.term_stats, stats], _term_stats(hidden))
         stats = stats.where("df_any > 0")
-        hidden_len = before.doc_len.join(gone, DOC_KEYS, "left_semi").groupBy("show_key").agg(
+        hidden_len = before.doc_len.join(side, DOC_KEYS, "left_semi").groupBy("show_key").agg(
             F.count(F.lit(1)).alias("n_docs"), F.sum("len_body").alias("sum_len_body"), F.sum("len_title").alias("sum_len_title"))
         sizes = merged(["show_key"], ["n_docs", "sum_len_body", "sum_len_title"], [before.show_stats, sizes], hidden_len)
         sizes = sizes.where("n_docs > 0")
@@ -105,6 +105,15 @@ def write_version(spark: SparkSession, path: str, version: int, segments: list[i
         .write.mode("overwrite").parquet(f"{at}/manifest")
 
 
+def hidden_postings(index: CorpusIndex, gone: DataFrame) -> DataFrame:
+    """(show_key, term, tf_body) of the documents in ``gone``."""
+    hidden = unpacked(index.packed.join(gone, DOC_KEYS, "left_semi"), ["show_key"], COUNTED).select(
+        "show_key", "term", F.col("n_tb").alias("tf_body"))
+    if index.summed is None:
+        return hidden
+    return hidden.unionByName(index.summed.join(gone, DOC_KEYS, "left_semi").select("show_key", "term", "tf_body"))
+
+
 def stored_lines(spark: SparkSession, at: str) -> DataFrame:
     return spark.read.schema(spark.read.parquet(f"{at}/schema").schema).parquet(f"{at}/lines")
 
@@ -129,19 +138,23 @@ def load_version(spark: SparkSession, path: str, manifest: dict) -> tuple[Corpus
     """The tables of a version, and its documents' digests."""
     segments = list(manifest["segments"])
 
+    def kept(rows: DataFrame, k: int) -> DataFrame:
+        for later in segments[k + 1:]:
+            rows = rows.join(spark.read.parquet(f"{path}/v{later}/gone"), DOC_KEYS, "left_anti")
+        return rows
+
     def table(name: str) -> DataFrame:
-        parts = []
-        for k, seg in enumerate(segments):
-            at = f"{path}/v{seg}"
-            rows = stored_lines(spark, at) if name == "lines" else spark.read.parquet(f"{at}/{name}")
-            for later in segments[k + 1:]:
-                rows = rows.join(spark.read.parquet(f"{path}/v{later}/gone"), DOC_KEYS, "left_anti")
-            parts.append(rows)
-        return reduce(DataFrame.unionByName, parts)
+        rows = [stored_lines(spark, f"{path}/v{seg}") if name == "lines" else spark.read.parquet(f"{path}/v{seg}/{name}")
+                for seg in segments]
+        return reduce(DataFrame.unionByName, [kept(r, k) for k, r in enumerate(rows)])
 
+    parts = [single_parts(spark, f"{path}/v{seg}") for seg in segments]
+    packed = reduce(DataFrame.unionByName, [kept(p, k) for k, (p, _) in enumerate(parts)])
+    several = [kept(s, k) for k, (_, s) in enumerate(parts) if s is not None]
     newest = f"{path}/v{manifest['version']}"
-    index = CorpusIndex(table("postings"), table("doc_len"), spark.read.parquet(f"{newest}/term_stats"),
-                        spark.read.parquet(f"{newest}/show_stats"), table("lines"))
+    index = CorpusIndex(table("postings"), table("doc_len").drop("n_parts"), spark.read.parquet(f"{newest}/term_stats"),
+                        spark.read.parquet(f"{newest}/show_stats"), table("lines"), packed=packed,
+                        summed=reduce(DataFrame.unionByName, several) if several else None)
     return index, table("digests")
 
 
