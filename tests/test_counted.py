@@ -1,12 +1,14 @@
 """Packed term counts and sorted runs: the rows of the grouped formulation, without its shuffles."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from scriptlens.operators.counted import counted_terms, sorted_runs, unpacked, unpacked_runs
-from scriptlens.operators.index import build_index, materialize_index
-from scriptlens.operators.search import top_k, top_terms
+from scriptlens.operators.index import build_index, materialize_index, searchable_lines
+from scriptlens.operators.search import prepare_queries, query_table, top_k, top_terms
 from scriptlens.operators.topk import build_impacts
+from scriptlens.operators.trigrams import TrigramIndex, build_trigrams, gram_runs, matched_by_trigrams
 
 LINES = ("show_key string, season int, episode bigint, episode_title string, line_no bigint, "
          "character string, dialogue string")
@@ -63,3 +65,20 @@ def test_rows_without_tokens_keep_their_key(spark):
     df = spark.createDataFrame([(1, []), (2, ["x"]), (1, None)], "k int, w array<string>").coalesce(1)
     got = sorted(map(tuple, counted_terms(df, ["k"], ["w"]).collect()))
     assert got == [(1, [], [], 0), (2, ["x"], [1], 1)]
+
+
+def test_trigram_postings_that_come_twice_count_once(spark):
+    index = build_trigrams(spark, searchable_lines(corpus(spark)))
+    twice = TrigramIndex(index.texts, index.postings.unionByName(index.postings), index.grams)
+    prepared = prepare_queries(query_table(spark, ["coffee&table", "window"]))
+    cols = ["query_id", "show_key", "episode"]
+    got = rows(matched_by_trigrams(twice, prepared), cols)
+    assert got and got == rows(matched_by_trigrams(index, prepared), cols)
+
+
+def test_trigrams_of_blocks_by_runs():
+    texts = ["abcab", "", "ab", "x\U0001f600\x00\x00 é\uffff", "cab"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1, 2]), pa.array(texts)], names=["block", "text"])
+    got = [(r["gram"], r["block"]) for b in gram_runs(iter([batch])) for r in b.to_pylist()]
+    want = sorted({(t[k:k + 3], b) for t, b in zip(texts, [0, 0, 1, 1, 2]) for k in range(len(t) - 2)})
+    assert sorted(got) == want and [g for g, _ in got] == [g for g, _ in want]
