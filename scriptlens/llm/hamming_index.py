@@ -6,7 +6,8 @@ bounded sample, and cut to ``BITS`` signs. A code is split into substrings of 16
 bits, each with its own index. Of two codes within Hamming radius r, some substring
 differs in at most r // m bits (the pigeonhole bound), so probing the buckets
 around each substring of the query finds every code within r; these are reranked
-by the cosine of the original vectors in double precision.
+by the cosine of the original vectors in double precision. Up to 64 queries probe
+together: a bucket then holds the queries that it is near to as bits of one word.
 
 The radius is learned too: ``CALIBRATION`` queries are compared with every row, and
 the radius holds the share ``TARGET`` of their true neighbours. A query that
@@ -27,7 +28,6 @@ ignored. Ids are integers.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,7 @@ WIDER = 1.25                # growth of the radius for queries that found too fe
 BLOCK_ROWS = 100_000        # rows of an index block
 BLOCK_VALUES = 8_000_000    # and its components
 LEAST_ROWS = 1_500          # blocks are not cut finer than this for more tasks
+LISTED = 40                 # keys in use for each bucket that is listed instead
 SEED = 13
 
 
@@ -117,11 +118,30 @@ def substring_radii(radius: int, parts: int) -> list[int]:
     return [each if k <= more else each - 1 for k in range(parts)]
 
 
-@dataclass
-class Found:
-    query: np.ndarray
-    vec: np.ndarray
-    score: np.ndarray
+QUERIES = 64                # probed together: one bit of a word each
+BYTES = np.arange(256, dtype=np.uint8)
+
+
+def ball_queries(subs: np.ndarray, near: int) -> np.ndarray:
+    """For every bucket of a substring, a word whose bits are the queries within the
+    radius. A key's distance is that of its two bytes, so the buckets are the pairs of
+    a high byte at a distance and a low byte at what is left of the radius at most."""
+    high, low = ((subs >> np.uint16(shift)).astype(np.uint8) for shift in (8, 0))
+    steps = np.arange(min(near, 8) + 1, dtype=np.uint8)[:, None, None]
+    exact = bit_words(np.bitwise_count(BYTES[:, None] ^ high) == steps)
+    least = bit_words(np.bitwise_count(BYTES[:, None] ^ low) <= np.arange(near + 1, dtype=np.uint8)[:, None, None])
+    out, part = np.zeros((256, 256), dtype=np.uint64), np.empty((256, 256), dtype=np.uint64)
+    for a, words in enumerate(exact):
+        np.bitwise_and(words[:, None], least[near - a], out=part)
+        out |= part
+    return out.reshape(-1)
+
+
+def bit_words(held: np.ndarray) -> np.ndarray:
+    """The last axis (up to 64 truth values) as a word, the first value its lowest bit."""
+    wide = np.zeros((*held.shape[:-1], QUERIES), dtype=bool)
+    wide[..., :held.shape[-1]] = held
+    return np.packbits(wide, axis=-1, bitorder="little").view("<u8")[..., 0]
 
 
 class Block:
@@ -129,44 +149,72 @@ class Block:
 
     def __init__(self, ids: np.ndarray, codes: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.words = np.ascontiguousarray(codes).view(np.uint64)
+        codes = np.ascontiguousarray(codes)
+        self.words = np.ascontiguousarray(codes.view(np.uint64).T)      # a word of all codes lies together
         self.norm = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1))
         self.unique = len(np.unique(ids)) == len(ids)
-        subs = np.ascontiguousarray(codes).view(np.uint16)
-        self.parts = subs.shape[1]
-        self.keys, self.key_of, self.order, self.start = [], [], [], []
-        for k in range(self.parts):
-            keys, where = np.unique(subs[:, k], return_inverse=True)
-            self.keys.append(keys)
-            self.key_of.append(where.reshape(-1).astype(np.int32))
-            self.order.append(np.argsort(subs[:, k], kind="stable").astype(np.int32))
-            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(subs[:, k], minlength=1 << SUB))]).astype(np.int32))
-
-    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Places of all codes within the radius, by probing each substring's
-        buckets: listed one by one if they are fewer than the keys in use, else
-        by their distance from the keys in use."""
-        hit = np.zeros(len(self.ids), dtype=bool)
-        subs = code.view(np.uint16)
+        self.subs = np.ascontiguousarray(codes.view(np.uint16).T)
+        self.parts = len(self.subs)
+        self.keys, self.order, self.start = [], [], []
+        for subs in self.subs:
+            sizes = np.bincount(subs, minlength=1 << SUB)
+            self.keys.append(np.flatnonzero(sizes))
+            self.order.append(np.argsort(subs, kind="stable").astype(np.int32))
+            self.start.append(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+    def probed(self, subs: np.ndarray, radius: int) -> np.ndarray:
+        """For every row a word whose bits are the queries (up to ``QUERIES``) with a
+        probed bucket that holds the row. A substring's buckets are listed for each
+        query if they are few against the keys in use, else told for all queries at once."""
+        hit = np.zeros(len(self.ids), dtype=np.uint64)
         for k, near in enumerate(substring_radii(radius, self.parts)):
             if near < 0:
                 continue
             if near >= SUB:
-                hit[:] = True
+                hit[:] = ~np.uint64(0)
                 break
-            if WITHIN[near] < len(self.keys[k]):
-                probe = BY_POPULATION[:WITHIN[near]] ^ int(subs[k])
-                first, end = self.start[k][probe], self.start[k][probe + 1]
-                for lo, hi in zip(*(x[end > first].tolist() for x in (first, end))):
-                    hit[self.order[k][lo:hi]] = True
+            if WITHIN[near] * LISTED < len(self.keys[k]):
+                for j, sub in enumerate(subs[:, k].tolist()):
+                    hit[self.listed(k, BY_POPULATION[:WITHIN[near]] ^ sub)] |= np.uint64(1 << j)
             else:
-                hit |= (POPULATION[self.keys[k] ^ subs[k]] <= near)[self.key_of[k]]
-        places = np.flatnonzero(hit)
-        return places[distances(self.words[places], code.view(np.uint64)) <= radius]
+                hit |= ball_queries(subs[:, k], near)[self.subs[k]]
+        return hit
+
+    def listed(self, k: int, probe: np.ndarray) -> np.ndarray:
+        """Places of the rows in these buckets of a substring."""
+        first = self.start[k][probe].astype(np.int64)
+        sizes = self.start[k][probe + 1] - first
+        stops = np.cumsum(sizes)
+        return self.order[k][np.repeat(first - (stops - sizes), sizes) + np.arange(int(stops[-1]))]
+
+    def all_within(self, codes: np.ndarray, radius: int) -> Iterator[np.ndarray]:
+        """For every code the places of all codes within the radius."""
+        codes = np.ascontiguousarray(codes)
+        for lo in range(0, len(codes), QUERIES):
+            part = codes[lo:lo + QUERIES]
+            hit = self.probed(part.view(np.uint16), radius)
+            for j, code in enumerate(part.view(np.uint64)):
+                held = (hit & np.uint64(1 << j)) != 0
+                if np.count_nonzero(held) * 4 > len(held):
+                    yield np.flatnonzero(held & (self.apart(self.words, code) <= radius))
+                else:
+                    places = np.flatnonzero(held)
+                    yield places[self.apart(self.words[:, places], code) <= radius]
 
-    def nearest(self, query: int, row: np.ndarray, code: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the ``k`` best other ids within the radius."""
-        places = self.within(code, radius)
+    def within(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Places of all codes within the radius."""
+        return next(self.all_within(code[None], radius))
+
+    @staticmethod
+    def apart(words: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Hamming distances of codes (a column each) from a code."""
+        out = np.zeros(words.shape[1], dtype=np.uint16)
+        for column, word in zip(words, code):
+            out += np.bitwise_count(column ^ word)
+        return out
+
+    def nearest(self, query: int, row: np.ndarray, places: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and cosines of the ``k`` best other ids at these places."""
         places = places[self.ids[places] != query]
         # sums by row: a vector's cosine does not depend on its neighbours
         score = (self.rows[places] * row).sum(axis=1) / (self.norm[places] * np.sqrt((row * row).sum()))
@@ -284,7 +332,7 @@ def probe(index: DataFrame, asking: DataFrame, blocks: int, width: int, radius:
         codes = unpacked(part.column("code"), np.uint8, BITS // 8)
         rows = unpacked(part.column("packed"), np.float64, width)
         asked = part.column("id").to_numpy()
-        found = [block.nearest(q, r, c, radius, k) for q, r, c in zip(asked, rows, codes)]
+        found = [block.nearest(q, r, places, k) for q, r, places in zip(asked, rows, block.all_within(codes, radius))]
         sizes = [len(ids) for ids, _ in found]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(asked, sizes)), pa.array(np.concatenate([i for i, _ in found])),

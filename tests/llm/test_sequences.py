@@ -311,6 +311,23 @@ def test_both_ways_of_probing_are_used_and_agree():
         assert block.within(codes[0], radius).tolist() == np.flatnonzero(far <= radius).tolist()
 
 
+def test_queries_probe_together_with_the_work_of_a_few_array_passes(monkeypatch):
+    """A wide radius over a large block: no step for each bucket of each query."""
+    codes = np.random.default_rng(5).integers(0, 256, (20_000, 32), dtype=np.uint8)
+    block = hamming_index.Block(np.arange(20_000), codes, np.ones((20_000, 2)))
+    assert hamming_index.WITHIN[5] < len(block.keys[0])
+    calls = []
+    plain = hamming_index.ball_queries
+    monkeypatch.setattr(hamming_index, "ball_queries", lambda subs, near: calls.append(near) or plain(subs, near))
+    for radius in (100, 45):
+        found = list(block.all_within(codes[:70], radius))
+        assert len(found) == 70
+        for code, places in zip(codes[:70], found):
+            far = np.bitwise_count(codes ^ code).sum(axis=1)
+            assert places.tolist() == np.flatnonzero(far <= radius).tolist()
+    assert calls == [6] * 5 + [5] * 11 + [6] * 5 + [5] * 11     # two rounds of queries at radius 100; listed at 45
+
+
 def test_pigeonhole_radii():
     for radius in range(0, 257):
         near = hamming_index.substring_radii(radius, 16)
