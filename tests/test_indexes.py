@@ -76,6 +76,48 @@ def test_trigram_match_reads_candidate_blocks_only(spark):
     assert G.candidate_blocks(index, spark.createDataFrame([("qqqword",)], "part string")).count() == 0
 
 
+def test_a_batch_makes_no_row_for_a_block_and_part(spark):
+    rows = [("s", 1, k, "T", k, "x", f"word{k:04d} filler filler") for k in range(400)]
+    rows += [("s", 1, 7, "T", 1000 + k, "x", f"word{k:04d} again") for k in (8, 9)]
+    index = G.build_trigrams(spark, searchable_lines(spark.createDataFrame(rows, LINES).repartition(2)), block_chars=100)
+    asked = ["word0123", "filler", "word00", "zzzz", *[f"word{k:04d}" for k in range(100)]]
+    chosen = G.rarest_grams(index, spark.createDataFrame([(p,) for p in asked], "part string")).collect()
+    table = G.GramTable(chosen, asked)
+    want = {(r["block"], asked.index(r["part"])) for r in G.candidate_blocks(
+        index, spark.createDataFrame([(p,) for p in asked], "part string")).collect()}
+    got = G.block_parts(index, table).collect()
+    assert len(got) == len({b for b, _ in want}) == len({r["block"] for r in got})
+    listed = {(r["block"], i) for r in got if r["asked"] is not None for i in r["asked"]}
+    whole = {r["block"] for r in got if r["asked"] is None}
+    assert listed == {(b, i) for b, i in want if b not in whole}
+    assert all(sum(1 for b, _ in want if b == w) > G.LISTED_PARTS for w in whole)
+    prepared = S.prepare_queries(S.query_table(spark, asked))
+    docs = G.matched_by_trigrams(index, prepared)
+    matched = sorted((r["query_id"], r["episode"]) for r in docs.collect())
+    texts = {k: [f"word{k:04d} filler filler t"] for k in range(400)}
+    texts[7] = ["word0007 filler filler", "word0008 again", "word0009 again t"]
+    assert matched == sorted((q, k) for q, p in enumerate(asked) for k, held in texts.items() if any(p in t for t in held))
+    assert [r["episode"] for r in index.several.collect()] == [7]
+
+
+def test_documents_of_one_row_are_not_shuffled(spark):
+    rows = [("s", 1, k, "T", k, "x", f"word{k:04d} filler") for k in range(40)]
+    index = G.build_trigrams(spark, searchable_lines(spark.createDataFrame(rows, LINES)))
+    docs = G.matched_by_trigrams(index, S.prepare_queries(S.query_table(spark, ["word0003", "filler&word001"])))
+    assert "Exchange hashpartitioning" not in docs._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["query_id"], r["episode"]) for r in docs.collect()) == [(0, 3), *[(1, k) for k in range(10, 20)]]
+
+
+def test_finder_tells_the_parts_of_a_text():
+    rng = random.Random(8)
+    parts = ["".join(rng.choices("ab \u00e9\U0001f600", k=rng.randint(0, 14))) for _ in range(300)]
+    table = S.PartTable([{"query_id": i, "qtype": "or", "n_parts": 1, "part_idx": 0, "part": p} for i, p in enumerate(parts)])
+    find = table.finder()
+    for n in (0, 1, 2, 3, 4, 7, 30, 400):
+        text = "".join(rng.choices("ab \u00e9\U0001f600", k=n))
+        assert sorted(find(text)) == [i for i, p in enumerate(table.parts) if p in text]
+
+
 def test_many_parts_stay_a_table(spark, monkeypatch):
     lines = searchable_lines(spark.createDataFrame(corpus(3), LINES))
     prepared = S.prepare_queries(S.query_table(spark, QUERIES))
