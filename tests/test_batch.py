@@ -68,6 +68,17 @@ def test_batches_with_met_or_null_ids_are_ranked_in_full(spark, corpus):
     assert S.batch_matches(corpus[1], prepared, 2, 1, True) is None
 
 
+def test_a_text_in_a_block_of_many_parts_is_read_once_for_all(spark):
+    """Null for the block's parts: all are told by their marks, none is tried by itself."""
+    parts = [f"word{k:03d}" for k in range(300)] + ["x"]
+    table = S.PartTable([{"query_id": i, "qtype": "or", "n_parts": 1, "part_idx": 0, "part": p} for i, p in enumerate(parts)])
+    rows = [(1, "word007 word250", None), (2, "word007 word250", [250]), (3, "word001 x", []), (4, "wor", None)]
+    texts = spark.createDataFrame(rows, "k int, text string, asked array<int>")
+    for grouped in (True, False):
+        got = {r["k"]: sorted(r["held"]) for r in S.held_parts(texts, ["k"], table, "text", "asked", grouped).collect()}
+        assert got == {1: [7, 250], 2: [250], 3: [300]}
+
+
 def test_half_up_rounds_decimals():
     x = np.array([0.0000005, -0.0000005, 1.2345675, 2.0000015, 1.23456749, -1e-9, 0.0])
     assert half_up(x).tolist() == [1e-6, -1e-6, 1.234568, 2.000002, 1.234567, 0.0, 0.0]
